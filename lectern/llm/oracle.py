@@ -1,8 +1,36 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
+from lectern.llm.license_scan import TEMPLATES
+
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+TEMPLATE_ROWS = ",\n  ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(TEMPLATES))
+
+
+def _bigrams(text: str) -> str:
+    words = f"string_split(trim(regexp_replace(lower({text}), '[^a-z0-9]+', ' ', 'g')), ' ')"
+    return f"list_distinct(list_transform(range(1, len({words})), lambda i: {words}[i] || ' ' || {words}[i + 1]))"
+
+
 ORACLE: dict[str, str] = {
+    "op4_license_scans": f"""
+WITH templates(nr, license_id, text) AS (VALUES
+  {TEMPLATE_ROWS}),
+t AS (SELECT nr, license_id, {_bigrams("text")} AS b FROM templates),
+units AS (
+  SELECT DISTINCT doc_id, unnest(list_concat(string_split(x, chr(10)), string_split_regex(x, '\\n[ \\t\\r]*\\n'), [x])) AS unit
+  FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
+u AS (SELECT doc_id, unit, {_bigrams("unit")} AS b FROM units),
+scored AS (
+  SELECT u.doc_id, u.unit, t.license_id, 2.0 * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice
+  FROM u JOIN t ON len(u.b) > 0 AND len(u.b) >= 0.6 * len(t.b) AND len(t.b) >= 0.6 * len(u.b)),
+best AS (
+  SELECT doc_id, unit, license_id, dice FROM scored WHERE dice >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license_id) = 1)
+SELECT d.doc_id, count(b.unit) AS n_hits,
+       coalesce(string_agg(DISTINCT b.license_id, ',' ORDER BY b.license_id), '') AS license_ids,
+       CAST(round(max(b.dice), 6) AS DOUBLE) AS best_dice
+FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id GROUP BY d.doc_id""",
     "op3_line_dedup": f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

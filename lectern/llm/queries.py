@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import line_dedup, sharding
+from lectern.llm import bpe, decontaminate, license_scan, line_dedup, quality_rules, sharding
 from lectern.session import table
 
 
@@ -25,7 +26,66 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the licences found in it, the best score, and the number of matching units."""
+    hits = license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return hits.select(
+        "doc_id",
+        F.size("_ls_hits").cast("long").alias("n_hits"),
+        F.concat_ws(",", F.array_sort(F.array_distinct("_ls_hits.license_id"))).alias("license_ids"),
+        F.round(F.array_max("_ls_hits.dice"), 6).alias("best_dice"),
+    )
+
+
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = decontaminate.mark(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return marked.select(
+        "doc_id",
+        F.col("_dc_words").alias("n_words"),
+        decontaminate.n_hit(F.col("_dc_spans")).alias("n_hit"),
+        F.size("_dc_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("_dc_items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("_dc_spans") > 0).alias("contaminated"),
+    )
+
+
+def vocabulary_path() -> str:
+    """The byte-level vocabulary; LECTERN_BPE may name another file."""
+    if named := os.environ.get("LECTERN_BPE"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
+    vocabulary = bpe.load(path)
+    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary, keep_text=False)
+    return bpe.decode(coded, vocabulary).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return judged.select(
+        "doc_id", "_qr.n_words", "_qr.word_chars", "_qr.n_symbols", "_qr.n_dup_lines", "_qr.n_repeat_words",
+        F.col("_qr_failed").alias("base_failed"), F.col("_qr_kept").alias("kept"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_line_dedup": op3_line_dedup,
+    "op4_license_scans": op4_license_scans,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_bpe": op6_bpe,
+    "op9_quality_rules": op9_quality_rules,
 }
