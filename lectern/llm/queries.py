@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, license_scan, line_dedup, quality_rules, sharding
+from lectern.llm import bpe, decontaminate, license_scan, line_dedup, quality_model, quality_rules, sharding, toxicity
+from lectern.llm.classify import fold
 from lectern.session import table
 
 
@@ -81,11 +82,30 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _classified(spark: SparkSession, sf_dir: str, module, threshold: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels")
+    model = module.learn(docs, labels.where(fold(F.col("doc_id"), 3) != 1))
+    return module.score(docs, model).select(
+        "doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, 0.7)
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality_model, 0.5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_toxicity": op2_toxicity,
     "op3_line_dedup": op3_line_dedup,
     "op4_license_scans": op4_license_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_bpe": op6_bpe,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
 }
