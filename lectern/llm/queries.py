@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, license_scan, line_dedup, quality_model, quality_rules, sharding, toxicity
+from lectern.llm import bpe, decontaminate, license_scan, line_dedup, lm, quality_model, quality_rules, sharding, toxicity
 from lectern.llm.classify import fold
 from lectern.session import table
 
@@ -95,6 +95,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, 0.7)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, train=fold(F.col("doc_id"), 7) != 2)
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_model, 0.5)
 
@@ -106,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scans": op4_license_scans,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
 }
