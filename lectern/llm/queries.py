@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, license_scan, line_dedup, lm, quality_model, quality_rules, sharding, toxicity
+from lectern.llm import bpe, decontaminate, jaccard, license_scan, line_dedup, lm, quality_model, quality_rules, sharding, toxicity
 from lectern.llm.classify import fold
 from lectern.session import table
 
@@ -107,6 +107,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, quality_model, 0.5)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -117,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_lm_scoring": op7_lm_scoring,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
