@@ -35,7 +35,7 @@ def single_answer(c: Column) -> Column:
 
 def answer_list(c: Column) -> Column:
     """A comma list whose numeric parts all lie in 1..5 (other parts are ignored); else empty."""
-    parts = F.filter(F.transform(F.split(text(c), ","), F.trim), lambda x: x.rlike("^[0-9]+$"))
+    parts = F.filter(F.transform(F.split(text(c), ","), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$"))
     fine = (F.size(parts) > 0) & F.forall(parts, lambda x: x.rlike("^[1-5]$"))
     return F.when(text(c).contains(",") & fine, F.transform(parts, lambda x: x.cast("int"))).otherwise(F.array().cast("array<int>"))
 
@@ -53,12 +53,12 @@ def choice_reference(c: Column) -> Column:
 
 def alternatives(c: Column) -> Column:
     """Alternatives between bars, without the ``N:`` in front, blanks dropped."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text(c), "^[0-9]+:", ""), "\\|"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text(c), "^[0-9]+:", ""), "\\|"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def blanks(c: Column) -> Column:
     """Answers of successive blanks."""
-    return F.filter(F.transform(F.split(text(c), "[,;|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text(c), "[,;|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_true(c: Column) -> Column:

@@ -1,4 +1,4 @@
 """All plan modules; importing this fills the registry."""
 
-from lectern.plans import normalise, retrieval  # noqa: F401
+from lectern.plans import checks, normalise, retrieval  # noqa: F401
 from lectern.plans.registry import ORACLE, QUERIES  # noqa: F401

@@ -131,7 +131,7 @@ CASE WHEN code IN ('11', '21') THEN array_to_string(list_transform(list_filter(l
 def p17(spark: SparkSession, sf: str) -> DataFrame:
     code, choice = I.code_of(F.col("kind")), I.code_of(F.col("kind")).isin("11", "21")
     # Answers that only point to the explanation.
-    keys = F.filter(F.transform(F.split("answer", ","), F.trim), lambda x: x.rlike("^[0-9]+$") & ~x.isin("해설참조", "풀이참조"))
+    keys = F.filter(F.transform(F.split("answer", ","), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$") & ~x.isin("해설참조", "풀이참조"))
     return attrs(spark, sf).select("doc_id", F.when(choice, "choice").when(code == "31", "text_entry").otherwise("extended_text").alias("interaction"), F.when(F.col("doc_id") % 3 > 1, "multiple").otherwise("single").alias("cardinality"), F.when(choice, "identifier").otherwise("string").alias("base_type"), F.when(choice, F.array_join(F.transform(keys, lambda x: F.concat(F.lit("choice_"), x)), ",")).otherwise(F.col("answer")).alias("correct"))
 
 
