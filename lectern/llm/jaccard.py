@@ -84,7 +84,7 @@ def _ask(buckets: int, k: int):
         serial = TaskContext.get().partitionId() << 24
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j, buf, at in slices(batch.column(1), 4 << 20):
+            for i, j, buf, at in slices(batch.column(1), 2 << 20):
                 doc, g = shingles(buf, at, k)
                 order = np.argsort(g, kind="stable")
                 doc, g, out, a = doc[order], g[order], [], 0
@@ -150,7 +150,7 @@ def _alive(percent: int):
     return run
 
 
-def candidates_table(docs: DataFrame, k: int = K, percent: int = PERCENT, bucket_keys: int = 2_000_000) -> DataFrame:
+def candidates_table(docs: DataFrame, k: int = K, percent: int = PERCENT, bucket_keys: int = 1_000_000) -> DataFrame:
     """Steps 2 and 3: (doc_id, n, lone, keys, parts) of the documents that can have a partner."""
     ship(docs.sparkSession)
     some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -208,8 +208,12 @@ def led(post: DataFrame, seed: int, percent: int) -> DataFrame:
 
 def across(post: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs (x, y) of different components: lists are joined by component first, documents then."""
-    heads = post.select("key", "comp").distinct()
-    pairs = heads.alias("a").join(heads.alias("b"), "key").where("a.comp < b.comp").select("key", F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
+    heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    # what the filters of some pair of documents need, so that components without such a pair don't meet
+    length = F.expr(f"100 * a.high >= {percent} * b.low AND 100 * b.high >= {percent} * a.low")
+    position = F.expr(f"{100 + percent} * least(a.rest, b.rest) >= {percent} * (a.low + b.low)")
+    pairs = heads.alias("a").join(heads.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & length & position)
+    pairs = pairs.select(F.col("a.key").alias("key"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
     a = post.select("key", F.col("comp").alias("ca"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = post.select("key", F.col("comp").alias("cb"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     met = pairs.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(fits(percent, F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
