@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import cached_property
 
@@ -75,8 +76,15 @@ class Vocabulary:
         return regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
 
     @cached_property
-    def cache(self) -> dict[str, list[int]]:
-        return {}
+    def cache(self) -> dict[str, int]:
+        """Numbers of the pre-tokens met so far; ``pieces`` has their ids. Special tokens are always there."""
+        self.pieces = (array("i"), array("q", [0]))
+        found = {}
+        for name, i in self.special.items():
+            found[name] = len(found)
+            self.pieces[0].append(i)
+            self.pieces[1].append(len(self.pieces[0]))
+        return found
 
     def encode_new(self, pieces: Iterable[str]) -> None:
         """Merge all of ``pieces`` at once and put their ids into the cache."""
@@ -120,8 +128,11 @@ class Vocabulary:
                         heapq.heappush(active, x)
                     where[x].append(h)
         heads.append(len(sym))
+        ids, ends = self.pieces
         for p, a, b in zip(pieces, heads, heads[1:], strict=False):
-            self.cache[p] = [s for s in sym[a:b] if s >= 0]
+            self.cache[p] = len(self.cache)
+            ids.extend(s for s in sym[a:b] if s >= 0)
+            ends.append(len(ids))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of ``texts`` in one array, and where each text starts in it."""
@@ -130,23 +141,17 @@ class Vocabulary:
             before = len(pieces)
             if self.split is not None and any(s in t for s in self.special):
                 for x in self.split.split(t):
-                    pieces.extend([self.special[x]] if x in self.special else find(x))
+                    pieces.extend([x] if x in self.special else find(x))
             else:
                 pieces.extend(find(t))
             counts.append(len(pieces) - before)
-        distinct = set(pieces)
         if len(self.cache) > CACHED:
-            self.cache.clear()
-        self.encode_new(p for p in distinct if isinstance(p, str) and p not in self.cache)
-        number, ids, size = {}, [], []
-        for p in distinct:
-            number[p] = len(size)
-            mine = self.cache[p] if isinstance(p, str) else [p]
-            ids.extend(mine)
-            size.append(len(mine))
-        size, ids = np.array(size, dtype=np.int64), np.array(ids, dtype=np.int32)
-        n = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        flat, ends = gather(ids, np.cumsum(size) - size, size, n)
+            del self.cache
+        if new := set(pieces).difference(self.cache):
+            self.encode_new(new)
+        n = np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))
+        ids, bounds = np.array(self.pieces[0], dtype=np.int32), np.array(self.pieces[1], dtype=np.int64)
+        flat, ends = gather(ids, bounds[:-1], np.diff(bounds), n)
         at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         return flat, at
 
@@ -202,28 +207,31 @@ def _strings(data: np.ndarray, at: np.ndarray) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in raw.to_pylist()], pa.string())
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", keep_text: bool = True) -> DataFrame:
-    """``docs`` plus the ids of each whole text (array<int>)."""
+def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", keep_text: bool = True, decoded: str | None = None) -> DataFrame:
+    """``docs`` plus the ids of each whole text (array<int>), and plus what they decode to if ``decoded`` names that column.
+
+    Every slice of about a megabyte becomes a batch of its own, so a worker holds one slice's ids at a time.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
-    kept = [f for f in docs.schema if f.name != ids and (keep_text or f.name != text)]
+    kept = [f for f in docs.schema if f.name not in (ids, decoded) and (keep_text or f.name != text)]
+    names = [*[f.name for f in kept], ids, *([decoded] if decoded else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flats, sizes = [], []
-            column = batch.column(batch.schema.get_field_index(text))
-            for _, _, buf, at in slices(column):
+            old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
+            for i, j, buf, at in slices(batch.column(batch.schema.get_field_index(text))):
                 raw = buf.tobytes()
                 flat, starts = shared.value.encode([raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)])
-                flats.append(flat)
-                sizes.append(np.diff(starts))
-            ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1)
-            flat = np.concatenate(flats) if flats else np.zeros(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(f.name)) for f in kept], lists], names=[*[f.name for f in kept], ids])
-
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+                new = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat, pa.int32()))]
+                if decoded:
+                    new.append(_strings(*shared.value.decode(flat, starts)))
+                yield pa.RecordBatch.from_arrays([*[c.slice(i, j - i) for c in old], *new], names=names)
+        pa.default_memory_pool().release_unused()
+
+    more = [T.StructField(decoded, T.StringType())] if decoded else []
+    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType())), *more]))
 
 
 def decode(rows: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -13,8 +13,8 @@
    different components are verified, so no link between components is missed.
 
 Defined cases: null, empty and word-free texts have no grams and link with nothing; with fewer than ``k`` words
-the whole sequence is the only gram; rows with null doc_id have a null component and link with nothing; rows that share a doc_id are one
-node; repeated rows come out as often as they come in; extra columns are dropped by :func:`components_of` and kept by :func:`keep_one`.
+the whole sequence is the only gram; rows with null doc_id have a null component and link with nothing; rows that share a doc_id get the
+smallest of their components; repeated rows come out as often as they come in; extra columns are dropped by :func:`components_of` and kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
@@ -96,6 +96,7 @@ def _ask(buckets: int, k: int):
                     a = e
                 serial += 1
                 yield pa.RecordBatch.from_pydict(dict(zip(ASKED.names, zip(*out, strict=True), strict=True)), ASKED)
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -101,10 +101,10 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(docs: DataFrame, common: int = 16, min_reference: int = 2000) -> DataFrame:
-    """One row a language: (_qr_lang, char_ref, top_words, word_ref), from all of ``docs``."""
+    """One row a language: (_qr_lang, _qr_char_ref, _qr_top_words, _qr_word_ref), from all of ``docs``."""
     text = docs.where(F.col("lang").isNotNull()).select(F.col("lang").alias("_qr_lang"), whole("text").alias("text"))
     chars = text.select("_qr_lang", char_counts(F.col("text")).alias("c")).groupBy("_qr_lang")
-    chars = chars.agg(F.array(*[F.sum(f"c.{c}") for c in CLASSES]).alias("char_ref"))
+    chars = chars.agg(F.array(*[F.sum(f"c.{c}") for c in CLASSES]).alias("_qr_char_ref"))
     counts = text.select("_qr_lang", F.explode(words(F.col("text"))).alias("word")).groupBy("_qr_lang", "word").agg(F.count("*").alias("n"))
     sums = counts.groupBy("_qr_lang").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("_qr_lang").orderBy(F.desc("n"), "word")
@@ -112,7 +112,7 @@ def references(docs: DataFrame, common: int = 16, min_reference: int = 2000) ->
     top = top.groupBy("_qr_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     joined = chars.join(sums, "_qr_lang").join(top, "_qr_lang").where(F.col("total") >= min_reference)
     rest = F.col("total") - F.aggregate("top.n", F.lit(0).cast("long"), lambda a, n: a + n)
-    return joined.select("_qr_lang", "char_ref", F.col("top.word").alias("top_words"), F.concat(F.col("top.n"), F.array(rest)).alias("word_ref"))
+    return joined.select("_qr_lang", "_qr_char_ref", F.col("top.word").alias("_qr_top_words"), F.concat(F.col("top.n"), F.array(rest)).alias("_qr_word_ref"))
 
 
 def word_histogram(ws: Column, top: Column) -> Column:
@@ -150,8 +150,8 @@ def judge(
                 duplicate_lines(text).alias("n_dup_lines"),
                 repeated_words(w).alias("n_repeat_words"),
                 F.length(text).cast("long").alias("n_chars"),
-                js_distance(F.array(*[c[x] for x in CLASSES]), F.col("char_ref")).alias("chars_distance"),
-                F.when(F.size(w) >= min_words, js_distance(word_histogram(w, F.col("top_words")), F.col("word_ref"))).alias("words_distance"),
+                js_distance(F.array(*[c[x] for x in CLASSES]), F.col("_qr_char_ref")).alias("chars_distance"),
+                F.when(F.size(w) >= min_words, js_distance(word_histogram(w, F.col("_qr_top_words")), F.col("_qr_word_ref"))).alias("words_distance"),
             ),
         ),
     )

@@ -61,8 +61,8 @@ def vocabulary_path() -> str:
 
 def bpe_digest(docs: DataFrame, path: str) -> DataFrame:
     vocabulary = bpe.load(path)
-    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary, keep_text=False)
-    return bpe.decode(coded, vocabulary).select(
+    coded = bpe.encode(docs.select("doc_id", "text"), vocabulary, keep_text=False, decoded="decoded")
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
