@@ -45,7 +45,7 @@ class Model:
         return sigmoid(np.array(raw) + self.bias)
 
 
-def fit(toxic: list[str], clean: list[str], share: float, least: int = 4, features: int = 60_000, alpha: float = 1.0, l2: float = 1.0, steps: int = 300) -> Model:
+def fit(toxic: list[str], clean: list[str], share: float, least: int = 4, features: int = 8_000, least_evidence: float = 2.0, alpha: float = 1.0, l2: float = 1.0, steps: int = 300) -> Model:
     """Fit on texts of both classes. Only n-grams in ``least`` documents or more count, the ``features`` with the largest evidence."""
     if not toxic or not clean:
         return Model(np.zeros(1 << BITS), float(np.log((share + 1e-6) / (1 - share + 1e-6))))
@@ -62,7 +62,7 @@ def fit(toxic: list[str], clean: list[str], share: float, least: int = 4, featur
     # evidence: the ratio over its standard error
     evidence = np.abs(r) / np.sqrt(1 / p + 1 / q)
     evidence[(counts[0] + counts[1]) < least] = 0
-    evidence[evidence < 2] = 0
+    evidence[evidence < least_evidence] = 0
     chosen = np.argsort(-evidence, kind="stable")[:features]
     chosen = np.sort(chosen[evidence[chosen] > 0])
     keep = np.zeros(1 << BITS, bool)
