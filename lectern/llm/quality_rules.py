@@ -127,7 +127,7 @@ def word_histogram(ws: Column, top: Column) -> Column:
 
 def judge(
     docs: DataFrame, common: int = 16, min_reference: int = 2000, min_chars: int = 200, min_words: int = 50,
-    max_chars_distance: float = 0.25, max_words_distance: float = 0.4, max_broadcast_languages: int = 2000,
+    max_chars_distance: float = 0.33, max_words_distance: float = 0.4, max_broadcast_languages: int = 2000,
 ) -> DataFrame:
     """``docs`` plus _qr (struct of every figure) and _qr_kept (boolean).
 
