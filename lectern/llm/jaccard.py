@@ -260,7 +260,8 @@ def connected(edges: DataFrame, name: str = "stars") -> DataFrame:
 def components_of(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     signed = cut(signatures(docs, k), "signatures")
-    classes = signed.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join back is one of two plain tables: Spark then splits the rows of a very large class.
+    classes = cut(signed.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
     alive = candidates_table(docs, k, percent).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     alive = cut(alive, "alive")
     comps = alive.select("doc_id", F.col("doc_id").alias("comp")).distinct()
