@@ -209,12 +209,15 @@ def led(post: DataFrame, seed: int, percent: int) -> DataFrame:
 
 def across(post: DataFrame, percent: int) -> DataFrame:
     """All candidate pairs (x, y) of different components: lists are joined by component first, documents then."""
-    heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("docs"))
     # what the filters of some pair of documents need, so that components without such a pair don't meet
     length = F.expr(f"100 * a.high >= {percent} * b.low AND 100 * b.high >= {percent} * a.low")
     position = F.expr(f"{100 + percent} * least(a.rest, b.rest) >= {percent} * (a.low + b.low)")
     pairs = heads.alias("a").join(heads.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & length & position)
-    pairs = pairs.select(F.col("a.key").alias("key"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"))
+    # the component with fewer documents in the list comes first, so that nothing is expanded before the filters can act
+    few = F.col("a.docs") <= F.col("b.docs")
+    first, second = (F.when(few, F.col(f"{x}.comp")).otherwise(F.col(f"{y}.comp")) for x, y in ("ab", "ba"))
+    pairs = pairs.select(F.col("a.key").alias("key"), first.alias("ca"), second.alias("cb"))
     a = post.select("key", F.col("comp").alias("ca"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("pos").alias("pa"))
     b = post.select("key", F.col("comp").alias("cb"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
     met = pairs.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(fits(percent, F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
