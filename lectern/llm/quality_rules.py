@@ -3,7 +3,9 @@
 Every language's reference is two histograms summed over all its documents: character classes, and its
 ``common`` most frequent words with one bin for the rest. A document is rejected where the Jensen-Shannon
 distance (base 2, 0 to 1) of either histogram to its language's reference is above a bound, given enough
-characters or words; two plain rules (too few words, too much repetition) go first.
+characters or words; two plain rules (too few words, too much repetition) go first. Bounds come from the
+distances of all documents of the language: a Tukey fence by octave of words, and a multiple of the median
+for characters.
 
 Defined cases: null or empty text has no words and fails the plain rules; a document with null lang, or with
 a lang whose reference has fewer than ``min_reference`` words, is judged by the plain rules alone; documents
@@ -23,6 +25,8 @@ CLASSES = ["lower", "upper", "digit", "blank", "mark", "symbol", "other"]
 SPAN = 8
 # Fixed values of the plain rules.
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
+# Slots of a language's common words, bins of a distance, and kinds of bounds besides the octaves.
+SLOTS, BINS, WORDS, CHARS = 2048, 1000, -1, -2
 
 
 def _without(text: Column, pattern: str) -> Column:
@@ -100,44 +104,107 @@ def js_distance(p: Column, q: Column) -> Column:
     return let(total(p), lambda a: let(total(q), lambda b: F.when((a > 0) & (b > 0), distance(a, b))))
 
 
-def references(docs: DataFrame, common: int = 16, min_reference: int = 2000) -> DataFrame:
-    """One row a language: (_qr_lang, _qr_char_ref, _qr_top_words, _qr_word_ref), from all of ``docs``."""
+def references(docs: DataFrame, common: int = 64, min_reference: int = 2000) -> DataFrame:
+    """One row a language: (_qr_lang, _qr_char_ref, _qr_top_words, _qr_slots, _qr_word_ref), from all of ``docs``.
+
+    ``_qr_slots`` finds a word in ``_qr_top_words`` without a search: at the word's hash it holds its place
+    from 1, or 0. Of common words with one slot the most frequent is taken and the others count as the rest.
+    """
     text = docs.where(F.col("lang").isNotNull()).select(F.col("lang").alias("_qr_lang"), whole("text").alias("text"))
     chars = text.select("_qr_lang", char_counts(F.col("text")).alias("c")).groupBy("_qr_lang")
     chars = chars.agg(F.array(*[F.sum(f"c.{c}") for c in CLASSES]).alias("_qr_char_ref"))
     counts = text.select("_qr_lang", F.explode(words(F.col("text"))).alias("word")).groupBy("_qr_lang", "word").agg(F.count("*").alias("n"))
     sums = counts.groupBy("_qr_lang").agg(F.sum("n").alias("total"))
     order = Window.partitionBy("_qr_lang").orderBy(F.desc("n"), "word")
-    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common)
-    top = top.groupBy("_qr_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
+    same = Window.partitionBy("_qr_lang", "slot").orderBy("rank")
+    top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= common).withColumn("slot", slot_of(F.col("word")))
+    top = top.withColumn("place", F.row_number().over(same)).where("place = 1")
+    top = top.groupBy("_qr_lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n", "slot"))).alias("top"))
     joined = chars.join(sums, "_qr_lang").join(top, "_qr_lang").where(F.col("total") >= min_reference)
     rest = F.col("total") - F.aggregate("top.n", F.lit(0).cast("long"), lambda a, n: a + n)
-    return joined.select("_qr_lang", "_qr_char_ref", F.col("top.word").alias("_qr_top_words"), F.concat(F.col("top.n"), F.array(rest)).alias("_qr_word_ref"))
+    shares = F.transform(F.concat(F.col("top.n"), F.array(rest)), lambda n: n / F.col("total"))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda s: F.array_position(F.col("top.slot"), s).cast("int"))
+    return joined.select("_qr_lang", "_qr_char_ref", F.col("top.word").alias("_qr_top_words"), slots.alias("_qr_slots"), shares.alias("_qr_word_ref"))
+
+
+def slot_of(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def word_distance(ws: Column, top: Column, slots: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of the counts of each word of ``top`` in ``ws`` and of all others to ``shares``.
+
+    Only words that the text holds are visited; each word that it doesn't hold adds its whole share.
+    """
+    place = lambda w: F.get(slots, slot_of(w))
+    part = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(F.lit(0.0))
 
+    def runs(p: Column) -> Column:
+        at = F.filter(F.transform(p, lambda r, i: F.struct(r.alias("r"), i.alias("i"))), lambda x: (x["i"] == 0) | (F.get(p, x["i"] - 1) != x["r"]))
+        held = let(at, lambda a: F.transform(a, lambda x, k: F.struct(x["r"].alias("r"), (F.coalesce(F.get(a, k + 1)["i"], F.size(p)) - x["i"]).alias("n"))))
+        return F.concat(held, F.array(F.struct(F.size(shares).alias("r"), (F.size(ws) - F.size(p)).alias("n"))))
 
-def word_histogram(ws: Column, top: Column) -> Column:
-    """Counts of each word of ``top`` in ``ws`` and, last, of all others."""
+    def distance(found: Column) -> Column:
+        terms = F.transform(found, lambda t: F.struct((t["n"] / F.size(ws)).alias("x"), F.get(shares, t["r"] - 1).alias("y")))
+        each = F.transform(terms, lambda t: part(t["x"], (t["x"] + t["y"]) / 2) + part(t["y"], (t["x"] + t["y"]) / 2) - t["y"])
+        return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(each, F.lit(1.0), lambda s, x: s + x) / 2))
 
-    def of(found: Column) -> Column:
-        each = F.transform(top, lambda w: F.size(F.filter(found, lambda x: x == w)).cast("long"))
-        return F.concat(each, F.array((F.size(ws) - F.size(found)).cast("long")))
+    known = F.filter(ws, lambda w: (place(w) > 0) & (F.get(top, place(w) - 1) == w))
+    found = let(F.sort_array(F.transform(known, place)), runs)
+    return F.when((F.size(ws) > 0) & shares.isNotNull(), let(found, distance))
 
-    return let(F.filter(ws, lambda w: F.array_contains(top, w)), of)
+
+def octave(n: Column) -> Column:
+    return F.length(F.bin(n)) - 1
+
+
+def bounds(figures: DataFrame, words_fence: float, chars_factor: float, min_band: int) -> DataFrame:
+    """One row a language: (_qr_bound_lang, _qr_bounds), a map from the kind of bound to its value.
+
+    ``figures`` has (_qr_lang, n_words, words_distance, chars_distance) of every document. Short texts are
+    further from any reference, so kinds from 0 are word bounds by octave of words (``min_band`` documents
+    at least); WORDS is the word bound of all lengths and CHARS the character bound. Quartiles are exact to
+    1/2000: distances are counted in bins that add up in any order.
+    """
+    value = lambda kind, d: F.when(d.isNotNull(), F.struct(kind.cast("int").alias("kind"), F.floor(d * BINS).alias("bin")))
+    w, c = F.col("words_distance"), F.col("chars_distance")
+    each = figures.select("_qr_lang", F.explode(F.array_compact(F.array(value(octave(F.col("n_words")), w), value(F.lit(WORDS), w), value(F.lit(CHARS), c)))).alias("v"))
+    counts = each.groupBy("_qr_lang", "v.kind", "v.bin").agg(F.count("*").alias("n"))
+    group = Window.partitionBy("_qr_lang", "kind")
+    so_far = counts.withColumns({"total": F.sum("n").over(group), "upto": F.sum("n").over(group.orderBy("bin"))})
+    share = lambda q: F.min(F.when(F.col("upto") >= q * F.col("total"), (F.col("bin") + 0.5) / BINS))
+    q = so_far.groupBy("_qr_lang", "kind").agg(F.max("total").alias("n"), share(0.25).alias("low"), share(0.5).alias("middle"), share(0.75).alias("high"))
+    q = q.where((F.col("kind") < 0) | (F.col("n") >= min_band))
+    bound = F.when(F.col("kind") == CHARS, chars_factor * F.col("middle")).otherwise(F.col("high") + words_fence * (F.col("high") - F.col("low")))
+    return q.groupBy(F.col("_qr_lang").alias("_qr_bound_lang")).agg(F.map_from_entries(F.collect_list(F.struct("kind", bound))).alias("_qr_bounds"))
 
 
 def judge(
-    docs: DataFrame, common: int = 16, min_reference: int = 2000, min_chars: int = 200, min_words: int = 50,
-    max_chars_distance: float = 0.33, max_words_distance: float = 0.4, max_broadcast_languages: int = 2000,
+    docs: DataFrame, common: int = 64, min_reference: int = 2000, min_chars: int = 200, min_words: int = 50,
+    words_fence: float = 2.0, chars_factor: float = 2.5, min_band: int = 20, max_broadcast_languages: int = 2000,
 ) -> DataFrame:
     """``docs`` plus _qr (struct of every figure) and _qr_kept (boolean).
 
-    The references are written once. They are broadcast only if there are at most
-    ``max_broadcast_languages`` of them (about 1 kB each); otherwise Spark joins them by language.
+    The references and bounds are written once. They are broadcast only if there are at most
+    ``max_broadcast_languages`` of them (about 10 kB each); otherwise Spark joins them by language.
     """
+    few = lambda df, n: F.broadcast(df) if n <= max_broadcast_languages else df
     refs = cut(references(docs, common, min_reference), "references")
-    refs = F.broadcast(refs) if refs.count() <= max_broadcast_languages else refs
+    n_refs = refs.count()
     text = whole("text")
-    joined = docs.join(refs, docs["lang"] == refs["_qr_lang"], "left")
+
+    def words_distance(w: Column) -> Column:
+        return F.when(F.size(w) >= min_words, word_distance(w, F.col("_qr_top_words"), F.col("_qr_slots"), F.col("_qr_word_ref")))
+
+    def chars_distance(c: Column) -> Column:
+        return js_distance(F.array(*[c[x] for x in CLASSES]), F.col("_qr_char_ref"))
+
+    long = F.when(F.length(text) >= min_chars, let(char_counts(text), chars_distance)).alias("chars_distance")
+    spread = docs.join(few(refs, n_refs), docs["lang"] == refs["_qr_lang"])
+    spread = spread.select("_qr_lang", let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), words_distance(w).alias("words_distance"), long)).alias("f"))
+    limits = cut(bounds(spread.select("_qr_lang", "f.*"), words_fence, chars_factor, min_band), "bounds")
+    refs = refs.join(few(limits, n_refs), refs["_qr_lang"] == limits["_qr_bound_lang"], "left")
+    joined = docs.join(few(refs, n_refs), docs["lang"] == refs["_qr_lang"], "left")
     ws = words(text)
     figures = let(
         ws,
@@ -150,14 +217,16 @@ def judge(
                 duplicate_lines(text).alias("n_dup_lines"),
                 repeated_words(w).alias("n_repeat_words"),
                 F.length(text).cast("long").alias("n_chars"),
-                js_distance(F.array(*[c[x] for x in CLASSES]), F.col("_qr_char_ref")).alias("chars_distance"),
-                F.when(F.size(w) >= min_words, js_distance(word_histogram(w, F.col("_qr_top_words")), F.col("_qr_word_ref"))).alias("words_distance"),
+                chars_distance(c).alias("chars_distance"),
+                words_distance(w).alias("words_distance"),
+                F.try_element_at("_qr_bounds", F.lit(CHARS)).alias("chars_bound"),
+                F.coalesce(F.try_element_at("_qr_bounds", octave(F.size(w))), F.try_element_at("_qr_bounds", F.lit(WORDS))).alias("words_bound"),
             ),
         ),
     )
     out = joined.select(*[docs[c] for c in docs.columns], figures.alias("_qr"))
     q = F.col("_qr")
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    odd_chars = F.coalesce((q["n_chars"] >= min_chars) & (q["chars_distance"] > max_chars_distance), F.lit(False))
-    odd_words = F.coalesce(q["words_distance"] > max_words_distance, F.lit(False))
+    odd_chars = F.coalesce((q["n_chars"] >= min_chars) & (q["chars_distance"] > q["chars_bound"]), F.lit(False))
+    odd_words = F.coalesce(q["words_distance"] > q["words_bound"], F.lit(False))
     return out.withColumns({"_qr_failed": failed, "_qr_kept": ~failed & ~odd_chars & ~odd_words})

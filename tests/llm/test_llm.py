@@ -203,6 +203,29 @@ def test_quality_rules(spark, odd, empty, docs, repeated, sf):
     assert quality_rules.judge(repeated).count() == repeated.count()
 
 
+def test_quality_rules_wrong_language(spark):
+    """Texts under another language's name, and word salad, are rejected by the words alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
+    good = docs.join(labels, "doc_id").where("lang = 'en' AND size(split(text, ' ')) BETWEEN 256 AND 1000 AND doc_id % 6 = 0")
+    wrong = good.select((-1 - F.col("doc_id")).alias("doc_id"), "text", F.lit("fr").alias("lang"))
+    salad = good.select((-1000000 - F.col("doc_id")).alias("doc_id"), F.regexp_replace("text", "([a-z])([a-z]+)", "$2$1").alias("text"), "lang")
+    judged = quality_rules.judge(docs.union(wrong).union(salad)).where("doc_id < 0 AND NOT _qr_failed").collect()
+    assert {r.lang for r in judged} == {"en", "fr"} and not any(r._qr_kept for r in judged)
+    assert all(r._qr.words_distance > r._qr.words_bound for r in judged)
+
+
+def test_word_distance(spark):
+    """The distance over the words a text holds equals that of the whole histograms."""
+    text, top, shares = "a b b x a b y", ["a", "b", "c"], [0.2, 0.3, 0.1, 0.4]
+    slots = [0] * quality_rules.SLOTS
+    for w, s in ((r.w, r.s) for r in spark.createDataFrame([(w,) for w in top], "w string").select("w", quality_rules.slot_of(F.col("w")).alias("s")).collect()):
+        slots[s] = top.index(w) + 1
+    row = spark.createDataFrame([(text.split(), top, slots, shares, [2, 3, 0, 2])], "ws array<string>, top array<string>, slots array<int>, shares array<double>, n array<long>")
+    got, want = row.select(quality_rules.word_distance(*map(F.col, ("ws", "top", "slots", "shares"))), quality_rules.js_distance(F.col("n"), F.col("shares"))).head()
+    assert got == pytest.approx(want)
+
+
 def test_js_distance(spark):
     row = spark.createDataFrame([([1, 0], [0, 1], [2, 2], [0, 0])], "p array<long>, q array<long>, r array<long>, z array<long>")
     d = lambda a, b: row.select(quality_rules.js_distance(F.col(a), F.col(b))).head()[0]
