@@ -144,7 +144,7 @@ def p18(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("p19_boxes_to_pixels", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity / 1000 * 800) AS INTEGER) AS x0, CAST(trunc(l_linenumber * 10 / 1000 * 600) AS INTEGER) AS y0, CAST(trunc((l_quantity + 500) / 1000 * 800) AS INTEGER) AS x1, CAST(trunc((l_linenumber * 10 + 300) / 1000 * 600) AS INTEGER) AS y1 FROM lineitem WHERE l_orderkey % 10 = 0")
 def p19(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "lineitem").where("l_orderkey % 10 = 0")
+    rows = table(spark, sf, "lineitem")
     box = F.array((F.col("l_linenumber") * 10).cast("double"), F.col("l_quantity"), (F.col("l_linenumber") * 10 + 300).cast("double"), F.col("l_quantity") + 500)
     return rows.select("l_orderkey", "l_linenumber", I.pixels(box, F.lit(800), F.lit(600)).alias("b")).select("l_orderkey", "l_linenumber", "b.*")
 
