@@ -87,9 +87,9 @@ def search_or_keyword(asked: DataFrame, corpus: DataFrame, items: DataFrame, k:
     """Vector hits of queries that have a vector; keyword hits (score 0.8, by id) of those that have only a word."""
     hits = search.knn(asked.where("embedding IS NOT NULL"), corpus, k).select("query_id", "item_id", "score", F.lit("vector").alias("path"))
     words = asked.where("embedding IS NULL AND word IS NOT NULL").select("query_id", "word")
-    found = items.join(words, F.expr("text ILIKE concat('%', word, '%')"))
-    order = Window.partitionBy("query_id").orderBy("item_id")
-    found = found.select("query_id", "item_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    found = items.join(words.select("word").distinct(), F.expr("text ILIKE concat('%', word, '%')"))
+    order = Window.partitionBy("word").orderBy("item_id")  # Spark keeps k a word in each task before the shuffle
+    found = found.select("word", "item_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).join(words, "word")
     return hits.unionByName(found.select("query_id", "item_id", F.lit(0.8).alias("score"), F.lit("keyword").alias("path")))
 
 
