@@ -12,6 +12,7 @@ CUTS = {
     "q9_calculation_check": [(" WHERE l_orderkey % 10 < 4", "")],
     "r17_search_with_fallback": [(" AND b.item_id < 10", "")],
     "w11_verification_sample": [(" SELECT query_id, string_agg", f", {TRUTH} SELECT query_id, string_agg"), ("query_id < 200", "query_id IN (SELECT DISTINCT query_id FROM t ORDER BY query_id LIMIT 50)")],
+    "r5_metadata_similarity": [("a.source = b.source AND a.doc_id < b.doc_id", "a.doc_id <> b.doc_id")],
 }
 
 
