@@ -114,14 +114,14 @@ def p14(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("p15_context_assembly", "SELECT conv_id, string_agg('[' || turn || '] score ' || printf('%.3f', 1.0 / (turn + 2)) || ' (' || coalesce(role, 'N/A') || ')' || chr(10) || substr(text, 1, 20), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def p15(spark: SparkSession, sf: str) -> DataFrame:
-    hit = F.struct(F.col("turn").alias("rank"), F.col("turn").alias("item_id"), (1.0 / (F.col("turn") + 2)).alias("score"), F.col("role").alias("category"), F.substring("text", 1, 20).alias("text"))
+    hit = F.struct(F.col("turn").alias("rank"), F.col("turn").alias("item_id"), (1.0 / (F.col("turn") + 2)).alias("score"), F.col("role").alias("category"), F.col("text"))
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(hit)).alias("hits")).select("conv_id", I.context(F.col("hits")).alias("context"))
 
 
 @register("p16_prompt_dataset", "SELECT doc_id, 'Write an item like: ' || substr(text, 1, 30) || chr(10) || 'Subject: ' || coalesce(nullif(lang, ''), 'any') || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'Change the numbers.' WHEN 1 THEN 'Change the setting.' ELSE 'Keep the idea.' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Use the image.' ELSE '' END AS prompt FROM documents")
 def p16(spark: SparkSession, sf: str) -> DataFrame:
     clause = F.create_map(F.lit(0), F.lit("Change the numbers."), F.lit(1), F.lit("Change the setting."), F.lit(2), F.lit("Keep the idea."))
-    prompt = F.concat(F.lit("Write an item like: "), F.substring("text", 1, 30), F.lit("\nSubject: "), F.coalesce(F.nullif("lang", F.lit("")), F.lit("any")), F.lit("\n"), F.try_element_at(clause, (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 4 == 0, "\nUse the image.").otherwise(""))
+    prompt = F.concat(F.lit("Write an item like: "), F.col("text"), F.lit("\nSubject: "), F.coalesce(F.nullif("lang", F.lit("")), F.lit("any")), F.lit("\n"), F.try_element_at(clause, (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 4 == 0, "\nUse the image.").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", prompt.alias("prompt"))
 
 

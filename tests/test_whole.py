@@ -9,6 +9,8 @@ from lectern.plans.retrieval import TRUTH
 # What the registered SQL cuts, and the whole.
 CUTS = {
     "p19_boxes_to_pixels": [(" WHERE l_orderkey % 10 = 0", "")],
+    "p15_context_assembly": [("substr(text, 1, 20)", "text")],
+    "p16_prompt_dataset": [("substr(text, 1, 30)", "text")],
     "q9_calculation_check": [(" WHERE l_orderkey % 10 < 4", "")],
     "r17_search_with_fallback": [(" AND b.item_id < 10", "")],
     "w11_verification_sample": [(" SELECT query_id, string_agg", f", {TRUTH} SELECT query_id, string_agg"), ("query_id < 200", "query_id IN (SELECT DISTINCT query_id FROM t ORDER BY query_id LIMIT 50)")],
