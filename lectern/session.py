@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
-    """A local session for tests and benchmarks; cluster jobs bring their own."""
-    return (
+    """A local session for tests and benchmarks, with a scratch folder of this machine if none is set; cluster jobs bring their own."""
+    build = (
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -21,8 +21,12 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.driver.host", "127.0.0.1")
-        .getOrCreate()
     )
+    session = build.getOrCreate()
+    if session.conf.get("spark.checkpoint.dir", None) is None:  # it can't be set later
+        session.stop()
+        session = build.config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="lectern-")).getOrCreate()
+    return session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,16 +35,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``.
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names; without that setting there is no place to write to.
 
-    Only where that setting is missing (local tests) a folder of this machine is used.
+    :func:`local_session` sets a folder of this machine, which is right only where driver and executors are one process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="lectern-")
-        spark.sparkContext.setCheckpointDir(root)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root}/lectern-{uuid.uuid4().hex}/{name}"
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
+    return f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}/{name}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -48,7 +50,28 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lectern_path = path
+    return out
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As :func:`cut`, in buckets by ``key``: joins on it shuffle the other side only."""
+    spark = df.sparkSession
+    path, n = scratch(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = f"lectern_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(known)
+    out = spark.table(known)
+    out._lectern_path, out._lectern_table = path, known
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what :func:`cut` or :func:`bucketed` wrote, once nothing reads it any more; other frames are left alone."""
+    if known := getattr(df, "_lectern_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {known}")
+    if path := getattr(df, "_lectern_path", None):
+        discard(df.sparkSession, path.rsplit("/", 1)[0])
 
 
 def discard(spark: SparkSession, path: str) -> None:
