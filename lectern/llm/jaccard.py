@@ -1,16 +1,18 @@
 """N-gram Jaccard join: documents whose sets of word 5-grams have Jaccard similarity >= 0.75, as components.
 
 1. Documents with equal sets are one class (a 128-bit sum of the set's hashes); its smallest id stands for it.
-2. An inverted index gives every 5-gram its document frequency. It goes through the packed exchange (``exchange.py``):
-   chunks send their postings to buckets of keys, which send back those that occur in two documents or more.
+2. Every 5-gram gets its document frequency through the packed exchange (``exchange.py``): chunks of documents send their
+   grams to buckets of keys, which send back those that occur in two documents or more.
 3. In a document's global order (rare first: frequency, then hash) the grams of frequency 1 come first and match
    nothing. Only the rest of the prefix, n - ceil(0.75 n) + 1 places, is indexed; a document whose prefix holds
-   unmatched grams alone is done.
-4. Candidates share a prefix gram and pass the length filter and the positional filter there, and pass the
-   suffix filter (overlap bound from the grams' counts in hash partitions). Each pair is verified once.
+   unmatched grams alone is done. The others are written once, bucketed by document.
+4. Candidates share a prefix gram and pass the length filter and the positional filter there. The suffix filter divides both
+   sets at the same pivots, which are fixed (equal parts of the hash range) so that a document's counts are computed once and
+   not for each pair, and adds up the smaller counts; what passes is verified by the exact overlap of the sets.
 5. Groups of near copies aren't expanded into all pairs. In some rounds each document meets a few leaders of its lists in
-   other components, those that share most prefix grams with it. Then all remaining candidate pairs between
-   different components are verified, so no link between components is missed.
+   other components, those that share most prefix grams with it, and components are merged. Then all remaining candidate
+   pairs between different components are verified, so no link between components is missed. A pair that was verified as a
+   link is inside one component and is never a candidate again; one that was refused may be asked again in a later round.
 
 Defined cases: null, empty and word-free texts have no grams and link with nothing; with fewer than ``k`` words
 the whole sequence is the only gram; rows with null doc_id have a null component and link with nothing; rows that share a doc_id get the
@@ -28,14 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.exchange import bucket_ends, pack_counts, pack_longs, pack_sorted, unpack_counts, unpack_longs, unpack_sorted
+from lectern.llm.exchange import messages, pack_counts, pack_longs, pack_sorted, scale, unpack_counts, unpack_longs, unpack_sorted
 from lectern.llm.packed import SOLID, grams, mix, slices, words_of
-from lectern.session import cut, discard, scratch, ship
+from lectern.session import bucketed, cut, forget, ship
 
 U = np.uint64
 K, PERCENT = 5, 75
-PARTS = 32  # hash partitions of the suffix filter
-LEADERS, TRIED = 4, 2
+PARTS = 64  # pieces of a set for the suffix filter
+LEADERS, TRIED, ROUNDS = 4, 2, 3
+WORD_BYTES = 6  # about, with the blank after it
 
 
 def shingles(buf: np.ndarray, at: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -79,21 +82,32 @@ def signatures(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n long, a long, b long")
 
 
-def _ask(buckets: int, k: int):
+ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("home", pa.list_(pa.binary()))])
+ASKED_DDL = "chunk long, bucket long, keys binary, counts binary, docs binary, home array<binary>"
+
+
+def _ask(buckets: int, chunk_bytes: int, k: int):
+    """Messages of chunks of documents: distinct grams, in how many of the chunk's documents each is, and in which if in one.
+
+    The documents of repeated grams stay with the chunk: they travel, with the ids and set sizes, in its home message.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         serial = TaskContext.get().partitionId() << 24
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, j, buf, at in slices(batch.column(1), 2 << 20):
+            for i, j, buf, at in slices(batch.column(1), chunk_bytes):
                 doc, g = shingles(buf, at, k)
+                sizes = np.bincount(doc, minlength=j - i)
                 order = np.argsort(g, kind="stable")
-                doc, g, out, a = doc[order], g[order], [], 0
-                home = serial % buckets
-                for b, e in enumerate(bucket_ends(g, buckets).tolist()):
-                    if e > a or b == home:  # the home bucket also carries the ids and the set sizes
-                        mine = (pack_longs(ids[i:j]), pack_counts(np.bincount(doc, minlength=j - i))) if b == home else (None, None)
-                        out.append((serial, b, pack_sorted(g[a:e]), pack_counts(doc[a:e]), *mine))
-                    a = e
+                doc, g = doc[order], g[order]
+                start = np.flatnonzero(np.concatenate((np.ones(min(len(g), 1), bool), g[1:] != g[:-1])))
+                keys, counts = g[start], np.diff(start, append=len(g))
+                single = np.where(counts == 1, doc[start], 0)
+                repeated = np.repeat(counts > 1, counts)
+                home = [pack_longs(ids[i:j]), pack_counts(sizes), pack_sorted(g[repeated]), pack_counts(doc[repeated])]
+                out = [(serial, b, pack_sorted(keys[a:e]), pack_counts(counts[a:e]), pack_counts(single[a:e]), None) for b, a, e in messages(keys, buckets)]
+                out.append((serial, serial % buckets, pack_sorted(keys[:0]), pack_counts(counts[:0]), pack_counts(single[:0]), home))
                 serial += 1
                 yield pa.RecordBatch.from_pydict(dict(zip(ASKED.names, zip(*out, strict=True), strict=True)), ASKED)
         pa.default_memory_pool().release_unused()
@@ -101,25 +115,25 @@ def _ask(buckets: int, k: int):
     return run
 
 
-ASKED = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
-ASKED_DDL = "chunk long, bucket long, keys binary, docs binary, ids binary, sizes binary"
-ANSWERED = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("df", pa.binary()), ("ids", pa.binary()), ("sizes", pa.binary())])
-ANSWERED_DDL = "chunk long, keys binary, docs binary, df binary, ids binary, sizes binary"
+ANSWERED = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("df", pa.binary()), ("home", pa.list_(pa.binary()))])
+ANSWERED_DDL = "chunk long, keys binary, counts binary, docs binary, df binary, home array<binary>"
 
 
 def _answer(asked: pa.Table) -> pa.Table:
-    """Of each chunk's postings in this bucket, those whose gram is in two documents or more, with that number."""
+    """Of each chunk's grams in this bucket, those that two documents or more hold, with that number."""
     keys = [unpack_sorted(x.as_py()) for x in asked.column("keys")]
-    _, of, n = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    counts = [unpack_counts(x.as_py()) for x in asked.column("counts")]
+    _, of = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(of, weights=np.concatenate(counts)).astype(np.int64)
     rows, a = [], 0
-    for i, x in enumerate(keys):
+    for i, (x, c) in enumerate(zip(keys, counts, strict=True)):
         df = n[of[a : a + len(x)]]
         a += len(x)
         many = df > 1
-        ids, sizes = asked.column("ids")[i].as_py(), asked.column("sizes")[i].as_py()
-        if ids is not None or many.any():
+        home = asked.column("home")[i].as_py()
+        if home is not None or many.any():
             docs = unpack_counts(asked.column("docs")[i].as_py())
-            rows.append((asked.column("chunk")[i].as_py(), pack_sorted(x[many]), pack_counts(docs[many]), pack_counts(df[many]), ids, sizes))
+            rows.append((asked.column("chunk")[i].as_py(), pack_sorted(x[many]), pack_counts(c[many]), pack_counts(docs[many]), pack_counts(df[many]), home))
     return pa.Table.from_pydict(dict(zip(ANSWERED.names, zip(*rows, strict=True), strict=True)), ANSWERED) if rows else ANSWERED.empty_table()
 
 
@@ -132,9 +146,14 @@ def _alive(percent: int):
 
     def run(answers: pa.Table) -> pa.Table:
         get = lambda c, f: np.concatenate([f(x.as_py()) for x in answers.column(c)])
-        keys, docs, df = get("keys", unpack_sorted), get("docs", unpack_counts).astype(np.int64), get("df", unpack_counts)
-        home = next(i for i, x in enumerate(answers.column("ids")) if x.as_py() is not None)
-        ids, sizes = unpack_longs(answers.column("ids")[home].as_py()), unpack_counts(answers.column("sizes")[home].as_py()).astype(np.int64)
+        ids, sizes, again, again_in = next(x for x in answers.column("home").to_pylist() if x is not None)
+        ids, sizes = unpack_longs(ids), unpack_counts(sizes).astype(np.int64)
+        again, again_in = unpack_sorted(again), unpack_counts(again_in).astype(np.int64)
+        keys, counts, docs, df = get("keys", unpack_sorted), get("counts", unpack_counts), get("docs", unpack_counts).astype(np.int64), get("df", unpack_counts).astype(np.int64)
+        one, order = counts == 1, np.argsort(keys, kind="stable")
+        # every repeated gram is in two documents or more, so all of them came back
+        again_df = df[order][np.searchsorted(keys, again, sorter=order)] if len(again) else np.zeros(0, np.int64)
+        keys, docs, df = np.concatenate((keys[one], again)), np.concatenate((docs[one], again_in)), np.concatenate((df[one], again_df))
         order = np.lexsort((keys, df, docs))
         keys, docs = keys[order], docs[order]
         edge = np.searchsorted(docs, np.arange(len(ids) + 1))
@@ -145,51 +164,60 @@ def _alive(percent: int):
         keys, of = keys[take], np.repeat(np.arange(len(ok)), many[ok])
         parts = np.bincount(of * PARTS + (mix(keys) % U(PARTS)).astype(np.int64), minlength=len(ok) * PARTS)
         lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(many[ok]))).astype(np.int32), pa.array(keys.view(np.int64)))
-        counts = pa.ListArray.from_arrays((np.arange(len(ok) + 1) * PARTS).astype(np.int32), pa.array(parts.astype(np.int32)))
-        return pa.Table.from_arrays([pa.array(ids[ok]), pa.array(sizes[ok].astype(np.int32)), pa.array((sizes - many)[ok].astype(np.int32)), lists, counts], schema=ALIVE)
+        cells = pa.ListArray.from_arrays((np.arange(len(ok) + 1) * PARTS).astype(np.int32), pa.array(parts.astype(np.int32)))
+        return pa.Table.from_arrays([pa.array(ids[ok]), pa.array(sizes[ok].astype(np.int32)), pa.array((sizes - many)[ok].astype(np.int32)), lists, cells], schema=ALIVE)
 
     return run
 
 
-def candidates_table(docs: DataFrame, k: int = K, percent: int = PERCENT, bucket_keys: int = 1_000_000) -> DataFrame:
+def candidates_table(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk_keys: int = 350_000, bucket_keys: int = 1_000_000) -> DataFrame:
     """Steps 2 and 3: (doc_id, n, lone, keys, parts) of the documents that can have a partner."""
     ship(docs.sparkSession)
     some = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = some.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    buckets = max(4, math.ceil(size / 6 / bucket_keys))
-    asked = some.mapInArrow(_ask(buckets, k), ASKED_DDL)
+    chunk, buckets = scale(math.ceil(size / WORD_BYTES), chunk_keys, bucket_keys)
+    asked = some.mapInArrow(_ask(buckets, chunk * WORD_BYTES, k), ASKED_DDL)
     answered = asked.groupBy("bucket").applyInArrow(_answer, ANSWERED_DDL)
     return answered.groupBy("chunk").applyInArrow(_alive(percent), ALIVE_DDL)
 
 
 def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that reach the similarity: the suffix filter first, then the exact overlap of the sets."""
-    light = alive.select("doc_id", "n", "parts")
-    left = light.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("parts").alias("px"))
-    right = light.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("parts").alias("py"))
+    """Pairs (x, y) that reach the similarity: the suffix filter first, then the exact overlap of the sets.
+
+    ``alive`` is bucketed by document, so its rows stay where they are: only pairs are shuffled, and the sets of those
+    that passed the suffix filter.
+    """
+    left = alive.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("parts").alias("px"))
+    right = alive.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("parts").alias("py"), F.col("keys").alias("ky"))
+    sets = alive.select(F.col("doc_id").alias("x"), F.col("keys").alias("kx"))
     most = F.aggregate(F.zip_with("px", "py", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
     enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("nx") + F.col("ny"))
-    some = pairs.join(left, "x").join(right, "y").where(enough(most)).select("x", "y", "nx", "ny")
-    sets = alive.select("doc_id", "keys")
-    some = some.join(sets.select(F.col("doc_id").alias("x"), F.col("keys").alias("kx")), "x")
-    some = some.join(sets.select(F.col("doc_id").alias("y"), F.col("keys").alias("ky")), "y")
-    return some.where(enough(F.size(F.array_intersect("kx", "ky")))).select("x", "y")
+    some = pairs.join(left, "x").join(right, "y").where(enough(most)).select("x", "y", "nx", "ny", "ky")
+    return some.join(sets, "x").where(enough(F.size(F.array_intersect("kx", "ky")))).select("x", "y").distinct()
 
 
-def postings(alive: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(key, doc, comp, n, pos) of the indexed prefixes, only of grams that two components or more hold there."""
+def postings(alive: DataFrame, percent: int) -> DataFrame:
+    """(key, doc, n, pos) of the indexed prefixes."""
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("int") + 1 - F.col("lone")
-    prefix = alive.join(comps, "doc_id").select(F.col("doc_id").alias("doc"), "comp", "n", "lone", F.slice("keys", 1, length).alias("prefix"))
-    each = prefix.select("doc", "comp", "n", "lone", F.posexplode("prefix").alias("place", "key"))
-    each = each.select("key", "doc", "comp", "n", (F.col("lone") + F.col("place")).alias("pos"))
-    shared = each.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    return each.join(shared, "key", "left_semi")
+    each = alive.select(F.col("doc_id").alias("doc"), "n", "lone", F.posexplode(F.slice("keys", 1, length)).alias("place", "key"))
+    return each.select("key", "doc", "n", (F.col("lone") + F.col("place")).cast("int").alias("pos"))
+
+
+def renamed(post: DataFrame, comps: DataFrame) -> DataFrame:
+    """Postings with their documents' present components."""
+    return post.drop("comp").join(comps.select(F.col("doc_id").alias("doc"), "comp"), "doc")
+
+
+def mixed(post: DataFrame) -> DataFrame:
+    """Postings of the grams that more than one component holds. Components only grow, so the others are never needed again."""
+    open_ = post.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return post.join(open_, "key", "left_semi").select("key", "doc", "n", "pos", "comp")
 
 
 def fits(percent: int, nx, px, ny, py):
     """The length filter, and the positional filter at the first gram two documents share."""
-    length = (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
-    return length & ((100 + percent) * (1 + F.least(nx - px, ny - py) - 1) >= percent * (nx + ny))
+    length = 100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)
+    return length & ((100 + percent) * F.least(nx - px, ny - py) >= percent * (nx + ny))
 
 
 def led(post: DataFrame, seed: int, percent: int) -> DataFrame:
@@ -224,15 +252,17 @@ def across(post: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("da", "db").alias("x"), F.greatest("da", "db").alias("y")).distinct()
 
 
-def hooked(comps: DataFrame, edges: DataFrame) -> DataFrame:
-    """Components after each took the smallest component that an edge of it reaches, and that one's twice over."""
+def between(edges: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs (x, y), x < y, of different components that an edge joins."""
     of = lambda side: comps.select(F.col("doc_id").alias(side), F.col("comp").alias(f"c{side}"))
-    both = edges.join(of("x"), "x").join(of("y"), "y").select(F.greatest("cx", "cy").alias("comp"), F.least("cx", "cy").alias("to")).where("comp > to")
-    hook = both.groupBy("comp").agg(F.min("to").alias("to"))
-    for i in range(3):
-        step = hook.select(F.col("comp").alias("comp"), F.col("to").alias(f"to{i}"))
-        comps = comps.join(step, "comp", "left").select("doc_id", F.coalesce(f"to{i}", "comp").alias("comp"))
-    return comps
+    both = edges.join(of("x"), "x").join(of("y"), "y").where("cx <> cy")
+    return both.select(F.least("cx", "cy").alias("x"), F.greatest("cx", "cy").alias("y")).distinct()
+
+
+def merged(comps: DataFrame, roots: DataFrame) -> DataFrame:
+    """``comps`` with the components of ``roots`` (node, root) renamed to their roots."""
+    new = roots.select(F.col("node").alias("comp"), "root")
+    return comps.join(new, "comp", "left").select("doc_id", F.coalesce("root", "comp").alias("comp"))
 
 
 def connected(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -240,8 +270,7 @@ def connected(edges: DataFrame, name: str = "stars") -> DataFrame:
 
     Large-star and small-star steps in turn until the edges stay the same; each step is written to the shared folder.
     """
-    spark = edges.sparkSession
-    now, path, mark = edges.select("x", "y").distinct(), None, None
+    now, mark = cut(edges.select("x", "y").distinct(), name), None
     while True:
         both = now.union(now.select("y", "x"))
         low = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
@@ -249,39 +278,43 @@ def connected(edges: DataFrame, name: str = "stars") -> DataFrame:
         down = large.select(F.col("y").alias("u"), F.col("x").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("low"))
         small = down.join(least, "u").select(F.col("low").alias("x"), F.explode(F.array("u", "v")).alias("y")).where("x < y").distinct()
-        new = scratch(spark, name)
-        small.write.parquet(new)
-        now = spark.read.schema("x long, y long").parquet(new)
-        seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).head())
-        if path:
-            discard(spark, path)
+        new = cut(small, name)
+        seen = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).head())
+        forget(now)
         if seen == mark:
-            return now.select(F.col("y").alias("node"), F.col("x").alias("root"))
-        path, mark = new, seen
-
-
-def components_of(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = 3) -> DataFrame:
+            return new.select(F.col("y").alias("node"), F.col("x").alias("root"))
+        now, mark = new, seen
+
+
+def class_roots(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
+    """(rep, root) of the classes whose component has a smaller member: steps 2 to 5."""
+    found = candidates_table(docs, k, percent).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    alive = bucketed(found, "alive", "doc_id")
+    comps = cut(alive.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "components")
+    post = cut(mixed(postings(alive, percent).withColumn("comp", F.col("doc"))), "postings")
+    for i in range(rounds + 1):
+        if i:
+            old, post = post, cut(mixed(renamed(post, comps)), "postings")
+            forget(old)
+        pairs = led(post, i, percent) if i < rounds else across(post, percent)
+        edges = cut(verified(pairs, alive, percent), f"edges-{i}")
+        roots = connected(between(edges, comps))
+        old, comps = comps, cut(merged(comps, roots), "components")
+        for done in (old, edges, roots):
+            forget(done)
+    forget(post)
+    forget(alive)
+    return comps.where("comp < doc_id").select(F.col("doc_id").alias("rep"), F.col("comp").alias("root"))
+
+
+def components_of(docs: DataFrame, k: int = K, percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
     signed = cut(signatures(docs, k), "signatures")
-    # Written, so that the join back is one of two plain tables: Spark then splits the rows of a very large class.
     classes = cut(signed.where("doc_id IS NOT NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
-    alive = candidates_table(docs, k, percent).join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    alive = cut(alive, "alive")
-    comps = alive.select("doc_id", F.col("doc_id").alias("comp")).distinct()
-    found = []
-    for i in range(rounds):
-        edges = cut(verified(led(postings(alive, comps, percent), i, percent), alive, percent), f"edges-{i}")
-        found.append(edges)
-        comps = cut(hooked(comps, edges), f"comps-{i}")
-    found.append(cut(verified(across(postings(alive, comps, percent), percent), alive, percent), "edges-last"))
-    edges = found[0]
-    for more in found[1:]:
-        edges = edges.union(more)
-    roots = connected(edges.where("x < y"))
-    members = signed.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "n", "a", "b").join(classes, ["n", "a", "b"]).select(F.col("doc_id").alias("y"), F.col("rep").alias("x")).where("x < y")
-    # A class's members hang from its representative, whose root is known: one more join, no more rounds.
-    of = members.distinct().join(roots.select(F.col("node").alias("x"), "root"), "x", "left").select(F.col("y").alias("node"), F.coalesce("root", "x").alias("root"))
-    of = of.union(roots).groupBy("node").agg(F.min("root").alias("root"))
+    roots = class_roots(docs, classes, k, percent, rounds)
+    # Written, so that the join back is one of two plain tables: Spark then splits the rows of a very large class.
+    known = cut(classes.join(roots, "rep", "left").select("n", "a", "b", F.coalesce("root", "rep").alias("root")), "class-roots")
+    of = signed.where("doc_id IS NOT NULL AND n > 0").join(known, ["n", "a", "b"]).where("root < doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.min("root").alias("root"))
     return signed.join(of, signed["doc_id"] == of["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.exchange import bucket_ends, pack_counts, pack_sorted, unpack_counts, unpack_sorted
+from lectern.llm.exchange import messages, pack_counts, pack_sorted, unpack_counts, unpack_sorted
 from lectern.llm.packed import PLACES, SOLID, mix, slices, words_of
 from lectern.session import cut, ship
 
@@ -68,11 +68,8 @@ def _ask(buckets: int):
         out = []
         for kind, keys, of in ((0, t.uni, t.uni_of), (1, t.bi, t.bi_of)):
             n = np.bincount(of[train], minlength=len(keys))
-            a = 0
-            for b, e in enumerate(bucket_ends(keys, buckets).tolist()):
-                if e > a:
-                    out.append((chunk.column("chunk")[0].as_py(), kind * buckets + b, pack_sorted(keys[a:e]), pack_counts(n[a:e])))
-                a = e
+            for b, a, e in messages(keys, buckets):
+                out.append((chunk.column("chunk")[0].as_py(), kind * buckets + b, pack_sorted(keys[a:e]), pack_counts(n[a:e])))
         return pa.Table.from_pydict(dict(zip(("chunk", "bucket", "keys", "counts"), zip(*out, strict=True), strict=True)), pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
 
     return run
