@@ -55,12 +55,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As :func:`cut`, in buckets by ``key``: joins on it shuffle the other side only."""
+def bucketed(df: DataFrame, name: str, key: str, dealt: bool = False, ordered: bool = False) -> DataFrame:
+    """As :func:`cut`, in buckets by ``key``: joins on it shuffle the other side only.
+
+    ``dealt``: rows come from a join or aggregation by ``key``, which has them in their buckets' tasks already.
+    ``ordered``: buckets are sorted by ``key``.
+    """
     spark = df.sparkSession
     path, n = scratch(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = f"lectern_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("path", path).saveAsTable(known)
+    out = (df if dealt else df.repartition(n, key)).write.format("parquet").bucketBy(n, key).option("path", path)
+    (out.sortBy(key) if ordered else out).saveAsTable(known)
     out = spark.table(known)
     out._lectern_path, out._lectern_table = path, known
     return out
