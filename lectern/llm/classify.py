@@ -1,4 +1,4 @@
-"""What the two text classifiers share: bounded training samples and vectorised character n-grams."""
+"""What the two text classifiers share: bounded samples of labelled rows, character n-grams and scoring."""
 
 from __future__ import annotations
 
@@ -14,6 +14,8 @@ from lectern.llm.packed import LOWERED, slices
 from lectern.llm.text import whole
 from lectern.session import ship
 
+U = np.uint64
+
 
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
@@ -25,32 +27,47 @@ def pick(rows: DataFrame, n: int) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(n)
 
 
-def texts(docs: DataFrame, ids: DataFrame) -> list[str]:
-    """Texts of a bounded set of ids, in the order of ids. The ids are broadcast: :func:`pick` bounds them."""
-    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", whole("text").alias("text")).dropDuplicates(["doc_id"])
-    return [r.text for r in sorted(found.collect(), key=lambda r: r.doc_id)]
+def sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of a bounded set of ids, one row an id, with their other columns. The ids are broadcast: :func:`pick` bounds them."""
+    found = docs.join(F.broadcast(ids), "doc_id").withColumn("text", whole("text"))
+    return found.groupBy("doc_id").agg(F.min_by(F.struct([c for c in found.columns if c != "doc_id"]), F.xxhash64("text")).alias("s")).select("doc_id", "s.*")
 
 
 class Grams:
-    """Hashed byte n-grams of 2 to 7 bytes."""
+    """Hashed character n-grams: a character is a UTF-8 sequence, A-Z lower-cased if asked."""
 
     def __init__(self, sizes: tuple[int, ...], bits: int, lower: bool = True):
         self.sizes, self.bits, self.lower = sizes, bits, lower
 
-    def hashes(self, buf: np.ndarray) -> list[np.ndarray]:
-        """For each size, the feature number of the n-gram that starts at each byte."""
-        b = (LOWERED[buf] if self.lower else buf).astype(np.uint64)
-        out, packed, n = [], np.zeros(len(b), np.uint64), 0
+    def characters(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each character (its bytes), and the character at which each document starts."""
+        b = LOWERED[buf] if self.lower else buf
+        first = (b & 0xC0) != 0x80
+        first[at[:-1][at[:-1] < len(b)]] = True  # a stray byte at the start of a document is a character of its own
+        start = np.flatnonzero(first)
+        if len(start) == len(b):
+            return b.astype(U), at
+        size, out = np.minimum(np.diff(start, append=len(b)), 4), b[start].astype(U)
+        for i in range(1, 4):
+            longer = np.flatnonzero(size > i)
+            out[longer] |= b[start[longer] + i].astype(U) << U(8 * i)
+        return out, np.searchsorted(start, at)
+
+    def hashes(self, chars: np.ndarray) -> list[np.ndarray]:
+        """For each size, the feature number of the n-gram that starts at each character."""
+        out, h, n = [], np.zeros(len(chars), U), 0
         for size in self.sizes:
             while n < size:
-                packed = packed[: len(b) - n] | b[n:] << np.uint64(8 * n) if len(b) > n else packed[:0]
+                h = (h[: len(chars) - n] * U(0x9E3779B97F4A7C15) + chars[n:] + U(1)) if len(chars) > n else h[:0]
                 n += 1
-            out.append(((packed * np.uint64(0x9E3779B97F4A7C15 + 2 * size)) >> np.uint64(64 - self.bits)).astype(np.int32))
+            mixed = (h ^ (h >> U(29))) * U(0xBF58476D1CE4E5B9 + 2 * size)
+            out.append((mixed >> U(64 - self.bits)).astype(np.int32))
         return out
 
     def documents(self, buf: np.ndarray, at: np.ndarray, keep: np.ndarray | None = None) -> Iterator[np.ndarray]:
         """Features of each document, repeats included; only those in ``keep`` if given."""
-        every = self.hashes(buf)
+        chars, at = self.characters(buf, at)
+        every = self.hashes(chars)
         flags = None if keep is None else [keep[h] for h in every]
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             parts = []
@@ -68,11 +85,6 @@ def distinct(x: np.ndarray, scratch: np.ndarray) -> np.ndarray:
     return x[scratch[x] == order]
 
 
-def packed_slices(some: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, _, buf, at in slices(pa.array(some, pa.string())):
-        yield buf, at
-
-
 def with_scores(docs: DataFrame, model, text: str, name: str) -> DataFrame:
     """``docs`` with the text replaced by ``model.scores`` of it; the model (a bounded table) is broadcast."""
     spark = docs.sparkSession
