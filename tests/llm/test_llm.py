@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, classify, decontaminate, jaccard, license_scan, line_dedup, lm, quality_model, quality_rules, queries, sharding, toxicity
+from lectern.llm import bpe, classify, decontaminate, exchange, jaccard, license_scan, line_dedup, lm, quality_model, quality_rules, queries, sharding, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, key string, char_ref string, ids int, label string"
@@ -74,6 +74,17 @@ def test_line_dedup(spark, odd, empty, docs, repeated):
             assert got == want
     assert line_dedup.dedup_lines(empty).count() == 0
     assert line_dedup.dedup_lines(repeated).count() == repeated.count()
+    with pytest.raises(ValueError, match="_ld_key"):
+        line_dedup.dedup_lines(odd.withColumn("_ld_key", F.lit(1)))
+
+
+def test_line_dedup_of_many_lines(spark):
+    """A document of which every other line is dropped; rows that share a doc_id are one document."""
+    lines = [f"a line with number {i}" for i in range(20_000)]
+    rows = [(1, "\n".join(lines[::2])), (2, "\n".join(lines)), (3, lines[1]), (3, lines[0] + "\n" + lines[1]), (3, "only here, in row three")]
+    got = {(r.doc_id, r._ld_lines): (r._ld_dropped, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1, 10_000] == (0, rows[0][1]) and got[2, 20_000] == (10_000, "\n".join(lines[1::2]))
+    assert got[3, 2] == (2, "")
 
 
 def test_line_runs_levels(spark):
@@ -97,17 +108,20 @@ def test_license_scan(spark, odd, empty):
     assert [h.license_id for h in license_scan.scan(whole).head()._ls_hits] == ["MIT"]
 
 
-@pytest.mark.parametrize("block", [10**6, 5])
-def test_decontamination(spark, sf, odd, empty, docs, block):
+@pytest.mark.parametrize("bits", [29, 6])  # six bits let every window through to the join
+def test_decontamination(spark, sf, odd, empty, docs, repeated, bits):
     bench = spark.createDataFrame([(1, PASSAGE), (2, PASSAGE), (3, "w1 w2"), (4, ""), (5, None), (None, "a b"), (6, NEAR), (6, NEAR)], "item_id long, text string")
     for df, items in ((odd, bench), (docs.select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet"))):
-        if block == 5 and df is not odd:
-            continue
         want = decontaminate.brute_force([(r.doc_id, r.text) for r in df.collect()], [(r.item_id, r.text) for r in items.collect() if r.item_id is not None])
-        rows = decontaminate.mark(df, items, block_words=block).withColumn("n_hit", decontaminate.n_hit(F.col("_dc_spans"))).collect()
+        rows = decontaminate.mark(df, items, most_bits=bits).withColumn("n_hit", decontaminate.n_hit(F.col("_dc_spans"))).collect()
         assert {r.doc_id: (r._dc_words, r.n_hit, r._dc_items) for r in rows} == want
     assert decontaminate.mark(empty, bench).count() == 0
     assert not any(r._dc_spans for r in decontaminate.mark(odd, bench.limit(0)).collect())
+    again = decontaminate.mark(repeated, bench, most_bits=bits)
+    assert again.columns[: len(odd.columns)] == odd.columns and again.count() == repeated.count()
+    assert {len(r._dc_spans) > 0 for r in again.where("doc_id IS NULL").collect()} == {True}
+    with pytest.raises(ValueError, match="_dc_words"):
+        decontaminate.mark(odd.withColumn("_dc_words", F.lit(1)), bench)
 
 
 def test_bpe(spark, odd, empty, docs, repeated):
@@ -248,6 +262,42 @@ def test_jaccard(spark, odd, empty, docs, repeated):
     assert {r.doc_id for r in kept.collect()} == {d for d, (_, c) in jaccard.brute_force(TEXTS).items() if d == c}
 
 
+def test_jaccard_groups_and_passage(spark):
+    """A large group of near copies and a passage that many other documents hold, against brute force."""
+    import random
+
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(80)]
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(80)] = f"x{r.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, passage + " " + " ".join(f"o{r.randrange(60)}" for _ in range(r.randrange(1, 12)))) for i in range(150)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.components_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == jaccard.brute_force(rows)
+
+
+def test_exchange():
+    import numpy as np
+
+    counts = np.array([0, 1, 2**32 + 5, 2**63], dtype=np.uint64)
+    for some in (counts, counts[:2], counts[:0], np.array([300])):
+        assert exchange.unpack_counts(exchange.pack_counts(some)).tolist() == some.tolist()
+    keys = np.unique(np.random.default_rng(1).integers(0, 2**64, 300_000, dtype=np.uint64))
+    assert exchange.unpack_sorted(exchange.pack_sorted(keys)).tolist() == keys.tolist()
+    for buckets in (1, 100, 1_000_000):  # nothing is done for a bucket without keys
+        found = list(exchange.messages(keys, buckets))
+        assert [a for _, a, _ in found] == [0, *[e for _, _, e in found[:-1]]] and found[-1][2] == len(keys)
+        assert len(found) <= min(buckets, len(keys)) and len({b for b, _, _ in found}) == len(found)
+        assert all(keys[a] * 1 >= b * (2**64 // buckets) - buckets for b, a, _ in found[:100])
+    for size in (10**3, 10**9, 10**13):
+        chunk, buckets = exchange.scale(size, 350_000, 1_000_000)
+        assert max(chunk, size / buckets) <= exchange.MOST_KEYS * 1.01 and chunk / buckets >= 1 / 4 or size <= 10**9
+
+
 def test_jaccard_chain(spark):
     """A group whose ends aren't similar is one component through its middle; no pair of it is lost."""
     words = [f"w{i}" for i in range(130)]
@@ -295,3 +345,83 @@ def plain_clean(before, after, spark, sf):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     want = decontaminate.brute_force([(r.doc_id, r.text) for r in before], items)
     assert {r.doc_id for r in after} == {d for d, (_, n, _) in want.items() if not n}
+
+
+COLUMNS = {
+    "op1_sharding": "doc_id size text_crc32 law shard slot grown_shard", "op2_toxicity": "doc_id held_out score predicted", "op3_line_dedup": "doc_id n_lines n_dropped kept_sha256",
+    "op5_benchmark_decontamination": "doc_id n_words n_hit n_items items_sha256 contaminated", "op6_bpe": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op7_lm_scoring": "doc_id held_out n_tokens n_known train_tokens base_score score", "op8_quality_classifier": "doc_id held_out score predicted",
+    "op9_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op10_ngram_jaccard_join": "doc_id n_shingles component_id",
+}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries(spark, sf, docs, name):
+    """Every registered query on whole tables: its columns, one row a document, and the digests of the plain versions."""
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    out = queries.QUERIES[name](spark, sf)
+    assert name == "op4_license_scans" or set(COLUMNS[name].split()) <= set(out.columns)
+    rows, texts = {r.doc_id: r for r in out.collect()}, {r.doc_id: r.text for r in docs.collect()}
+    assert set(rows) == set(texts) and out.count() == docs.count()
+    plain = list(texts.items())
+    if name == "op3_line_dedup":
+        assert {d: (r.n_lines, r.n_dropped, r.kept_sha256) for d, r in rows.items()} == {d: (n, k, sha(t)) for d, (n, k, t) in line_dedup.brute_force(plain).items()}
+    if name == "op5_benchmark_decontamination":
+        items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+        want = {d: (n, h, len(i), sha(",".join(i)), h > 0) for d, (n, h, i) in decontaminate.brute_force(plain, items).items()}
+        assert {d: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for d, r in rows.items()} == want
+    if name == "op6_bpe":
+        known = pytest.importorskip("tokenizers").Tokenizer.from_file(queries.vocabulary_path())
+        for d, t in plain:
+            ids = known.encode(t or "", add_special_tokens=False).ids
+            assert (rows[d].n_tokens, rows[d].ids_sha256, rows[d].decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(known.decode(ids, skip_special_tokens=False)))
+    if name == "op9_quality_rules":
+        for d, t in plain:
+            n, chars, symbols, lines, again = plain_figures(t)
+            assert (rows[d].n_words, rows[d].word_chars, rows[d].n_symbols, rows[d].n_dup_lines, rows[d].n_repeat_words, rows[d].base_failed) == (n, chars, symbols, lines, again, n < 20 or 100 * again > 30 * n)
+            assert not (rows[d].base_failed and rows[d].kept)
+    if name == "op10_ngram_jaccard_join":
+        assert {d: (r.n_shingles, r.component_id) for d, r in rows.items()} == jaccard.brute_force(plain)
+    folds, threshold = {"op2_toxicity": (3, 0.7), "op8_quality_classifier": (3, 0.5), "op7_lm_scoring": (7, None)}.get(name, (None, None))
+    if folds:
+        for d, r in rows.items():
+            assert r.held_out == (zlib.crc32(str(d).encode()) % folds == (2 if folds == 7 else 1))
+            assert threshold is None or (0 <= r.score <= 1 and r.predicted == (r.score >= threshold))
+
+
+def test_prior_is_estimated():
+    """A mixture of a third positives: the estimate comes near it without any negative label."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    p, n = r.beta(8, 2, 4000), r.beta(2, 6, 8000)
+    found = quality_model.estimated_prior(quality_model.binned(p), quality_model.binned(np.concatenate([r.beta(8, 2, 4000), n])))
+    assert found == pytest.approx(1 / 3, abs=0.06)
+
+
+def test_non_negative_risk():
+    """Two clouds: positives of one, unlabelled rows of both; the model tells them apart."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    cloud = lambda at, n: np.column_stack([r.normal(at, 1, (n, 2)), np.zeros((n, quality_model.SIZE - 2))])
+    w, b = quality_model.descend(cloud(2, 300), np.vstack([cloud(2, 500), cloud(-2, 500)]), 0.5, 300, 1e-3, 0.05)
+    assert (cloud(2, 200) @ w + b > 0).mean() > 0.95 and (cloud(-2, 200) @ w + b < 0).mean() > 0.95
+
+
+def test_toxicity_score_is_the_plain_sum():
+    """A score is the sigmoid of the intercept and the weights of the distinct n-grams of characters, each counted once."""
+    import numpy as np
+
+    grams, text = classify.Grams(toxicity.SIZES, toxicity.BITS), "Añb añB bad BAD"
+    number = lambda g: int(grams.hashes(grams.characters(np.frombuffer(g.encode(), np.uint8), np.array([0, len(g.encode())]))[0])[len(g) - 3][0])
+    lowered = text.translate(LOWER)
+    every = sorted({lowered[i : i + n] for n in toxicity.SIZES for i in range(len(lowered) - n + 1)})
+    weights = np.zeros(1 << toxicity.BITS)
+    for i, g in enumerate(every):
+        weights[number(g)] = (i % 7 - 3) / 10
+    want = 1 / (1 + math.exp(-sum(weights[k] for k in {number(g) for g in every}) - 0.25))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert toxicity.Model(weights, 0.25).scores(raw, np.array([0, len(raw)]))[0] == pytest.approx(want, abs=1e-6)
