@@ -28,6 +28,23 @@ def year_of(c: Column) -> Column:
     return F.when(text(c).rlike("^[0-9]+$"), c.cast("int"))
 
 
+# Attributes of item files that hold a label after a code, and the columns they fill.
+LABELLED = {"df": "difficulty", "qt": "question_type", "cls1": "curriculum", "cls2": "school_level", "cls3": "grade", "cls4": "subject", "cls5": "subject_detail", "cls6": "semester", "cls7": "unit_large", "cls8": "unit_medium", "cls9": "unit_small"}
+CODED = {"df": "difficulty_code", "qt": "question_type_code"}
+PLAIN = {"kw": "keywords", "qs": "source", "qns": "exam_name"}
+
+
+def metadata(attributes: Column) -> Column:
+    """The 17 metadata columns of an item's attributes (a map), as a struct; absent ones are empty, a year that isn't all digits null."""
+    of = lambda name: text(F.try_element_at(attributes, F.lit(name)))
+    return F.struct(
+        *[label_of(of(a)).alias(name) for a, name in LABELLED.items()],
+        *[first_part(of(a)).alias(name) for a, name in CODED.items()],
+        *[of(a).alias(name) for a, name in PLAIN.items()],
+        year_of(of("dyear")).alias("year"),
+    )
+
+
 def single_answer(c: Column) -> Column:
     """1 to 5, or null."""
     return F.when(F.trim(text(c)).rlike("^[1-5]$"), F.trim(c).cast("int"))
@@ -75,17 +92,86 @@ def category(has_image: Column, n_latex: Column) -> Column:
     return F.when(has_image, "image").when(n_latex > 0, "latex").otherwise("text_only")
 
 
+# Code tables of the metadata normaliser, in their order.
+SUBJECTS = {"01": "국어", "02": "영어", "03": "수학", "04": "사회", "05": "과학", "06": "역사", "07": "도덕", "08": "기술가정", "09": "정보", "10": "음악", "11": "미술", "12": "체육"}
+GRADES = {"01": "초1", "02": "초2", "03": "초3", "04": "초4", "05": "초5", "06": "초6", "07": "중1", "08": "중2", "09": "중3", "10": "고1", "11": "고2", "12": "고3"}
+DIFFICULTIES = {"01": "easy", "02": "medium", "03": "hard", "상": "hard", "중": "medium", "하": "easy", "hard": "hard", "medium": "medium", "easy": "easy", "high": "hard", "low": "easy"}
+QUESTION_TYPES = {"11": "선택형", "21": "진위형", "31": "단답형", "34": "완성형", "37": "배합형", "41": "서술형", "51": "논술형"}
+SCHOOL_LEVELS = {"초": "초등학교", "중": "중학교", "고": "고등학교"}
+LEVEL_CODES = {"초등학교": "01", "중학교": "02", "고등학교": "03"}
+
+
+def looked_up(table: dict[str, str], c: Column) -> Column:
+    """The value of ``c`` in a small table, or null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+
+
+def first_part(c: Column) -> Column:
+    """What comes before the first blanks."""
+    return F.regexp_extract(c, r"^\s*(\S*)", 1)
+
+
+def last_part(c: Column) -> Column:
+    """What comes after the first blanks, or all of it where there are none."""
+    return F.regexp_replace(F.trim(c), r"^\S+\s+", "")
+
+
+def named(table: dict[str, str], c: Column) -> Column:
+    """``c`` if it is one of the table's names, or null."""
+    return F.when(c.isin(*table.values()), c)
+
+
 def coded(c: Column, codes: dict[str, str], default: str) -> Column:
     """A code table's value: by code, by exact name, by ``CODE name``, by a name inside the value; else the default.
 
-    Names are tried in alphabetical order.
+    Names are tried in the table's order.
     """
-    table = F.create_map(*[F.lit(x) for kv in sorted(codes.items()) for x in kv])
-    names = sorted(set(codes.values()))
     v = F.trim(text(c))
-    exact = F.when(v.isin(*names), v)
-    inside = F.coalesce(*[F.when((v != "") & v.contains(n), F.lit(n)) for n in names])
-    return F.coalesce(F.try_element_at(table, v), exact, F.try_element_at(table, code_of(v)), inside, F.lit(default))
+    inside = F.coalesce(*[F.when((v != "") & v.contains(n), F.lit(n)) for n in dict.fromkeys(codes.values())])
+    return F.coalesce(looked_up(codes, v), named(codes, v), looked_up(codes, first_part(v)), named(codes, last_part(v)), inside, F.lit(default))
+
+
+def normal_subject(c: Column) -> Column:
+    return coded(c, SUBJECTS, SUBJECTS["03"])
+
+
+def normal_grade(c: Column) -> Column:
+    """A grade such as 중2 by code, by name, by ``CODE name`` or by a number from 1 to 6; else empty."""
+    v = F.trim(text(c))
+    return F.coalesce(looked_up(GRADES, v), named(GRADES, v), looked_up(GRADES, first_part(v)), F.when(v.rlike("^0*[1-6]$"), F.concat(F.lit("초"), v.cast("int").cast("string"))), F.lit(""))
+
+
+def normal_difficulty(c: Column) -> Column:
+    """easy, medium or hard by code, Korean or English name, with or without the other in front; else medium."""
+    v = F.lower(F.trim(text(c)))
+    return F.coalesce(looked_up(DIFFICULTIES, v), looked_up(DIFFICULTIES, first_part(v)), looked_up(DIFFICULTIES, last_part(v)), F.lit("medium"))
+
+
+def normal_question_type(c: Column) -> Column:
+    """A question type by code or name; else empty."""
+    v = F.trim(text(c))
+    return F.coalesce(looked_up(QUESTION_TYPES, v), named(QUESTION_TYPES, v), F.lit(""))
+
+
+def code_for(table: dict[str, str], name: Column) -> Column:
+    """The code of a name of a code table; else empty."""
+    return F.coalesce(looked_up({v: k for k, v in table.items()}, name), F.lit(""))
+
+
+def school_level(grade: Column) -> Column:
+    """The school level of a normalised grade; empty for an empty one."""
+    return F.coalesce(looked_up(SCHOOL_LEVELS, F.substring(text(grade), 1, 1)), F.lit(""))
+
+
+def normal_metadata(subject: Column, grade: Column, difficulty: Column, question_type: Column) -> Column:
+    """Normalised subject, grade, school level (with their codes), difficulty and question type, as a struct."""
+    s, g = normal_subject(subject), normal_grade(grade)
+    level = school_level(g)
+    return F.struct(
+        s.alias("subject"), code_for(SUBJECTS, s).alias("subject_code"), g.alias("grade"), code_for(GRADES, g).alias("grade_code"),
+        level.alias("school_level"), F.coalesce(looked_up(LEVEL_CODES, level), F.lit("")).alias("school_level_code"),
+        normal_difficulty(difficulty).alias("difficulty"), normal_question_type(question_type).alias("question_type"),
+    )
 
 
 def grade_name(level: Column, code: Column) -> Column:

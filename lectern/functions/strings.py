@@ -185,13 +185,30 @@ def path_date(c: Column) -> Column:
     return F.to_date(F.try_to_timestamp(d, F.lit("yyyyMMdd")))
 
 
-#: Entity patterns: fixed values, all with one group.
-ENTITIES = {"year": r"(\d{4})(?:년|\b)", "date": r"(\d{1,2}월\s*\d{1,2}일|\d{4}-\d{2}-\d{2})", "place": r"([가-힣]+(?:시|도|군|구))"}
+# Entity patterns, and how strictly the entities of a subject are verified.
+ENTITIES = {
+    "year": (r"(\d{4})년", 1),
+    "date": (r"(\d{4})년\s*(\d{1,2})월\s*(\d{1,2})일", 3),
+    "person": (r"([가-힣]{2,4})\s*(?:은|는|이|가|의|를|에게)", 1),
+    "event": (r"([가-힣]+(?:전쟁|혁명|운동|사건|협정|조약))", 1),
+    "place": (r"([가-힣]+(?:시|도|군|구|읍|면|동|리|국|나라))", 1),
+}
+VERIFICATION = {"history": "strict", "social": "strict", "science": "moderate", "korean": "moderate", "math": "skip"}
 
 
 def entities(c: Column, kind: str) -> Column:
-    """Distinct entities of a kind in a text."""
-    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(ENTITIES[kind]), F.lit(1)))
+    """Distinct entities of a kind in a text, in the order of their first places; the groups of a pattern are joined."""
+    pattern, groups = ENTITIES[kind]
+    found = [F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(pattern), F.lit(g + 1)) for g in range(groups)]
+    joined = found[0]
+    for part in found[1:]:
+        joined = F.zip_with(joined, part, lambda a, b: F.concat(a, b))
+    return F.array_distinct(joined)
+
+
+def verification_mode(subject: Column) -> Column:
+    """strict, moderate or skip; moderate where the subject isn't listed."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in VERIFICATION.items() for x in kv]), subject), F.lit("moderate"))
 
 
 def first_attribute(attributes: Column, names: list[str], default: str) -> Column:

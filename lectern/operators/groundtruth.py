@@ -73,8 +73,8 @@ def metadata_similarity(a: str, b: str) -> Column:
 def auto_truth(pairs: DataFrame, least: float = 0.05, k: int = 5) -> DataFrame:
     """0.7 x text score + 0.3 x ``meta``, from ``least`` up, the best k of each query, graded by rank."""
     both = pairs.select("query_id", "item_id", F.round(0.7 * F.col("score") + 0.3 * F.col("meta"), 4).alias("score")).where(F.col("score") >= least)
-    top = search.best(both, k)
-    return graded(top).join(top.select("query_id", "item_id", "score"), ["query_id", "item_id"])
+    grade = F.when(F.col("rank") <= 2, 3).when(F.col("rank") <= 4, 2).otherwise(1)
+    return search.best(both, k).select("query_id", "item_id", "score", grade.alias("relevance"))
 
 
 def from_judgments(judged: DataFrame, least: int = 3, k: int = 5) -> DataFrame:
@@ -87,9 +87,7 @@ def search_or_keyword(asked: DataFrame, corpus: DataFrame, items: DataFrame, k:
     """Vector hits of queries that have a vector; keyword hits (score 0.8, by id) of those that have only a word."""
     hits = search.knn(asked.where("embedding IS NOT NULL"), corpus, k).select("query_id", "item_id", "score", F.lit("vector").alias("path"))
     words = asked.where("embedding IS NULL AND word IS NOT NULL").select("query_id", "word")
-    found = items.join(words.select("word").distinct(), F.expr("text ILIKE concat('%', word, '%')"))
-    order = Window.partitionBy("word").orderBy("item_id")  # Spark keeps k a word in each task before the shuffle
-    found = found.select("word", "item_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).join(words, "word")
+    found = search.keywords(items, words, k).join(words, "word")
     return hits.unionByName(found.select("query_id", "item_id", F.lit(0.8).alias("score"), F.lit("keyword").alias("path")))
 
 

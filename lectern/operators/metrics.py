@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut
+
 CUTS = (1, 3, 5, 10, 20)
 
 
@@ -14,6 +16,8 @@ def per_query(ranked: DataFrame, truth: DataFrame, extra: tuple[str, ...] = (),
     Queries without relevant items are left out; queries without results score 0. ``extra`` names columns of
     ``ranked`` (a model, a configuration) within which queries are kept apart.
     """
+    if extra:
+        ranked = cut(ranked.select(*extra, "query_id", "item_id", "rank"), "ranked")  # it is read twice below
     truth = truth.dropDuplicates(["query_id", "item_id"])
     ideal_order = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "item_id")
     ideal = truth.withColumn("place", F.row_number().over(ideal_order))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import strings as S
@@ -97,16 +97,58 @@ def item_check(stem: Column, labels: Column, choices: Column, key: Column, expla
     return found, F.when(F.size(found) > 0, "FAIL").when(notes, "REVIEW").otherwise("PASS")
 
 
-def screen(texts: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
-    """(id, family, level, matched, status) rows of a rule table (family, rank, pattern, level) on (id, text) rows.
-
-    One hit a family, by the smallest rank; at most 50 characters of it are shown. High levels fail, medium ones are for
-    review, and fail in strict mode. The rule table is small by nature; Spark's own size check decides on its broadcast.
+def document_errors(parse_errors: Column) -> Column:
+    """Codes of a parsed item document's errors: malformed, no_item_element, missing_id, missing_qt, missing_question."""
+    return F.transform(parse_errors, lambda e: F.replace(F.regexp_replace(e, "(?s):.*", ""), F.lit(" "), F.lit("_")))
+
+
+# The safety rules, as (group, family, level, patterns); the first pattern that is found counts.
+SAFETY_RULES = [
+    ("bias", "gender", "high", [r"여자(?:는|가|들은)\s*(?:수학|과학|운동)을?\s*못", r"남자(?:는|가|들은)\s*(?:가사|요리|육아)를?\s*못", r"(?:남자|여자)(?:다운|답게)", r"(?:남자|여자)\s*(?:일|직업)"]),
+    ("bias", "region", "high", [r"(?:경상|전라|충청|강원|제주)\s*(?:사람|도민)(?:은|들은)\s*(?:무식|게으르|거칠)", r"(?:서울|지방)\s*사람(?:은|들은)"]),
+    ("bias", "age", "medium", [r"(?:노인|어르신)(?:은|들은)\s*(?:무식|고집|느림)", r"(?:젊은|어린)\s*사람(?:은|들은)\s*(?:무모|철없|버릇없)", r"꼰대", r"틀딱"]),
+    ("bias", "disability", "high", [r"(?:장애인|불구자|병신|벙어리|귀머거리)", r"(?:정신|지체)\s*(?:이상|미약|결함)"]),
+    ("bias", "religion", "high", [r"(?:기독교|불교|이슬람|천주교|무속)(?:는|이|가)\s*(?:미신|사이비|문제)"]),
+    ("bias", "nationality", "high", [r"(?:중국인|일본인|미국인)(?:은|들은)\s*(?:더럽|무식|야만)", r"(?:조선족|다문화)\s*(?:문제|범죄)"]),
+    ("inappropriate", "violence", "high", [r"(?:살인|폭행|학대|고문|강간)", r"(?:잔인하게|피투성이)"]),
+    ("inappropriate", "profanity", "high", [r"(?:씨발|좆|병신|지랄|개새끼|년|놈)", r"(?:ㅅㅂ|ㅈㄹ|ㅂㅅ)"]),
+    ("inappropriate", "sexual", "high", [r"(?:성관계|섹스|음란|야동)", r"(?:가슴|엉덩이|성기)"]),
+    ("inappropriate", "gambling", "medium", [r"(?:도박|카지노|베팅|슬롯머신)"]),
+    ("inappropriate", "drugs", "high", [r"(?:마약|대마초|필로폰|코카인|헤로인)", r"(?:흡입|투약).*(?:쾌감|기분)"]),
+    ("sensitive", "political", "medium", [r"(?:보수|진보)(?:는|가)\s*(?:옳|틀|좋|나쁨)", r"(?:정당|정치인)\s*(?:비판|비난|공격)", r"(?:민주당|국민의힘|더불어민주당)"]),
+    ("sensitive", "suicide", "high", [r"(?:자살|자해|극단적\s*선택)", r"(?:삶을\s*끝|죽고\s*싶)"]),
+    ("sensitive", "historical_controversy", "medium", [r"(?:친일|반일|위안부|독도|일본해)", r"(?:5\.18|광주|민주화)"]),
+]
+MAX_RULES = 1000
+
+
+def read_rules(spark: SparkSession, path: str) -> list[tuple[str, str, str, list[str]]]:
+    """Rules of a JSON file of (group, family, level, rank, pattern) lines, as :func:`screen` takes them; MAX_RULES lines at most."""
+    rows = spark.read.schema("`group` string, family string, level string, rank int, pattern string").json(path).orderBy("group", "family", "rank").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    families: dict[tuple, list[str]] = {}
+    for r in rows:
+        families.setdefault((r["group"], r.family, r.level), []).append(r.pattern)
+    return [(*key, patterns) for key, patterns in families.items()]
+
+
+def screen(texts: DataFrame, rules: list[tuple[str, str, str, list[str]]] | None = None, strict: bool = True) -> DataFrame:
+    """(id, group, family, level, matched, code, status): a row for each family of rules that an (id, text) row breaks.
+
+    Bias of a high level fails, of a medium one in strict mode only; inappropriate content fails; a sensitive topic of a
+    high level fails and of a medium one is for review. At most 50 characters of the hit are shown. One narrow pass.
     """
-    hits = texts.join(rules, F.expr("text RLIKE pattern"))
-    one = hits.groupBy("id", "family").agg(F.min_by(F.struct("level", F.expr("regexp_extract(text, pattern, 0)").alias("matched")), "rank").alias("hit"))
-    status = F.when((F.col("hit.level") == "high") | F.lit(strict), "FAIL").otherwise("REVIEW")
-    return one.select("id", "family", F.col("hit.level").alias("level"), F.substring("hit.matched", 1, 50).alias("matched"), status.alias("status"))
+
+    def hit(group: str, family: str, level: str, patterns: list[str]) -> Column:
+        found = F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), f"(?i){p}", 0), F.lit("")) for p in patterns])
+        code = "BIAS_DETECTED" if group == "bias" else "SAFETY_VIOLATION"
+        fails = group == "inappropriate" or level == "high" or (group == "bias" and strict)
+        if group == "bias" and not fails:
+            found = F.lit(None).cast("string")
+        return F.when(found.isNotNull(), F.struct(F.lit(group).alias("group"), F.lit(family).alias("family"), F.lit(level).alias("level"), F.substring(found, 1, 50).alias("matched"), F.lit(code if fails else "").alias("code"), F.lit("FAIL" if fails else "REVIEW").alias("status")))
+
+    return texts.select("id", F.inline(F.array_compact(F.array(*[hit(*r) for r in (SAFETY_RULES if rules is None else rules)]))))
 
 
 def gender_balance(choices: Column, male: str, female: str) -> Column:
@@ -161,11 +203,27 @@ def image_consistency(score: Column) -> Column:
     return F.when(score >= 0.7, "PASS").when(score >= 0.5, "REVIEW").otherwise("FAIL")
 
 
-def fact_verdict(checked: DataFrame) -> DataFrame:
-    """(item_id, verified, failed, unknown, status) from (item_id, outcome, mode): a mismatch fails, an unknown one is for review in strict mode."""
+def fact_verdict(checked: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, verified, failed, unknown, status) of all (item_id, mode) ``items`` from (item_id, outcome) rows.
+
+    A mismatch fails, an unknown entity is for review in strict mode; an item without entities passes, and so does one that is skipped.
+    """
     n = lambda o: F.count(F.when(F.col("outcome") == o, 1)).alias(o)
-    each = checked.groupBy("item_id").agg(n("verified"), n("failed"), n("unknown"), F.max(F.col("mode") == "strict").alias("strict"))
-    return each.select("item_id", "verified", "failed", "unknown", F.when(F.col("failed") > 0, "FAIL").when(F.col("strict") & (F.col("unknown") > 0), "REVIEW").otherwise("PASS").alias("status"))
+    each = items.join(checked.groupBy("item_id").agg(n("verified"), n("failed"), n("unknown")), "item_id", "left").na.fill(0, ["verified", "failed", "unknown"])
+    status = F.when(F.col("failed") > 0, "FAIL").when((F.col("mode") == "strict") & (F.col("unknown") > 0), "REVIEW").otherwise("PASS")
+    return each.select("item_id", "verified", "failed", "unknown", status.alias("status"))
+
+
+def entity_facts(items: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
+    """(item_id, kind, value, outcome): the first ``most`` entities of each kind of (item_id, text, mode) rows that aren't skipped,
+    looked up in a (kind, value, outcome) table; unknown where it has none."""
+
+    def found(kind: str) -> Column:
+        return F.transform(F.slice(S.entities(F.col("text"), kind), 1, most), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    kinds = [found(k) for k in S.ENTITIES]
+    each = items.where(F.col("mode") != "skip").select("item_id", F.inline(F.concat(*kinds)))
+    return each.join(known, ["kind", "value"], "left").select("item_id", "kind", "value", F.coalesce("outcome", F.lit("unknown")).alias("outcome"))
 
 
 def image_file_errors(path: Column, size: Column, width: Column, height: Column) -> Column:

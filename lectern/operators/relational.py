@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import cut
+
 
 def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
     """Last writer wins: the row with the highest ``order`` of each key; incoming rows beat existing ones of equal order."""
@@ -97,13 +99,43 @@ def rolled_cross_tab(rows: DataFrame, a: str, b: str, flag: Column) -> DataFrame
     return g.crossJoin(F.broadcast(total)).select(name("ga", a).alias(a), name("gb", b).alias(b), "n", "n_flagged", F.round(F.col("n_flagged") / F.col("n") * 100, 6).alias("percent"), F.round(F.col("n") / F.col("total") * 100, 6).alias("share"))
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], weight: Column) -> DataFrame:
+    """``rows`` plus _upto, the sum of ``weight`` over the rows of its group up to each row.
+
+    Rows are dealt by ranges of (group, order) and written, so a large group is summed by several tasks: each sums its own
+    rows and adds the group's sums of the ranges before. Rows of equal (group, order) are together.
+    """
+    dealt = cut(rows.withColumn("_w", weight).repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(*by, "_range").agg(F.sum("_w").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    inside = F.sum("_w").over(Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    out = dealt.withColumn("_inside", inside).join(starts, [*by, "_range"])
+    return out.select(*rows.columns, (F.col("_start") + F.col("_inside")).alias("_upto"))
+
+
+def percentiles(rows: DataFrame, value: str, by: list[str], points: dict[str, float]) -> DataFrame:
+    """Exact percentiles (linear between neighbours) of each group, as columns named by ``points``.
+
+    Equal values are counted first; the running count over a group's distinct values finds the places.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    placed = running(counts, by, ["_v"], F.col("_n")).join(counts.groupBy(*by).agg(F.sum("_n").alias("_total")), by)
+    out = []
+    for name, q in points.items():
+        at = (F.col("_total") - 1) * q
+        # the value at a place, counted from 0, is the first one whose running count is above it
+        low, high = (F.min(F.when(F.col("_upto") > k, F.col("_v"))) for k in (F.floor(at), F.ceil(at)))
+        out.append(F.round(low + (high - low) * F.max(at - F.floor(at)), 6).alias(name))
+    return placed.groupBy(*by).agg(*out)
+
+
 def latency_profile(events: DataFrame, value: str, by: list[str], success: Column) -> DataFrame:
     """Count, mean, population deviation, exact percentiles (linear), extremes and success rate."""
-    p = lambda q, name: F.round(F.percentile(value, F.lit(q)), 6).alias(name)
-    return events.groupBy(*by).agg(
+    plain = events.groupBy(*by).agg(
         F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"),
-        p(0.5, "p50"), p(0.95, "p95"), p(0.99, "p99"), F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(success.cast("double")), 6).alias("success_rate"),
+        F.min(value).alias("low"), F.max(value).alias("high"), F.round(F.avg(success.cast("double")), 6).alias("success_rate"),
     )
+    return plain.join(percentiles(events, value, by, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by, "left")
 
 
 def stratified(rows: DataFrame, strata: list[str], key: str, k: int, seed: int = 42) -> DataFrame:
@@ -113,15 +145,20 @@ def stratified(rows: DataFrame, strata: list[str], key: str, k: int, seed: int =
 
 
 def quota(rows: DataFrame, category: str, difficulty: str, quotas: dict[str, int], key: str, seed: int = 42) -> DataFrame:
-    """Category quotas; inside, an equal share for each difficulty (at least 1), topped up from the rest."""
+    """Category quotas; inside, an equal share for each difficulty (at least 1), topped up from the rest.
+
+    No difficulty gives more rows than the largest quota, so tasks keep only that many of each before any row is shuffled.
+    """
     q = reduce(lambda c, kv: c.when(F.col(category) == kv[0], kv[1]), quotas.items(), F.when(F.lit(False), 0))
     h = F.xxhash64(key, F.lit(seed))
     rows = rows.withColumn("_quota", q).where("_quota IS NOT NULL")
     n = rows.groupBy(category).agg(F.countDistinct(difficulty).alias("_levels"))
     share = F.greatest(F.lit(1), F.floor(F.col("_quota") / F.col("_levels")))
-    inside = rows.join(n, category).withColumn("_in", F.row_number().over(Window.partitionBy(category, difficulty).orderBy(h, key)) <= share)
+    most = max([1, *quotas.values()])
+    first = rows.withColumn("_r", F.row_number().over(Window.partitionBy(category, difficulty).orderBy(h, key))).where(F.col("_r") <= most)
+    inside = first.join(n, category).withColumn("_in", F.col("_r") <= share)
     order = Window.partitionBy(category).orderBy(F.desc("_in"), h, key)
-    return inside.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= F.col("_quota")).drop("_quota", "_levels", "_in", "_n")
+    return inside.withColumn("_n", F.row_number().over(order)).where((F.col("_n") <= F.col("_quota")) & (F.col("_n") <= most)).drop("_quota", "_levels", "_in", "_n", "_r")
 
 
 def first_n(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
@@ -131,8 +168,8 @@ def first_n(rows: DataFrame, by: list[str], order: str, n: int) -> DataFrame:
 
 def numbered(rows: DataFrame, by: str, order: list[str], prefix: str) -> DataFrame:
     """Sequential ids inside each group: prefix_group_001 ..."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    return rows.withColumn("id", F.format_string(f"{prefix}_%s_%03d", F.col(by), n))
+    placed = running(rows, [by], order, F.lit(1))
+    return placed.select(*rows.columns, F.format_string(f"{prefix}_%s_%03d", F.col(by), F.col("_upto").cast("long")).alias("id"))
 
 
 def distinct_by(rows: DataFrame, key: Column, value: str, order: str) -> DataFrame:

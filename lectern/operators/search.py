@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import cosine
-from lectern.session import ship
+from lectern.session import cut, ship
 
 BLOCK = 2048
 
@@ -23,12 +26,9 @@ def best(scored: DataFrame, k: int, by: str = "query_id", score: str = "score",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def cosine_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(query_id, item_id, score) of all pairs but an item with itself: the plain form, for small inputs and tests."""
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    c = corpus.select("item_id", F.col("embedding").alias("c"))
-    pairs = c.join(F.broadcast(q), F.col("query_id") != F.col("item_id"))
-    return pairs.select("query_id", "item_id", F.round(cosine(F.col("q"), F.col("c")), 6).alias("score"))
+def cosine_pairs(queries: DataFrame, corpus: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(query_id, item_id, score) of all pairs but an item with itself: every query's row of the cosine matrix."""
+    return _blocks(queries, corpus, None, None, block)
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
@@ -39,25 +39,29 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None =
     batch are shuffled. Scores are rounded to 6 digits before they are ranked; ties go to the smaller item.
     Vectors of another length than the query's have no score; a zero vector scores 0.
     """
-    spark = corpus.sparkSession
-    ship(spark)
-    parts = []
-    rows = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").toLocalIterator()
+    return best(_blocks(queries, corpus, k, threshold, block), k)
+
+
+def in_blocks(rows: DataFrame, block: int) -> Iterator[list]:
+    """Rows in lists of ``block`` at most, one of them in the driver at a time; one empty list if there are none."""
     now: list = []
-    for row in rows:
+    for row in rows.toLocalIterator(prefetchPartitions=True):
         now.append(row)
         if len(now) == block:
-            parts.append(_block(spark, corpus, now, k, threshold))
+            yield now
             now = []
-    if now or not parts:
-        parts.append(_block(spark, corpus, now, k, threshold))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return best(out, k)
+    if now:
+        yield now
 
 
-def _block(spark, corpus: DataFrame, rows: list, k: int, threshold: float | None) -> DataFrame:
+def _blocks(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None, block: int) -> DataFrame:
+    spark = corpus.sparkSession
+    ship(spark)
+    parts = [_block(spark, corpus, rows, k, threshold) for rows in in_blocks(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding"), block)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, item_id long, score double")
+
+
+def _block(spark, corpus: DataFrame, rows: list, k: int | None, threshold: float | None) -> DataFrame:
     by_size: dict[int, list] = {}
     for r in rows:
         by_size.setdefault(len(r.embedding), []).append(r)
@@ -118,51 +122,169 @@ def word_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " "), lambda t: F.length(t) > 1)
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k1: float = 1.5, b: float = 0.75, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+def bm25_idf(n_docs: Column, df: Column) -> Column:
+    """ln((N - df + .5) / (df + .5) + 1)."""
+    return F.log((n_docs - df + 0.5) / (df + 0.5) + 1)
+
+
+def bm25_saturation(tf: Column, length: Column, mean_length: Column, k1: float = 1.5, b: float = 0.75) -> Column:
+    """The share of a term that occurs ``tf`` times in a text of ``length`` tokens."""
+    return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
+
+
+def terms_of(lists: pa.ListArray, pairs: bool) -> tuple[pa.Array, np.ndarray]:
+    """All tokens of the rows, and with ``pairs`` all pairs of neighbours, and the row of each."""
+    flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    if not pairs or len(flat) < 2:
+        return flat, row
+    inside = row[1:] == row[:-1]
+    both = pc.binary_join_element_wise(flat[:-1], flat[1:], " ").filter(pa.array(inside))
+    return pa.concat_arrays([flat, both]), np.concatenate((row, row[1:][inside]))
+
+
+def tokenised(texts: DataFrame, tokens: Callable[[Column], Column], name: str) -> DataFrame:
+    """(item_id, terms) of (item_id, text) rows, written once: the counts and every block of queries read the tokens, not the texts."""
+    return cut(texts.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("terms")), name)
+
+
+def term_counts(rows: DataFrame, pairs: bool = False) -> DataFrame:
+    """(term, total, df) of (terms array) rows: occurrences and rows with the term. Batches are counted before anything is shuffled."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, row = terms_of(batch.column(0), pairs)
+            words = terms.dictionary_encode()
+            at, n = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(words.dictionary), 1)
+            held = np.unique(row * n + at) % n
+            yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(np.bincount(at, minlength=n)[: len(words.dictionary)]), pa.array(np.bincount(held, minlength=n)[: len(words.dictionary)])], names=["term", "total", "df"])
+
+    parts = rows.toDF("terms").mapInArrow(run, "term string, total long, df long")
+    return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+
+
+class Weighing:
+    """Turns counts of terms (rows of documents x terms) and document lengths into weights."""
+
+    def __init__(self, idf: np.ndarray, mean_length: float | None = None, k1: float = 1.5, b: float = 0.75):
+        self.idf, self.mean, self.k1, self.b = idf, mean_length, k1, b
+
+    def of(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
+        if self.mean is not None:  # BM25
+            return self.idf * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[:, None] / self.mean))
+        w = tf * self.idf  # TF-IDF at unit length
+        return w / np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-300)
+
+
+Rescore = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+SLACK = 2e-4  # what rounding can move a score
+
+
+def counted(lists: pa.ListArray, vocabulary: pa.Array, pairs: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, counts of the vocabulary's terms) for some rows at a time, 4 million cells at most."""
+    terms, row = terms_of(lists, pairs)
+    at = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(row, kind="stable")
+    row, at = row[order], at[order]
+    width, step = len(vocabulary), max(1, 4_000_000 // max(1, len(vocabulary)))
+    for i in range(0, len(lists), step):
+        j = min(len(lists), i + step)
+        a, b = np.searchsorted(row, [i, j])
+        yield i, np.bincount((row[a:b] - i) * width + at[a:b], minlength=(j - i) * width).reshape(j - i, width).astype(np.float64)
+
+
+def _lexical(spark, corpus: DataFrame, ids: np.ndarray, vocabulary: pa.Array, weights: np.ndarray, weighing: Weighing, k: int | None, rescore: Rescore | None, wanted: dict[int, np.ndarray] | None, bigrams: bool) -> DataFrame:
+    """(query_id, item_id, score) of a block of queries (rows of ``weights``) against (item_id, terms) rows, in one narrow pass.
+
+    All pairs that share a term, or those that can be among the k best of their query by ``rescore``, or those
+    ``wanted`` and each batch's best.
+    """
+    shared = spark.sparkContext.broadcast((ids, vocabulary, weights, weighing, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qid, terms, asked, weigh, pairs = shared.value
+        for batch in batches:
+            items = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            length = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
+            for i, tf in counted(batch.column(1), terms, bigrams):
+                item = items[i : i + len(tf)]
+                score = asked @ weigh.of(tf, length[i : i + len(tf)]).T
+                score[(score <= 0) | (qid[:, None] == item[None, :])] = -np.inf
+                order = score if rescore is None else np.where(np.isfinite(score), rescore(score, qid, item), -np.inf)
+                keep = np.isfinite(score)
+                if pairs is not None:
+                    keep &= (score >= score.max(1, keepdims=True)) | np.stack([np.isin(item, pairs.get(int(q), ())) for q in qid])
+                elif k is not None and k < len(item):
+                    keep &= order >= np.partition(order, len(item) - k, axis=1)[:, [len(item) - k]] - SLACK
+                q, d = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(item[d]), pa.array(score[q, d])], names=["query_id", "item_id", "score"])
+
+    found = corpus.select(F.col("item_id").cast("long").alias("item_id"), "terms").mapInArrow(run, "query_id long, item_id long, score double")
+    return found.withColumn("score", F.round("score", 6))
+
+
+def _asked(rows: list, idf: dict[str, float], bigrams: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Ids, terms with an idf, and counts (queries x terms) of a block of (query_id, terms) rows."""
+    of = lambda r: [*(r.terms or ()), *(f"{a} {b}" for a, b in zip(r.terms or (), (r.terms or ())[1:], strict=False))] if bigrams else r.terms or ()
+    names = sorted({t for r in rows for t in of(r) if t in idf})
+    place = {t: i for i, t in enumerate(names)}
+    counts = np.zeros((len(rows), len(names)))
+    for i, r in enumerate(rows):
+        for t in of(r):
+            if t in place:
+                counts[i, place[t]] += 1
+    return np.array([r.query_id for r in rows], dtype=np.int64), names, counts
+
+
+def bm25(queries: DataFrame, corpus: DataFrame, k: int | None = None, wanted: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, tokens: Callable[[Column], Column] = word_tokens, block: int = 256) -> DataFrame:
     """(query_id, item_id, score) of the pairs that share a token, an item with itself excluded.
 
-    Postings exist only for tokens that a query holds; a query's repeated tokens count each time.
+    With ``k`` only what can be among the k best of a query; with ``wanted`` (query_id, item_id) only those pairs and each
+    query's best. A query's repeated tokens count each time. Queries go in blocks of at most ``block``, broadcast with the
+    weights of their tokens; documents pass each block in one narrow stage.
     """
-    docs = corpus.select("item_id", tokens(F.col("text")).alias("tokens"))
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("tokens")).alias("mean_length"))
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    wanted = asked.select("token").distinct()
-    posts = docs.select("item_id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).join(wanted, "token", "left_semi")
-    posts = posts.groupBy("token", "item_id", "length").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("token").agg(F.count("*").alias("df"))
-    weights = posts.join(df, "token").crossJoin(F.broadcast(totals))  # totals is one row
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    weighted = weights.select("token", "item_id", part.alias("part"))
-    pairs = asked.join(weighted, "token").where("query_id <> item_id")
-    return pairs.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("times") * F.col("part")), 6).alias("score"))
-
-
-def ngrams(tokens: Column) -> Column:
-    """Tokens and pairs of neighbouring tokens."""
-    pairs = F.when(F.size(tokens) < 2, F.array().cast("array<string>")).otherwise(F.zip_with(F.slice(tokens, 1, F.size(tokens) - 1), F.slice(tokens, 2, F.size(tokens) - 1), lambda x, y: F.concat_ws(" ", x, y)))
-    return F.concat(tokens, pairs)
-
-
-def tfidf(queries: DataFrame, corpus: DataFrame, max_features: int = 5000) -> DataFrame:
+    spark = corpus.sparkSession
+    docs = tokenised(corpus, tokens, "tokens")
+    n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("terms"))).head()
+    asked = queries.select("query_id", tokens(F.col("text")).alias("terms"))
+    df = term_counts(docs.select("terms")).join(asked.select(F.explode("terms").alias("term")).distinct(), "term")
+    df = cut(df.select("term", bm25_idf(F.lit(n_docs), F.col("df")).alias("idf")), "idf")
+    parts = []
+    for rows in in_blocks(asked, block):
+        mine = spark.createDataFrame([(t,) for t in sorted({t for r in rows for t in r.terms or ()})], "term string")
+        idf = {r.term: r.idf for r in df.join(mine, "term").collect()}  # the block's own tokens
+        ids, names, counts = _asked(rows, idf, False)
+        pairs = None
+        if wanted is not None:
+            pairs = {r.query_id: np.array(r.items) for r in wanted.where(F.col("query_id").isin(ids.tolist())).groupBy("query_id").agg(F.collect_set("item_id").alias("items")).collect()}
+        parts.append(_lexical(spark, docs, ids, pa.array(names, pa.string()), counts, Weighing(np.array([idf[t] for t in names]), mean or 1.0, k1, b), k, None, pairs, False))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, item_id long, score double")
+
+
+def tfidf(queries: DataFrame, corpus: DataFrame, max_features: int = 5000, k: int | None = None, rescore: Rescore | None = None, block: int = 256) -> DataFrame:
     """(query_id, item_id, score): cosine of smoothed TF-IDF weights of 1- and 2-grams.
 
     The vocabulary is the ``max_features`` most frequent terms of the corpus (ties by term): a fixed bound, so it is
-    broadcast. Weights are joined on the term; only pairs that share one appear.
+    broadcast. Only pairs that share a term appear; with ``k`` only those that can be among the k best of a query, by
+    ``rescore(score, query ids, item ids)`` if given.
     """
-    terms = lambda df, i: df.select(i, F.explode(ngrams(word_tokens(F.col("text")))).alias("term")).groupBy(i, "term").agg(F.count("*").alias("tf"))
-    held = terms(corpus, "item_id")
-    vocabulary = held.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).orderBy(F.desc("total"), "term").limit(max_features)
-    n = corpus.agg(F.count("*").alias("n_docs"))
-    idf = vocabulary.crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-    def weights(df: DataFrame, i: str) -> DataFrame:
-        w = df.join(F.broadcast(idf), "term").select(i, "term", (F.col("tf") * F.col("idf")).alias("w"))
-        length = w.groupBy(i).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-        return w.join(length, i).select(i, "term", (F.col("w") / F.col("len")).alias(f"w_{i}"))
-
-    pairs = weights(terms(queries, "query_id"), "query_id").join(weights(held, "item_id"), "term").where("query_id <> item_id")
-    return pairs.groupBy("query_id", "item_id").agg(F.round(F.sum(F.col("w_query_id") * F.col("w_item_id")), 6).alias("score"))
+    spark = corpus.sparkSession
+    docs = tokenised(corpus, word_tokens, "tokens")
+    asked = queries.select("query_id", word_tokens(F.col("text")).alias("terms"))
+    n = docs.count()
+    top = term_counts(docs.select("terms"), pairs=True).orderBy(F.desc("total"), "term").limit(max_features)
+    idf = {r.term: r.idf for r in top.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()}
+    names = sorted(idf)
+    weighing = Weighing(np.array([idf[t] for t in names]))
+    parts = []
+    for rows in in_blocks(asked, block):
+        ids, mine, counts = _asked(rows, idf, True)
+        full = np.zeros((len(rows), len(names)))
+        full[:, np.searchsorted(np.array(names, dtype=object), np.array(mine, dtype=object))] = counts
+        parts.append(_lexical(spark, docs, ids, pa.array(names, pa.string()), weighing.of(full, np.zeros(len(rows))), weighing, k, rescore, None, True))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, item_id long, score double")
 
 
 def minmax(scored: DataFrame, score: str = "score", out: str = "scaled") -> DataFrame:
@@ -191,6 +313,54 @@ def keyword(items: DataFrame, word: str, columns: list[str], k: int, item: str =
     return items.where(hit).withColumn("score", F.lit(score)).orderBy(item).limit(k)
 
 
+def keywords(items: DataFrame, words: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """(word, item_id): the first k items, by id, whose text holds each word (case-insensitive; % and _ are wildcards).
+
+    Distinct words go in blocks of at most ``block``, broadcast; tasks look for all of them at once in each text and keep k a word.
+    """
+    import ahocorasick
+
+    spark = items.sparkSession
+    ship(spark)
+
+    def search(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            plain, patterns = shared.value
+            tree = ahocorasick.Automaton()
+            for w in plain:
+                tree.add_word(w, w)
+            if plain:
+                tree.make_automaton()
+            first: dict[str, list[int]] = {}
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1)
+                found = [(w, i) for i, t in zip(ids, texts.to_pylist(), strict=True) for w in ({w for _, w in tree.iter(t)} if plain and t else ())]
+                found += [(w, ids[i]) for w in patterns for i in np.flatnonzero(pc.match_like(texts, f"%{w}%").fill_null(False).to_numpy(zero_copy_only=False))]
+                for w, i in found:
+                    some = first.setdefault(w, [])
+                    if len(some) < k or i < some[-1]:
+                        bisect.insort(some, i)
+                        del some[k:]
+            rows = [(w, i) for w, some in first.items() for i in some]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([i for _, i in rows], pa.int64())], names=["low", "item_id"])
+
+        return run
+
+    lowered = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
+    every = words.select("word").distinct().withColumn("low", F.lower("word"))
+    parts = []
+    for rows in in_blocks(every.select("low").where("low <> ''").distinct(), block):
+        wild = lambda w: any(c in w for c in "%_\\")
+        low = [r.low for r in rows]
+        parts.append(lowered.mapInArrow(search(spark.sparkContext.broadcast(([w for w in low if not wild(w)], [w for w in low if wild(w)]))), "low string, item_id long"))
+    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "low string, item_id long")
+    blank = every.where("low = ''").select("low")
+    found = found.unionByName(blank.join(lowered.where("text IS NOT NULL").select("item_id").orderBy("item_id").limit(k), how="cross"))
+    order = Window.partitionBy("low").orderBy("item_id")
+    top = found.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+    return every.join(top, "low").select("word", "item_id")
+
+
 def overlap_scorer(query: pd.Series, doc: pd.Series) -> pd.Series:
     """The default second-stage scorer: share of the query's distinct words that the document holds."""
 

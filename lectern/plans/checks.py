@@ -11,7 +11,7 @@ from lectern.operators import quality as Q
 from lectern.operators import scoring
 from lectern.plans.normalise import ATTR_SQL, attrs
 from lectern.plans.registry import register
-from lectern.session import table
+from lectern.session import scratch, table
 
 
 def joined(c):
@@ -53,12 +53,12 @@ def q3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("q4_image_validation", f"""WITH {ATTR_SQL} SELECT doc_id, concat_ws(';', CASE WHEN image = '' THEN 'empty_image_path' ELSE concat_ws(';', CASE WHEN contains(image, chr(92)) THEN 'windows_path_format:' || substr(image, 1, 30) END,
-CASE WHEN doc_id % 4 = 2 THEN 'invalid_image_extension:.txt' END, CASE WHEN doc_id % 3 <> 0 THEN 'image_not_found:' || substr(image, 1, 50) END) END, CASE WHEN doc_id % 3 <> 0 THEN 'missing_images_count:1' END) AS errors FROM a WHERE NOT (image <> '' AND doc_id % 3 = 0 AND doc_id % 4 = 1)""")
+CASE WHEN doc_id % 4 = 2 THEN 'invalid_image_extension:.txt' END, CASE WHEN doc_id % 3 <> 0 THEN 'image_not_found:' || substr(image, 1, 50) END) END, CASE WHEN doc_id % 3 <> 0 THEN 'missing_images_count:1' END) AS errors FROM a""")
 def q4(spark: SparkSession, sf: str) -> DataFrame:
     none = F.array().cast("array<string>")
     has = F.col("doc_id") % 3 == 0
     e = Q.image_errors(F.array("image"), F.when(has, F.array("image")).otherwise(none), F.when(has, none).otherwise(F.array("image")))
-    return attrs(spark, sf).where("NOT (image <> '' AND doc_id % 3 = 0 AND doc_id % 4 = 1)").select("doc_id", joined(e).alias("errors"))
+    return attrs(spark, sf).select("doc_id", joined(e).alias("errors"))
 
 
 @register("q5_consistency", """SELECT doc_id, concat_ws(';', CASE WHEN doc_id % 2 = 0 AND doc_id % 3 <> 0 THEN 'image_placeholder_without_image' END, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 <> 0 THEN 'image_without_placeholder' END, CASE WHEN doc_id % 5 = 0 AND doc_id % 7 <> 0 THEN 'explanation_image_placeholder_without_image' END) AS errors FROM documents""")
@@ -80,16 +80,42 @@ def q6(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("p_partkey", F.array_join(found, ",").alias("codes"), status.alias("status"))
 
 
-# A neutral stand-in for the rule table, which is data: (family, rank, pattern, level).
-RULES = [("insult", 1, "(idiot|moron)", "high"), ("insult", 2, "(clown)", "medium"), ("contempt", 1, "(worthless|trash)", "medium"), ("licence", 1, "(MIT|Apache) Licen[cs]e", "high")]
-RULE_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in RULES) + ") v(family, rank, pattern, level))"
+# One sentence for each family of safety rules, with what is found in it, and two that break none or two.
+PLANTED = [
+    ("평범한 문장", []), ("여자는 수학을 못한다", [("bias", "gender", "high", "여자는 수학을 못")]), ("경상 사람은 거칠다", [("bias", "region", "high", "경상 사람은 거칠")]), ("요즘 꼰대 이야기", [("bias", "age", "medium", "꼰대")]),
+    ("정신 이상 증세", [("bias", "disability", "high", "정신 이상")]), ("불교는 미신이다", [("bias", "religion", "high", "불교는 미신")]), ("다문화 문제", [("bias", "nationality", "high", "다문화 문제")]), ("잔인하게 말했다", [("inappropriate", "violence", "high", "잔인하게")]),
+    ("ㅂㅅ 이라고 썼다", [("inappropriate", "profanity", "high", "ㅂㅅ")]), ("음란 사이트", [("inappropriate", "sexual", "high", "음란")]), ("카지노 방문", [("inappropriate", "gambling", "medium", "카지노")]), ("대마초 재배", [("inappropriate", "drugs", "high", "대마초")]),
+    ("정치인 비판 기사", [("sensitive", "political", "medium", "정치인 비판")]), ("극단적  선택", [("sensitive", "suicide", "high", "극단적  선택")]), ("1980년대 민주화", [("inappropriate", "profanity", "high", "년"), ("sensitive", "historical_controversy", "medium", "민주화")]),
+]
 
 
-@register("q7_safety_screen", f"""WITH {RULE_SQL}, h AS (SELECT d.doc_id AS id, family, level, substr(regexp_extract(d.text, pattern, 0), 1, 50) AS matched, row_number() OVER (PARTITION BY d.doc_id, family ORDER BY rank) AS n FROM documents d JOIN rules ON regexp_matches(d.text, pattern))
-SELECT id, family, level, matched, CASE WHEN level = 'high' THEN 'FAIL' ELSE 'REVIEW' END AS status FROM h WHERE n = 1""")
+def _status(group: str, level: str) -> tuple[str, str]:
+    if group == "sensitive" and level == "medium":
+        return "", "REVIEW"
+    return ("BIAS_DETECTED" if group == "bias" else "SAFETY_VIOLATION"), "FAIL"
+
+
+FOUND = ", ".join(str((k, *h, *_status(h[0], h[2]))) for k, (_, hits) in enumerate(PLANTED) for h in hits)
+
+
+@register("q7_safety_screen", f"""SELECT doc_id AS id, "group", family, level, matched, code, status FROM documents JOIN (VALUES {FOUND}) v(k, "group", family, level, matched, code, status) ON doc_id % {len(PLANTED)} = k""")
 def q7(spark: SparkSession, sf: str) -> DataFrame:
-    rules = spark.createDataFrame(RULES, "family string, rank int, pattern string, level string")
-    return Q.screen(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), rules)
+    """Every document with one of the sentences behind its text."""
+    sentence = F.element_at(F.array(*[F.lit(t) for t, _ in PLANTED]), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    return Q.screen(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" . "), sentence).alias("text")))
+
+
+# Rules of another language, as a file of its own: (group, family, level, rank, pattern).
+RULES = [("bias", "insult", "high", 1, "(idiot|moron)"), ("bias", "insult", "high", 2, "(clown)"), ("bias", "contempt", "medium", 1, "(worthless|trash)"), ("sensitive", "licence", "medium", 1, "(MIT|Apache) Licen[cs]e")]
+RULE_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in RULES) + ') v("group", family, level, rank, pattern))'
+
+
+@register("q7_rules_of_a_file", f"""WITH {RULE_SQL}, h AS (SELECT d.doc_id AS id, "group", family, level, substr(regexp_extract(d.text, '(?i)' || pattern, 0), 1, 50) AS matched, row_number() OVER (PARTITION BY d.doc_id, family ORDER BY rank) AS n FROM documents d JOIN rules ON regexp_matches(d.text, '(?i)' || pattern))
+SELECT id, "group", family, level, matched, CASE WHEN "group" = 'bias' THEN 'BIAS_DETECTED' ELSE '' END AS code, CASE WHEN "group" = 'bias' THEN 'FAIL' ELSE 'REVIEW' END AS status FROM h WHERE n = 1 AND NOT ("group" = 'bias' AND level = 'medium')""")
+def q7b(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch(spark, "rules")
+    spark.createDataFrame(RULES, "`group` string, family string, level string, rank int, pattern string").write.json(path)
+    return Q.screen(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), Q.read_rules(spark, path), strict=False)
 
 
 @register("q8_gender_balance", """WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS s FROM conversations GROUP BY conv_id) SELECT conv_id, u + s >= 3 AND (u = 0 OR s = 0) AS unbalanced FROM c""")
@@ -98,7 +124,7 @@ def q8(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", Q.gender_balance(F.col("roles"), "^user$", "^assistant$").alias("unbalanced"))
 
 
-@register("q9_calculation_check", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS a, l_linenumber AS b, CAST(l_quantity AS INTEGER) + l_linenumber + CASE WHEN l_orderkey % 3 = 0 THEN 5 ELSE 0 END AS keyed, l_orderkey % 7 = 0 AS bad, l_orderkey % 5 = 0 AS dup FROM lineitem WHERE l_orderkey % 10 < 4),
+@register("q9_calculation_check", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS a, l_linenumber AS b, CAST(l_quantity AS INTEGER) + l_linenumber + CASE WHEN l_orderkey % 3 = 0 THEN 5 ELSE 0 END AS keyed, l_orderkey % 7 = 0 AS bad, l_orderkey % 5 = 0 AS dup FROM lineitem),
 r AS (SELECT *, concat_ws(',', CASE WHEN dup OR keyed = 1000 THEN 'OPTION_OVERLAP' END, CASE WHEN bad THEN 'CALCULATION_ERROR' END) AS codes FROM c)
 SELECT l_orderkey, l_linenumber, codes, CASE WHEN codes <> '' THEN 'FAIL' WHEN abs(a + b - keyed) > greatest(keyed * 0.01, 0.001) THEN 'REVIEW' ELSE 'PASS' END AS status FROM r""")
 def q9(spark: SparkSession, sf: str) -> DataFrame:
@@ -159,24 +185,36 @@ def q20(spark: SparkSession, sf: str) -> DataFrame:
     return attrs(spark, sf).select("doc_id", joined(Q.image_file_errors(I.slashes(F.col("image")), size, F.col("doc_id") % 700, F.col("doc_id") * 7 % 5000)).alias("errors"))
 
 
-@register("j14_entity_verification", """WITH e AS (SELECT o_orderkey AS item_id, CAST(year(o_orderdate) AS VARCHAR) AS value FROM orders), known AS (SELECT DISTINCT CAST(year(l_shipdate) AS VARCHAR) AS value, CASE WHEN year(l_shipdate) % 2 = 0 THEN 'verified' ELSE 'failed' END AS outcome FROM lineitem WHERE year(l_shipdate) <> 1997)
-SELECT item_id, value, coalesce(outcome, 'unknown') AS outcome FROM e LEFT JOIN known USING (value)""")
-def j14(spark: SparkSession, sf: str) -> DataFrame:
-    return facts(spark, sf).select("item_id", "value", "outcome")
+FACTS = """o AS (SELECT o_orderkey AS item_id, o_orderdate AS d, CASE WHEN starts_with(o_orderpriority, '1') THEN 'strict' WHEN starts_with(o_orderpriority, '2') THEN 'skip' ELSE 'moderate' END AS mode FROM orders),
+y AS (SELECT DISTINCT year(l_shipdate) AS y, CASE WHEN year(l_shipdate) % 2 = 0 THEN 'verified' ELSE 'failed' END AS outcome FROM lineitem WHERE year(l_shipdate) <> 1997),
+f AS (SELECT item_id, 'year' AS kind, CAST(year(d) AS VARCHAR) AS value, coalesce(outcome, 'unknown') AS outcome FROM o LEFT JOIN y ON year(d) = y.y WHERE mode <> 'skip'
+UNION ALL SELECT item_id, 'date', year(d) || '' || month(d) || day(d), 'unknown' FROM o WHERE mode <> 'skip'
+UNION ALL SELECT item_id, kind, value, outcome FROM o, (VALUES ('person', '이순신', 'verified'), ('event', '임진전쟁', 'verified'), ('place', '부산시', 'unknown'), ('place', '강원도', 'verified'), ('place', '진주군', 'unknown')) v(kind, value, outcome) WHERE mode <> 'skip')"""
+
+
+def fact_items(spark: SparkSession, sf: str) -> DataFrame:
+    """(item_id, text, mode): four places, of which three count, a person, an event, a date and its year."""
+    text = F.concat(F.date_format("o_orderdate", "yyyy년 M월 d일"), F.lit(" 이순신은 부산시 앞 임진전쟁 뒤 강원도 / 진주군 / 한산면"))
+    subject = F.when(F.col("o_orderpriority").startswith("1"), "history").when(F.col("o_orderpriority").startswith("2"), "math").otherwise("science")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), text.alias("text"), S.verification_mode(subject).alias("mode"))
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Entities of each item (at most 3 of a kind) looked up in a knowledge table."""
-    text = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("년 의 사건"))
-    found = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), "o_orderpriority", F.explode(F.slice(S.entities(text, "year"), 1, 3)).alias("value"))
-    known = table(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).distinct().where("y <> 1997").select(F.col("y").cast("string").alias("value"), F.when(F.col("y") % 2 == 0, "verified").otherwise("failed").alias("outcome"))
-    return found.join(known, "value", "left").withColumn("outcome", F.coalesce("outcome", F.lit("unknown")))
+    year = F.year("l_shipdate")
+    known = table(spark, sf, "lineitem").select(year.alias("y")).distinct().where("y <> 1997").select(F.lit("year").alias("kind"), F.col("y").cast("string").alias("value"), F.when(F.col("y") % 2 == 0, "verified").otherwise("failed").alias("outcome"))
+    named = spark.createDataFrame([("person", "이순신", "verified"), ("event", "임진전쟁", "verified"), ("place", "강원도", "verified"), ("place", "한산면", "failed")], "kind string, value string, outcome string")
+    return Q.entity_facts(fact_items(spark, sf), known.unionByName(named))
+
+
+@register("j14_entity_verification", f"WITH {FACTS} SELECT item_id, kind, value, outcome FROM f")
+def j14(spark: SparkSession, sf: str) -> DataFrame:
+    return facts(spark, sf)
 
 
-@register("q21_fact_verdict", """WITH f AS (SELECT o_orderkey AS item_id, CASE WHEN year(o_orderdate) = 1997 OR year(o_orderdate) NOT IN (SELECT year(l_shipdate) FROM lineitem) THEN 'unknown' WHEN year(o_orderdate) % 2 = 0 THEN 'verified' ELSE 'failed' END AS outcome, starts_with(o_orderpriority, '1') AS strict FROM orders)
-SELECT item_id, count(*) FILTER (outcome = 'verified') AS verified, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'unknown') AS unknown, CASE WHEN bool_or(outcome = 'failed') THEN 'FAIL' WHEN bool_or(strict) AND bool_or(outcome = 'unknown') THEN 'REVIEW' ELSE 'PASS' END AS status FROM f GROUP BY item_id""")
+@register("q21_fact_verdict", f"""WITH {FACTS}, g AS (SELECT o.item_id, any_value(mode) AS mode, count(*) FILTER (outcome = 'verified') AS verified, count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'unknown') AS unknown FROM o LEFT JOIN f ON f.item_id = o.item_id GROUP BY o.item_id)
+SELECT item_id, verified, failed, unknown, CASE WHEN failed > 0 THEN 'FAIL' WHEN mode = 'strict' AND unknown > 0 THEN 'REVIEW' ELSE 'PASS' END AS status FROM g""")
 def q21(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.fact_verdict(facts(spark, sf).withColumn("mode", F.when(F.col("o_orderpriority").startswith("1"), "strict").otherwise("moderate")))
+    return Q.fact_verdict(facts(spark, sf), fact_items(spark, sf).select("item_id", "mode"))
 
 
 ANSWER = "CASE l_linenumber % 4 WHEN 0 THEN l_returnflag WHEN 1 THEN lower(l_returnflag) || ' |' || l_linestatus WHEN 2 THEN l_linestatus || '|' || l_returnflag ELSE NULL END"

@@ -57,9 +57,9 @@ def t5(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("user_id", shown("started"), shown("ended"), "n")
 
 
-@register("r18_batch_vectorise", "SELECT doc_id AS id, 64 AS dim, false AS failed FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) AND text <> ''")
+@register("r18_batch_vectorise", "SELECT doc_id AS id, CASE WHEN coalesce(text, '') <> '' THEN 64 END AS dim, coalesce(text, '') = '' AS failed FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def r18(spark: SparkSession, sf: str) -> DataFrame:
-    todo = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").where("text <> ''")
+    todo = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     return encode.vectorise(todo, done).select("id", F.size("embedding").alias("dim"), F.col("error").isNotNull().alias("failed"))
 
@@ -87,10 +87,10 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("s4_part_files", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def s4(spark: SparkSession, sf: str) -> DataFrame:
-    """Events written as part files of JSON lists, read back through the part reader."""
+    """Events written as part files of JSON lists of at most 500, read back through the part reader."""
     path = scratch(spark, "parts")
     row = F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), "event_type"))
-    lists = table(spark, sf, "events").groupBy(F.pmod("event_id", F.lit(64)).alias("part")).agg(F.collect_list(row).alias("rows"))
+    lists = table(spark, sf, "events").groupBy(F.expr("event_id div 500").alias("part")).agg(F.collect_list(row).alias("rows"))
     body = F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]"))
     bodies = F.when(F.col("part") % 2 == 0, body).otherwise(F.concat(F.lit('{"items":'), body, F.lit("}")))
     lists.select(bodies.alias("value")).write.text(path)

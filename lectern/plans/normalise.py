@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import items as I
 from lectern.functions import strings as S
-from lectern.operators.search import word_tokens
+from lectern.operators.search import bm25_idf, bm25_saturation, word_tokens
 from lectern.plans.registry import register
 from lectern.session import table
 
@@ -39,13 +39,13 @@ def p2(spark: SparkSession, sf: str) -> DataFrame:
     return attrs(spark, sf).select("doc_id", I.code_of(F.col("kind")).alias("kind_code"), I.label_of(F.col("kind")).alias("kind"), I.year_of(F.col("year_text")).alias("year"), F.col("lang").alias("subject"), F.col("source").alias("unit"))
 
 
-@register("p3_block_rendering", "SELECT doc_id, split_part(text, ' ', 1) || '$' || n_chars || '$' || '[이미지]' || source AS rendered, CAST(n_chars AS VARCHAR) AS latex, 'a/' || doc_id || '.png' AS image FROM documents")
+@register("p3_block_rendering", "SELECT doc_id, md5(text || '$' || n_chars || '$' || '[이미지]' || source) AS rendered, CAST(n_chars AS VARCHAR) AS latex, 'a/' || doc_id || '.png' AS image FROM documents")
 def p3(spark: SparkSession, sf: str) -> DataFrame:
     block = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("content"))
-    blocks = F.array(block("text", F.split_part("text", F.lit(" "), F.lit(1))), block("latex", F.col("n_chars").cast("string")), block("image", F.concat(F.lit("a\\"), F.col("doc_id"), F.lit(".png"))), block("text", F.col("source")))
+    blocks = F.array(block("text", F.col("text")), block("latex", F.col("n_chars").cast("string")), block("image", F.concat(F.lit("a\\"), F.col("doc_id"), F.lit(".png"))), block("text", F.col("source")))
     d = table(spark, sf, "documents").select("doc_id", blocks.alias("b"))
     of = lambda kind: F.array_join(F.transform(F.filter("b", lambda x: x["type"] == kind), lambda x: I.slashes(x["content"])), ",")
-    return d.select("doc_id", I.render(F.col("b")).alias("rendered"), of("latex").alias("latex"), of("image").alias("image"))
+    return d.select("doc_id", F.md5(I.render(F.col("b")).cast("binary")).alias("rendered"), of("latex").alias("latex"), of("image").alias("image"))
 
 
 @register("p4_answer_parsing", f"""WITH {ATTR_SQL}, p AS (SELECT doc_id, answer, CASE WHEN regexp_full_match(trim(answer), '[1-5]') THEN CAST(trim(answer) AS INTEGER) END AS single, CASE WHEN contains(answer, ',') THEN list_filter(list_transform(string_split(answer, ','), lambda x: trim(x)), lambda x: regexp_full_match(x, '[0-9]+')) ELSE [] END AS parts FROM a),
@@ -75,13 +75,22 @@ def p7(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", I.category(F.col("doc_id") % 3 == 0, dollars).alias("category"))
 
 
-LEVELS = {"01": "easy", "02": "upper", "03": "middle", "04": "lower"}
+# Raw values and what they are normalised to, by the place in the list.
+RAW = {
+    "subject": [("", "수학"), ("05", "과학"), ("영어", "영어"), ("06 역사", "역사"), ("심화 과학 반", "과학"), ("zz", "수학"), ("x 도덕", "도덕")],
+    "grade": [("", ""), ("08", "중2"), ("고1", "고1"), ("04 x", "초4"), ("2", "초2"), ("9", ""), ("중4", "")],
+    "difficulty": [("", "medium"), ("01", "easy"), ("상", "hard"), ("03 하", "hard"), ("x 하", "easy"), ("HIGH", "hard"), ("odd", "medium")],
+    "question_type": [("", ""), ("11", "선택형"), ("서술형", "서술형"), ("11 선택형", ""), ("99", "")],
+}
+RAW_SQL = ", ".join(f"CASE doc_id % {len(v)} " + " ".join(f"WHEN {i} THEN '{to}'" for i, (_, to) in enumerate(v)) + f" END AS {k}" for k, v in RAW.items())
 
 
-@register("p8_code_normaliser", f"""WITH {ATTR_SQL} SELECT doc_id, CASE WHEN difficulty = '01' THEN 'easy' WHEN difficulty = '02' THEN 'upper' WHEN difficulty = '03' THEN 'middle' WHEN difficulty = '04' THEN 'lower'
-WHEN difficulty IN ('easy', 'upper', 'middle', 'lower') THEN difficulty WHEN split_part(difficulty, ' ', 1) = '02' THEN 'upper' WHEN split_part(difficulty, ' ', 1) = '03' THEN 'middle' WHEN split_part(difficulty, ' ', 1) = '04' THEN 'lower' ELSE 'middle' END AS difficulty FROM a""")
+@register("p8_code_normaliser", f"""WITH n AS (SELECT doc_id, {RAW_SQL} FROM documents) SELECT doc_id, subject, CASE subject WHEN '수학' THEN '03' WHEN '과학' THEN '05' WHEN '영어' THEN '02' WHEN '역사' THEN '06' ELSE '07' END AS subject_code, grade,
+CASE grade WHEN '중2' THEN '08' WHEN '고1' THEN '10' WHEN '초4' THEN '04' WHEN '초2' THEN '02' ELSE '' END AS grade_code, CASE left(grade, 1) WHEN '초' THEN '초등학교' WHEN '중' THEN '중학교' WHEN '고' THEN '고등학교' ELSE '' END AS school_level,
+CASE left(grade, 1) WHEN '초' THEN '01' WHEN '중' THEN '02' WHEN '고' THEN '03' ELSE '' END AS school_level_code, difficulty, question_type FROM n""")
 def p8(spark: SparkSession, sf: str) -> DataFrame:
-    return attrs(spark, sf).select("doc_id", I.coded(F.col("difficulty"), LEVELS, "middle").alias("difficulty"))
+    raw = [F.element_at(F.array(*[F.lit(x) for x, _ in v]), (F.col("doc_id") % len(v) + 1).cast("int")) for v in RAW.values()]
+    return table(spark, sf, "documents").select("doc_id", I.normal_metadata(*raw).alias("m")).select("doc_id", "m.*")
 
 
 @register("p9_grade_names", f"""WITH {ATTR_SQL}, n AS (SELECT doc_id, level, CAST(grade AS INTEGER) AS n FROM a) SELECT doc_id, CASE
@@ -112,13 +121,13 @@ def p14(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", I.embedding_text(F.col("lang"), some).alias("labelled"), I.embedding_text(F.col("lang"), two, labelled=False).alias("plain"))
 
 
-@register("p15_context_assembly", "SELECT conv_id, string_agg('[' || turn || '] score ' || printf('%.3f', 1.0 / (turn + 2)) || ' (' || coalesce(role, 'N/A') || ')' || chr(10) || substr(text, 1, 20), chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
+@register("p15_context_assembly", "SELECT conv_id, string_agg('[' || turn || '] score ' || printf('%.3f', 1.0 / (turn + 2)) || ' (' || coalesce(role, 'N/A') || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
 def p15(spark: SparkSession, sf: str) -> DataFrame:
     hit = F.struct(F.col("turn").alias("rank"), F.col("turn").alias("item_id"), (1.0 / (F.col("turn") + 2)).alias("score"), F.col("role").alias("category"), F.col("text"))
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(hit)).alias("hits")).select("conv_id", I.context(F.col("hits")).alias("context"))
 
 
-@register("p16_prompt_dataset", "SELECT doc_id, 'Write an item like: ' || substr(text, 1, 30) || chr(10) || 'Subject: ' || coalesce(nullif(lang, ''), 'any') || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'Change the numbers.' WHEN 1 THEN 'Change the setting.' ELSE 'Keep the idea.' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Use the image.' ELSE '' END AS prompt FROM documents")
+@register("p16_prompt_dataset", "SELECT doc_id, 'Write an item like: ' || text || chr(10) || 'Subject: ' || coalesce(nullif(lang, ''), 'any') || chr(10) || CASE doc_id % 3 WHEN 0 THEN 'Change the numbers.' WHEN 1 THEN 'Change the setting.' ELSE 'Keep the idea.' END || CASE WHEN doc_id % 4 = 0 THEN chr(10) || 'Use the image.' ELSE '' END AS prompt FROM documents")
 def p16(spark: SparkSession, sf: str) -> DataFrame:
     clause = F.create_map(F.lit(0), F.lit("Change the numbers."), F.lit(1), F.lit("Change the setting."), F.lit(2), F.lit("Keep the idea."))
     prompt = F.concat(F.lit("Write an item like: "), F.col("text"), F.lit("\nSubject: "), F.coalesce(F.nullif("lang", F.lit("")), F.lit("any")), F.lit("\n"), F.try_element_at(clause, (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 4 == 0, "\nUse the image.").otherwise(""))
@@ -142,7 +151,7 @@ def p18(spark: SparkSession, sf: str) -> DataFrame:
     return made.join(source, made["o_custkey"] == source["c_custkey"]).select(name.alias("id"), F.col("c_custkey").alias("source_item_id"), F.col("c_mktsegment").alias("subject"), F.col("c_nationkey").alias("grade"), F.lit(True).alias("is_ai_generated"))
 
 
-@register("p19_boxes_to_pixels", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity / 1000 * 800) AS INTEGER) AS x0, CAST(trunc(l_linenumber * 10 / 1000 * 600) AS INTEGER) AS y0, CAST(trunc((l_quantity + 500) / 1000 * 800) AS INTEGER) AS x1, CAST(trunc((l_linenumber * 10 + 300) / 1000 * 600) AS INTEGER) AS y1 FROM lineitem WHERE l_orderkey % 10 = 0")
+@register("p19_boxes_to_pixels", "SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity / 1000 * 800) AS INTEGER) AS x0, CAST(trunc(l_linenumber * 10 / 1000 * 600) AS INTEGER) AS y0, CAST(trunc((l_quantity + 500) / 1000 * 800) AS INTEGER) AS x1, CAST(trunc((l_linenumber * 10 + 300) / 1000 * 600) AS INTEGER) AS y1 FROM lineitem")
 def p19(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem")
     box = F.array((F.col("l_linenumber") * 10).cast("double"), F.col("l_quantity"), (F.col("l_linenumber") * 10 + 300).cast("double"), F.col("l_quantity") + 500)
@@ -157,36 +166,21 @@ def x1(spark: SparkSession, sf: str) -> DataFrame:
 FORMULA = "'{{ ' || p_size || ' 2 5 . 5 x + A B C  =  ' || chr(92) || 'cfrac {{ 1 }} {{ ' || p_partkey || ' }} , ' || chr(92) || 'angle  D E ~ c m ( ' || p_size || ' ' || chr(92) || 'degree ) ^ {{ 2 }} }}'".replace("{{", "{").replace("}}", "}")
 
 
-def _latex_sql(c: str) -> str:
-    """The cleaning rules for an engine without lookarounds: rules that repeat are applied four times."""
-    sql = f"trim({c})"
-    inner = f"trim(substr({sql}, 2, length({sql}) - 2))"
-    sql = f"(CASE WHEN starts_with({sql}, '{{') AND ends_with({sql}, '}}') THEN {inner} ELSE {sql} END)"
-    again = {r"(?<=\d)\s+(?=\d)": r"(\d)\s+(\d)", r"(?<=[A-Z])\s+(?=[A-Z])": r"([A-Z])\s+([A-Z])", r"(?<=[a-z])\s+(?=[a-z])": r"([a-z])\s+([a-z])"}
-    for pattern, to in S.LATEX_RULES:
-        to = to.replace(r"\\", "\\\\\\\\").replace("$1", r"\1").replace("$2", r"\2") if r"\\" in to else to.replace("$1", r"\1").replace("$2", r"\2")
-        to = to.replace("\\\\\\\\", "\\\\")
-        if pattern in again:
-            for _ in range(4):
-                sql = f"regexp_replace({sql}, '{again[pattern]}', '\\1\\2', 'g')"
-        elif "(?!" in pattern:
-            sql = f"regexp_replace({sql}, '(\\d)\\s+([a-zA-Z])([^a-zA-Z]|$)', '\\1\\2\\3', 'g')"
-        else:
-            sql = f"regexp_replace({sql}, '{pattern}', '{to}', 'g')"
-    return f"trim({sql})"
-
-
-@register("x2_latex_cleaner", f"SELECT p_partkey, {_latex_sql('f')} AS cleaned FROM (SELECT p_partkey, {FORMULA} AS f FROM part)")
+# What the formula above is cleaned to, worked out by hand from the rules.
+CLEANED = "p_size || '25.5x + ABC = ' || chr(92) || 'cfrac{1}{' || p_partkey || '} , ∠DE ~cm (' || p_size || '°) ^{2}'"
+
+
+@register("x2_latex_cleaner", f"SELECT p_partkey, {CLEANED} AS cleaned FROM part")
 def x2(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").selectExpr("p_partkey", f"{FORMULA} AS f").select("p_partkey", S.clean_latex(F.col("f")).alias("cleaned"))
 
 
-@register("x3_latex_spans", f"SELECT p_partkey, p_name || ' $' || {_latex_sql('f')} || '$ end $1 2' AS cleaned FROM (SELECT p_partkey, p_name, {FORMULA} AS f FROM part)")
+@register("x3_latex_spans", f"SELECT p_partkey, p_name || ' $' || {CLEANED} || '$ end $1 2' AS cleaned FROM part")
 def x3(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").selectExpr("p_partkey", f"p_name || ' $' || {FORMULA} || '$ end $1 2' AS f").select("p_partkey", S.clean_spans(F.col("f")).alias("cleaned"))
 
 
-@register("x4_viewer_latex")
+@register("x4_viewer_latex", "SELECT p_partkey, '{' || p_size || ' 2 5 . 5 x + A B C = ' || chr(92) || 'cfrac {1} {' || p_partkey || '} , ' || chr(92) || 'angle D E ~ c m ( ' || p_size || ' ' || chr(92) || 'degree ) ^ {2}} ' || chr(92) || 'text{넓이}' AS shown FROM part")
 def x4(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").selectExpr("p_partkey", f"'{{ ' || {FORMULA} || ' 넓이 }}' AS f").select("p_partkey", S.viewer_latex(F.col("f")).alias("shown"))
 
@@ -237,10 +231,10 @@ def x12(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").selectExpr("event_id", forms).select("event_id", S.json_strings(F.col("c")).alias("a")).select("event_id", F.array_join("a", "|").alias("joined"), F.size("a").alias("n"))
 
 
-@register("x16_numbers_expressions", """SELECT event_id, CAST(2 AS INTEGER) AS n, round(CASE event_id % 4 WHEN 0 THEN value + user_id WHEN 1 THEN value - user_id WHEN 2 THEN value * user_id ELSE CASE WHEN user_id = 0 THEN NULL ELSE value / user_id END END, 6) AS result,
-CASE WHEN event_id % 4 = 3 AND user_id = 0 THEN NULL ELSE abs(value * 1.005 - value) <= greatest(abs(value) * 0.01, 0.001) END AS close FROM events WHERE value >= 0""")
+@register("x16_numbers_expressions", """SELECT event_id, CAST(2 AS INTEGER) AS n, round(CASE event_id % 4 WHEN 0 THEN abs(value) + user_id WHEN 1 THEN abs(value) - user_id WHEN 2 THEN abs(value) * user_id ELSE CASE WHEN user_id = 0 THEN NULL ELSE abs(value) / user_id END END, 6) AS result,
+CASE WHEN event_id % 4 = 3 AND user_id = 0 THEN NULL ELSE abs(value * 1.005 - value) <= greatest(abs(value) * 0.01, 0.001) END AS close FROM events""")
 def x16(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events").where("value >= 0")
+    e = table(spark, sf, "events")
     op = F.element_at(F.array(*[F.lit(x) for x in (" + ", " - ", " × ", " ÷ ")]), (F.col("event_id") % 4 + 1).cast("int"))
     expr = e.select("event_id", "user_id", "value", F.concat(F.col("value").cast("decimal(20,2)").cast("string"), op, F.col("user_id").cast("string")).alias("x"))
     r = S.evaluated(F.col("x"))
@@ -259,11 +253,17 @@ def x18(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("o_orderkey", F.col("day").cast("string").alias("day"), F.year("day").between(2000, 2030).alias("in_range"))
 
 
-@register("x19_entities", "SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS years, strftime(o_orderdate, '%Y-%m-%d') AS dates, '서울시' AS places FROM orders")
+@register("x15_bm25_weights", "SELECT p_partkey, round(ln((100000 - p_partkey + 0.5) / (p_partkey + 0.5) + 1), 6) AS idf, round(p_size * 2.5 / (p_size + 1.5 * (0.25 + 0.75 * p_retailprice / 1000)), 6) AS saturation FROM part")
+def x15(spark: SparkSession, sf: str) -> DataFrame:
+    idf = bm25_idf(F.lit(100000), F.col("p_partkey"))
+    return table(spark, sf, "part").select("p_partkey", F.round(idf, 6).alias("idf"), F.round(bm25_saturation(F.col("p_size"), F.col("p_retailprice"), F.lit(1000)), 6).alias("saturation"))
+
+
+@register("x19_entities", "SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS years, year(o_orderdate) || '' || month(o_orderdate) || day(o_orderdate) AS dates, '이순신,군민' AS persons, '임진전쟁' AS events, '서울시,강원도' AS places FROM orders")
 def x19(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.date_format("o_orderdate", "yyyy"), F.lit("년 서울시 "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 서울시"))
+    t = F.concat(F.date_format("o_orderdate", "yyyy년 M월 d일"), F.lit(" 이순신은 서울시 앞 임진전쟁 때 "), F.date_format("o_orderdate", "yyyy년"), F.lit(" 강원도 군민에게 "), F.col("o_orderkey").cast("string"))
     d = table(spark, sf, "orders").select("o_orderkey", t.alias("t"))
-    return d.select("o_orderkey", *[F.array_join(S.entities(F.col("t"), k), ",").alias(f"{k}s") for k in ("year", "date", "place")])
+    return d.select("o_orderkey", *[F.array_join(S.entities(F.col("t"), k), ",").alias(f"{k}s") for k in S.ENTITIES])
 
 
 @register("x20_attribute_fallback", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN doc_id % 3 = 1 THEN source ELSE '11' END AS kind FROM documents")

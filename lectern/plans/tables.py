@@ -175,9 +175,9 @@ def a1(spark: SparkSession, sf: str) -> DataFrame:
     return R.value_counts(docs(spark, sf), ["lang", "source"])
 
 
-@register("a2_parse_statistics", "SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'props', substr(props, 1, 50), count(*) FROM events GROUP BY 2")
+@register("a2_parse_statistics", "SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'props', props, count(*) FROM events GROUP BY 2")
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    long = events(spark, sf).select("event_id", "event_type", F.substring("props", 1, 50).alias("props")).unpivot("event_id", ["event_type", "props"], "field", "value")
+    long = events(spark, sf).select("event_id", "event_type", "props").unpivot("event_id", ["event_type", "props"], "field", "value")
     return long.groupBy("field", "value").agg(F.count("*").alias("n"))
 
 
@@ -319,6 +319,12 @@ def l3(spark: SparkSession, sf: str) -> DataFrame:
     return R.quota(d, "lang", "source", {"en": 50, "fr": 30, "de": 20}, "doc_id")
 
 
+@register("l3_quota_sizes", "SELECT lang, CAST(least(quota, count(*)) AS BIGINT) AS n FROM documents JOIN (VALUES ('en', 50), ('fr', 30), ('de', 20)) v(lang, quota) USING (lang) GROUP BY lang, quota")
+def l3b(spark: SparkSession, sf: str) -> DataFrame:
+    """How many rows the quota sample has of each category: its quota, or all there are."""
+    return l3(spark, sf).groupBy("lang").agg(F.count("*").alias("n"))
+
+
 @register("l4_first_n", "SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n <= 10")
 def l4(spark: SparkSession, sf: str) -> DataFrame:
     return R.first_n(events(spark, sf).select("event_type", "event_id"), ["event_type"], "event_id", 10)

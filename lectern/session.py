@@ -86,6 +86,17 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def finished(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` that hold a finished write, sorted; none if there is no such path."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    below = [f.getPath() for f in fs.listStatus(root) if f.isDirectory()]
+    return sorted(p.getName() for p in below if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python once per application; jobs with Python stages call it."""
     sc = spark.sparkContext

@@ -7,9 +7,10 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.items import metadata
 from lectern.session import ship
 
 # Element and attribute names of item files.
@@ -38,24 +39,37 @@ def decoded(raw: bytes) -> str:
     return raw.decode("utf-8", errors="replace")
 
 
+def _direct(node: ET.Element) -> str:
+    """A node's own text, and what follows each of its children inside it."""
+    return (node.text or "") + "".join(child.tail or "" for child in node)
+
+
 def _blocks(node: ET.Element | None) -> list[dict]:
+    """Text, formula and picture blocks in document order; a nested node is a block of its own, blank ones are none."""
     out = []
     for e in node.iter() if node is not None else ():
         if e.tag == TEXT:
-            out.append({"type": "text", "content": "".join(e.itertext())})
+            kind, content = "text", _direct(e)
         elif e.tag == MATH:
-            out.append({"type": "latex", "content": "".join(e.itertext()).strip()})
+            kind, content = "latex", (e.text or "").strip()
         elif e.tag == PICTURE:
-            out.append({"type": "image", "content": "".join(e.itertext()).strip().replace("\\", "/")})
+            kind, content = "image", (e.text or "").strip().replace("\\", "/")
+        else:
+            continue
+        if content.strip():
+            out.append({"type": kind, "content": content})
     return out
 
 
+def _root(raw: bytes) -> ET.Element:
+    return ET.fromstring(re.sub(r"^\s*<\?xml[^>]*\?>", "", decoded(raw)))
+
+
 def parse_item(path: str, raw: bytes) -> dict:
     """One parsed item; a malformed file is a row with parse_errors."""
     row = {"source_file": path, "id": "", "attributes": {}, "question": [], "choices": [], "answer_raw": "", "explanation": [], "images": [], "parse_errors": []}
-    text = re.sub(r"^\s*<\?xml[^>]*\?>", "", decoded(raw))
     try:
-        root = ET.fromstring(text)
+        root = _root(raw)
     except ET.ParseError as e:
         return row | {"parse_errors": [f"malformed: {e}"[:200]]}
     item = root if root.tag == ITEM else root.find(f".//{ITEM}")
@@ -63,27 +77,81 @@ def parse_item(path: str, raw: bytes) -> dict:
         return row | {"parse_errors": ["no item element"]}
     question = item.find(QUESTION)
     stem = question.find(STEM) if question is not None else None
-    row |= {"id": item.get("id", ""), "attributes": dict(item.attrib), "question": _blocks(stem if stem is not None else question), "explanation": _blocks(item.find(EXPLANATION))}
-    row["choices"] = [_blocks(o) for o in (question.findall(f".//{OPTION}") if question is not None else [])]
+    row |= {"id": item.get("id", ""), "attributes": dict(item.attrib), "question": _blocks(stem), "explanation": _blocks(item.find(EXPLANATION))}
+    row["choices"] = [_blocks(o) for o in (question.findall(OPTION) if question is not None else [])]
     answer = item.find(ANSWER)
-    row["answer_raw"] = "".join(x.strip() for x in answer.itertext()) if answer is not None else ""
+    row["answer_raw"] = "".join(answer.itertext()).strip() if answer is not None else ""
     row["images"] = [b["content"] for part in (row["question"], *row["choices"], row["explanation"]) for b in part if b["type"] == "image"]
     missing = [name for name, bad in (("missing id", not row["id"]), ("missing qt", not item.get("qt")), ("missing question", question is None)) if bad]
     return row | {"parse_errors": missing}
 
 
-def parse(spark: SparkSession, path: str, glob: str = "*.[iI][mM][lL]", wanted: str | None = None) -> DataFrame:
-    """Parsed items of all files. ``wanted``: a pattern that the first 4,000 bytes must hold; other files aren't parsed."""
-    ship(spark)
+def raw_files(spark: SparkSession, path: str, glob: str = "*.[iI][mM][lL]", wanted: str | None = None) -> DataFrame:
+    """(path, content) of all files. ``wanted``: a pattern that the first 4,000 bytes must hold; other files are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
-    if wanted is not None:
-        raw = raw.where(F.decode(F.substring("content", 1, 4000), "ISO-8859-1").rlike(wanted))
+    return raw if wanted is None else raw.where(F.decode(F.substring("content", 1, 4000), "ISO-8859-1").rlike(wanted))
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """Parsed items of (path, content) rows, with their 17 metadata columns as one struct."""
+    ship(raw.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame([parse_item(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=[x.split(" ")[0] for x in PARSED.split(", ") if not x.startswith("content")])
 
-    return raw.mapInPandas(run, PARSED)
+    return raw.select("path", "content").mapInPandas(run, PARSED).withColumn("metadata", metadata(F.col("attributes")))
+
+
+def parse(spark: SparkSession, path: str, glob: str = "*.[iI][mM][lL]", wanted: str | None = None) -> DataFrame:
+    """Parsed items of all files of ``path``; see :func:`raw_files` and :func:`parsed`."""
+    return parsed(raw_files(spark, path, glob, wanted))
+
+
+def edges(raw: DataFrame, per_file: int = 10, longest: int = 100) -> DataFrame:
+    """(tag, parent, attribute, value) of the elements of (path, content) rows; the parent of a file's top element is ROOT.
+
+    Each file gives its distinct (tag, parent) pairs and up to ``per_file`` distinct values of each attribute of a
+    tag, in document order, longer ones cut and marked; a malformed file gives nothing.
+    """
+    ship(raw.sparkSession)
+
+    def of(content: bytes) -> list[tuple]:
+        try:
+            todo = [(_root(content), "ROOT")]
+        except ET.ParseError:
+            return []
+        pairs, values = {}, {}
+        while todo:
+            node, parent = todo.pop()
+            pairs[node.tag, parent] = True
+            for name, value in node.attrib.items():
+                some = values.setdefault((node.tag, name), {})
+                if len(some) < per_file:
+                    some[value if len(value) <= longest else value[:longest] + "..."] = True
+            todo.extend((child, node.tag) for child in reversed(node))
+        return [(t, p, None, None) for t, p in pairs] + [(t, None, a, v) for (t, a), some in values.items() for v in some]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([x for c in frame["content"] for x in of(bytes(c))], columns=["tag", "parent", "attribute", "value"], dtype="object")
+
+    return raw.select("content").mapInPandas(run, "tag string, parent string, attribute string, value string")
+
+
+def tag_schema(found: DataFrame) -> DataFrame:
+    """(tag, parents, children), sorted, of :func:`edges`. Names of elements are few, whatever the number of files."""
+    pairs = found.where("parent IS NOT NULL").select("tag", "parent").distinct()
+    parents = pairs.groupBy("tag").agg(F.array_sort(F.collect_set("parent")).alias("parents"))
+    children = pairs.groupBy(F.col("parent").alias("tag")).agg(F.array_sort(F.collect_set("tag")).alias("children"))
+    return parents.join(children, "tag", "left").select("tag", "parents", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
+
+
+def attribute_samples(found: DataFrame, shown: int = 20) -> DataFrame:
+    """(tag, attribute, value): the first ``shown`` distinct values of each attribute of a tag, in their order."""
+    values = found.where("attribute IS NOT NULL").select("tag", "attribute", "value").distinct()
+    order = Window.partitionBy("tag", "attribute").orderBy("value")
+    return values.withColumn("n", F.row_number().over(order)).where(F.col("n") <= shown).drop("n")
 
 
 def parts(spark: SparkSession, glob: str) -> DataFrame:

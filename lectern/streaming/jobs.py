@@ -1,15 +1,19 @@
-"""Incremental jobs over file streams. Each runs to the end of what is there and can be called again to go on."""
+"""Incremental jobs over file streams. Each runs to the end of what is there and can be called again to go on.
+
+What a job has written is found again from its folders (a finished one holds a success mark), so a job that is started anew, on
+another driver, goes on where the last one stopped; an epoch that is replayed changes nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lectern.operators import relational
-from lectern.session import discard
+from lectern.session import discard, finished
 from lectern.sources.encode import vectorise
 
 
@@ -24,20 +28,23 @@ def run(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: s
     return q
 
 
+def _epoch(name: str) -> int:
+    return int(name.rsplit("-", 1)[1])
+
+
 def snapshot(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """The full result of a streaming aggregate, written after each batch; a batch replaces the one before."""
     spark = stream.sparkSession
-    last: list[str] = []
 
     def each(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/{epoch}")
-        for old in last:
-            if old != f"{path}/{epoch}":
-                discard(spark, old)
-        last[:] = [f"{path}/{epoch}"]
+        df.write.mode("overwrite").parquet(f"{path}/epoch-{epoch:012d}")
+        for old in finished(spark, path):
+            if _epoch(old) < epoch:
+                discard(spark, f"{path}/{old}")
 
     run(stream, each, checkpoint, "complete")
-    return spark.read.schema(stream.schema).parquet(last[0]) if last else spark.createDataFrame([], stream.schema)
+    last = finished(spark, path)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{last[-1]}") if last else spark.createDataFrame([], stream.schema)
 
 
 def daily_summary(events: DataFrame, lateness: str = "1 day") -> DataFrame:
@@ -62,22 +69,42 @@ def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 day"
 
 
 class UpsertedTable:
-    """A Parquet table that batches are upserted into; every batch writes a new version and none is read while written."""
+    """A Parquet table that batches are upserted into: a base and one delta a batch, merged when read.
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: str):
-        self.spark, self.path, self.key, self.order, self.version = spark, path, key, order, None
+    A batch writes its own rows only; every ``compact_every`` batches a new base is written. Nothing is overwritten
+    while it is read.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, order: str, compact_every: int = 10):
+        self.spark, self.path, self.key, self.order, self.compact_every = spark, path, key, order, compact_every
+
+    def parts(self) -> list[str]:
+        """The newest base, if there is one, and the deltas after it."""
+        found = finished(self.spark, self.path)
+        bases, deltas = ([x for x in found if x.startswith(kind)] for kind in ("base", "delta"))
+        since = _epoch(bases[-1]) if bases else -1
+        return bases[-1:] + [x for x in deltas if _epoch(x) > since]
 
     def read(self) -> DataFrame | None:
-        return None if self.version is None else self.spark.read.parquet(f"{self.path}/{self.version}")
+        """Of each key the row of its latest batch, and in that the one of the highest order; None before any batch."""
+        parts = self.parts()
+        if not parts:
+            return None
+        rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{x}").withColumn("_epoch", F.lit(_epoch(x))) for x in parts])
+        return self._last(rows, F.desc("_epoch"), F.desc(self.order)).drop("_epoch")
+
+    def _last(self, rows: DataFrame, *order: Column) -> DataFrame:
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(self.key).orderBy(*order))).where("_n = 1").drop("_n")
 
     def take(self, batch: DataFrame, epoch: int) -> None:
-        old = self.read()
-        rows = relational.upsert(batch.limit(0) if old is None else old, batch, self.key, self.order)
-        before, new = self.version, f"v{epoch}"
-        rows.write.mode("overwrite").parquet(f"{self.path}/{new}")
-        self.version = new
-        if before not in (None, new):
-            discard(self.spark, f"{self.path}/{before}")
+        if any(_epoch(x) >= epoch for x in self.parts()):
+            return  # a replay
+        self._last(batch, F.desc(self.order)).write.mode("overwrite").parquet(f"{self.path}/delta-{epoch:012d}")
+        parts = self.parts()
+        if len(parts) > self.compact_every:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/base-{epoch:012d}")
+            for old in parts:
+                discard(self.spark, f"{self.path}/{old}")
 
 
 def vectorise_backlog(stream: DataFrame, target: str, checkpoint: str, key: str = "id") -> StreamingQuery:

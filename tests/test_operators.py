@@ -49,6 +49,30 @@ def test_grades(spark, level, code, name):
     assert one(spark, I.grade_name(F.lit(level), F.lit(code).cast("string"))) == name
 
 
+@pytest.mark.parametrize(("raw", "subject", "grade", "difficulty", "kind"), [("03", "수학", "초3", "hard", ""), ("수학 심화", "수학", "", "medium", ""), ("11", "미술", "고2", "medium", "선택형"), (None, "수학", "", "medium", ""), ("02 중", "영어", "초2", "medium", ""), ("중3", "수학", "중3", "medium", "")])
+def test_normaliser(spark, raw, subject, grade, difficulty, kind):
+    c = F.lit(raw).cast("string")
+    m = one(spark, I.normal_metadata(c, c, c, c))
+    assert (m.subject, m.grade, m.difficulty, m.question_type) == (subject, grade, difficulty, kind)
+    assert m.school_level == {"초": "초등학교", "중": "중학교", "고": "고등학교"}.get(grade[:1], "")
+
+
+def test_safety_rules_and_modes(spark):
+    """Every rule family has a sentence in the registered query; medium bias counts in strict mode only."""
+    from lectern.operators import quality
+    from lectern.plans.checks import PLANTED
+
+    assert {h[1] for _, hits in PLANTED for h in hits} == {r[1] for r in quality.SAFETY_RULES} and len(quality.SAFETY_RULES) == 14
+    texts = spark.createDataFrame([(1, "요즘 꼰대 이야기"), (2, None), (3, "카지노")], "id long, text string")
+    of = lambda strict: {(r.id, r.family, r.status) for r in quality.screen(texts, strict=strict).collect()}
+    assert of(True) == {(1, "age", "FAIL"), (3, "gambling", "FAIL")} and of(False) == {(3, "gambling", "FAIL")}
+
+
+def test_entity_modes(spark):
+    assert [one(spark, S.verification_mode(F.lit(x).cast("string"))) for x in ("history", "math", "art", None)] == ["strict", "skip", "moderate", "moderate"]
+    assert one(spark, S.entities(F.lit("2001년 5월 7일, 1999년"), "date")) == ["200157"] and one(spark, S.entities(F.lit("2001 1999년"), "year")) == ["1999"]
+
+
 @pytest.mark.parametrize(("text", "json"), [('{"a":1}', '{"a":1}'), ('x ```json\n{"a":2}\n``` y', '{"a":2}'), ("it is {\"a\":3}.", '{"a":3}'), ("none", None), (None, None)])
 def test_json(spark, text, json):
     assert one(spark, S.recovered_json(F.lit(text).cast("string"))) == json

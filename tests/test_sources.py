@@ -4,6 +4,7 @@ import json
 
 from lectern.sources import encode, items
 
+# The format of an item file.
 GOOD = """<?xml version="1.0" encoding="{enc}"?><문항종류><단위문항><문항 id="{id}" qt="11 선택형"><문제><물음><단락><문자열>값은 </문자열><수식>{{ 1 0 }}</수식><문자열> 이다</문자열><그림>ID\\DrawObjPic\\a.png</그림></단락></물음>
 <답항><단락><문자열>x</문자열></단락></답항><답항><단락><수식>y</수식></단락></답항></문제><정답><단락><문자열>2</문자열></단락></정답><해설><단락><문자열>풀이</문자열></단락></해설></문항></단위문항></문항종류>"""
 
@@ -27,6 +28,37 @@ def test_item_files(spark, tmp_path):
     assert {r.id for r in items.parse(spark, str(tmp_path), wanted='id="U').collect()} == {"U1"}
 
 
+NODES = """<문항종류><단위문항><문항 id="N1" qt="31 단답형" df=" 02  상 중" cls1="A13 과정" cls4="수학" cls9="01 작은 단원" kw="가, 나" dyear="2019" qs="s" qns="n"><문제><물음><단락><문자열>값 <수식>x+1</수식> 끝</문자열><문자열>  </문자열><그림> </그림></단락></물음>
+<보기><답항><단락><문자열>deep</문자열></단락></답항></보기><답항><단락><문자열>a</문자열></단락></답항></문제><정답><단락><문자열>1 </문자열><문자열>,3</문자열></단락></정답></문항></단위문항></문항종류>"""
+
+
+def test_nested_and_blank_nodes(spark):
+    """A formula inside a text is a block of its own, what follows it belongs to the text; blank nodes are none; options are direct children."""
+    rows = [("n", NODES), ("s", NODES.replace("물음>", "다른>")), ("y", NODES.replace('dyear="2019"', 'dyear="19a"').replace('qt="31 단답형" ', ""))]
+    found = {r.source_file: r for r in items.parsed(spark.createDataFrame([(p, bytearray(x.encode())) for p, x in rows], "path string, content binary")).collect()}
+    n = found["n"]
+    assert [(b.type, b.content) for b in n.question] == [("text", "값  끝"), ("latex", "x+1")]
+    assert [[b.content for b in c] for c in n.choices] == [["a"]] and n.answer_raw == "1 ,3" and n.images == []
+    assert found["s"].question == [] and found["s"].parse_errors == []
+    m = n.metadata.asDict()
+    assert len(m) == 17
+    assert m == {
+        "difficulty": " 02  상 중".split(" ", 1)[1], "difficulty_code": "02", "question_type": "단답형", "question_type_code": "31", "curriculum": "과정", "school_level": "", "grade": "", "subject": "수학", "subject_detail": "", "semester": "",
+        "unit_large": "", "unit_medium": "", "unit_small": "작은 단원", "keywords": "가, 나", "year": 2019, "source": "s", "exam_name": "n",
+    }
+    assert found["y"].metadata.year is None and found["y"].parse_errors == ["missing qt"]
+
+
+def test_schema_of_item_files(spark):
+    rows = [("a", '<r><x k="1"/><x k="2"><y/></x></r>'), ("b", '<r><y k="' + "z" * 120 + '"><x/></y></r>'), ("c", "<broken"), ("d", "<r>" + "".join(f'<w n="{i:02d}"/>' for i in range(30)) + "</r>")]
+    found = items.edges(spark.createDataFrame([(p, bytearray(x.encode())) for p, x in rows], "path string, content binary"))
+    assert {r.tag: (r.parents, r.children) for r in items.tag_schema(found).collect()} == {"r": (["ROOT"], ["w", "x", "y"]), "x": (["r", "y"], ["y"]), "y": (["r", "x"], ["x"]), "w": (["r"], [])}
+    values = {}
+    for r in items.attribute_samples(found).collect():
+        values.setdefault((r.tag, r.attribute), []).append(r.value)
+    assert sorted(values["x", "k"]) == ["1", "2"] and values["y", "k"] == ["z" * 100 + "..."] and sorted(values["w", "n"]) == [f"{i:02d}" for i in range(10)]
+
+
 def test_part_files(spark, tmp_path):
     (tmp_path / "items_part01.json").write_text(json.dumps({"items": [{"id": 1}, {"id": 2}]}))
     (tmp_path / "items_part02.json").write_text(json.dumps([{"id": 3}]))
