@@ -1,18 +1,19 @@
-"""Language-model scoring: a bigram model by deleted interpolation.
+"""Language-model scoring: a trigram model by deleted interpolation.
 
-P(w | h) = a c(h, w) / c(h) + b c(w) / N + (1 - a - b) / (V + 1), where the weights depend on the bucket of
-log2 c(h). They are learned by expectation-maximisation on held-out counts: chunks of documents in one of ``folds`` folds
-are left out of the counts, and their training documents supply the events. The final counts are those of all
-training documents. A document's score is the sum of log10 P over its tokens, the end included; its first
-token follows an end.
+P(w | g h) = a c(g, h, w) / c(g, h) + b c(h, w) / c(h) + d c(w) / N + e / (V + 1), where the weights depend on the bucket
+of the context: log2 c(g, h), or log2 c(h) where the pair g h is unknown, or neither. They are learned by
+expectation-maximisation on held-out counts: chunks of documents in one of ``folds`` folds are left out of the counts, and
+their training documents supply the events. The final counts are those of all training documents. A document's score is the
+sum of log10 P over its tokens, the end included; its first token follows an end, which for the longest context counts
+as a pair of ends.
 
-Counts of unigrams and bigrams, of all training documents and without any cap, go through the packed exchange
+Counts of all n-grams, of all training documents and without any cap, go through the packed exchange
 (``exchange.py``): chunks ask for the n-grams they hold, so every task sees the counts of its own documents only.
 What the driver gets are N, V and a histogram of bounded size (buckets x quantised probabilities).
 
 Defined cases: null or empty texts are one end token; without training documents N = V = 0 and all mass is
 uniform; a null doc_id counts as the empty text when documents are dealt and held out; repeated rows are scored one by one; columns other than those asked
-for by ``keep`` are dropped.
+for by ``keep`` are dropped; a chunk's documents are dealt by id and text, and rows that are alike in both spread by their place.
 """
 
 from __future__ import annotations
@@ -25,19 +26,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.exchange import messages, pack_counts, pack_sorted, unpack_counts, unpack_sorted
+from lectern.llm.exchange import messages, pack_counts, pack_sorted, scale, unpack_counts, unpack_sorted
 from lectern.llm.packed import PLACES, SOLID, mix, slices, words_of
-from lectern.session import cut, ship
+from lectern.session import bucketed, cut, ship
 
 U = np.uint64
 END = U(0x5851F42D4C957F2D)
-STEPS = 4  # quantisation of probabilities: steps an octave
-START_WEIGHTS = (0.4, 0.4, 0.2)
+STEPS = 2  # quantisation of probabilities: steps an octave
+LEVELS = 64  # buckets of one kind of context: none, then those of h alone (1 to 63), then those of g h (64 to 127)
+START_WEIGHTS = (0.3, 0.3, 0.3, 0.1)
+WORD_BYTES = 6
 LEAST_WEIGHT = 1e-4
 
 
 class Tokens:
-    """Token hashes of some documents, an end after each, and their distinct uni- and bigrams."""
+    """Token hashes of some documents, an end after each, and their distinct n-grams of one to three tokens.
+
+    ``grams`` and ``of`` hold the distinct hashes of each order and which of them each place is; ``context`` is the place
+    in ``grams[0]`` of the token before, ``pair_context`` that of the two tokens before in ``grams[1]``.
+    """
 
     def __init__(self, texts):
         tokens, sizes = [], []
@@ -48,25 +55,38 @@ class Tokens:
             out[np.arange(len(w.start)) + w.doc] = w.hashes()
             tokens.append(out)
             sizes.append(n + 1)
-        self.token = np.concatenate(tokens) if tokens else np.zeros(0, U)
+        token = np.concatenate(tokens) if tokens else np.zeros(0, U)
         self.size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         self.first = np.cumsum(self.size) - self.size
-        before = np.concatenate(([END], self.token[:-1])) if len(self.token) else self.token
-        self.uni, self.uni_of = np.unique(self.token, return_inverse=True)
-        self.bi, self.bi_of = np.unique(mix(before * PLACES[0] + self.token * PLACES[1]), return_inverse=True)
-        end = np.searchsorted(self.uni, END)
-        self.before_of = np.concatenate(([end], self.uni_of[:-1])) if len(self.token) else self.uni_of
+        before = np.concatenate(([END], token[:-1])) if len(token) else token
+        earlier = np.concatenate(([END], before[:-1])) if len(token) else token
+        earlier[self.first] = END  # documents are apart: a first token follows two ends
+        self.grams, self.of = [], []
+        for keys in (token, mix(before * PLACES[0] + token * PLACES[1]), mix(earlier * PLACES[0] + before * PLACES[1] + token * PLACES[2])):
+            every, of = np.unique(keys, return_inverse=True)
+            self.grams.append(every)
+            self.of.append(of.astype(np.int32))
+        self.end = int(np.searchsorted(self.grams[0], END))
+        shifted = lambda x: np.concatenate((x[:1], x[:-1])) if len(x) else x
+        self.context, self.pair_context = shifted(self.of[0]), shifted(self.of[1])
+        self.context[self.first] = self.end
 
     def per_token(self, flag: np.ndarray) -> np.ndarray:
         return np.repeat(flag, self.size)
 
+    def counts(self, n: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """At each place the counts of the pair before, the token before, and the trigram, bigram and unigram that end there."""
+        pair = n[1][self.pair_context]
+        pair[self.first] = n[0][self.end] if len(n[0]) else 0  # two ends: as often as there are documents
+        return pair, n[0][self.context], n[2][self.of[2]], n[1][self.of[1]], n[0][self.of[0]]
+
 
 def _ask(buckets: int):
     def run(chunk: pa.Table) -> pa.Table:
         t = Tokens(chunk.column("text"))
         train = t.per_token(chunk.column("train").to_numpy())
         out = []
-        for kind, keys, of in ((0, t.uni, t.uni_of), (1, t.bi, t.bi_of)):
+        for kind, (keys, of) in enumerate(zip(t.grams, t.of, strict=True)):
             n = np.bincount(of[train], minlength=len(keys))
             for b, a, e in messages(keys, buckets):
                 out.append((chunk.column("chunk")[0].as_py(), kind * buckets + b, pack_sorted(keys[a:e]), pack_counts(n[a:e])))
@@ -104,103 +124,110 @@ def _answer(buckets: int, folds: int):
 ANSWERED = "chunk long, bucket long, total binary, fitted binary, types long, tokens long, fitted_tokens long"
 
 
-def _counts(t: Tokens, answers: pa.Table, column: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of the chunk's unigrams and bigrams, in their order."""
+def _counts(t: Tokens, answers: pa.Table, column: str, buckets: int) -> list[np.ndarray]:
+    """Counts of the chunk's n-grams, in their order."""
     rows = sorted(zip(answers.column("bucket").to_pylist(), answers.column(column), strict=True), key=lambda r: r[0])
-    parts = [[], []]
+    parts: list[list] = [[], [], []]
     for b, x in rows:
-        parts[b >= buckets].append(unpack_counts(x.as_py()).astype(np.float64))
-    return tuple(np.concatenate(p) if p else np.zeros(0) for p in parts)
+        parts[b // buckets].append(unpack_counts(x.as_py()).astype(np.float64))
+    return [np.concatenate(p) if p else np.zeros(0) for p in parts]
 
 
-def _level(c: np.ndarray) -> np.ndarray:
-    """The bucket of a context's count: 0 if it is unknown, else 1 + floor(log2)."""
-    return np.where(c > 0, 1 + np.floor(np.log2(np.maximum(c, 1))), 0).astype(np.int64)
+def bucket_of(pair: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """The bucket of a context by the counts of its two tokens and of the last one."""
+    level = lambda c: 1 + np.floor(np.log2(np.maximum(c, 1)))
+    return np.where(pair > 0, LEVELS - 1 + level(pair), np.where(context > 0, level(context), 0)).astype(np.int64)
 
 
 def _events(buckets: int, fitted_tokens: int):
-    """Held-out events of a chunk as a histogram over (level, quantised bigram and unigram probability)."""
+    """Held-out events of a chunk as a histogram over (bucket, quantised probabilities of the three orders)."""
+    names = ("level", "q3", "q2", "q1", "n")
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        empty = pa.Table.from_pydict({"level": [], "q2": [], "q1": [], "n": []}, pa.schema([(x, pa.int64()) for x in ("level", "q2", "q1", "n")]))
+        schema = pa.schema([(x, pa.int64()) for x in names])
         if not docs.num_rows or not answers.num_rows:
-            return empty
+            return schema.empty_table()
         t = Tokens(docs.column("text"))
-        uni, bi = _counts(t, answers, "fitted", buckets)
         train = t.per_token(docs.column("train").to_numpy())
-        context, pair, word = uni[t.before_of][train], bi[t.bi_of][train], uni[t.uni_of][train]
+        pair, context, three, two, one = (x[train] for x in t.counts(_counts(t, answers, "fitted", buckets)))
         q = lambda n, d: np.where(n > 0, np.round(-STEPS * np.log2(np.maximum(n, 1) / np.maximum(d, 1))), -1).astype(np.int64)
-        cells = np.stack([_level(context), q(pair, context), q(word, fitted_tokens)], 1)
+        cells = np.stack([bucket_of(pair, context), q(three, pair), q(two, context), q(one, fitted_tokens)], 1)
         if not len(cells):
-            return empty
+            return schema.empty_table()
         cells, n = np.unique(cells, axis=0, return_counts=True)
-        return pa.Table.from_pydict({"level": cells[:, 0], "q2": cells[:, 1], "q1": cells[:, 2], "n": n}, empty.schema)
+        return pa.Table.from_arrays([*[pa.array(np.ascontiguousarray(cells[:, i])) for i in range(4)], pa.array(n)], schema=schema)
 
     return run
 
 
-def expectation_maximisation(cells: list[tuple[int, int, int, int]], types: int, rounds: int = 100) -> dict[int, tuple[float, float, float]]:
-    """Weights (bigram, unigram, uniform) of each level, from (level, q2, q1, n) cells."""
+def expectation_maximisation(cells: np.ndarray, types: int, rounds: int = 100) -> dict[int, tuple[float, ...]]:
+    """Weights (trigram, bigram, unigram, uniform) of each bucket, from (bucket, q3, q2, q1, n) cells."""
     weights = {}
-    by: dict[int, list] = {}
-    for level, q2, q1, n in cells:
-        by.setdefault(level, []).append((0.0 if q2 < 0 else 2.0 ** (-q2 / STEPS), 0.0 if q1 < 0 else 2.0 ** (-q1 / STEPS), 1 / (types + 1), n))
-    for level, rows in by.items():
-        p, n = np.array(rows)[:, :3], np.array(rows)[:, 3]
-        w = np.array(START_WEIGHTS if level else (0.0, 0.7, 0.3))
+    p = np.where(cells[:, 1:4] < 0, 0.0, 2.0 ** (-np.maximum(cells[:, 1:4], 0) / STEPS))
+    p = np.column_stack([p, np.full(len(p), 1 / (types + 1))])
+    for bucket in np.unique(cells[:, 0]).tolist():
+        mine = cells[:, 0] == bucket
+        each, n = p[mine], cells[mine, 4].astype(np.float64)
+        least = LEAST_WEIGHT * np.array([bucket >= LEVELS, bucket > 0, True, True])
+        w = start_weights(bucket)
         for _ in range(rounds):
-            part = p * w
+            part = each * w
             part /= part.sum(1, keepdims=True)
-            w = (part * n[:, None]).sum(0) / n.sum()
-            w = np.maximum(w, [LEAST_WEIGHT * (level > 0), LEAST_WEIGHT, LEAST_WEIGHT])
+            w = np.maximum((part * n[:, None]).sum(0) / n.sum(), least)
             w /= w.sum()
-        weights[level] = tuple(w.tolist())
+        weights[bucket] = tuple(w.tolist())
     return weights
 
 
-def weight_table(weights: dict[int, tuple[float, float, float]], levels: int = 64) -> np.ndarray:
-    """One row a level; a level without events takes the weights of the nearest lower one that has some."""
-    out, last = np.zeros((levels, 3)), START_WEIGHTS
-    for k in range(levels):
+def start_weights(bucket: int) -> np.ndarray:
+    """Weights before any event: nothing for the orders whose context is unknown."""
+    w = np.array(START_WEIGHTS) * [bucket >= LEVELS, bucket > 0, 1, 1]
+    return w / w.sum()
+
+
+def weight_table(weights: dict[int, tuple[float, ...]]) -> np.ndarray:
+    """One row a bucket; one without events takes the weights of the nearest lower one of its kind that has some."""
+    out = np.zeros((2 * LEVELS, 4))
+    for k in range(2 * LEVELS):
         if k in weights:
-            last = weights[k]
-        out[k] = last if k else weights.get(0, (0.0, 0.7, 0.3))
-        if k and k not in weights and last is weights.get(0):
-            out[k] = START_WEIGHTS
+            out[k] = weights[k]
+        else:
+            out[k] = start_weights(k) if k in (0, 1, LEVELS) else out[k - 1]
     return out
 
 
 def _score(buckets: int, table: np.ndarray, tokens: int, types: int, names: list[str], schema: pa.Schema):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         t = Tokens(docs.column("text"))
-        uni, bi = _counts(t, answers, "total", buckets)
-        context, pair, word = uni[t.before_of], bi[t.bi_of], uni[t.uni_of]
-        w = table[_level(context)]
-        p = w[:, 0] * pair / np.maximum(context, 1) + w[:, 1] * word / max(tokens, 1) + w[:, 2] / (types + 1)
+        pair, context, three, two, one = t.counts(_counts(t, answers, "total", buckets))
+        w = table[bucket_of(pair, context)]
+        p = w[:, 0] * three / np.maximum(pair, 1) + w[:, 1] * two / np.maximum(context, 1) + w[:, 2] * one / max(tokens, 1) + w[:, 3] / (types + 1)
         add = lambda x: np.add.reduceat(x, t.first) if len(t.first) else np.zeros(0)
         out = {c: docs.column(c) for c in names}
-        out |= {"n_tokens": t.size, "n_known": add((word > 0).astype(np.int64)), "base_score": add(np.log10((word + 1) / (tokens + types + 1))), "score": add(np.log10(p))}
+        out |= {"n_tokens": t.size, "n_known": add((one > 0).astype(np.int64)), "base_score": add(np.log10((one + 1) / (tokens + types + 1))), "score": add(np.log10(p))}
         return pa.Table.from_pydict(out, schema)
 
     return run
 
 
-def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = 12_000_000, bucket_keys: int = 2_000_000, folds: int = 6) -> DataFrame:
+def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), chunk_keys: int = 1_000_000, bucket_keys: int = 2_000_000, folds: int = 6) -> DataFrame:
     """Per row of ``docs``: the columns of ``keep``, n_tokens, n_known, train_tokens, train_types, base_score and score."""
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce("text", F.lit(""))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
-    chunks, buckets = max(2 * folds, math.ceil(size / chunk_bytes)), max(4, math.ceil(size / 5 / bucket_keys))
-    deal = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.octet_length(text)), F.lit(chunks))
-    dealt = docs.select(*keep, text.alias("text"), train.alias("train"), deal.alias("chunk"))
+    tokens = math.ceil(size / WORD_BYTES)
+    chunk, buckets = scale(tokens, chunk_keys, bucket_keys)
+    chunks = max(2 * folds, math.ceil(tokens / chunk))
+    deal = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text, F.monotonically_increasing_id() % 64), F.lit(chunks))
+    dealt = bucketed(docs.select(*keep, text.alias("text"), train.alias("train"), deal.alias("chunk")), "chunks", "chunk")
     asked = dealt.select("text", "train", "chunk").groupBy("chunk").applyInArrow(_ask(buckets), ASKED)
     answers = cut(asked.groupBy("bucket").applyInArrow(_answer(buckets, folds), ANSWERED), "answers")
     types, tokens, fitted_tokens = (x or 0 for x in answers.where("chunk = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("fitted_tokens")).head())
     held = F.col("chunk") % folds == 0
     events = dealt.where(held).select("text", "train", "chunk").groupBy("chunk").cogroup(answers.where(held & (F.col("chunk") >= 0)).select("chunk", "bucket", "fitted").groupBy("chunk"))
-    cells = events.applyInArrow(_events(buckets, fitted_tokens), "level long, q2 long, q1 long, n long").groupBy("level", "q2", "q1").agg(F.sum("n").alias("n"))
-    table = weight_table(expectation_maximisation([tuple(r) for r in cells.collect()], types))
+    cells = events.applyInArrow(_events(buckets, fitted_tokens), "level long, q3 long, q2 long, q1 long, n long").groupBy("level", "q3", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()
+    table = weight_table(expectation_maximisation(np.column_stack([c.to_numpy() for c in cells.columns]), types))
     fields = [docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -208,3 +235,50 @@ def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), c
     run = _score(buckets, table, tokens, types, list(keep), to_arrow_schema(schema))
     scored = dealt.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "bucket", "total").groupBy("chunk")).applyInArrow(run, schema)
     return scored.withColumns({"train_tokens": F.lit(tokens).cast("long"), "train_types": F.lit(types).cast("long")})
+
+
+def brute_force(rows: list[tuple[str, bool]], held: list[bool]) -> list[float]:
+    """Scores of (text, train) rows by plain dictionaries, for tests; ``held``: whose training documents are left out of the fitted counts."""
+    from collections import Counter
+
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    import re
+
+    docs = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(lower)), None] for t, _ in rows]
+
+    def count(which):
+        n = [Counter(), Counter(), Counter()]
+        for d, use in zip(docs, which, strict=True):
+            if use:
+                for i, w in enumerate(d):
+                    h, g = (d[i - 1] if i else None), (d[i - 2] if i > 1 else None)
+                    n[0][w] += 1
+                    n[1][h, w] += 1
+                    n[2][g, h, w] += 1
+        return n
+
+    def places(d, n):
+        for i, w in enumerate(d):
+            h, g = (d[i - 1] if i else None), (d[i - 2] if i > 1 else None)
+            yield (n[0][None] if not i else n[1][g, h]), n[0][h], n[2][g, h, w], n[1][h, w], n[0][w]
+
+    level = lambda c: 1 + math.floor(math.log2(c))
+    bucket = lambda pair, one: LEVELS - 1 + level(pair) if pair else level(one) if one else 0
+    train = [t for _, t in rows]
+    fitted, total = count([t and not h for t, h in zip(train, held, strict=True)]), count(train)
+    n_fitted, n_total, types = sum(fitted[0].values()), sum(total[0].values()), len(total[0])
+    q = lambda n, d: int(np.round(-STEPS * math.log2(n / d))) if n else -1
+    cells: Counter = Counter()
+    for d, t, h in zip(docs, train, held, strict=True):
+        if t and h:
+            for pair, one, n3, n2, n1 in places(d, fitted):
+                cells[bucket(pair, one), q(n3, pair), q(n2, one), q(n1, n_fitted)] += 1
+    table = weight_table(expectation_maximisation(np.array([[*k, n] for k, n in cells.items()]).reshape(-1, 5), types))
+    out = []
+    for d in docs:
+        s = 0.0
+        for pair, one, n3, n2, n1 in places(d, total):
+            w = table[bucket(pair, one)]
+            s += math.log10(w[0] * n3 / max(pair, 1) + w[1] * n2 / max(one, 1) + w[2] * n1 / max(n_total, 1) + w[3] / (types + 1))
+        out.append(s)
+    return out
