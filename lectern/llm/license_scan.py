@@ -1,46 +1,45 @@
-"""License scans: lines, paragraphs and whole texts against licence templates by Dice coefficient.
+"""License scans: sentences, lines, paragraphs and whole texts against licence templates by Dice coefficient.
 
-A unit of text (each line, each paragraph between blank lines, the whole text) is normalised to words, and its
-set of word bigrams is compared with each template's: Dice = 2 |A and B| / (|A| + |B|). A pair can only reach
-a threshold t if the smaller set has at least t / (2 - t) of the larger's bigrams, so templates of other sizes
-are left out before any comparison, and so are units that share no bigram with any template.
+A unit of text is normalised to words, and its set of word bigrams is compared with each template's: Dice =
+2 |A and B| / (|A| + |B|). A pair can only reach a threshold t if the smaller set has at least t / (2 - t) of the larger's
+bigrams, so templates of other sizes are left out before any comparison.
 
-Templates are rows of (license_id, text); the standard ones are below. They are turned into literals of
-the plan, which :func:`scan` allows up to ``max_templates``.
+Two steps go ahead of that. A unit that reaches t shares at least t / (2 - t) of the template's bigrams with it. So a few
+word stems are chosen that lie in more than the rest of each template's bigrams: a text that holds none of them matches
+nothing, and neither does a unit without one.
+
+Templates are (license_id, text) pairs; the standard ones are in ``license_texts.py``, and :func:`read_templates` takes more from a
+folder. They become literals of the plan, up to ``max_templates``.
+
+Units are the whole text, its paragraphs (between blank lines), its lines, and its sentences (up to a mark of .!?; before
+a blank, or the end of a line). A notice inside a sentence of other words is found only as far as its Dice goes.
 
 Defined cases: null and empty texts and units of one word have no bigrams and match nothing; equal scores go
-to the smaller license_id; repeated rows are scanned one by one; extra columns pass through.
+to the smaller license_id; repeated rows are scanned one by one; extra columns pass through; an input column named
+``_ls_hits`` raises an error.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.license_texts import standard
 from lectern.llm.text import let, whole
 
-# Usual notices and short texts of public licences.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
-    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-]
+TEMPLATES = standard()
+THRESHOLD = 0.75
+HITS = "array<struct<license_id:string,dice:double,unit:string>>"
+SENTENCE_END = "([.!?;])\\s+"
+
+
+def read_templates(spark: SparkSession, folder: str, max_templates: int = 2000) -> list[tuple[str, str]]:
+    """(file name, text) of the files of a folder: each whole, and its paragraphs of twelve words or more."""
+    whole_texts = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)$", 1).alias("name"), F.col("value"))
+    found: dict[tuple[str, str], None] = {}
+    for name, text in whole_texts.orderBy("name").limit(max_templates).toLocalIterator():
+        found |= {(name, p): None for p in [text, *text.split("\n\n")] if len(p.split()) >= 12}
+    return list(found)
 
 
 def normal_words(text: str) -> list[str]:
@@ -49,12 +48,40 @@ def normal_words(text: str) -> list[str]:
 
 
 def template_bigrams(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    out = []
+    out: dict[tuple[str, tuple], None] = {}
     for name, text in sorted(templates):
         w = normal_words(text)
-        if pairs := sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}):
-            out.append((name, pairs))
-    return out
+        if pairs := tuple(sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})):
+            out[name, pairs] = None
+    return [(name, list(pairs)) for name, pairs in out]
+
+
+# Starts of words that most English texts hold, not taken as stems while others do.
+COMMON = ["other", "under", "being", "should", "shall", "public", "person", "source", "follow", "includ", "provid", "except", "receiv", "whethe", "public", "author", "origin", "withou", "specif", "specia", "works", "terms", "forms", "names", "rights", "action", "produc", "creati", "remove", "useful", "writte", "purpos", "street", "least"]
+
+
+def stems(known: list[tuple[str, list[str]]], ratio: float, size: int = 6) -> list[str]:
+    """Starts of words, one of which lies in more than 1 - ratio of each template's bigrams: few, and rare in other texts.
+
+    The one that brings most templates nearest to that share is taken again and again.
+    """
+    chosen: list[str] = []
+    left = [({p: {w[:size] for w in p.split()} for p in pairs}, int((1 - ratio) * len(pairs)) + 1) for _, pairs in known]
+    while left:
+        gain: dict[str, float] = {}
+        for pairs, need in left:
+            count: dict[str, int] = {}
+            for starts in pairs.values():
+                for s in starts:
+                    count[s] = count.get(s, 0) + 1
+            for s, n in count.items():
+                worth = 1.0 if len(s) == size and s not in COMMON else 1e-3 if len(s) > 3 and s not in COMMON else 1e-6
+                gain[s] = gain.get(s, 0.0) + worth * min(n, need) / need
+        best = max(gain, key=lambda s: (gain[s], s))
+        chosen.append(best)
+        after = [({p: starts for p, starts in pairs.items() if best not in starts}, need - sum(best in starts for starts in pairs.values())) for pairs, need in left]
+        left = [(pairs, need) for pairs, need in after if need > 0]
+    return chosen
 
 
 def bigrams(text: Column) -> Column:
@@ -63,16 +90,27 @@ def bigrams(text: Column) -> Column:
     return let(ws, lambda w: F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))))
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.75, max_templates: int = 2000) -> DataFrame:
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, max_templates: int = 2000) -> DataFrame:
     """``docs`` plus _ls_hits: array of (license_id, dice, unit), one for each unit that reaches the threshold."""
+    if "_ls_hits" in docs.columns:
+        raise ValueError("column _ls_hits has a name that the licence scan uses")
     known = template_bigrams(templates if templates is not None else TEMPLATES)
     if len(known) > max_templates:
         raise ValueError("too many templates for literals")
+    none = F.array().cast(HITS)
     if not known:
-        return docs.withColumn("_ls_hits", F.array().cast("array<struct<license_id:string,dice:double,unit:string>>"))
-    every = F.array(*[F.lit(x) for x in sorted({p for _, pairs in known for p in pairs})])
-    most = max(len(pairs) for _, pairs in known)
+        return docs.withColumn("_ls_hits", none)
     ratio = threshold / (2 - threshold)
+    literal = lambda pairs: F.split(F.lit("|".join(pairs)), "[|]")  # noqa: E731  folded to a constant by Spark
+    marks = stems(known, ratio)
+    least, most = min(len(p) for _, p in known) * ratio, max(len(p) for _, p in known) / ratio
+
+    def marked(text: Column) -> Column:
+        """Whether a lower-cased text holds a stem."""
+        hit = text.contains(marks[0])
+        for s in marks[1:]:
+            hit = hit | text.contains(s)
+        return hit
 
     def best(found: Column) -> Column:
         """The best template of a unit with these bigrams, as (dice, license_id), or null."""
@@ -80,14 +118,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         def one(name: str, pairs: list[str]) -> Column:
             n = len(pairs)
             fits = (F.size(found) >= ratio * n) & (n >= ratio * F.size(found))
-            shared = F.size(F.array_intersect(found, F.array(*[F.lit(p) for p in pairs])))
+            shared = F.size(F.array_intersect(found, literal(pairs)))
             return F.when(fits, F.struct((2.0 * shared / (F.size(found) + n)).alias("dice"), F.lit(name).alias("license_id")))
 
         scores = F.filter(F.array(*[one(*k) for k in known]), lambda s: s.isNotNull() & (s["dice"] >= threshold))
         ranked = F.array_sort(scores, lambda a, b: F.when(a["dice"] > b["dice"], -1).when(a["dice"] < b["dice"], 1).when(a["license_id"] < b["license_id"], -1).when(a["license_id"] > b["license_id"], 1).otherwise(0))
-        return F.when((F.size(found) > 0) & (F.size(found) * ratio <= most) & F.arrays_overlap(found, every), F.get(ranked, 0))
+        return F.when((F.size(found) >= least) & (F.size(found) <= most), F.get(ranked, 0))
 
     text = whole("text")
-    units = F.array_distinct(F.concat(F.split(text, "\n", -1), F.split(text, "\n[ \\t\\r]*\n", -1), F.array(text)))
-    scored = F.transform(units, lambda u: let(let(bigrams(u), best), lambda s: F.struct(s["license_id"].alias("license_id"), s["dice"].alias("dice"), u.alias("unit"))))
-    return docs.withColumn("_ls_hits", F.filter(scored, lambda s: s["license_id"].isNotNull()))
+    units = F.array_distinct(F.concat(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n", -1), F.split(text, "\n", -1), F.split(text, "\n[ \\t\\r]*\n", -1), F.array(text)))
+    marked_units = F.filter(units, lambda u: marked(F.lower(u)))
+    scored = F.transform(marked_units, lambda u: let(let(bigrams(u), best), lambda s: F.struct(s["license_id"].alias("license_id"), s["dice"].alias("dice"), u.alias("unit"))))
+    return docs.withColumn("_ls_hits", F.when(marked(F.lower(text)), F.filter(scored, lambda s: s["license_id"].isNotNull())).otherwise(none))

@@ -18,7 +18,7 @@ WITH templates(nr, license_id, text) AS (VALUES
   {TEMPLATE_ROWS}),
 t AS (SELECT nr, license_id, {_bigrams("text")} AS b FROM templates),
 units AS (
-  SELECT DISTINCT doc_id, unnest(list_concat(string_split(x, chr(10)), string_split_regex(x, '\\n[ \\t\\r]*\\n'), [x])) AS unit
+  SELECT DISTINCT doc_id, unnest(list_concat(string_split(regexp_replace(x, '([.!?;])\\s+', '\\1' || chr(10), 'g'), chr(10)), string_split(x, chr(10)), string_split_regex(x, '\\n[ \\t\\r]*\\n'), [x])) AS unit
   FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents)),
 u AS (SELECT doc_id, unit, {_bigrams("unit")} AS b FROM units),
 scored AS (
