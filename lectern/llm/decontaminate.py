@@ -141,7 +141,7 @@ def candidates(w, bits: np.ndarray, sizes: list[int]) -> dict[int, list[dict]]:
     return found
 
 
-def _pass(shared, sizes: list[int], text: str, schema: T.StructType):
+def _pass(shared, sizes: list[int], text: str, kept: list[str], schema: T.StructType):
     """Documents with their number of words and the windows that may match, as _dc_words and _dc_windows."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -155,21 +155,23 @@ def _pass(shared, sizes: list[int], text: str, schema: T.StructType):
                 n_words.extend(np.diff(w.first).tolist())
                 for d, some in candidates(w, shared.value, sizes).items():
                     windows[i + d] = some
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array(windows, kind)], names=[*batch.schema.names, "_dc_words", "_dc_windows"])
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(windows, kind)], names=[*kept, "_dc_words", "_dc_windows"])
 
     return run
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bits: int = 29) -> DataFrame:
-    """``docs`` plus _dc_words (long), _dc_spans (hit runs of words: start, end, start, end ...) and _dc_items (sorted ids)."""
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bits: int = 29, keep_text: bool = True) -> DataFrame:
+    """``docs``, without the text if asked, plus _dc_words (long), _dc_spans (hit runs of words: start, end, start, end ...) and _dc_items (sorted ids)."""
     spark = docs.sparkSession
     ship(spark)
     if clash := [c for c in docs.columns if c.startswith("_dc_")]:
         raise ValueError(f"columns {clash} have names that decontamination uses")
     windows = cut(windows_of(benchmark), "windows")
     sizes = [r.size for r in windows.select("size").distinct().orderBy("size").collect()]  # at most SPAN numbers
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema], T.StructField("_dc_words", T.LongType()), T.StructField("_dc_windows", T._parse_datatype_string(WINDOWS))])
-    passed = docs.mapInArrow(_pass(spark.sparkContext.broadcast(bitmap(windows, most_bits)), sizes, text, schema), schema)
+    kept = [c for c in docs.columns if keep_text or c != text]
+    schema = T.StructType([*[T.StructField(c, docs.schema[c].dataType, True) for c in kept], T.StructField("_dc_words", T.LongType()), T.StructField("_dc_windows", T._parse_datatype_string(WINDOWS))])
+    passed = docs.mapInArrow(_pass(spark.sparkContext.broadcast(bitmap(windows, most_bits)), sizes, text, kept, schema), schema)
     few = cut(passed.where(F.size("_dc_windows") > 0).withColumn("_dc_row", F.monotonically_increasing_id()), "candidates")
     each = few.select("_dc_row", F.explode("_dc_windows").alias("w")).select("_dc_row", "w.*")
     held = windows.groupBy("size", "words").agg(F.collect_set("item").alias("items"))
@@ -178,8 +180,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_bits: i
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_dc_items"),
     )
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    hit = few.join(hits, "_dc_row", "left").select(*docs.columns, "_dc_words", F.coalesce("_dc_spans", none("long")).alias("_dc_spans"), F.coalesce("_dc_items", none("string")).alias("_dc_items"))
-    rest = passed.where(F.size("_dc_windows") == 0).select(*docs.columns, "_dc_words", none("long").alias("_dc_spans"), none("string").alias("_dc_items"))
+    hit = few.join(hits, "_dc_row", "left").select(*kept, "_dc_words", F.coalesce("_dc_spans", none("long")).alias("_dc_spans"), F.coalesce("_dc_items", none("string")).alias("_dc_items"))
+    rest = passed.where(F.size("_dc_windows") == 0).select(*kept, "_dc_words", none("long").alias("_dc_spans"), none("string").alias("_dc_items"))
     return rest.unionByName(hit)
 
 
