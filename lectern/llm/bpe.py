@@ -10,7 +10,7 @@ The vocabulary is a ``tokenizers`` JSON file of the byte-level kind (about 50,00
 broadcast, and :func:`load` refuses more than MAX_TOKENS). Special tokens in a text count as such.
 
 Defined cases: null counts as the empty text, which has no ids and decodes to the empty text; ids that
-aren't in the vocabulary decode to nothing; bytes that aren't UTF-8 decode to U+FFFD; repeated rows are encoded
+aren't in the vocabulary decode to nothing; bytes that aren't UTF-8, in a text or decoded from ids, count as U+FFFD; repeated rows are encoded
 one by one; extra columns pass through.
 """
 
@@ -223,7 +223,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str
             old = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             for i, j, buf, at in slices(batch.column(batch.schema.get_field_index(text))):
                 raw = buf.tobytes()
-                flat, starts = shared.value.encode([raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)])
+                flat, starts = shared.value.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:], strict=False)])
                 new = [pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat, pa.int32()))]
                 if decoded:
                     new.append(_strings(*shared.value.decode(flat, starts)))

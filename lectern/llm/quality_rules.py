@@ -10,7 +10,8 @@ for characters.
 Defined cases: null or empty text has no words and fails the plain rules; a document with null lang, or with
 a lang whose reference has fewer than ``min_reference`` words, is judged by the plain rules alone; documents
 under the minimum lengths are not judged by the distances; ties among common words go by the word; repeated
-rows are judged one by one; extra columns pass through untouched.
+rows are judged one by one; extra columns pass through untouched. Its own columns start with ``_qr``; input
+columns of those names raise an error.
 """
 
 from __future__ import annotations
@@ -188,6 +189,8 @@ def judge(
     The references and bounds are written once. They are broadcast only if there are at most
     ``max_broadcast_languages`` of them (about 10 kB each); otherwise Spark joins them by language.
     """
+    if clash := [c for c in docs.columns if c.startswith("_qr")]:
+        raise ValueError(f"columns {clash} have names that the quality rules use")
     few = lambda df, n: F.broadcast(df) if n <= max_broadcast_languages else df
     refs = cut(references(docs, common, min_reference), "references")
     n_refs = refs.count()
