@@ -97,15 +97,36 @@ def test_line_runs_levels(spark):
     assert owners == {0: 0, 1: 0, 2: 0, 3: 1, 4: 2, 5: 3}
 
 
-def test_license_scan(spark, odd, empty):
+def test_license_scan(spark, odd, empty, repeated):
     hits = {r.doc_id: r._ls_hits for r in license_scan.scan(odd).collect()}
     assert [(h.license_id, h.dice, h.unit) for h in hits[15]] == [("MIT", 1.0, "Released under the MIT License."), ("MIT", 0.8, dict(TEXTS)[15])]
     assert not any(hits[d] for d, _ in TEXTS if d != 15)
-    assert license_scan.scan(empty).count() == 0
+    assert license_scan.scan(empty).count() == 0 and license_scan.scan(repeated).count() == repeated.count()
     assert not any(r._ls_hits for r in license_scan.scan(odd, templates=[]).collect())
-    mit = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 100)
-    whole = spark.createDataFrame([(1, mit.replace(", ", ",\n").upper())], "doc_id long, text string")
-    assert [h.license_id for h in license_scan.scan(whole).head()._ls_hits] == ["MIT"]
+    with pytest.raises(ValueError, match="_ls_hits"):
+        license_scan.scan(odd.withColumn("_ls_hits", F.lit(1)))
+
+
+def test_license_scan_finds_whole_texts(spark):
+    """Every licence text, wrapped and in capitals or behind code, and notices inside other text, are found under their names."""
+    import textwrap
+
+    from lectern.llm.license_texts import TEXTS as LICENCES
+
+    rows = [(i, "\n".join(textwrap.wrap(t.upper().replace("\n\n", " @@ "), 60)).replace(" @@ ", "\n\n")) for i, (_, t) in enumerate(LICENCES)]
+    rows += [(100, "int main() {}\n\n" + dict(LICENCES)["MIT"] + "\n\nvoid f();"), (101, "Copyright 2020 Jane Doe. Released under the MIT License. All else follows."), (102, "# SPDX-License-Identifier: GPL-3.0-or-later\ncode"), (103, "a plain story about a licence of no kind")]
+    found = {r.doc_id: {h.license_id for h in r._ls_hits} for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (name, _) in enumerate(LICENCES):
+        assert name in found[i], name
+    assert found[100] == {"MIT"} and found[101] == {"MIT"} and found[102] == {"GPL-3.0"} and found[103] == set()
+
+
+def test_license_stems():
+    """No template can be matched by a unit without a stem: the stems lie in more bigrams than a match may miss."""
+    known = license_scan.template_bigrams(license_scan.TEMPLATES)
+    marks = license_scan.stems(known, 0.6)
+    for name, pairs in known:
+        assert sum(any(w.startswith(s) for w in p.split() for s in marks) for p in pairs) > 0.4 * len(pairs), name
 
 
 @pytest.mark.parametrize("bits", [29, 6])  # six bits let every window through to the join
@@ -138,13 +159,15 @@ def test_bpe(spark, odd, empty, docs, repeated):
             assert r.decoded == known.decode(ids, skip_special_tokens=False) == (r.text or "")
     assert bpe.encode(empty, vocabulary).count() == 0
     assert bpe.encode(repeated, vocabulary).count() == repeated.count()
+    broken = spark.createDataFrame([(1, bytes([97, 0xFF, 0xC3, 98]))], "doc_id long, raw binary").select("doc_id", F.col("raw").cast("string").alias("text"))
+    assert bpe.encode(broken, vocabulary).head().ids == known.encode("a\ufffd\ufffdb", add_special_tokens=False).ids
     bad = spark.createDataFrame([([known.encode("é").ids[0], 10**6, -1, None],), (None,)], "ids array<int>")
     assert [r.decoded for r in bpe.decode(bad, vocabulary).collect()][1] == ""
 
 
 def test_lm(spark, odd, empty, docs):
     for df in (odd, docs):
-        rows = lm.score(df, train=classify.fold(F.col("doc_id"), 7) != 2, chunk_bytes=50_000, bucket_keys=5_000).collect()
+        rows = lm.score(df, train=classify.fold(F.col("doc_id"), 7) != 2, chunk_keys=8_000, bucket_keys=5_000).collect()
         tokens = {r.doc_id: [*re.findall(r"[^\x20\x09-\x0D]+", (r.text or "").translate(LOWER)), None] for r in df.collect()}
         count = Counter(t for d, ts in tokens.items() if zlib.crc32(str(d).encode()) % 7 != 2 for t in ts)
         n, v = sum(count.values()), len(count)
@@ -160,19 +183,31 @@ def test_lm(spark, odd, empty, docs):
     assert lm.score(odd, train=F.lit(False)).count() == odd.count()
 
 
-def test_lm_is_a_distribution():
-    """With a known context, the probabilities of all words and the unknown one sum to 1."""
-    bigram, unigram, total = {"a": 3, "b": 1}, {"a": 5, "b": 4, "c": 1}, 10
-    for w2, w1, w0 in lm.weight_table({1: (0.5, 0.3, 0.2)})[:8]:
-        if w2 > 0:
-            p = sum(w2 * bigram.get(w, 0) / 4 + w1 * unigram[w] / total + w0 / 4 for w in unigram) + w0 / 4
-            assert p == pytest.approx(1)
+def test_lm_scores_are_those_of_a_plain_model(spark, odd):
+    """The same chunks held out, the same cells and weights: scores equal those from plain dictionaries."""
+    texts = [(i, " ".join(f"w{(i * i + j * j) % (7 + i % 5)}" for j in range(3 + i % 9))) for i in range(60)] + [(60, None), (61, "W1 w1\tw2")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.score for r in lm.score(df, train=F.col("doc_id") % 5 != 2, folds=3).collect()}
+    deal = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.monotonically_increasing_id() % 64), F.lit(6))
+    held = {r.doc_id: r.c % 3 == 0 for r in df.select("doc_id", deal.alias("c")).collect()}
+    want = lm.brute_force([(t, d % 5 != 2) for d, t in texts], [held[d] for d, _ in texts])
+    assert any(held.values()) and [got[d] for d, _ in texts] == pytest.approx(want)
+
+
+def test_lm_weights():
+    """Every bucket's weights sum to 1; unknown contexts give nothing to the orders that need them."""
+    table = lm.weight_table({lm.LEVELS: (0.4, 0.3, 0.2, 0.1), 3: (0.0, 0.5, 0.3, 0.2)})
+    assert table.sum(1) == pytest.approx(1) and not table[: lm.LEVELS, 0].any() and table[0, 1] == 0
+    assert table[lm.LEVELS + 5].tolist() == [0.4, 0.3, 0.2, 0.1] and table[9].tolist() == [0.0, 0.5, 0.3, 0.2]
 
 
 def test_em_finds_the_mixture():
-    cells = [(3, 0, 4, 900), (3, -1, 4, 100)]  # a bigram probability of 1 nine times out of ten
-    w = lm.expectation_maximisation(cells, types=10**6)[3]
-    assert w[0] == pytest.approx(0.8, abs=0.05) and sum(w) == pytest.approx(1)
+    import numpy as np
+
+    k = lm.LEVELS + 2
+    cells = np.array([(k, 0, -1, 4, 900), (k, -1, -1, 4, 100)])  # a trigram probability of 1 nine times out of ten
+    w = lm.expectation_maximisation(cells, types=10**6)[k]
+    assert w[0] == pytest.approx(0.87, abs=0.05) and sum(w) == pytest.approx(1)
 
 
 @pytest.mark.parametrize(("module", "label", "threshold"), [(toxicity, "toxic", 0.7), (quality_model, "quality", 0.5)])
@@ -215,6 +250,8 @@ def test_quality_rules(spark, odd, empty, docs, repeated, sf):
     assert judged.where("quality = 0 AND _qr_kept").count() <= 15
     assert quality_rules.judge(empty).count() == 0
     assert quality_rules.judge(repeated).count() == repeated.count()
+    with pytest.raises(ValueError, match="_qr_kept"):
+        quality_rules.judge(odd.withColumn("_qr_kept", F.lit(True)))
 
 
 def test_quality_rules_wrong_language(spark):
