@@ -13,22 +13,25 @@ What the driver gets are N, V and a histogram of bounded size (buckets x quantis
 
 Defined cases: null or empty texts are one end token; without training documents N = V = 0 and all mass is
 uniform; a null doc_id counts as the empty text when documents are dealt and held out; repeated rows are scored one by one; columns other than those asked
-for by ``keep`` are dropped; a chunk's documents are dealt by id and text, and rows that are alike in both spread by their place.
+for by ``keep`` are dropped. A chunk is a run of rows of one partition, so ``docs`` has to be a stored table, which gives the same rows
+in the same order whenever it is read; a chunk that comes back otherwise raises an error.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.exchange import messages, pack_counts, pack_sorted, scale, unpack_counts, unpack_sorted
 from lectern.llm.packed import PLACES, SOLID, mix, slices, words_of
-from lectern.session import bucketed, cut, ship
+from lectern.session import cut, forget, ship
 
 U = np.uint64
 END = U(0x5851F42D4C957F2D)
@@ -81,21 +84,44 @@ class Tokens:
         return pair, n[0][self.context], n[2][self.of[2]], n[1][self.of[1]], n[0][self.of[0]]
 
 
-def _ask(buckets: int):
-    def run(chunk: pa.Table) -> pa.Table:
-        t = Tokens(chunk.column("text"))
-        train = t.per_token(chunk.column("train").to_numpy())
-        out = []
-        for kind, (keys, of) in enumerate(zip(t.grams, t.of, strict=True)):
-            n = np.bincount(of[train], minlength=len(keys))
-            for b, a, e in messages(keys, buckets):
-                out.append((chunk.column("chunk")[0].as_py(), kind * buckets + b, pack_sorted(keys[a:e]), pack_counts(n[a:e])))
-        return pa.Table.from_pydict(dict(zip(("chunk", "bucket", "keys", "counts"), zip(*out, strict=True), strict=True)), pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())]))
+ASKED = "chunk long, bucket long, keys binary, counts binary"
+ASKED_SCHEMA = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+
+def chunks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(chunk, rows): runs of rows of a partition with about ``size`` bytes of text; their numbers are unique."""
+    serial = TaskContext.get().partitionId() << 24
+    for batch in batches:
+        for i, j, _, _ in slices(batch.column(batch.schema.get_field_index("text")), size):
+            yield serial, batch.slice(i, j - i)
+            serial += 1
+
+
+def _ask(buckets: int, size: int):
+    """Messages of the chunks of a partition: distinct n-grams and how often training documents hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in chunks_of(batches, size):
+            t = Tokens(rows.column("text"))
+            train = t.per_token(rows.column("train").to_numpy(zero_copy_only=False))
+            out = []
+            for kind, (keys, of) in enumerate(zip(t.grams, t.of, strict=True)):
+                n = np.bincount(of[train], minlength=len(keys))
+                out.extend((chunk, kind * buckets + b, pack_sorted(keys[a:e]), pack_counts(n[a:e])) for b, a, e in messages(keys, buckets))
+            yield pa.RecordBatch.from_pydict(dict(zip(ASKED_SCHEMA.names, zip(*out, strict=True), strict=True)), ASKED_SCHEMA)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-ASKED = "chunk long, bucket long, keys binary, counts binary"
+def numbered(docs: DataFrame, size: int) -> DataFrame:
+    """``docs`` with the number of each row's chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, rows in chunks_of(batches, size):
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.full(rows.num_rows, chunk, np.int64))], names=[*rows.schema.names, "chunk"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema, T.StructField("chunk", T.LongType())]))
 
 
 def _answer(buckets: int, folds: int):
@@ -130,7 +156,10 @@ def _counts(t: Tokens, answers: pa.Table, column: str, buckets: int) -> list[np.
     parts: list[list] = [[], [], []]
     for b, x in rows:
         parts[b // buckets].append(unpack_counts(x.as_py()).astype(np.float64))
-    return [np.concatenate(p) if p else np.zeros(0) for p in parts]
+    out = [np.concatenate(p) if p else np.zeros(0) for p in parts]
+    if [len(n) for n in out] != [len(g) for g in t.grams]:
+        raise ValueError("a chunk of documents was not read again as it was; store the documents first")
+    return out
 
 
 def bucket_of(pair: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -212,28 +241,28 @@ def _score(buckets: int, table: np.ndarray, tokens: int, types: int, names: list
 
 def score(docs: DataFrame, train: Column, keep: tuple[str, ...] = ("doc_id",), chunk_keys: int = 1_000_000, bucket_keys: int = 2_000_000, folds: int = 6) -> DataFrame:
     """Per row of ``docs``: the columns of ``keep``, n_tokens, n_known, train_tokens, train_types, base_score and score."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
     ship(spark)
     text = F.coalesce("text", F.lit(""))
+    rows = docs.select(*keep, text.alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).head()[0]
     tokens = math.ceil(size / WORD_BYTES)
     chunk, buckets = scale(tokens, chunk_keys, bucket_keys)
-    chunks = max(2 * folds, math.ceil(tokens / chunk))
-    deal = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text, F.monotonically_increasing_id() % 64), F.lit(chunks))
-    dealt = bucketed(docs.select(*keep, text.alias("text"), train.alias("train"), deal.alias("chunk")), "chunks", "chunk")
-    asked = dealt.select("text", "train", "chunk").groupBy("chunk").applyInArrow(_ask(buckets), ASKED)
+    limit = max(1, min(chunk * WORD_BYTES, size // (2 * folds)))  # some chunks for each fold, however small the input
+    asked = rows.select("text", "train").mapInArrow(_ask(buckets, limit), ASKED)
     answers = cut(asked.groupBy("bucket").applyInArrow(_answer(buckets, folds), ANSWERED), "answers")
     types, tokens, fitted_tokens = (x or 0 for x in answers.where("chunk = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("fitted_tokens")).head())
     held = F.col("chunk") % folds == 0
-    events = dealt.where(held).select("text", "train", "chunk").groupBy("chunk").cogroup(answers.where(held & (F.col("chunk") >= 0)).select("chunk", "bucket", "fitted").groupBy("chunk"))
+    events = numbered(rows.select("text", "train"), limit).where(held).groupBy("chunk").cogroup(answers.where(held & (F.col("chunk") >= 0)).select("chunk", "bucket", "fitted").groupBy("chunk"))
     cells = events.applyInArrow(_events(buckets, fitted_tokens), "level long, q3 long, q2 long, q1 long, n long").groupBy("level", "q3", "q2", "q1").agg(F.sum("n").alias("n")).toArrow()
     table = weight_table(expectation_maximisation(np.column_stack([c.to_numpy() for c in cells.columns]), types))
-    fields = [docs.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())]
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = T.StructType(fields)
+    schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
     run = _score(buckets, table, tokens, types, list(keep), to_arrow_schema(schema))
-    scored = dealt.groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "bucket", "total").groupBy("chunk")).applyInArrow(run, schema)
+    scored = numbered(rows.select(*keep, "text"), limit).groupBy("chunk").cogroup(answers.where("chunk >= 0").select("chunk", "bucket", "total").groupBy("chunk")).applyInArrow(run, schema)
+    scored = cut(scored, "scores")
+    forget(answers)
     return scored.withColumns({"train_tokens": F.lit(tokens).cast("long"), "train_types": F.lit(types).cast("long")})
 
 
