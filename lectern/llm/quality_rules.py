@@ -182,12 +182,14 @@ def bounds(figures: DataFrame, words_fence: float, chars_factor: float, min_band
 
 def judge(
     docs: DataFrame, common: int = 64, min_reference: int = 2000, min_chars: int = 200, min_words: int = 50,
-    words_fence: float = 2.0, chars_factor: float = 2.5, min_band: int = 20, max_broadcast_languages: int = 2000,
+    words_fence: float = 2.0, chars_factor: float = 2.5, min_band: int = 20, max_broadcast_languages: int = 2000, keep_text: bool = True,
 ) -> DataFrame:
-    """``docs`` plus _qr (struct of every figure) and _qr_kept (boolean).
+    """``docs``, without the text if asked, plus _qr (struct of every figure), _qr_failed and _qr_kept (boolean).
 
     The references and bounds are written once. They are broadcast only if there are at most
-    ``max_broadcast_languages`` of them (about 10 kB each); otherwise Spark joins them by language.
+    ``max_broadcast_languages`` of them (about 10 kB each); otherwise Spark joins them by language. Bounds need the
+    distances of all documents before any is judged: without the text all figures are written and read again, with it
+    the two distances are computed twice, so that texts needn't be written.
     """
     if clash := [c for c in docs.columns if c.startswith("_qr")]:
         raise ValueError(f"columns {clash} have names that the quality rules use")
@@ -200,17 +202,10 @@ def judge(
         return F.when(F.size(w) >= min_words, word_distance(w, F.col("_qr_top_words"), F.col("_qr_slots"), F.col("_qr_word_ref")))
 
     def chars_distance(c: Column) -> Column:
-        return js_distance(F.array(*[c[x] for x in CLASSES]), F.col("_qr_char_ref"))
+        return F.when(F.length(text) >= min_chars, js_distance(F.array(*[c[x] for x in CLASSES]), F.col("_qr_char_ref")))
 
-    long = F.when(F.length(text) >= min_chars, let(char_counts(text), chars_distance)).alias("chars_distance")
-    spread = docs.join(few(refs, n_refs), docs["lang"] == refs["_qr_lang"])
-    spread = spread.select("_qr_lang", let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), words_distance(w).alias("words_distance"), long)).alias("f"))
-    limits = cut(bounds(spread.select("_qr_lang", "f.*"), words_fence, chars_factor, min_band), "bounds")
-    refs = refs.join(few(limits, n_refs), refs["_qr_lang"] == limits["_qr_bound_lang"], "left")
-    joined = docs.join(few(refs, n_refs), docs["lang"] == refs["_qr_lang"], "left")
-    ws = words(text)
     figures = let(
-        ws,
+        words(text),
         lambda w: let(
             char_counts(text),
             lambda c: F.struct(
@@ -222,14 +217,24 @@ def judge(
                 F.length(text).cast("long").alias("n_chars"),
                 chars_distance(c).alias("chars_distance"),
                 words_distance(w).alias("words_distance"),
-                F.try_element_at("_qr_bounds", F.lit(CHARS)).alias("chars_bound"),
-                F.coalesce(F.try_element_at("_qr_bounds", octave(F.size(w))), F.try_element_at("_qr_bounds", F.lit(WORDS))).alias("words_bound"),
             ),
         ),
     )
-    out = joined.select(*[docs[c] for c in docs.columns], figures.alias("_qr"))
+    kept = [c for c in docs.columns if keep_text or c != "text"]
+    joined = docs.join(few(refs, n_refs), docs["lang"] == refs["_qr_lang"], "left")
+    measured = joined.select(*[docs[c] for c in kept], "_qr_lang", figures.alias("_qr"))
+    if keep_text:
+        long = F.when(F.length(text) >= min_chars, let(char_counts(text), chars_distance)).alias("chars_distance")
+        spread = joined.where("_qr_lang IS NOT NULL").select("_qr_lang", let(words(text), lambda w: F.struct(F.size(w).alias("n_words"), words_distance(w).alias("words_distance"), long)).alias("f")).select("_qr_lang", "f.*")
+    else:
+        measured = cut(measured, "figures")
+        spread = measured.where("_qr_lang IS NOT NULL").select("_qr_lang", "_qr.n_words", "_qr.words_distance", "_qr.chars_distance")
+    limits = cut(bounds(spread, words_fence, chars_factor, min_band), "bounds")
+    limited = measured.join(few(limits, n_refs), measured["_qr_lang"] == limits["_qr_bound_lang"], "left")
     q = F.col("_qr")
+    words_bound = F.coalesce(F.try_element_at("_qr_bounds", octave(q["n_words"])), F.try_element_at("_qr_bounds", F.lit(WORDS)))
+    out = limited.select(*kept, q.withField("chars_bound", F.try_element_at("_qr_bounds", F.lit(CHARS))).withField("words_bound", words_bound).alias("_qr"))
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    odd_chars = F.coalesce((q["n_chars"] >= min_chars) & (q["chars_distance"] > q["chars_bound"]), F.lit(False))
+    odd_chars = F.coalesce(q["chars_distance"] > q["chars_bound"], F.lit(False))
     odd_words = F.coalesce(q["words_distance"] > q["words_bound"], F.lit(False))
     return out.withColumns({"_qr_failed": failed, "_qr_kept": ~failed & ~odd_chars & ~odd_words})

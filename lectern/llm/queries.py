@@ -75,7 +75,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
     return judged.select(
         "doc_id", "_qr.n_words", "_qr.word_chars", "_qr.n_symbols", "_qr.n_dup_lines", "_qr.n_repeat_words",
         F.col("_qr_failed").alias("base_failed"), F.col("_qr_kept").alias("kept"),
