@@ -8,7 +8,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, classify, decontaminate, exchange, jaccard, license_scan, line_dedup, lm, quality_model, quality_rules, queries, sharding, toxicity
+from lectern.llm import bpe, classify, decontaminate, exchange, jaccard, license_scan, line_dedup, lm, packed, quality_model, quality_rules, queries, sharding, toxicity
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk int, key string, char_ref string, ids int, label string"
@@ -188,8 +188,10 @@ def test_lm_scores_are_those_of_a_plain_model(spark, odd):
     texts = [(i, " ".join(f"w{(i * i + j * j) % (7 + i % 5)}" for j in range(3 + i % 9))) for i in range(60)] + [(60, None), (61, "W1 w1\tw2")]
     df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.score for r in lm.score(df, train=F.col("doc_id") % 5 != 2, folds=3).collect()}
-    deal = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")), F.monotonically_increasing_id() % 64), F.lit(6))
-    held = {r.doc_id: r.c % 3 == 0 for r in df.select("doc_id", deal.alias("c")).collect()}
+    import pyarrow as pa
+
+    size = sum(len(t or "") for _, t in texts) // 6  # one partition: chunks of a sixth of the bytes, every third held out
+    held = {texts[k][0]: c % 3 == 0 for c, (i, j, _, _) in enumerate(packed.slices(pa.array([t for _, t in texts]), size)) for k in range(i, j)}
     want = lm.brute_force([(t, d % 5 != 2) for d, t in texts], [held[d] for d, _ in texts])
     assert any(held.values()) and [got[d] for d, _ in texts] == pytest.approx(want)
 
@@ -244,6 +246,10 @@ def test_quality_rules(spark, odd, empty, docs, repeated, sf):
             assert (q.n_words, q.word_chars, q.n_symbols, q.n_dup_lines, q.n_repeat_words) == plain_figures(r.text)
             assert r._qr_failed == (q.n_words < 20 or 100 * q.n_repeat_words > 30 * q.n_words)
             assert not (r._qr_failed and r._qr_kept)
+    light = quality_rules.judge(docs, keep_text=False)
+    assert "text" not in light.columns
+    both = light.join(quality_rules.judge(docs).select("doc_id", F.col("_qr").alias("q"), F.col("_qr_kept").alias("k")), "doc_id")
+    assert both.where("NOT (_qr <=> q) OR _qr_kept <> k").count() == 0
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     judged = quality_rules.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).join(labels, "doc_id")
     assert judged.where("quality = 1 AND NOT _qr_failed AND NOT _qr_kept").count() == 0
@@ -266,6 +272,70 @@ def test_quality_rules_wrong_language(spark):
     assert all(r._qr.words_distance > r._qr.words_bound for r in judged)
 
 
+# The character classes of the quality rules but for the last, "other".
+CLASSES = ["[a-z]", "[A-Z]", "[0-9]", "[ \\x09-\\x0D]", "[.,;:!?'\"()-]", "[\\x00-\\x08\\x0E-\\x1F#$%&*+/<=>@\\[\\\\\\]^_`{|}~\\x7F]"]
+
+
+def plain_js(p, q):
+    a, b = sum(p), sum(q)
+    if not a or not b:
+        return None
+    part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    return math.sqrt(max(0.0, sum(part(x / a, (x / a + y / b) / 2) + part(y / b, (x / a + y / b) / 2) for x, y in zip(p, q, strict=True)) / 2))
+
+
+def plain_kept(rows, slot, common=64):
+    """(doc_id, kept) of (doc_id, text, lang) rows by plain Python; ``slot`` gives the slots of some words."""
+    chars = {d: [len(re.findall(c, t or "")) for c in CLASSES] for d, t, _ in rows}
+    chars = {d: [*n, len(t or "") - sum(n)] for (d, t, _), n in zip(rows, chars.values(), strict=True)}
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t, _ in rows}
+    ref = {}
+    for lang in {x for _, _, x in rows if x is not None}:
+        mine = [d for d, _, x in rows if x == lang]
+        count = Counter(w for d in mine for w in words[d])
+        if sum(count.values()) >= 2000:
+            top = sorted(count, key=lambda w: (-count[w], w.encode()))[:common]
+            slots = slot(top)
+            top = [w for k, w in enumerate(top) if slots[w] not in [slots[x] for x in top[:k]]]
+            shares = [count[w] for w in top]
+            ref[lang] = [sum(x) for x in zip(*[chars[d] for d in mine], strict=True)], top, [*shares, sum(count.values()) - sum(shares)]
+    far = {}
+    for d, t, lang in rows:
+        if lang in ref:
+            held = Counter(words[d])
+            some = [held[w] for w in ref[lang][1]]
+            far[d] = (plain_js([*some, len(words[d]) - sum(some)], ref[lang][2]) if len(words[d]) >= 50 else None, plain_js(chars[d], ref[lang][0]) if len(t) >= 200 else None)
+    octave = lambda d: len(words[d]).bit_length() - 1
+    seen = {}
+    for d, _, lang in rows:
+        w, c = far.get(d, (None, None))
+        for kind, x in ((octave(d), w), (-1, w), (-2, c)):
+            if x is not None:
+                seen.setdefault((lang, kind), []).append(int(x * 1000))
+    quartile = lambda v, q: (sorted(v)[max(0, math.ceil(q * len(v)) - 1)] + 0.5) / 1000
+    bound = {}
+    for (lang, kind), v in seen.items():
+        low, middle, high = (quartile(v, q) for q in (0.25, 0.5, 0.75))
+        if kind < 0 or len(v) >= 20:
+            bound[lang, kind] = 2.5 * middle if kind == -2 else high + 2.0 * (high - low)
+    out = {}
+    for d, t, lang in rows:
+        n, _, _, _, again = plain_figures(t)
+        w, c = far.get(d, (None, None))
+        odd = c is not None and (lang, -2) in bound and c > bound[lang, -2]
+        limit = bound.get((lang, octave(d)), bound.get((lang, -1)))
+        out[d] = not (n < 20 or 100 * again > 30 * n) and not odd and not (w is not None and limit is not None and w > limit)
+    return out
+
+
+def test_quality_verdicts_are_those_of_plain_python(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    slot = lambda top: {r.w: r.s for r in spark.createDataFrame([(w,) for w in top], "w string").select("w", quality_rules.slot_of(F.col("w")).alias("s")).collect()}
+    want = plain_kept([tuple(r) for r in docs.collect()], slot)
+    assert {r.doc_id: r._qr_kept for r in quality_rules.judge(docs, keep_text=False).collect()} == want
+    assert 0.5 < sum(want.values()) / len(want) < 1
+
+
 def test_word_distance(spark):
     """The distance over the words a text holds equals that of the whole histograms."""
     text, top, shares = "a b b x a b y", ["a", "b", "c"], [0.2, 0.3, 0.1, 0.4]
@@ -359,6 +429,23 @@ def test_pipeline(spark, sf):
         check(before, docs.collect(), spark, sf)
 
 
+def test_pipeline_stages_on_odd_rows(spark, sf, odd, empty, repeated):
+    """Nulls, empty and long texts, ties, repeated rows, an empty table, other columns: each stage takes them all."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        found = stage(spark, odd, sf)
+        rows = found.collect()
+        assert name == "bpe" or found.columns == odd.columns, name
+        assert stage(spark, empty, sf).count() == 0, name
+        again = Counter(r.doc_id for r in stage(spark, repeated, sf).select("doc_id").collect())
+        kept = {r.doc_id for r in rows}
+        whole = name in ("line_dedup", "bpe")
+        assert {d for d in again if d is not None} == kept and kept <= {d for d, _ in TEXTS} and (not whole or len(kept) == len(TEXTS)), name
+        assert all(n == 2 for d, n in again.items() if d is not None), name
+        assert again[None] == (2 if name in ("line_dedup", "bpe", "ngram_jaccard_join") else again[None]), name
+
+
 def plain_quality(before, after, spark, sf):
     kept = {r.doc_id for r in after}
     for r in before:
