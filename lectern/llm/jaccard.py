@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.exchange import messages, pack_counts, pack_longs, pack_sorted, scale, unpack_counts, unpack_longs, unpack_sorted
@@ -36,8 +36,8 @@ from lectern.session import bucketed, cut, forget, ship
 
 U = np.uint64
 K, PERCENT = 5, 75
-PARTS = 64  # pieces of a set for the suffix filter
-LEADERS, TRIED, ROUNDS = 4, 2, 3
+PARTS = 128  # pieces of a set for the suffix filter
+LEADERS, TRIED, ROUNDS = 8, 4, 3
 WORD_BYTES = 6  # about, with the blank after it
 
 
@@ -181,6 +181,11 @@ def candidates_table(docs: DataFrame, k: int = K, percent: int = PERCENT, chunk_
     return answered.groupBy("chunk").applyInArrow(_alive(percent), ALIVE_DDL)
 
 
+def shared_at_most(a: Column, b: Column) -> Column:
+    """The suffix filter's bound on the overlap of two sets, from their counts in the same pieces."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int")), F.lit(0), lambda s, v: s + v)
+
+
 def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) that reach the similarity: the suffix filter first, then the exact overlap of the sets.
 
@@ -190,9 +195,8 @@ def verified(pairs: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
     left = alive.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("parts").alias("px"))
     right = alive.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("parts").alias("py"), F.col("keys").alias("ky"))
     sets = alive.select(F.col("doc_id").alias("x"), F.col("keys").alias("kx"))
-    most = F.aggregate(F.zip_with("px", "py", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v)
     enough = lambda overlap: (100 + percent) * overlap >= percent * (F.col("nx") + F.col("ny"))
-    some = pairs.join(left, "x").join(right, "y").where(enough(most)).select("x", "y", "nx", "ny", "ky")
+    some = pairs.join(left, "x").join(right, "y").where(enough(shared_at_most(F.col("px"), F.col("py")))).select("x", "y", "nx", "ny", "ky")
     return some.join(sets, "x").where(enough(F.size(F.array_intersect("kx", "ky")))).select("x", "y").distinct()
 
 
@@ -235,8 +239,14 @@ def led(post: DataFrame, seed: int, percent: int) -> DataFrame:
     return met.select(F.least("doc", "leader").alias("x"), F.greatest("doc", "leader").alias("y")).distinct()
 
 
-def across(post: DataFrame, percent: int) -> DataFrame:
-    """All candidate pairs (x, y) of different components: lists are joined by component first, documents then."""
+def across(post: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+    """All candidate pairs (x, y) of different components: lists are joined by component first, documents then.
+
+    Documents meet under the length, positional and suffix filters at once. Counts that don't fit a byte (of long texts)
+    are left out here, so that their pairs are filtered by :func:`verified` alone.
+    """
+    pieces = alive.select(F.col("doc_id").alias("doc"), F.when(F.array_max("parts") < 128, F.col("parts").cast("array<tinyint>")).alias("pieces"))
+    post = post.join(pieces, "doc")
     heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("docs"))
     # what the filters of some pair of documents need, so that components without such a pair don't meet
     length = F.expr(f"100 * a.high >= {percent} * b.low AND 100 * b.high >= {percent} * a.low")
@@ -246,9 +256,10 @@ def across(post: DataFrame, percent: int) -> DataFrame:
     few = F.col("a.docs") <= F.col("b.docs")
     first, second = (F.when(few, F.col(f"{x}.comp")).otherwise(F.col(f"{y}.comp")) for x, y in ("ab", "ba"))
     pairs = pairs.select(F.col("a.key").alias("key"), first.alias("ca"), second.alias("cb"))
-    a = post.select("key", F.col("comp").alias("ca"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("pos").alias("pa"))
-    b = post.select("key", F.col("comp").alias("cb"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    met = pairs.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(fits(percent, F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")))
+    a = post.select("key", F.col("comp").alias("ca"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("pieces").alias("sa"))
+    b = post.select("key", F.col("comp").alias("cb"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("pieces").alias("sb"))
+    suffix = F.coalesce((100 + percent) * shared_at_most(F.col("sa"), F.col("sb")) >= percent * (F.col("na") + F.col("nb")), F.lit(True))
+    met = pairs.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(fits(percent, F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) & suffix)
     return met.select(F.least("da", "db").alias("x"), F.greatest("da", "db").alias("y")).distinct()
 
 
@@ -296,7 +307,7 @@ def class_roots(docs: DataFrame, classes: DataFrame, k: int, percent: int, round
         if i:
             old, post = post, cut(mixed(renamed(post, comps)), "postings")
             forget(old)
-        pairs = led(post, i, percent) if i < rounds else across(post, percent)
+        pairs = led(post, i, percent) if i < rounds else across(post, alive, percent)
         edges = cut(verified(pairs, alive, percent), f"edges-{i}")
         roots = connected(between(edges, comps))
         old, comps = comps, cut(merged(comps, roots), "components")
