@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, decontaminate, jaccard, license_scan, line_dedup, lm, quality_model, quality_rules, sharding, toxicity
+from lectern.llm import bpe, decontaminate, fim, jaccard, license_scan, line_dedup, lm, negatives, quality_model, quality_rules, sharding, toxicity
 from lectern.llm.classify import fold
 from lectern.session import table
 
@@ -111,6 +111,18 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.items(e, label, F.col("embedding"), F.col("vec_id")), F.col("id") % 50 == 0)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_toxicity": op2_toxicity,
@@ -122,4 +134,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
