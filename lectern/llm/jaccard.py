@@ -11,8 +11,8 @@
    not for each pair, and adds up the smaller counts; what passes is verified by the exact overlap of the sets.
 5. Groups of near copies aren't expanded into all pairs. In some rounds each document meets a few leaders of its lists in
    other components, those that share most prefix grams with it, and components are merged. Then all remaining candidate
-   pairs between different components are verified, so no link between components is missed. A pair that was verified as a
-   link is inside one component and is never a candidate again; one that was refused may be asked again in a later round.
+   pairs between different components are verified, so no link between components is missed. A pair is verified once: one that was a
+   link is inside one component, and one that was refused is remembered.
 
 Defined cases: null, empty and word-free texts have no grams and link with nothing; with fewer than ``k`` words
 the whole sequence is the only gram; rows with null doc_id have a null component and link with nothing; rows that share a doc_id get the
@@ -38,6 +38,7 @@ U = np.uint64
 K, PERCENT = 5, 75
 PARTS = 128  # pieces of a set for the suffix filter
 LEADERS, TRIED, ROUNDS = 8, 4, 3
+BLOCK = 256  # components of a list that meet in one task
 WORD_BYTES = 6  # about, with the blank after it
 
 
@@ -239,27 +240,44 @@ def led(post: DataFrame, seed: int, percent: int) -> DataFrame:
     return met.select(F.least("doc", "leader").alias("x"), F.greatest("doc", "leader").alias("y")).distinct()
 
 
-def across(post: DataFrame, alive: DataFrame, percent: int) -> DataFrame:
+def head_pairs(heads: DataFrame, fit: Column, block: int = BLOCK) -> DataFrame:
+    """(key, ca, cb, few) of the components of a list that may hold a pair, each two once; ``few``: ca has no more documents there than cb.
+
+    A list with more than ``block`` components is dealt to blocks, and each two blocks meet under a key of their own, so a
+    long list is many tasks of bounded size.
+    """
+    many = heads.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = heads.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("comp", F.lit(11)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "comp", "low", "high", "rest", "docs", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")]
+    once = (F.col("a.i") == F.col("a.j")) | (F.col("a.mine") != F.col("b.mine"))  # two of one block meet where both blocks are theirs
+    met = dealt.alias("a").join(dealt.alias("b"), same[0] & same[1] & same[2] & once & (F.col("a.comp") < F.col("b.comp")) & fit)
+    return met.select(F.col("a.key").alias("key"), F.col("a.comp").alias("ca"), F.col("b.comp").alias("cb"), (F.col("a.docs") <= F.col("b.docs")).alias("few"))
+
+
+def across(post: DataFrame, alive: DataFrame, percent: int, marks: DataFrame | None = None) -> DataFrame:
     """All candidate pairs (x, y) of different components: lists are joined by component first, documents then.
 
     Documents meet under the length, positional and suffix filters at once. Counts that don't fit a byte (of long texts)
-    are left out here, so that their pairs are filtered by :func:`verified` alone.
+    are left out here, so that their pairs are filtered by :func:`verified` alone. With ``marks`` (doc, marks: all keys of
+    the document) two documents meet in the smallest of their common keys only.
     """
-    pieces = alive.select(F.col("doc_id").alias("doc"), F.when(F.array_max("parts") < 128, F.col("parts").cast("array<tinyint>")).alias("pieces"))
-    post = post.join(pieces, "doc")
+    facts = alive.select(F.col("doc_id").alias("doc"), F.when(F.array_max("parts") < 128, F.col("parts").cast("array<tinyint>")).alias("pieces"))
+    facts = facts.withColumn("marks", F.lit(None).cast("array<long>")) if marks is None else facts.join(marks, "doc")
+    post = post.join(facts, "doc")
     heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("docs"))
     # what the filters of some pair of documents need, so that components without such a pair don't meet
     length = F.expr(f"100 * a.high >= {percent} * b.low AND 100 * b.high >= {percent} * a.low")
     position = F.expr(f"{100 + percent} * least(a.rest, b.rest) >= {percent} * (a.low + b.low)")
-    pairs = heads.alias("a").join(heads.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") < F.col("b.comp")) & length & position)
     # the component with fewer documents in the list comes first, so that nothing is expanded before the filters can act
-    few = F.col("a.docs") <= F.col("b.docs")
-    first, second = (F.when(few, F.col(f"{x}.comp")).otherwise(F.col(f"{y}.comp")) for x, y in ("ab", "ba"))
-    pairs = pairs.select(F.col("a.key").alias("key"), first.alias("ca"), second.alias("cb"))
-    a = post.select("key", F.col("comp").alias("ca"), F.col("doc").alias("da"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("pieces").alias("sa"))
-    b = post.select("key", F.col("comp").alias("cb"), F.col("doc").alias("db"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("pieces").alias("sb"))
+    pairs = head_pairs(heads, length & position).select("key", *[F.when(F.col("few"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("ca", "cb"), ("cb", "ca"))])
+    side = lambda s: post.select("key", F.col("comp").alias(f"c{s}"), F.col("doc").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("pieces").alias(f"s{s}"), F.col("marks").alias(f"m{s}"))
     suffix = F.coalesce((100 + percent) * shared_at_most(F.col("sa"), F.col("sb")) >= percent * (F.col("na") + F.col("nb")), F.lit(True))
-    met = pairs.join(a, ["key", "ca"]).join(b, ["key", "cb"]).where(fits(percent, F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) & suffix)
+    ok = fits(percent, F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) & suffix
+    if marks is not None:
+        ok = (F.col("key") == F.array_min(F.array_intersect("ma", "mb"))) & ok
+    met = pairs.join(side("a"), ["key", "ca"]).join(side("b"), ["key", "cb"]).where(ok)
     return met.select(F.least("da", "db").alias("x"), F.greatest("da", "db").alias("y")).distinct()
 
 
@@ -282,7 +300,7 @@ def connected(edges: DataFrame, name: str = "stars") -> DataFrame:
     Large-star and small-star steps in turn until the edges stay the same; each step is written to the shared folder.
     """
     now, mark = cut(edges.select("x", "y").distinct(), name), None
-    while True:
+    while not now.isEmpty():
         both = now.union(now.select("y", "x"))
         low = both.groupBy("x").agg(F.min("y").alias("low")).select("x", F.least("x", "low").alias("low"))
         large = both.where("y > x").join(low, "x").select(F.col("low").alias("x"), "y").where("x < y").distinct()
@@ -295,6 +313,36 @@ def connected(edges: DataFrame, name: str = "stars") -> DataFrame:
         if seen == mark:
             return new.select(F.col("y").alias("node"), F.col("x").alias("root"))
         now, mark = new, seen
+    return now.select(F.col("y").alias("node"), F.col("x").alias("root"))
+
+
+def grown(post: DataFrame, alive: DataFrame, comps: DataFrame, percent: int, rounds: int, marks: DataFrame | None = None) -> DataFrame:
+    """(doc_id, comp) once every candidate pair across components is verified; ``post``, ``alive`` and ``comps`` are used up.
+
+    Rounds of leaders end as soon as one merges nothing or no list has two components left. A pair is asked once: those asked before are
+    left out of later rounds.
+    """
+    asked: list[DataFrame] = []
+    last = False
+    while not last and not post.isEmpty():
+        last = len(asked) == rounds
+        pairs = across(post, alive, percent, marks) if last else led(post, len(asked), percent)
+        for before in asked:
+            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        asked.append(cut(pairs, "pairs"))
+        edges = cut(verified(asked[-1], alive, percent), "edges")
+        roots = connected(between(edges, comps))
+        if roots.isEmpty() and not last:
+            rounds = len(asked)  # the next is the last one
+        old, comps = comps, cut(merged(comps, roots), "components")
+        for done in (old, edges, roots):
+            forget(done)
+        if not last:
+            old, post = post, cut(mixed(renamed(post, comps)), "postings")
+            forget(old)
+    for done in (post, alive, *asked):
+        forget(done)
+    return comps
 
 
 def class_roots(docs: DataFrame, classes: DataFrame, k: int, percent: int, rounds: int) -> DataFrame:
@@ -303,18 +351,7 @@ def class_roots(docs: DataFrame, classes: DataFrame, k: int, percent: int, round
     alive = bucketed(found, "alive", "doc_id")
     comps = cut(alive.select("doc_id", F.col("doc_id").alias("comp")).distinct(), "components")
     post = cut(mixed(postings(alive, percent).withColumn("comp", F.col("doc"))), "postings")
-    for i in range(rounds + 1):
-        if i:
-            old, post = post, cut(mixed(renamed(post, comps)), "postings")
-            forget(old)
-        pairs = led(post, i, percent) if i < rounds else across(post, alive, percent)
-        edges = cut(verified(pairs, alive, percent), f"edges-{i}")
-        roots = connected(between(edges, comps))
-        old, comps = comps, cut(merged(comps, roots), "components")
-        for done in (old, edges, roots):
-            forget(done)
-    forget(post)
-    forget(alive)
+    comps = grown(post, alive, comps, percent, rounds)
     return comps.where("comp < doc_id").select(F.col("doc_id").alias("rep"), F.col("comp").alias("root"))
 
 

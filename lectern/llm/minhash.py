@@ -10,7 +10,7 @@
    band with a chance of about (1 - 0.8**5)**32 = 3e-6; above it, with less. That is the only way a link can be missed.
 3. Verification and union-find: the machinery of ``jaccard`` on buckets in place of prefix lists. In some rounds each document is verified
    against a few leaders of its buckets in other components, and components are merged (large-star, small-star); then every pair
-   that still shares a bucket across components is verified on the full sets. Large groups are never expanded into all pairs.
+   that still shares a bucket across components is verified on the full sets, in the first bucket it shares. Large groups are never expanded into all pairs.
    The sets are made from the texts again, of documents with a bucket mate only, and written once in buckets by document.
 
 Defined cases: null, empty and word-free texts have no set and link with nothing; with fewer than ``k`` words the whole sequence is the
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.jaccard import PARTS, across, between, connected, led, merged, mixed, renamed, shingles, verified
+from lectern.llm.jaccard import PARTS, grown, mixed, shingles
 from lectern.llm.packed import mix, slices
 from lectern.session import bucketed, cut, forget, ship
 
@@ -144,18 +144,9 @@ def class_roots(docs: DataFrame, classes: DataFrame, k: int, percent: int, round
     texts = _texts(docs).join(mates, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     alive = bucketed(sets(texts, k).where("n > 0"), "sets", "doc_id")
     comps = cut(mates.select("doc_id", F.col("doc_id").alias("comp")), "components")
-    for i in range(rounds + 1):
-        if i:
-            old, post = post, cut(mixed(renamed(post, comps)), "buckets")
-            forget(old)
-        pairs = led(post, i, percent) if i < rounds else across(post, alive, percent)
-        edges = cut(verified(pairs, alive, percent), f"edges-{i}")
-        roots = connected(between(edges, comps))
-        old, comps = comps, cut(merged(comps, roots), "components")
-        for done in (old, edges, roots):
-            forget(done)
-    forget(post)
-    forget(alive)
+    marks = cut(classes.join(mates.select(F.col("doc_id").alias("rep")), "rep", "left_semi").select(F.col("rep").alias("doc"), F.col("bands").alias("marks")), "bands")
+    comps = grown(post, alive, comps, percent, rounds, marks)
+    forget(marks)
     return comps.where("comp < doc_id").select(F.col("doc_id").alias("rep"), F.col("comp").alias("root"))
 
 

@@ -15,7 +15,7 @@ threshold where its upper confidence bound is least. The first model is fitted t
 those of the rest.
 
 Positives are a bounded sample of labelled rows: at most ``positives`` documents, chosen by the hash of their ids. The
-unlabelled part has no bound: every document's features are written once, dealt to chunks by the hash of their ids, and each
+unlabelled part has no bound: every document's features are written once, dealt to chunks by the hash of their ids and features, and each
 chunk is fitted with the positives by its own task. The model is the mean of the chunks' models, weighted by their documents. All
 documents are scored in a narrow stage.
 
@@ -163,6 +163,12 @@ def descend(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int, l2: f
     return w, b
 
 
+def sample_of(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """(x) of a bounded set of ids, one row an id however many rows share it (the one with the smallest hash), in the order of their hashes."""
+    found = stored.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id").select("x")
+
+
 def fitted(stored: DataFrame, positives: np.ndarray, scale: Model, chunks: int, prior: float | None, steps: int, l2: float, rate: float) -> Model:
     """The mean of the models that chunks of unlabelled rows reach together with the positives (a bounded sample, broadcast)."""
     shared = stored.sparkSession.sparkContext.broadcast((scale.scaled(positives), scale))
@@ -173,7 +179,7 @@ def fitted(stored: DataFrame, positives: np.ndarray, scale: Model, chunks: int,
         w, b = descend(p, u, prior, steps, l2, rate)
         return pa.table({"k": np.arange(SIZE + 1), "s": np.append(w, b) * len(u), "n": np.full(SIZE + 1, len(u))})
 
-    dealt = stored.select("x", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk"))
+    dealt = stored.select("x", F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit("")), "x"), F.lit(chunks)).alias("chunk"))
     models = dealt.groupBy("chunk").applyInArrow(run, "k long, s double, n long").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("w"))
     w = np.array([r.w for r in models.orderBy("k").collect()])
     return Model(scale.centre, scale.spread, w[:-1], float(w[-1]))
@@ -216,8 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = 2500, chunk_rows:
     stored = cut(featured(docs), "features")
     n, centre, spread = moments(stored)
     scale = Model(centre, spread, np.zeros(SIZE), 0.0)
-    rows = stored.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "x").select("x").toArrow()
-    p = matrix(rows.column("x")).astype(np.float64)
+    p = matrix(sample_of(stored, ids).toArrow().column("x")).astype(np.float64)
     if n and len(p):
         chunks = max(1, math.ceil(n / chunk_rows))
         first = fitted(stored, p[::2], scale, chunks, None, steps, l2, rate)
