@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,32 +13,29 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import cosine
-from lectern.session import cut, ship
+from lectern.operators import cells, postings
+from lectern.operators.ranking import best
+from lectern.session import cut, forget, ship
 
-BLOCK = 2048
-
-
-def best(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", item: str = "item_id") -> DataFrame:
-    """The k best rows of each group with their rank; ties go to the smaller item."""
-    order = Window.partitionBy(by).orderBy(F.desc(score), item)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def cosine_pairs(queries: DataFrame, corpus: DataFrame, block: int = BLOCK) -> DataFrame:
+def cosine_pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query_id, item_id, score) of all pairs but an item with itself: every query's row of the cosine matrix."""
-    return _blocks(queries, corpus, None, None, block)
+    return cells.nearest(queries, corpus, None)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, block: int = BLOCK) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, **sizes: int) -> DataFrame:
     """(query_id, item_id, score, rank): the k most similar items of each query, itself excluded.
 
-    Queries go in blocks of at most ``block`` vectors, each broadcast as one matrix (that is its size bound). A task
-    multiplies its vectors with the block and keeps the k best of each query, so at most k rows a query and Arrow
-    batch are shuffled. Scores are rounded to 6 digits before they are ranked; ties go to the smaller item.
-    Vectors of another length than the query's have no score; a zero vector scores 0.
+    Exact: see :func:`lectern.operators.cells.nearest`. Scores are rounded to 6 digits before they are ranked; ties go to the
+    smaller item. Vectors of another length than the query's have no score; a zero vector scores 0.
     """
-    return best(_blocks(queries, corpus, k, threshold, block), k)
+    return best(cells.nearest(queries, corpus, k, threshold, **sizes), k)
+
+
+def approximate_knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, probes: int = 40, keep: int = 100) -> DataFrame:
+    """(query_id, item_id, score, rank, seen) from an inverted file of quantised residuals; scores are exact, hits may be missed."""
+    index = cells.invert(corpus, cells.fit(corpus))
+    found = cells.probe(queries, index, k, probes, keep)
+    return found if threshold is None else found.where(F.col("score") >= threshold)
 
 
 def in_blocks(rows: DataFrame, block: int) -> Iterator[list]:
@@ -54,69 +50,6 @@ def in_blocks(rows: DataFrame, block: int) -> Iterator[list]:
         yield now
 
 
-def _blocks(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None, block: int) -> DataFrame:
-    spark = corpus.sparkSession
-    ship(spark)
-    parts = [_block(spark, corpus, rows, k, threshold) for rows in in_blocks(queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding"), block)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, item_id long, score double")
-
-
-def _block(spark, corpus: DataFrame, rows: list, k: int | None, threshold: float | None) -> DataFrame:
-    by_size: dict[int, list] = {}
-    for r in rows:
-        by_size.setdefault(len(r.embedding), []).append(r)
-    groups = {}
-    for size, some in by_size.items():
-        m = np.array([r.embedding for r in some], dtype=np.float64)
-        groups[size] = (np.array([r.query_id for r in some], dtype=np.int64), m, np.linalg.norm(m, axis=1))
-    shared = spark.sparkContext.broadcast(groups)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            ids, lists = batch.column(0), batch.column(1)
-            size = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            for dim, (qid, m, norms) in shared.value.items():
-                at = np.flatnonzero(size == dim)
-                if not len(at):
-                    continue
-                item = ids.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.int64)
-                c = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-                scale = norms[:, None] * np.linalg.norm(c, axis=1)[None, :]
-                score = np.round(np.divide(m @ c.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
-                score[qid[:, None] == item[None, :]] = -np.inf
-                if threshold is not None:
-                    score[score < threshold] = -np.inf
-                order = np.lexsort((np.broadcast_to(item, score.shape), -score), axis=1)[:, :k]
-                s = np.take_along_axis(score, order, 1)
-                q, i = np.broadcast_to(qid[:, None], s.shape), item[order]
-                ok = np.isfinite(s)
-                out.append((q[ok], i[ok], s[ok]))
-            if out:
-                q, i, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], names=["query_id", "item_id", "score"])
-
-    return corpus.select(F.col("item_id").cast("long").alias("item_id"), "embedding").mapInArrow(run, "query_id long, item_id long, score double")
-
-
-def lsh_knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: float = 0.0, bucket_length: float = 0.7, tables: int = 24, seed: int = 42) -> DataFrame:
-    """Approximate search: random-projection hashing of unit vectors, hits re-ranked exactly.
-
-    A cosine of t is a distance of sqrt(2 - 2 t) between unit vectors; the join keeps pairs within it.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    from lectern.functions.vectors import unit
-
-    make = lambda df, i: df.select(i, "embedding", array_to_vector(unit(F.col("embedding"))).alias("v"))
-    c, q = make(corpus, "item_id"), make(queries, "query_id")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed).fit(c)
-    near = model.approxSimilarityJoin(q, c, math.sqrt(2 - 2 * threshold) + 1e-9, "distance")
-    pairs = near.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.item_id").alias("item_id"), F.round(cosine(F.col("datasetA.embedding"), F.col("datasetB.embedding")), 6).alias("score"))
-    return best(pairs.where("query_id <> item_id AND score >= " + repr(threshold)).distinct(), k)
-
-
 def word_tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and underscores, longer than one character."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " "), lambda t: F.length(t) > 1)
@@ -143,11 +76,6 @@ def terms_of(lists: pa.ListArray, pairs: bool) -> tuple[pa.Array, np.ndarray]:
     return pa.concat_arrays([flat, both]), np.concatenate((row, row[1:][inside]))
 
 
-def tokenised(texts: DataFrame, tokens: Callable[[Column], Column], name: str) -> DataFrame:
-    """(item_id, terms) of (item_id, text) rows, written once: the counts and every block of queries read the tokens, not the texts."""
-    return cut(texts.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("terms")), name)
-
-
 def term_counts(rows: DataFrame, pairs: bool = False) -> DataFrame:
     """(term, total, df) of (terms array) rows: occurrences and rows with the term. Batches are counted before anything is shuffled."""
     ship(rows.sparkSession)
@@ -164,127 +92,83 @@ def term_counts(rows: DataFrame, pairs: bool = False) -> DataFrame:
     return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
 
 
-class Weighing:
-    """Turns counts of terms (rows of documents x terms) and document lengths into weights."""
+def _hashed(rows: DataFrame, key: str, tokens: Callable[[Column], Column]) -> DataFrame:
+    """(key, terms) of (key, text) rows, terms as hashes of the tokens in order."""
+    return rows.select(F.col(key).cast("long").alias(key), F.transform(tokens(F.col("text")), lambda t: F.xxhash64(t)).alias("terms"))
 
-    def __init__(self, idf: np.ndarray, mean_length: float | None = None, k1: float = 1.5, b: float = 0.75):
-        self.idf, self.mean, self.k1, self.b = idf, mean_length, k1, b
 
-    def of(self, tf: np.ndarray, length: np.ndarray) -> np.ndarray:
-        if self.mean is not None:  # BM25
-            return self.idf * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[:, None] / self.mean))
-        w = tf * self.idf  # TF-IDF at unit length
-        return w / np.maximum(np.sqrt((w * w).sum(1, keepdims=True)), 1e-300)
+def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, tokens: Callable[[Column], Column] = word_tokens) -> tuple[postings.Postings, int]:
+    """Postings of (item_id, text) rows with BM25 impacts, and the number of rows. The tokens are written once."""
+    docs = cut(_hashed(corpus, "item_id", tokens), "tokens")
+    n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("terms"))).head()
+    index = postings.build(docs, postings.Bm25(mean or 1.0, k1, b))
+    forget(docs)
+    return index, n_docs
 
 
-Rescore = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-SLACK = 2e-4  # what rounding can move a score
+def bm25_asked(queries: DataFrame, index: postings.Postings, n_docs: int, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+    """(query_id, term, weight): idf times occurrences, of the queries' terms that the corpus has. Repeated tokens count each time."""
+    df = index.levels.groupBy("term").agg(F.sum("n").alias("df"))
+    each = _hashed(queries, "query_id", tokens).select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    return cut(each.join(df, "term").select("query_id", "term", (F.col("times") * bm25_idf(F.lit(n_docs), F.col("df"))).alias("weight")), "asked")
 
 
-def counted(lists: pa.ListArray, vocabulary: pa.Array, pairs: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, counts of the vocabulary's terms) for some rows at a time, 4 million cells at most."""
-    terms, row = terms_of(lists, pairs)
-    at = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    row, at = row[at >= 0], at[at >= 0]
-    order = np.argsort(row, kind="stable")
-    row, at = row[order], at[order]
-    width, step = len(vocabulary), max(1, 4_000_000 // max(1, len(vocabulary)))
-    for i in range(0, len(lists), step):
-        j = min(len(lists), i + step)
-        a, b = np.searchsorted(row, [i, j])
-        yield i, np.bincount((row[a:b] - i) * width + at[a:b], minlength=(j - i) * width).reshape(j - i, width).astype(np.float64)
+def _ranked(index: postings.Postings, asked: DataFrame, k: int | None, bonus: Column | None = None, planned: DataFrame | None = None) -> DataFrame:
+    if k is not None:
+        return postings.top_k(index, asked, k, bonus, planned)
+    every = postings.partial(asked.join(index.levels, "term"), index.blocks)
+    return every.select("query_id", "item_id", F.round("partial", 6).alias("score"))
 
 
-def _lexical(spark, corpus: DataFrame, ids: np.ndarray, vocabulary: pa.Array, weights: np.ndarray, weighing: Weighing, k: int | None, rescore: Rescore | None, wanted: dict[int, np.ndarray] | None, bigrams: bool) -> DataFrame:
-    """(query_id, item_id, score) of a block of queries (rows of ``weights``) against (item_id, terms) rows, in one narrow pass.
+def bm25(queries: DataFrame, corpus: DataFrame, k: int | None = None, wanted: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
+    """(query_id, item_id, score) of the pairs that share a token, an item with itself excluded.
 
-    All pairs that share a term, or those that can be among the k best of their query by ``rescore``, or those
-    ``wanted`` and each batch's best.
+    With ``k`` only what can be among the k best of a query; with ``wanted`` (query_id, item_id) only those pairs and each
+    query's best. See :mod:`lectern.operators.postings` for how postings are stored and read.
     """
-    shared = spark.sparkContext.broadcast((ids, vocabulary, weights, weighing, wanted))
+    index, n_docs = bm25_index(corpus, k1, b, tokens)
+    asked = bm25_asked(queries, index, n_docs, tokens)
+    if wanted is None:
+        return _ranked(index, asked, k)
+    pairs = postings.exact(wanted.select("query_id", "item_id").where("query_id <> item_id").distinct(), asked, index.forward)
+    return pairs.unionByName(postings.top_k(index, asked, 1)).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, terms, asked, weigh, pairs = shared.value
-        for batch in batches:
-            items = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            length = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64)
-            for i, tf in counted(batch.column(1), terms, bigrams):
-                item = items[i : i + len(tf)]
-                score = asked @ weigh.of(tf, length[i : i + len(tf)]).T
-                score[(score <= 0) | (qid[:, None] == item[None, :])] = -np.inf
-                order = score if rescore is None else np.where(np.isfinite(score), rescore(score, qid, item), -np.inf)
-                keep = np.isfinite(score)
-                if pairs is not None:
-                    keep &= (score >= score.max(1, keepdims=True)) | np.stack([np.isin(item, pairs.get(int(q), ())) for q in qid])
-                elif k is not None and k < len(item):
-                    keep &= order >= np.partition(order, len(item) - k, axis=1)[:, [len(item) - k]] - SLACK
-                q, d = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[q]), pa.array(item[d]), pa.array(score[q, d])], names=["query_id", "item_id", "score"])
-
-    found = corpus.select(F.col("item_id").cast("long").alias("item_id"), "terms").mapInArrow(run, "query_id long, item_id long, score double")
-    return found.withColumn("score", F.round("score", 6))
-
-
-def _asked(rows: list, idf: dict[str, float], bigrams: bool) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """Ids, terms with an idf, and counts (queries x terms) of a block of (query_id, terms) rows."""
-    of = lambda r: [*(r.terms or ()), *(f"{a} {b}" for a, b in zip(r.terms or (), (r.terms or ())[1:], strict=False))] if bigrams else r.terms or ()
-    names = sorted({t for r in rows for t in of(r) if t in idf})
-    place = {t: i for i, t in enumerate(names)}
-    counts = np.zeros((len(rows), len(names)))
-    for i, r in enumerate(rows):
-        for t in of(r):
-            if t in place:
-                counts[i, place[t]] += 1
-    return np.array([r.query_id for r in rows], dtype=np.int64), names, counts
-
-
-def bm25(queries: DataFrame, corpus: DataFrame, k: int | None = None, wanted: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, tokens: Callable[[Column], Column] = word_tokens, block: int = 256) -> DataFrame:
-    """(query_id, item_id, score) of the pairs that share a token, an item with itself excluded.
 
-    With ``k`` only what can be among the k best of a query; with ``wanted`` (query_id, item_id) only those pairs and each
-    query's best. A query's repeated tokens count each time. Queries go in blocks of at most ``block``, broadcast with the
-    weights of their tokens; documents pass each block in one narrow stage.
+def tfidf_weights(docs: DataFrame, n_docs: int, max_features: int) -> postings.TfIdf:
+    """The vocabulary of (item_id, terms as strings) rows: the ``max_features`` most frequent 1- and 2-grams (ties by term), with smoothed idf.
+
+    Its size is that bound, so it is collected and broadcast.
     """
-    spark = corpus.sparkSession
-    docs = tokenised(corpus, tokens, "tokens")
-    n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("terms"))).head()
-    asked = queries.select("query_id", tokens(F.col("text")).alias("terms"))
-    df = term_counts(docs.select("terms")).join(asked.select(F.explode("terms").alias("term")).distinct(), "term")
-    df = cut(df.select("term", bm25_idf(F.lit(n_docs), F.col("df")).alias("idf")), "idf")
-    parts = []
-    for rows in in_blocks(asked, block):
-        mine = spark.createDataFrame([(t,) for t in sorted({t for r in rows for t in r.terms or ()})], "term string")
-        idf = {r.term: r.idf for r in df.join(mine, "term").collect()}  # the block's own tokens
-        ids, names, counts = _asked(rows, idf, False)
-        pairs = None
-        if wanted is not None:
-            pairs = {r.query_id: np.array(r.items) for r in wanted.where(F.col("query_id").isin(ids.tolist())).groupBy("query_id").agg(F.collect_set("item_id").alias("items")).collect()}
-        parts.append(_lexical(spark, docs, ids, pa.array(names, pa.string()), counts, Weighing(np.array([idf[t] for t in names]), mean or 1.0, k1, b), k, None, pairs, False))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, item_id long, score double")
-
-
-def tfidf(queries: DataFrame, corpus: DataFrame, max_features: int = 5000, k: int | None = None, rescore: Rescore | None = None, block: int = 256) -> DataFrame:
+    top = term_counts(docs.select("terms"), pairs=True).orderBy(F.desc("total"), "term").limit(max_features)
+    parts = F.split("term", " ")
+    rows = top.select(F.size(parts).alias("size"), F.xxhash64(parts[0]).alias("a"), F.xxhash64(F.get(parts, F.lit(1))).alias("b"), (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")).toPandas()
+    a, b = (rows[c].to_numpy(np.int64) for c in "ab")
+    terms = np.where(rows["size"] == 2, postings.pair_hash(a, b), a)
+    order = np.argsort(terms)
+    return postings.TfIdf(terms[order], rows["idf"].to_numpy(np.float64)[order])
+
+
+def tfidf(queries: DataFrame, corpus: DataFrame, max_features: int = 5000, k: int | None = None, units: tuple[Column, Column, float] | None = None) -> DataFrame:
     """(query_id, item_id, score): cosine of smoothed TF-IDF weights of 1- and 2-grams.
 
-    The vocabulary is the ``max_features`` most frequent terms of the corpus (ties by term): a fixed bound, so it is
-    broadcast. Only pairs that share a term appear; with ``k`` only those that can be among the k best of a query, by
-    ``rescore(score, query ids, item ids)`` if given.
+    Only pairs that share a term appear; with ``k`` only those that can be among the k best of a query. ``units``: a column
+    of the queries, one of the corpus, and what is added to a pair's score for ranking where both are equal; it isn't part of
+    the score that comes out.
     """
-    spark = corpus.sparkSession
-    docs = tokenised(corpus, word_tokens, "tokens")
-    asked = queries.select("query_id", word_tokens(F.col("text")).alias("terms"))
-    n = docs.count()
-    top = term_counts(docs.select("terms"), pairs=True).orderBy(F.desc("total"), "term").limit(max_features)
-    idf = {r.term: r.idf for r in top.select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).collect()}
-    names = sorted(idf)
-    weighing = Weighing(np.array([idf[t] for t in names]))
-    parts = []
-    for rows in in_blocks(asked, block):
-        ids, mine, counts = _asked(rows, idf, True)
-        full = np.zeros((len(rows), len(names)))
-        full[:, np.searchsorted(np.array(names, dtype=object), np.array(mine, dtype=object))] = counts
-        parts.append(_lexical(spark, docs, ids, pa.array(names, pa.string()), weighing.of(full, np.zeros(len(rows))), weighing, k, rescore, None, True))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "query_id long, item_id long, score double")
+    docs = cut(corpus.select(F.col("item_id").cast("long").alias("item_id"), word_tokens(F.col("text")).alias("terms")), "tokens")
+    weigh = tfidf_weights(docs, docs.count(), max_features)
+    bonus = planned = more = None
+    hashed = docs.select("item_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
+    if units is not None:  # a unit is one more term, of impact 1
+        of = lambda c: F.xxhash64(F.lit("unit"), c.cast("string"))
+        more = corpus.select(F.col("item_id").cast("long").alias("item_id"), F.array(of(units[1])).alias("terms"), F.array(F.lit(1.0)).alias("impacts"))
+        planned = queries.select(F.col("query_id").cast("long").alias("query_id"), of(units[0]).alias("term"), F.lit(float(units[2])).alias("weight"))
+        bonus = F.when(units[0] == units[1], float(units[2])).otherwise(0.0)
+    index = postings.build(hashed, weigh, more)
+    forget(docs)
+    vectors = postings.vectors(_hashed(queries, "query_id", word_tokens), weigh, "query_id")
+    asked = cut(vectors.select("query_id", F.explode(F.arrays_zip("terms", "impacts")).alias("t")).select("query_id", F.col("t.terms").alias("term"), F.col("t.impacts").alias("weight")), "asked")
+    return _ranked(index, asked, k, bonus, planned)
 
 
 def minmax(scored: DataFrame, score: str = "score", out: str = "scaled") -> DataFrame:
@@ -361,21 +245,36 @@ def keywords(items: DataFrame, words: DataFrame, k: int, block: int = 2000) -> D
     return every.join(top, "low").select("word", "item_id")
 
 
-def overlap_scorer(query: pd.Series, doc: pd.Series) -> pd.Series:
-    """The default second-stage scorer: share of the query's distinct words that the document holds."""
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != ""))
 
-    def one(q: str, d: str) -> float:
-        asked = set((q or "").lower().split())
-        return len(asked & set((d or "").lower().split())) / len(asked) if asked else 0.0
 
-    return pd.Series([one(q, d) for q, d in zip(query, doc, strict=True)], dtype="float64")
+def two_stage(first: DataFrame, queries: DataFrame, items: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = None) -> DataFrame:
+    """(query_id, item_id, first_score, score, rank): first-stage hits scored again; k is at most 20.
 
-
-def two_stage(first: DataFrame, queries: DataFrame, items: DataFrame, k: int, scorer: Callable[[pd.Series, pd.Series], pd.Series] = overlap_scorer) -> DataFrame:
-    """(query_id, item_id, first_score, score, rank): first-stage hits rescored by ``scorer(query text, item text)``; k is at most 20."""
-    ship(first.sparkSession)
-    score = F.pandas_udf(scorer, "double")
-    texts = first.join(queries.select("query_id", F.col("text").alias("q")), "query_id", "left").join(items.select("item_id", F.col("text").alias("d")), "item_id", "left")
-    scored = texts.select("query_id", "item_id", F.col("score").alias("first_score"), F.round(score(F.coalesce("q", F.lit("")), F.coalesce("d", F.lit(""))), 6).alias("score"))
+    Without ``scorer`` the score is the share of the query's distinct words that the item holds. ``scorer(query text, item text)`` gets the
+    hits of one query at a time, as many as the first stage gives; where it fails, that query's hits have score 0 and so keep their first-stage order.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("first_score"), "item_id")
+    hits = first.select("query_id", "item_id", F.col("score").alias("first_score"))
+    text = lambda df, key, name, of: df.select(key, of(F.col("text")).alias(name))
+    of = _words if scorer is None else lambda c: F.coalesce(c, F.lit(""))
+    both = hits.join(text(queries, "query_id", "q", of), "query_id", "left").join(text(items, "item_id", "d", of), "item_id", "left")
+    if scorer is None:
+        share = F.when(F.size("q") > 0, F.coalesce(F.size(F.array_intersect("q", "d")), F.lit(0)) / F.size("q")).otherwise(0.0)
+        scored = both.withColumn("score", share)
+    else:
+        ship(first.sparkSession)
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            try:
+                score = np.asarray(scorer(rows["q"].fillna(""), rows["d"].fillna("")), dtype=np.float64)
+                if score.shape != (len(rows),):
+                    raise ValueError("a score for each hit is needed")
+            except Exception:  # noqa: BLE001  whatever a model raises, the first stage's order is the answer
+                score = np.zeros(len(rows))
+            return rows[["query_id", "item_id", "first_score"]].assign(score=score)
+
+        scored = both.groupBy("query_id").applyInPandas(run, "query_id long, item_id long, first_score double, score double")
+    scored = scored.select("query_id", "item_id", "first_score", F.round("score", 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= min(k, 20))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,14 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def result(df: DataFrame, name: str) -> DataFrame:
-    path = scratch(df.sparkSession, name)
-    return jobs.snapshot(df, f"{path}/data", f"{path}/checkpoint")
+def closed(spark: SparkSession, sf: str, events: DataFrame, job: Callable[[DataFrame], DataFrame], path: str) -> None:
+    """Run ``job`` in append mode over all events, then once more with a tick well after the last of them, which closes what is still open."""
+    jobs.tick(spark, f"{path}/ticks", datetime.datetime(1970, 1, 1))
+    for last in (False, True):
+        if last:
+            end = table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("ts")).head().ts
+            jobs.tick(spark, f"{path}/ticks", (end or datetime.datetime(1970, 1, 1)) + datetime.timedelta(days=4))
+        jobs.appended(job(jobs.with_ticks(events, f"{path}/ticks")), f"{path}/data", f"{path}/checkpoint")
 
 
 @register("t1_stream_upsert", "WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) SELECT user_id, event_id, value FROM r WHERE n = 1")
@@ -40,19 +48,25 @@ def t2(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("t3_stream_daily_summary", f"SELECT strftime(ts, '%Y-%m-%d') AS day, {DAILY} FROM events GROUP BY 1")
 def t3(spark: SparkSession, sf: str) -> DataFrame:
-    return result(jobs.daily_summary(stream(spark, sf, "events")), "daily")
+    path = scratch(spark, "daily")
+    closed(spark, sf, stream(spark, sf, "events").select("ts", "event_type", "value"), jobs.daily_summary, path)
+    return spark.read.parquet(f"{path}/data")
 
 
 @register("t4_stream_response_state", "WITH e AS (SELECT user_id AS session_id, event_type AS response_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS value, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) SELECT session_id, response_id, value FROM e WHERE n = 1 AND value IS NOT NULL")
 def t4(spark: SparkSession, sf: str) -> DataFrame:
     e = stream(spark, sf, "events").select(F.col("user_id").alias("session_id"), F.col("event_type").alias("response_id"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), "ts", "event_id")
-    return result(jobs.response_state(e), "state")
+    path = scratch(spark, "state")
+    jobs.response_state(e, f"{path}/data", f"{path}/checkpoint")
+    return jobs.responses(spark, f"{path}/data")
 
 
 @register("t5_stream_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 360 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS ended, count(*) AS n FROM s GROUP BY user_id, k""")
 def t5(spark: SparkSession, sf: str) -> DataFrame:
-    found = result(jobs.sessions(stream(spark, sf, "events").select("user_id", "ts"), "360 minutes"), "sessions")
+    path = scratch(spark, "sessions")
+    closed(spark, sf, stream(spark, sf, "events").select("user_id", "ts"), lambda e: jobs.sessions(e, "360 minutes"), path)
+    found = spark.read.parquet(f"{path}/data")
     shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
     return found.select("user_id", shown("started"), shown("ended"), "n")
 

@@ -230,14 +230,14 @@ def r15(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("r16_approximate_knn")
 def r16(spark: SparkSession, sf: str) -> DataFrame:
-    return search.lsh_knn(*vectors(spark, sf), 10).select("query_id", "item_id", "score", "rank")
+    return search.approximate_knn(*vectors(spark, sf), 10).select("query_id", "item_id", "score", "rank", "seen")
 
 
 @register("r16_recall", "SELECT count(DISTINCT vec_id) AS n_queries, true AS enough FROM embeddings WHERE vec_id % 20 = 0")
 def r16b(spark: SparkSession, sf: str) -> DataFrame:
     """Whether the approximate search finds at least 0.9 of the exact ten nearest of all queries."""
     exact = search.knn(*vectors(spark, sf), 10).select("query_id", "item_id")
-    near = search.lsh_knn(*vectors(spark, sf), 10).select("query_id", "item_id", F.lit(1).alias("hit"))
+    near = search.approximate_knn(*vectors(spark, sf), 10).select("query_id", "item_id", F.lit(1).alias("hit"))
     both = exact.join(near, ["query_id", "item_id"], "left")
     return both.agg(F.countDistinct("query_id").alias("n_queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
@@ -314,9 +314,10 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, it
 SELECT query_id, item_id, score, CASE WHEN rank <= 2 THEN 3 WHEN rank <= 4 THEN 2 ELSE 1 END AS relevance FROM r WHERE rank <= 5""",
 )
 def r6(spark: SparkSession, sf: str) -> DataFrame:
-    same = F.when(F.col("item_id") % 10 == (-1 - F.col("query_id")) % 10, 0.4).otherwise(0.0)  # stands for a shared unit
-    final = lambda score, q, i: 0.7 * score + 0.12 * (i[None, :] % 10 == (-1 - q[:, None]) % 10)
-    return gt.auto_truth(search.tfidf(*passages(spark, sf), k=5, rescore=final).withColumn("meta", same)).select("query_id", "item_id", "score", "relevance")
+    unit = (-1 - F.col("query_id")) % 10, F.col("item_id") % 10  # stands for a unit
+    same = F.when(unit[0] == unit[1], 0.4).otherwise(0.0)
+    found = search.tfidf(*passages(spark, sf), k=5, units=(*unit, 0.12 / 0.7))
+    return gt.auto_truth(found.withColumn("meta", same)).select("query_id", "item_id", "score", "relevance")
 
 
 @register(

@@ -6,14 +6,16 @@ another driver, goes on where the last one stopped; an epoch that is replayed ch
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lectern.session import discard, finished
+from lectern.session import discard, finished, ship
 from lectern.sources.encode import vectorise
 
 
@@ -48,24 +50,130 @@ def snapshot(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
 
 
 def daily_summary(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """Counts and durations by day, in event time."""
+    """Counts and durations by day, in event time. In append mode a day comes out once, when the watermark has passed its end."""
+    events = events.where(~_tick(events)) if not events.isStreaming else events.withColumns({"event_type": F.when(~_tick(events), F.col("event_type")), "value": F.when(~_tick(events), F.col("value"))})
     whole = F.floor("value").cast("long")
     each = events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 day").alias("w")).agg(
-        F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.count_if(F.col("event_type") != "error").alias("successes"), F.sum(whole).alias("total")
+        F.count("event_type").alias("n"), F.count_if(F.col("event_type") == "error").alias("failures"), F.count_if(F.col("event_type") != "error").alias("successes"), F.sum(whole).alias("total")
     )
-    return each.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "failures", "successes", "total", F.floor(F.col("total") / F.col("n")).cast("long").alias("mean"))
-
-
-def response_state(events: DataFrame) -> DataFrame:
-    """The last value of each (session_id, response_id) by (ts, event_id); cleared where it is null."""
-    last = events.groupBy("session_id", "response_id").agg(F.max_by(F.struct("value"), F.struct("ts", "event_id")).alias("s"))
-    return last.select("session_id", "response_id", F.col("s.value").alias("value")).where("value IS NOT NULL")
+    return each.where("n > 0").select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n", "failures", "successes", "total", F.floor(F.col("total") / F.col("n")).cast("long").alias("mean"))
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", lateness: str = "1 day") -> DataFrame:
-    """(user_id, started, ended, n) of runs of events with no longer gap; the end is the last event's time."""
+    """(user_id, started, ended, n) of runs of events with no longer gap; the end is the last event's time. Ticks only move the watermark."""
+    real = F.count_if(~_tick(events))
     each = events.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap).alias("w"))
-    return each.agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count("*").alias("n")).select("user_id", "started", "ended", "n")
+    return each.agg(F.min("ts").alias("started"), F.max("ts").alias("ended"), real.alias("n")).where("n > 0").select("user_id", "started", "ended", "n")
+
+
+TICK = "_tick"
+
+
+def _tick(events: DataFrame) -> Column:
+    return F.coalesce(F.col(TICK), F.lit(False)) if TICK in events.columns else F.lit(False)
+
+
+def with_ticks(events: DataFrame, folder: str) -> DataFrame:
+    """A stream of events that also reads the times of :func:`tick` from ``folder``."""
+    clock = events.sparkSession.readStream.schema(f"ts timestamp, {TICK} boolean").parquet(folder)
+    return events.unionByName(clock, allowMissingColumns=True)
+
+
+def tick(spark: SparkSession, folder: str, ts) -> None:
+    """Say that it is ``ts`` now: windows that end before it, less the lateness, are closed by the next run though no later event has come."""
+    spark.createDataFrame([(ts, True)], f"ts timestamp, {TICK} boolean").coalesce(1).write.mode("append").parquet(folder)
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append what the watermark has closed to a Parquet table, each row once (the sink's log makes replays harmless); state keeps open windows only."""
+    q = stream.writeStream.format("parquet").option("path", path).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return q
+
+
+def counted_arrivals(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Count what arrives by day, late or not: a few rows a batch, in a folder of the batch."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        days = batch.where(~_tick(batch)).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+        days.coalesce(1).write.mode("overwrite").parquet(f"{path}/epoch-{epoch:012d}")
+
+    return run(events, each, checkpoint)
+
+
+def late_rows(spark: SparkSession, closed: str, arrivals: str) -> DataFrame:
+    """(day, late): the side table of closed days whose events came, in part, after the day was closed."""
+    came = reduce(DataFrame.unionByName, [spark.read.schema("day string, n long").parquet(f"{arrivals}/{x}") for x in finished(spark, arrivals)])
+    done = spark.read.parquet(closed).groupBy("day").agg(F.sum("n").alias("counted"))
+    every = came.groupBy("day").agg(F.sum("n").alias("came"))
+    return every.join(done, "day").where("came > counted").select("day", (F.col("came") - F.col("counted")).alias("late"))
+
+
+class LastValue(StatefulProcessor):
+    """Keyed state of one row: the last (ts, event_id, value). A null value is kept as a mark, so that an older event doesn't bring a cleared one back.
+
+    The state falls ``lifetime`` seconds after its event, in event time; events older than the watermark never reach it.
+    """
+
+    OUT = "session_id long, response_id string, ts timestamp, event_id long, value double"
+
+    def __init__(self, lifetime: int):
+        self.lifetime = lifetime
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ts timestamp, event_id long, value double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values(["ts", "event_id"]).iloc[-1]
+        old = self.last.get() if self.last.exists() else None
+        if old is not None and (pd.Timestamp(old[0]), old[1]) >= (pd.Timestamp(new.ts), new.event_id):
+            return
+        value = None if pd.isna(new.value) else float(new.value)
+        self.last.update((pd.Timestamp(new.ts).to_pydatetime(), int(new.event_id), value))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        self.handle.registerTimer(int(pd.Timestamp(new.ts).tz_localize("UTC").timestamp() * 1000) + 1000 * self.lifetime)
+        yield pd.DataFrame({"session_id": [key[0]], "response_id": [key[1]], "ts": [new.ts], "event_id": [new.event_id], "value": [value]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def response_changes(events: DataFrame, lifetime: int = 30 * 86_400, lateness: str = "1 day") -> DataFrame:
+    """Changes of the last value of each (session_id, response_id) by (ts, event_id); ``value`` is null where it was cleared.
+
+    Keyed state with timers needs the RocksDB state store, which is set for the session if another is.
+    """
+    spark = events.sparkSession
+    ship(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    keyed = events.withWatermark("ts", lateness).groupBy("session_id", "response_id")
+    return keyed.transformWithStateInPandas(statefulProcessor=LastValue(lifetime), outputStructType=LastValue.OUT, outputMode="Update", timeMode="EventTime")
+
+
+def response_state(events: DataFrame, path: str, checkpoint: str, lifetime: int = 30 * 86_400, lateness: str = "1 day") -> StreamingQuery:
+    """Run the changes into an upserted table below ``path``; a batch writes its changed keys only. Read it with :func:`responses`."""
+    target = responses_table(events.sparkSession, path)
+    return run(response_changes(events, lifetime, lateness), target.take, checkpoint, "update")
+
+
+def responses_table(spark: SparkSession, path: str) -> UpsertedTable:
+    return UpsertedTable(spark, path, ["session_id", "response_id"], ["ts", "event_id"])
+
+
+def responses(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, response_id, value) of the values that aren't cleared."""
+    rows = responses_table(spark, path).read()
+    rows = spark.createDataFrame([], LastValue.OUT) if rows is None else rows
+    return rows.where("value IS NOT NULL").select("session_id", "response_id", "value")
 
 
 class UpsertedTable:
@@ -75,8 +183,9 @@ class UpsertedTable:
     while it is read.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str, order: str, compact_every: int = 10):
-        self.spark, self.path, self.key, self.order, self.compact_every = spark, path, key, order, compact_every
+    def __init__(self, spark: SparkSession, path: str, key: str | list[str], order: str | list[str], compact_every: int = 10):
+        self.spark, self.path, self.compact_every = spark, path, compact_every
+        self.key, self.order = ([x] if isinstance(x, str) else x for x in (key, order))
 
     def parts(self) -> list[str]:
         """The newest base, if there is one, and the deltas after it."""
@@ -91,15 +200,15 @@ class UpsertedTable:
         if not parts:
             return None
         rows = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{x}").withColumn("_epoch", F.lit(_epoch(x))) for x in parts])
-        return self._last(rows, F.desc("_epoch"), F.desc(self.order)).drop("_epoch")
+        return self._last(rows, F.desc("_epoch"), *map(F.desc, self.order)).drop("_epoch")
 
     def _last(self, rows: DataFrame, *order: Column) -> DataFrame:
-        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(self.key).orderBy(*order))).where("_n = 1").drop("_n")
+        return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*self.key).orderBy(*order))).where("_n = 1").drop("_n")
 
     def take(self, batch: DataFrame, epoch: int) -> None:
         if any(_epoch(x) >= epoch for x in self.parts()):
             return  # a replay
-        self._last(batch, F.desc(self.order)).write.mode("overwrite").parquet(f"{self.path}/delta-{epoch:012d}")
+        self._last(batch, *map(F.desc, self.order)).write.mode("overwrite").parquet(f"{self.path}/delta-{epoch:012d}")
         parts = self.parts()
         if len(parts) > self.compact_every:
             self.read().write.mode("overwrite").parquet(f"{self.path}/base-{epoch:012d}")

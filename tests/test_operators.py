@@ -99,7 +99,7 @@ def test_metric_properties(spark, sf):
 
 def test_blocked_knn_equals_pairs(spark, sf):
     q, c = retrieval.vectors(spark, sf)
-    blocked = search.knn(q, c, 7, block=3)
+    blocked = search.knn(q, c, 7, block=3, group=20, pivots=9)
     plain = search.best(search.cosine_pairs(q, c), 7)
     key = lambda df: sorted((r.query_id, r.rank, r.item_id, r.score) for r in df.collect())
     assert key(blocked) == key(plain)
@@ -116,7 +116,7 @@ def test_knn_defined_cases(spark):
 def test_approximate_recall(spark, sf):
     q, c = retrieval.vectors(spark, sf)
     exact = {(r.query_id, r.item_id) for r in search.knn(q, c, 10).collect()}
-    near = {(r.query_id, r.item_id) for r in search.lsh_knn(q, c, 10).collect()}
+    near = {(r.query_id, r.item_id) for r in search.approximate_knn(q, c, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
 
 

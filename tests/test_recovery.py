@@ -101,7 +101,7 @@ def test_bm25_by_hand(spark):
         return math.log((4 - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(tokens[d]) / mean))
 
     want = {(i, d): round(sum(part(w, d) for w in plain_tokens(t)), 6) for i, t in ((10, "red red fox"), (2, "fox blue")) for d in (1, 2, 3) if d != i and set(plain_tokens(t)) & set(tokens[d])}
-    got = {(r.query_id, r.item_id): r.score for r in search.bm25(q, corpus, block=1).collect()}
+    got = {(r.query_id, r.item_id): r.score for r in search.bm25(q, corpus).collect()}
     assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
@@ -109,4 +109,86 @@ def test_best_pairs_are_those_of_all_pairs(spark, sf):
     q, c = retrieval.passages(spark, sf)
     for scores in (search.bm25, search.tfidf):
         key = lambda df: sorted((r.query_id, r.rank, r.item_id, r.score) for r in search.best(df, 5).collect())
-        assert key(scores(q, c, k=5, block=7)) == key(scores(q, c))
+        assert key(scores(q, c, k=5)) == key(scores(q, c))
+
+
+EVENTS = "user_id long, event_type string, value double, ts timestamp, event_id long"
+
+
+def events(spark, folder, rows):
+    import datetime
+
+    some = [(u, "error" if i % 4 == 0 else "view", float(i), datetime.datetime(2024, 1, day, hour), i) for i, (u, day, hour) in enumerate(rows)]
+    spark.createDataFrame(some, EVENTS).coalesce(1).write.mode("append").parquet(str(folder))
+
+
+def test_days_are_appended_once_and_late_rows_counted(spark, tmp_path):
+    import datetime
+
+    folder, ticks, data, seen = (f"{tmp_path}/{x}" for x in ("in", "ticks", "data", "arrivals"))
+    jobs.tick(spark, ticks, datetime.datetime(1970, 1, 1))
+
+    def go():
+        stream = jobs.with_ticks(jobs.read(spark, folder, EVENTS), ticks)
+        q = jobs.appended(jobs.daily_summary(stream, "1 day"), data, f"{tmp_path}/checkpoint")
+        jobs.counted_arrivals(stream, seen, f"{tmp_path}/checkpoint-arrivals")
+        state = q.lastProgress.stateOperators[0].numRowsTotal if q.lastProgress and q.lastProgress.stateOperators else 0
+        return {r.day: r.n for r in spark.read.schema("day string, n long").parquet(data).collect()}, state
+
+    events(spark, folder, [(1, d, h) for d in range(1, 11) for h in (1, 2, 3)])
+    closed, state = go()
+    assert closed == {f"2024-01-{d:02d}": 3 for d in range(1, 9)} and state <= 3
+    events(spark, folder, [(2, 2, 5), (2, 2, 6), (1, 10, 7), (1, 12, 1)])  # two come after their day was closed
+    closed, state = go()
+    assert closed == {f"2024-01-{d:02d}": 3 for d in range(1, 10)} | {"2024-01-10": 4} and state <= 3
+    assert [tuple(r) for r in jobs.late_rows(spark, data, seen).collect()] == [("2024-01-02", 2)]
+    jobs.tick(spark, ticks, datetime.datetime(2024, 1, 20))
+    closed, state = go()
+    assert closed["2024-01-12"] == 1 and len(closed) == 11 and state <= 1
+    assert go()[0] == closed  # nothing new
+
+
+def test_sessions_are_closed_by_the_watermark(spark, tmp_path):
+    import datetime
+
+    folder, ticks = f"{tmp_path}/in", f"{tmp_path}/ticks"
+    jobs.tick(spark, ticks, datetime.datetime(1970, 1, 1))
+    go = lambda: jobs.appended(jobs.sessions(jobs.with_ticks(jobs.read(spark, folder, EVENTS), ticks), "2 hours"), f"{tmp_path}/data", f"{tmp_path}/checkpoint")
+    found = lambda: sorted((r.user_id, r.started.hour, r.ended.hour, r.n) for r in spark.read.parquet(f"{tmp_path}/data").collect())
+    events(spark, folder, [(1, 1, 1), (1, 1, 2), (1, 1, 9), (2, 1, 3)])
+    go()
+    assert found() == []
+    events(spark, folder, [(2, 1, 4), (1, 3, 5)])
+    go()
+    assert found() == [(1, 1, 2, 2), (1, 9, 9, 1), (2, 3, 4, 2)]
+    jobs.tick(spark, ticks, datetime.datetime(2024, 1, 9))
+    go()
+    assert found() == [(1, 1, 2, 2), (1, 5, 5, 1), (1, 9, 9, 1), (2, 3, 4, 2)]
+
+
+def test_response_state_is_keyed_cleared_and_falls(spark, tmp_path):
+    import datetime
+
+    schema = "session_id long, response_id string, value double, ts timestamp, event_id long"
+    at = lambda day, hour=0: datetime.datetime(2024, 1, day, hour)
+
+    def put(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    def go():  # each run is another query on the same checkpoint
+        q = jobs.response_state(jobs.read(spark, f"{tmp_path}/in", schema), f"{tmp_path}/data", f"{tmp_path}/checkpoint", lifetime=5 * 86_400)
+        state = q.lastProgress.stateOperators[0].numRowsTotal if q.lastProgress else None
+        return {(r.session_id, r.response_id): r.value for r in jobs.responses(spark, f"{tmp_path}/data").collect()}, state
+
+    put([(1, "a", 1.0, at(1), 1), (1, "a", 2.0, at(1, 5), 2), (1, "b", 3.0, at(1), 3), (2, "a", None, at(1), 4), (2, "b", 7.0, at(1, 2), 6), (2, "b", 8.0, at(1, 2), 5)])
+    values, state = go()
+    assert values == {(1, "a"): 2.0, (1, "b"): 3.0, (2, "b"): 7.0} and state >= 4
+    put([(1, "a", 9.0, at(1, 1), 7), (1, "b", None, at(1, 3), 8), (2, "a", 4.0, at(1, 4), 9)])  # an older one, a cleared one, one after a clearing
+    assert go()[0] == {(1, "a"): 2.0, (2, "a"): 4.0, (2, "b"): 7.0}
+    put([(3, "a", 1.0, at(20), 10)])
+    put([(3, "b", 1.0, at(21), 11)])
+    go()
+    put([(4, "a", 1.0, at(22), 12)])
+    values, last = go()
+    assert values == {(1, "a"): 2.0, (2, "a"): 4.0, (2, "b"): 7.0, (3, "a"): 1.0, (3, "b"): 1.0, (4, "a"): 1.0}
+    assert last < state * 2  # three keys and their timers are left of seven
