@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -327,8 +328,8 @@ def grown(post: DataFrame, alive: DataFrame, comps: DataFrame, percent: int, rou
     while not last and not post.isEmpty():
         last = len(asked) == rounds
         pairs = across(post, alive, percent, marks) if last else led(post, len(asked), percent)
-        for before in asked:
-            pairs = pairs.join(before, ["x", "y"], "left_anti")
+        if asked:
+            pairs = pairs.join(reduce(DataFrame.unionByName, asked), ["x", "y"], "left_anti")
         asked.append(cut(pairs, "pairs"))
         edges = cut(verified(asked[-1], alive, percent), "edges")
         roots = connected(between(edges, comps))
