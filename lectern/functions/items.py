@@ -238,3 +238,22 @@ def pixels(box: Column, width: Column, height: Column) -> Column:
     """A box of [ymin, xmin, ymax, xmax] in thousandths, in whole pixels."""
     at = lambda i, size: (F.get(box, F.lit(i)) / 1000 * size).cast("int")
     return F.struct(at(1, width).alias("x0"), at(0, height).alias("y0"), at(3, width).alias("x1"), at(2, height).alias("y1"))
+
+
+# Answers that only point to the explanation.
+POINTERS = ("해설참조", "풀이참조")
+
+
+def declaration(code: Column, answer: Column, count: Column) -> Column:
+    """(interaction, cardinality, base_type, correct, scored) of an item's response. Essays have no correct answer and aren't scored, nor
+    are answers that only point to the explanation, whatever the kind of item."""
+    bare = F.trim(answer)
+    points = bare.isin(*POINTERS)
+    interaction = F.when(code.isin("11", "21"), "choice").when(code.isin("31", "34"), "text_entry").otherwise("extended_text")
+    keys = F.filter(F.transform(F.split(answer, ","), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$"))
+    chosen = F.array_join(F.transform(keys, lambda x: F.concat(F.lit("choice_"), x)), ",")
+    correct = F.when(points | (interaction == "extended_text"), "").when(interaction == "choice", chosen).otherwise(bare)
+    return F.struct(
+        interaction.alias("interaction"), F.when(count > 1, "multiple").otherwise("single").alias("cardinality"), F.when(interaction == "choice", "identifier").otherwise("string").alias("base_type"),
+        correct.alias("correct"), ((interaction != "extended_text") & ~points & (bare != "")).alias("scored"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.operators import search
+from lectern.session import cut
 
 
 def ranks_of(ranked: DataFrame, truth: DataFrame, missing: int = 999) -> DataFrame:
@@ -50,14 +51,21 @@ def symmetric(edges: DataFrame, a: str, b: str) -> DataFrame:
     return edges.select(F.col(a).alias("query_id"), F.col(b).alias("item_id")).union(edges.select(b, a)).distinct()
 
 
-def resolve_prefixes(short: DataFrame, full: DataFrame, length: int) -> DataFrame:
-    """The smallest ``full`` value that starts with each ``short`` one (of at most ``length`` characters), or itself.
+def resolve_prefixes(short: DataFrame, full: DataFrame) -> DataFrame:
+    """The smallest ``full`` value that starts with each ``short`` one, or itself.
 
-    Full values are joined on their prefix of each length that occurs, so the join is an equi-join.
+    A prefix is the range of the sorted values from itself on, so the first full value at or after it is the only one to test. Both sides
+    are sorted together by ranges, one row a value, a prefix before an equal full value: a task finds the next full value in its own range, and the
+    first one of the ranges after it comes from a table of one row a range.
     """
-    lengths = F.sequence(F.lit(1), F.least(F.length("full"), F.lit(length)))
-    each = full.where(F.length("full") > 0).select("full", F.explode(lengths).alias("n")).select(F.expr("substring(full, 1, n)").alias("short"), "full")
-    return short.join(each.groupBy("short").agg(F.min("full").alias("full")), "short", "left").select("short", F.coalesce("full", "short").alias("resolved"))
+    values = short.select(F.col("short").alias("v"), F.lit(0).alias("kind")).unionByName(full.where("full IS NOT NULL").select(F.col("full").alias("v"), F.lit(1).alias("kind")).distinct())
+    dealt = cut(values.where("v IS NOT NULL").repartitionByRange("v", "kind").withColumn("range", F.spark_partition_id()), "ranges")
+    upward = Window.partitionBy("range").orderBy(F.desc("v"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    inside = dealt.withColumn("next", F.last(F.when(F.col("kind") == 1, F.col("v")), ignorenulls=True).over(upward)).where("kind = 0")
+    later = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    starts = dealt.groupBy("range").agg(F.min(F.when(F.col("kind") == 1, F.col("v"))).alias("low")).withColumn("after", F.last("low", ignorenulls=True).over(later))
+    met = inside.join(starts.select("range", "after"), "range").withColumn("found", F.coalesce("next", "after"))
+    return met.select(F.col("v").alias("short"), F.when(F.startswith("found", "v"), F.col("found")).otherwise(F.col("v")).alias("resolved")).distinct()
 
 
 def metadata_similarity(a: str, b: str) -> Column:
@@ -84,11 +92,16 @@ def from_judgments(judged: DataFrame, least: int = 3, k: int = 5) -> DataFrame:
 
 
 def search_or_keyword(asked: DataFrame, corpus: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    """Vector hits of queries that have a vector; keyword hits (score 0.8, by id) of those that have only a word."""
-    hits = search.knn(asked.where("embedding IS NOT NULL"), corpus, k).select("query_id", "item_id", "score", F.lit("vector").alias("path"))
-    words = asked.where("embedding IS NULL AND word IS NOT NULL").select("query_id", "word")
-    found = search.keywords(items, words, k).join(words, "word")
-    return hits.unionByName(found.select("query_id", "item_id", F.lit(0.8).alias("score"), F.lit("keyword").alias("path")))
+    """Vector hits of queries that have a vector; of those that have only words, the first k items by id that hold one of them (score 0.8).
+
+    A query is a row for each of its words. Of each word the first k items are enough, as no later one can be among the query's first k.
+    """
+    vectors = asked.where("embedding IS NOT NULL").select("query_id", "embedding").dropDuplicates(["query_id"])
+    hits = search.knn(vectors, corpus, k).select("query_id", "item_id", "score", F.lit("vector").alias("path"))
+    words = asked.where("embedding IS NULL AND word IS NOT NULL").select("query_id", "word").distinct()
+    found = search.keywords(items, words, k).join(words, "word").select("query_id", "item_id").distinct()
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("item_id"))).where(F.col("n") <= k)
+    return hits.unionByName(first.select("query_id", "item_id", F.lit(0.8).alias("score"), F.lit("keyword").alias("path")))
 
 
 def batch(asked: DataFrame, ranked: DataFrame) -> DataFrame:

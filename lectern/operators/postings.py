@@ -135,7 +135,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Postings:
-    forward: DataFrame
+    forward: DataFrame | None
     blocks: DataFrame
     levels: DataFrame
 
@@ -143,7 +143,11 @@ class Postings:
 def build(docs: DataFrame, weigh: Bm25 | TfIdf, more: DataFrame | None = None) -> Postings:
     """Postings of (item_id, terms) rows; ``more``: (item_id, terms, impacts) of terms that plans know but exact scores don't."""
     forward = bucketed(vectors(docs, weigh, "item_id"), "forward", "item_id")
-    rows = forward if more is None else forward.unionByName(more)
+    return indexed(forward if more is None else forward.unionByName(more), forward)
+
+
+def indexed(rows: DataFrame, forward: DataFrame | None = None) -> Postings:
+    """Blocks and levels of (item_id, terms, impacts) rows."""
     cell = F.xxhash64("term", "level", "spread")
     blocks = bucketed(rows.mapInArrow(_blocks, BLOCKS_DDL).withColumn("cell", cell), "blocks", "cell")
     levels = blocks.groupBy("term", "level").agg(F.max("top").alias("top"), F.sum("n").alias("n"), F.count("*").alias("blocks"), F.collect_set("spread").alias("spreads"))  # SPREAD at most
@@ -153,7 +157,8 @@ def build(docs: DataFrame, weigh: Bm25 | TfIdf, more: DataFrame | None = None) -
 def drop(index: Postings) -> None:
     """Delete an index that nothing reads any more."""
     for t in (index.forward, index.blocks, index.levels):
-        forget(t)
+        if t is not None:
+            forget(t)
 
 
 def plan_of(asked: DataFrame, levels: DataFrame) -> DataFrame:

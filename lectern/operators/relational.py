@@ -138,6 +138,39 @@ def latency_profile(events: DataFrame, value: str, by: list[str], success: Colum
     return plain.join(percentiles(events, value, by, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by, "left")
 
 
+def quantile_sketches(events: DataFrame, value: str, by: list[str], k: int = 400) -> DataFrame:
+    """(by, n, sketch): a KLL sketch of the values of each group, of bounded size, to be stored and merged later. With ``k`` of 400 ranks are within about 0.7 %."""
+    some = events.where(F.col(value).isNotNull())
+    return some.groupBy(*by).agg(F.count("*").alias("n"), F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(k)).alias("sketch"))
+
+
+def merged_profile(sketches: DataFrame, by: list[str], points: dict[str, float], k: int = 400) -> DataFrame:
+    """(by, n, points): quantiles of stored sketches, merged over whatever else they were kept apart by. The events aren't read again."""
+    all_ = sketches.groupBy(*by).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch", F.lit(k)).alias("sketch"))
+    return all_.select(*by, "n", *[F.kll_sketch_get_quantile_double("sketch", F.lit(q)).alias(name) for name, q in points.items()])
+
+
+def evidence(rows: DataFrame, by: list[str], order: list[str], shown: Column, n: int, name: str) -> DataFrame:
+    """(by, name): the texts of the first n rows of each group, in order, as one text; n bounds what is brought together."""
+    placed = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("_n", shown.alias("s"))))
+    return placed.groupBy(*by).agg(F.array_join(F.transform(listed, lambda x: x["s"]), "|").alias(name))
+
+
+def counters(rows: DataFrame, fields: dict[str, Column], errors: Column, file: Column, shown: int = 100) -> DataFrame:
+    """(field, value, n, files) of a run over files: good rows by each field ('unknown' if blank), errors by their first 50 characters
+    with the first ``shown`` files, and totals. ``errors`` is an array, empty for a good row."""
+    told = rows.select(errors.alias("errors"), file.alias("file"), *[F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("unknown")).alias(name) for name, c in fields.items()])
+    good = told.where(F.size("errors") == 0)
+    counts = value_counts(good, list(fields)).withColumn("files", F.lit(""))
+    bad = told.where(F.size("errors") > 0).select("file", F.explode("errors").alias("e")).select("file", F.substring("e", 1, 50).alias("value"))
+    first = evidence(bad.distinct(), ["value"], ["file"], F.col("file").cast("string"), shown, "files")
+    kinds = bad.groupBy("value").agg(F.count("*").alias("n")).join(first, "value").select(F.lit("error").alias("field"), "value", "n", "files")
+    total = told.agg(F.count("*").alias("scanned"), F.count_if(F.size("errors") == 0).alias("good"), F.count_if(F.size("errors") > 0).alias("bad"))
+    totals = total.select(F.inline(F.array(*[F.struct(F.lit("total").alias("field"), F.lit(c).alias("value"), F.col(c).alias("n"), F.lit("").alias("files")) for c in ("scanned", "good", "bad")])))
+    return counts.unionByName(kinds).unionByName(totals)
+
+
 def stratified(rows: DataFrame, strata: list[str], key: str, k: int, seed: int = 42) -> DataFrame:
     """Exactly min(size, k) rows of each stratum, the same for the same seed."""
     order = Window.partitionBy(*strata).orderBy(F.xxhash64(key, F.lit(seed)), key)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import cells, postings
+from lectern.operators import cells, postings, substrings
 from lectern.operators.ranking import best
 from lectern.session import cut, forget, ship
 
@@ -38,18 +36,6 @@ def approximate_knn(queries: DataFrame, corpus: DataFrame, k: int, threshold: fl
     return found if threshold is None else found.where(F.col("score") >= threshold)
 
 
-def in_blocks(rows: DataFrame, block: int) -> Iterator[list]:
-    """Rows in lists of ``block`` at most, one of them in the driver at a time; one empty list if there are none."""
-    now: list = []
-    for row in rows.toLocalIterator(prefetchPartitions=True):
-        now.append(row)
-        if len(now) == block:
-            yield now
-            now = []
-    if now:
-        yield now
-
-
 def word_tokens(text: Column) -> Column:
     """Lower-cased words of letters, digits and underscores, longer than one character."""
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_]+", " "), " "), lambda t: F.length(t) > 1)
@@ -197,52 +183,9 @@ def keyword(items: DataFrame, word: str, columns: list[str], k: int, item: str =
     return items.where(hit).withColumn("score", F.lit(score)).orderBy(item).limit(k)
 
 
-def keywords(items: DataFrame, words: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """(word, item_id): the first k items, by id, whose text holds each word (case-insensitive; % and _ are wildcards).
-
-    Distinct words go in blocks of at most ``block``, broadcast; tasks look for all of them at once in each text and keep k a word.
-    """
-    import ahocorasick
-
-    spark = items.sparkSession
-    ship(spark)
-
-    def search(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            plain, patterns = shared.value
-            tree = ahocorasick.Automaton()
-            for w in plain:
-                tree.add_word(w, w)
-            if plain:
-                tree.make_automaton()
-            first: dict[str, list[int]] = {}
-            for batch in batches:
-                ids, texts = batch.column(0).to_pylist(), batch.column(1)
-                found = [(w, i) for i, t in zip(ids, texts.to_pylist(), strict=True) for w in ({w for _, w in tree.iter(t)} if plain and t else ())]
-                found += [(w, ids[i]) for w in patterns for i in np.flatnonzero(pc.match_like(texts, f"%{w}%").fill_null(False).to_numpy(zero_copy_only=False))]
-                for w, i in found:
-                    some = first.setdefault(w, [])
-                    if len(some) < k or i < some[-1]:
-                        bisect.insort(some, i)
-                        del some[k:]
-            rows = [(w, i) for w, some in first.items() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), pa.array([i for _, i in rows], pa.int64())], names=["low", "item_id"])
-
-        return run
-
-    lowered = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
-    every = words.select("word").distinct().withColumn("low", F.lower("word"))
-    parts = []
-    for rows in in_blocks(every.select("low").where("low <> ''").distinct(), block):
-        wild = lambda w: any(c in w for c in "%_\\")
-        low = [r.low for r in rows]
-        parts.append(lowered.mapInArrow(search(spark.sparkContext.broadcast(([w for w in low if not wild(w)], [w for w in low if wild(w)]))), "low string, item_id long"))
-    found = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "low string, item_id long")
-    blank = every.where("low = ''").select("low")
-    found = found.unionByName(blank.join(lowered.where("text IS NOT NULL").select("item_id").orderBy("item_id").limit(k), how="cross"))
-    order = Window.partitionBy("low").orderBy("item_id")
-    top = found.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
-    return every.join(top, "low").select("word", "item_id")
+def keywords(items: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """(word, item_id): the first k items, by id, whose text holds each word; see :mod:`lectern.operators.substrings`."""
+    return substrings.first_matches(items, words, k)
 
 
 def _words(text: Column) -> Column:

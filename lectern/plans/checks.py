@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import items as I
 from lectern.functions import strings as S
+from lectern.functions.images import image_header
 from lectern.operators import quality as Q
 from lectern.operators import scoring
 from lectern.plans.normalise import ATTR_SQL, attrs
@@ -120,8 +121,8 @@ def q7b(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("q8_gender_balance", """WITH c AS (SELECT conv_id, count(*) FILTER (role = 'user') AS u, count(*) FILTER (role = 'assistant') AS s FROM conversations GROUP BY conv_id) SELECT conv_id, u + s >= 3 AND (u = 0 OR s = 0) AS unbalanced FROM c""")
 def q8(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.collect_list("role").alias("roles"))
-    return c.select("conv_id", Q.gender_balance(F.col("roles"), "^user$", "^assistant$").alias("unbalanced"))
+    named = lambda p: F.count_if(F.col("role").rlike(p))
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(Q.unbalanced(named("^user$"), named("^assistant$")).alias("unbalanced"))
 
 
 @register("q9_calculation_check", """WITH c AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INTEGER) AS a, l_linenumber AS b, CAST(l_quantity AS INTEGER) + l_linenumber + CASE WHEN l_orderkey % 3 = 0 THEN 5 ELSE 0 END AS keyed, l_orderkey % 7 = 0 AS bad, l_orderkey % 5 = 0 AS dup FROM lineitem),
@@ -178,11 +179,28 @@ def q19(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", joined(Q.codes((~h.contains("<html"), "missing_root"), (~h.contains("lang="), "missing_lang"), (~h.contains("<title>"), "missing_title"), (~h.contains("<p>"), "missing_body"))).alias("errors"))
 
 
-@register("q20_image_files", f"""WITH {ATTR_SQL}, i AS (SELECT doc_id, replace(image, chr(92), '/') AS p, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE n_chars * 9000 END AS size, doc_id % 700 AS w, doc_id * 7 % 5000 AS h FROM a)
-SELECT doc_id, concat_ws(';', CASE WHEN size IS NULL THEN 'not_found' END, CASE WHEN lower(regexp_extract(p, '(\\.[^./]+)$', 1)) NOT IN ('.png', '.jpg', '.jpeg', '.gif', '.bmp') THEN 'unsupported_format' END, CASE WHEN least(w, h) < 200 THEN 'too_small' END, CASE WHEN greatest(w, h) > 4096 THEN 'too_large' END, CASE WHEN size > 20971520 THEN 'file_too_big' END) AS errors FROM i""")
+IMAGE_SIZES = "i AS (SELECT doc_id, n_chars % 5000 AS w, length(coalesce(text, '')) * 7 % 4500 AS h, doc_id % 6 AS k, n_chars * 9000 AS size FROM documents)"
+
+
+def image_files(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, path, size, content): the first bytes of image files in turn PNG, GIF, BMP, JPEG, a broken PNG and none at all, as wide and high as columns say."""
+    w, h, k = F.col("n_chars") % 5000, F.length(F.coalesce("text", F.lit(""))) * 7 % 4500, F.col("doc_id") % 6
+    big = lambda c, n: F.lpad(F.hex(c.cast("long")), 2 * n, "0")
+    little = lambda c, n: F.concat(*[F.substring(big(c, n), 2 * i + 1, 2) for i in reversed(range(n))])
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), big(w, 4), big(h, 4), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), little(w, 2), little(h, 2), F.lit("F70000"))
+    bmp = F.concat(F.lit("424D"), F.lit("00" * 12), F.lit("28000000"), little(w, 4), little(h, 4), F.lit("01001800"))
+    jpeg = F.concat(F.lit("FFD8FFE000104A46494600010100000100010000FFDB0043"), F.lit("11" * 65), F.lit("FFC00011"), F.lit("08"), big(h, 2), big(w, 2), F.lit("03012200"))
+    digits = F.when(k == 0, png).when(k == 1, gif).when(k == 2, bmp).when(k == 3, jpeg).when(k == 4, F.substring(png, 1, 36))
+    name = F.concat(F.lit("img/"), F.col("doc_id").cast("string"), F.when(k == 1, ".gif").when(k == 2, ".bmp").when(k == 3, ".JPG").otherwise(".png"))
+    return table(spark, sf, "documents").select("doc_id", name.alias("path"), F.when(k < 5, F.col("n_chars") * 9000).alias("size"), F.unhex(digits).alias("content"))
+
+
+@register("q20_image_files", f"""WITH {IMAGE_SIZES} SELECT doc_id, CASE k WHEN 0 THEN 'png' WHEN 1 THEN 'gif' WHEN 2 THEN 'bmp' WHEN 3 THEN 'jpeg' WHEN 4 THEN 'png' END AS kind, CASE WHEN k < 4 THEN w END AS width, CASE WHEN k < 4 THEN h END AS height,
+concat_ws(';', CASE WHEN k = 5 THEN 'not_found' END, CASE WHEN k = 4 THEN 'unreadable' END, CASE WHEN k < 4 AND least(w, h) < 200 THEN 'too_small' END, CASE WHEN k < 4 AND greatest(w, h) > 4096 THEN 'too_large' END, CASE WHEN k < 5 AND size > 20971520 THEN 'file_too_big' END) AS errors FROM i""")
 def q20(spark: SparkSession, sf: str) -> DataFrame:
-    size = F.when(F.col("doc_id") % 5 != 0, F.col("n_chars") * 9000)
-    return attrs(spark, sf).select("doc_id", joined(Q.image_file_errors(I.slashes(F.col("image")), size, F.col("doc_id") % 700, F.col("doc_id") * 7 % 5000)).alias("errors"))
+    files = image_files(spark, sf).withColumn("head", image_header(F.col("content")))
+    return files.select("doc_id", "head.*", joined(Q.image_file_errors(F.col("path"), F.col("size"), F.col("head"))).alias("errors"))
 
 
 FACTS = """o AS (SELECT o_orderkey AS item_id, o_orderdate AS d, CASE WHEN starts_with(o_orderpriority, '1') THEN 'strict' WHEN starts_with(o_orderpriority, '2') THEN 'skip' ELSE 'moderate' END AS mode FROM orders),

@@ -73,9 +73,12 @@ def t5(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("r18_batch_vectorise", "SELECT doc_id AS id, CASE WHEN coalesce(text, '') <> '' THEN 64 END AS dim, coalesce(text, '') = '' AS failed FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def r18(spark: SparkSession, sf: str) -> DataFrame:
-    todo = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    """In two runs on one folder: the second goes on with what the first, of the even ids, hasn't done."""
     done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
-    return encode.vectorise(todo, done).select("id", F.size("embedding").alias("dim"), F.col("error").isNotNull().alias("failed"))
+    todo = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text").join(done, "id", "left_anti")
+    path = f"{scratch(spark, 'vectors')}/data"
+    encode.vectorise_to(path, todo.where("id % 2 = 0"))
+    return encode.vectorise_to(path, todo).select("id", F.size("embedding").alias("dim"), F.col("error").isNotNull().alias("failed"))
 
 
 @register("s1_file_scan")
@@ -92,6 +95,31 @@ def s11(spark: SparkSession, sf: str) -> DataFrame:
     return every.groupBy("lang", "n").agg(F.count("*").cast("int").alias("copies"))
 
 
+@register(
+    "s11_star_export",
+    """WITH m AS (SELECT l_partkey AS t, l_suppkey AS s, max(l_discount) AS c FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part) AND l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2)
+SELECT 'star' AS part, p_brand AS name, count(*) AS n, round(avg(c), 6) AS confidence FROM m JOIN part ON t = p_partkey JOIN supplier ON s = s_suppkey GROUP BY 2
+UNION ALL SELECT 'csv', p_brand, count(*), round(avg(c), 6) FROM m JOIN part ON t = p_partkey JOIN supplier ON s = s_suppkey GROUP BY 2
+UNION ALL SELECT 'unmapped', s_name, 1, NULL FROM supplier WHERE s_suppkey NOT IN (SELECT s FROM m)
+UNION ALL SELECT 'meta', 'textbooks', count(*), NULL FROM part UNION ALL SELECT 'meta', 'standards', count(*), NULL FROM supplier UNION ALL SELECT 'meta', 'mappings', count(*), NULL FROM m
+UNION ALL SELECT 'meta', 'unmapped_standards', count(*), NULL FROM supplier WHERE s_suppkey NOT IN (SELECT s FROM m)""",
+)
+def s11_star(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as textbooks, suppliers as standards, lines as mappings: written as a star and a quoted file, read back and joined by their keys."""
+    path = scratch(spark, "star")
+    textbooks = table(spark, sf, "part").select(F.col("p_partkey").alias("textbook_id"), F.col("p_brand").alias("subject"), F.concat_ws(" > ", "p_type", "p_name").alias("full_path"), F.lit(True).alias("is_leaf"))
+    standards = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("standard_code"), F.col("s_name").alias("description"), F.col("s_nationkey").cast("string").alias("domain"))
+    mappings = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("textbook_id"), F.col("l_suppkey").alias("standard_code"), F.col("l_discount").alias("confidence"), F.col("l_returnflag").alias("reasoning"))
+    items.write_star(textbooks, standards, mappings, path)
+    t, s, m = (spark.read.parquet(f"{path}/star/{x}") for x in ("textbooks", "standards", "mappings"))
+    flat = spark.read.csv(f"{path}/csv", header=True, schema="textbook_id long, subject string, full_path string, is_leaf boolean, standard_code long, description string, domain string, confidence double, reasoning string")
+    by = lambda df, name: df.groupBy("subject").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("confidence")).select(F.lit(name).alias("part"), F.col("subject").alias("name"), "n", "confidence")
+    none = F.lit(None).cast("double").alias("confidence")
+    left = spark.read.schema("standard_code long, description string, domain string").json(f"{path}/unmapped").select(F.lit("unmapped").alias("part"), F.col("description").alias("name"), F.lit(1).cast("long").alias("n"), none)
+    meta = spark.read.schema("name string, n long").json(f"{path}/meta").select(F.lit("meta").alias("part"), "name", "n", none)
+    return by(m.join(t, "textbook_id").join(s, "standard_code"), "star").unionByName(by(flat, "csv")).unionByName(left).unionByName(meta)
+
+
 @register("s12_partitioned_export", "SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2")
 def s12(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch(spark, "export")

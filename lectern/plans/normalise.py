@@ -134,14 +134,15 @@ def p16(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", prompt.alias("prompt"))
 
 
-@register("p17_response_declaration", f"""WITH {ATTR_SQL}, k AS (SELECT doc_id, answer, split_part(kind, ' ', 1) AS code, doc_id % 3 AS daps FROM a) SELECT doc_id, CASE WHEN code IN ('11', '21') THEN 'choice' WHEN code = '31' THEN 'text_entry' ELSE 'extended_text' END AS interaction,
-CASE WHEN daps > 1 THEN 'multiple' ELSE 'single' END AS cardinality, CASE WHEN code IN ('11', '21') THEN 'identifier' ELSE 'string' END AS base_type,
-CASE WHEN code IN ('11', '21') THEN array_to_string(list_transform(list_filter(list_transform(string_split(answer, ','), lambda x: trim(x)), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: 'choice_' || x), ',') ELSE answer END AS correct FROM k""")
+@register("p17_response_declaration", f"""WITH {ATTR_SQL}, k AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN '해설참조' WHEN lang = 'de' AND doc_id % 2 = 0 THEN ' 풀이참조 ' ELSE answer END AS answer, split_part(kind, ' ', 1) AS code, doc_id % 3 AS daps FROM a),
+c AS (SELECT *, trim(answer) IN ('해설참조', '풀이참조') AS points, CASE WHEN code IN ('11', '21') THEN 'choice' WHEN code IN ('31', '34') THEN 'text_entry' ELSE 'extended_text' END AS interaction FROM k)
+SELECT doc_id, interaction, CASE WHEN daps > 1 THEN 'multiple' ELSE 'single' END AS cardinality, CASE WHEN interaction = 'choice' THEN 'identifier' ELSE 'string' END AS base_type,
+CASE WHEN points OR interaction = 'extended_text' THEN '' WHEN interaction = 'choice' THEN array_to_string(list_transform(list_filter(list_transform(string_split(answer, ','), lambda x: trim(x)), lambda x: regexp_full_match(x, '[0-9]+')), lambda x: 'choice_' || x), ',') ELSE trim(answer) END AS correct,
+interaction <> 'extended_text' AND NOT points AND trim(answer) <> '' AS scored FROM c""")
 def p17(spark: SparkSession, sf: str) -> DataFrame:
-    code, choice = I.code_of(F.col("kind")), I.code_of(F.col("kind")).isin("11", "21")
-    # Answers that only point to the explanation.
-    keys = F.filter(F.transform(F.split("answer", ","), lambda x: F.trim(x)), lambda x: x.rlike("^[0-9]+$") & ~x.isin("해설참조", "풀이참조"))
-    return attrs(spark, sf).select("doc_id", F.when(choice, "choice").when(code == "31", "text_entry").otherwise("extended_text").alias("interaction"), F.when(F.col("doc_id") % 3 > 1, "multiple").otherwise("single").alias("cardinality"), F.when(choice, "identifier").otherwise("string").alias("base_type"), F.when(choice, F.array_join(F.transform(keys, lambda x: F.concat(F.lit("choice_"), x)), ",")).otherwise(F.col("answer")).alias("correct"))
+    answer = F.when(F.col("lang") == "fr", "해설참조").when((F.col("lang") == "de") & (F.col("doc_id") % 2 == 0), " 풀이참조 ").otherwise(F.col("answer"))
+    a = attrs(spark, sf).withColumn("answer", answer)
+    return a.select("doc_id", I.declaration(I.code_of(F.col("kind")), F.col("answer"), F.col("doc_id") % 3).alias("d")).select("doc_id", "d.*")
 
 
 @register("p18_generated_items", "SELECT 'AI_' || upper(substr(sha256(CAST(o.o_orderkey AS VARCHAR)), 1, 16)) AS id, c.c_custkey AS source_item_id, c.c_mktsegment AS subject, c.c_nationkey AS grade, true AS is_ai_generated FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey")

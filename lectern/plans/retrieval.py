@@ -145,7 +145,7 @@ def j10(spark: SparkSession, sf: str) -> DataFrame:
 @register("j11_prefix_resolution", "WITH s AS (SELECT DISTINCT substr(url, 1, 22) AS short FROM pages) SELECT short, coalesce(min(p.url), short) AS resolved FROM s LEFT JOIN pages p ON starts_with(p.url, s.short) GROUP BY short")
 def j11(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages")
-    return gt.resolve_prefixes(pages.select(F.substring("url", 1, 22).alias("short")).distinct(), pages.select(F.col("url").alias("full")), 22)
+    return gt.resolve_prefixes(pages.select(F.substring("url", 1, 22).alias("short")).distinct(), pages.select(F.col("url").alias("full")))
 
 
 @register("x13_vector_math", "SELECT a.vec_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dot, round(sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[]))), 6) AS norm, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
@@ -332,13 +332,14 @@ def r7(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "r17_search_with_fallback",
     f"""WITH {KNN}, v AS (SELECT CAST(query_id AS BIGINT) AS query_id, CAST(item_id AS BIGINT) AS item_id, score FROM r WHERE rank <= 5),
-f AS (SELECT b.item_id AS bid, split_part(b.text, ' ', 2) AS word FROM benchmark b WHERE b.item_id % 20 <> 0),
-k AS (SELECT f.bid, d.doc_id, row_number() OVER (PARTITION BY f.bid ORDER BY d.doc_id) AS n FROM f JOIN documents d ON d.text ILIKE '%' || f.word || '%')
-SELECT query_id, item_id, score, 'vector' AS path FROM v UNION ALL SELECT bid, doc_id, 0.8::DOUBLE, 'keyword' FROM k WHERE n <= 5""",
+f AS (SELECT DISTINCT b.item_id AS bid, unnest(string_split(b.text, ' ')) AS word FROM benchmark b WHERE b.item_id % 20 <> 0),
+k AS (SELECT f.bid, f.word, d.doc_id, row_number() OVER (PARTITION BY f.bid, f.word ORDER BY d.doc_id) AS n FROM f JOIN documents d ON d.text ILIKE '%' || f.word || '%'),
+h AS (SELECT DISTINCT bid, doc_id FROM k WHERE n <= 5), o AS (SELECT bid, doc_id, row_number() OVER (PARTITION BY bid ORDER BY doc_id) AS n FROM h)
+SELECT query_id, item_id, score, 'vector' AS path FROM v UNION ALL SELECT bid, doc_id, 0.8::DOUBLE, 'keyword' FROM o WHERE n <= 5""",
 )
 def r17(spark: SparkSession, sf: str) -> DataFrame:
     q, c = vectors(spark, sf)
-    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.split_part("text", F.lit(" "), F.lit(2)).alias("word"))
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", " ")).alias("word"))
     asked = q.select("query_id", "embedding").join(words, "query_id", "full")
     items = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text")
     return gt.search_or_keyword(asked, c, items, 5)

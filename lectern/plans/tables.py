@@ -9,7 +9,8 @@ from lectern.functions import items as I
 from lectern.operators import relational as R
 from lectern.operators import search
 from lectern.plans.registry import register
-from lectern.session import table
+from lectern.session import cut, scratch, table
+from lectern.sources import items
 
 
 def T(name: str):
@@ -122,37 +123,43 @@ def j16(spark: SparkSession, sf: str) -> DataFrame:
     return R.grid(docs(spark, sf), "lang", ["en", "fr", "xx"], "source", ["src0", "src1", "none"])
 
 
-@register("s5_vector_read", "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings")
+@register("s5_vector_read", "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first, 'ids' AS named FROM embeddings UNION ALL SELECT row_number() OVER (ORDER BY vec_id) - 1, CAST(len(embedding) AS INTEGER), round(CAST(embedding[1] AS DOUBLE), 6), 'places' FROM embeddings")
 def s5(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+    """The same vectors under two sets of names: with ids, and without, where the place in the file's order is the id."""
+    e = table(spark, sf, "embeddings")
+    named = items.vectors_of(e.select(F.col("vec_id").alias("item_ids"), F.col("label").alias("extra"), F.col("embedding").alias("embeddings")))
+    placed = items.vectors_of(e.select(F.col("embedding").alias("whatever"), F.col("vec_id").alias("_order")), order="_order")
+    shown = lambda df, name: df.select("id", F.size("embedding").alias("dim"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.lit(name).alias("named"))
+    return shown(named, "ids").unionByName(shown(placed, "places"))
 
 
-@register("s6_route_by_dimension", "SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'dim_32' WHEN vec_id % 3 = 1 THEN 'dim_64' ELSE 'other' END AS model FROM embeddings")
+@register("s6_route_by_dimension", "SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'dim_32' WHEN vec_id % 3 = 1 THEN 'dim_64' ELSE 'other' END AS model FROM embeddings WHERE vec_id % 3 <> 0 OR label < 5")
 def s6(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "embeddings").withColumn("embedding", F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 32)).when(F.col("vec_id") % 3 == 1, F.col("embedding")).otherwise(F.slice("embedding", 1, 7)))
-    model = F.when(F.size("embedding") == 32, "dim_32").when(F.size("embedding") == 64, "dim_64").otherwise("other")
-    return e.select("vec_id", model.alias("model"))
+    """A load of all vectors into a table for each length, then one of fewer short ones, which replaces their table only."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.when(F.col("vec_id") % 3 == 0, F.slice("embedding", 1, 32)).when(F.col("vec_id") % 3 == 1, F.col("embedding")).otherwise(F.slice("embedding", 1, 7)).alias("embedding"))
+    path, routes = scratch(spark, "vectors"), {32: "dim_32", 64: "dim_64"}
+    items.load_vectors(e.select("id", "embedding"), path, routes, "other")
+    items.load_vectors(e.where("id % 3 = 0 AND label < 5").select("id", "embedding"), path, routes, "other")
+    return spark.read.parquet(path).select("id", "model")
 
 
-UP = "WITH n AS (SELECT l_orderkey AS id, l_linenumber AS seq, l_extendedprice AS price FROM lineitem WHERE l_orderkey % 4 = 0), o AS (SELECT o_orderkey AS id, 0 AS seq, o_totalprice AS price FROM orders)"
+UP = "WITH n AS (SELECT l_orderkey AS id, l_linenumber AS seq, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2), o AS (SELECT o_orderkey AS id, 0 AS seq, o_totalprice AS price FROM orders)"
 
 
-def loads(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Existing rows, and a load of changed and new ones."""
-    old = orders(spark, sf).select(F.col("o_orderkey").alias("id"), F.lit(0).alias("seq"), F.col("o_totalprice").alias("price"))
-    new = lineitem(spark, sf).where("l_orderkey % 4 = 0").groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("seq")).agg(F.max("l_extendedprice").alias("price"))
-    return old, new
-
-
-@register("s7_upsert", UP + ", m AS (SELECT id, seq, max(price) AS price FROM n GROUP BY 1, 2), u AS (SELECT *, 1 AS new FROM m UNION ALL SELECT *, 0 FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY new DESC, seq DESC) AS k FROM u) SELECT id, seq, price FROM r WHERE k = 1")
+@register("s7_upsert", UP + ", u AS (SELECT *, 1 AS new FROM n UNION ALL SELECT *, 0 FROM o), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY new DESC, seq DESC) AS k FROM u) SELECT id, seq, price FROM r WHERE k = 1")
 def s7(spark: SparkSession, sf: str) -> DataFrame:
-    return R.upsert(*loads(spark, sf), "id", "seq")
+    """All lines as a load of changed and new rows into all orders."""
+    old = orders(spark, sf).select(F.col("o_orderkey").alias("id"), F.lit(0).alias("seq"), F.col("o_totalprice").alias("price"))
+    new = lineitem(spark, sf).groupBy(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("seq")).agg(F.max("l_extendedprice").alias("price"))
+    return R.upsert(old, new, "id", "seq")
 
 
-@register("s8_insert_ignore", UP + ", m AS (SELECT id, seq, max(price) AS price FROM n GROUP BY 1, 2), e AS (SELECT * FROM o WHERE id % 8 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM m WHERE id NOT IN (SELECT id FROM e)) SELECT id, seq, price FROM r WHERE k = 1 UNION ALL SELECT * FROM e")
+@register("s8_insert_ignore", "WITH o AS (SELECT s_suppkey AS id, CAST(0 AS BIGINT) AS seq, s_acctbal AS price FROM supplier), n AS (SELECT l_partkey AS id, CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS seq, max(l_extendedprice) AS price FROM lineitem GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM n WHERE id NOT IN (SELECT id FROM o)) SELECT id, seq, price FROM r WHERE k = 1 UNION ALL SELECT * FROM o")
 def s8(spark: SparkSession, sf: str) -> DataFrame:
-    old, new = loads(spark, sf)
-    return R.insert_ignore(old.where("id % 8 <> 0"), new, ["id"], "seq")
+    """All suppliers, and of all lines the first one of each part number that no supplier has."""
+    old = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit(0).cast("long").alias("seq"), F.col("s_acctbal").alias("price"))
+    new = lineitem(spark, sf).groupBy(F.col("l_partkey").alias("id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("seq")).agg(F.max("l_extendedprice").alias("price"))
+    return R.insert_ignore(old, new, ["id"], "seq")
 
 
 @register("s9_cascading_delete", "WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 2 = 0) SELECT 'orders' AS name, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone) UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)")
@@ -175,10 +182,28 @@ def a1(spark: SparkSession, sf: str) -> DataFrame:
     return R.value_counts(docs(spark, sf), ["lang", "source"])
 
 
-@register("a2_parse_statistics", "SELECT 'event_type' AS field, event_type AS value, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'props', props, count(*) FROM events GROUP BY 2")
+FILES = """f AS (SELECT doc_id, lang, source, CASE WHEN n_chars > 5000 THEN 'long' WHEN n_chars > 500 THEN 'middle' ELSE '' END AS size,
+list_filter([CASE WHEN n_chars < 100 THEN 'text of ' || n_chars || ' characters is too short in ' || source END, CASE WHEN contains(text, '[PHONE]') OR regexp_matches(text, '[0-9]{3}-[0-9]{4}') THEN 'personal data' END], lambda x: x IS NOT NULL) AS errors FROM documents)"""
+
+
+def file_rows(spark: SparkSession, sf: str) -> DataFrame:
+    n = F.col("n_chars")
+    short = F.when(n < 100, F.concat(F.lit("text of "), n.cast("string"), F.lit(" characters is too short in "), F.col("source")))
+    personal = F.when(F.contains("text", F.lit("[PHONE]")) | F.col("text").rlike("[0-9]{3}-[0-9]{4}"), "personal data")
+    return docs(spark, sf).select("doc_id", "lang", "source", F.when(n > 5000, "long").when(n > 500, "middle").otherwise("").alias("size"), F.array_compact(F.array(short, personal)).alias("errors"))
+
+
+@register(
+    "a2_parse_statistics",
+    f"""WITH {FILES}, g AS (SELECT * FROM f WHERE len(errors) = 0), b AS (SELECT doc_id, substr(e, 1, 50) AS value FROM (SELECT doc_id, unnest(errors) AS e FROM f)),
+d AS (SELECT DISTINCT doc_id, value FROM b QUALIFY row_number() OVER (PARTITION BY value ORDER BY doc_id) <= 100)
+SELECT 'lang' AS field, coalesce(nullif(lang, ''), 'unknown') AS value, count(*) AS n, '' AS files FROM g GROUP BY 2 UNION ALL SELECT 'size', coalesce(nullif(size, ''), 'unknown'), count(*), '' FROM g GROUP BY 2
+UNION ALL SELECT 'error', b.value, count(*), any_value(l.files) FROM b JOIN (SELECT value, string_agg(CAST(doc_id AS VARCHAR), '|' ORDER BY doc_id) AS files FROM d GROUP BY value) l ON l.value = b.value GROUP BY b.value
+UNION ALL SELECT 'total', 'scanned', count(*), '' FROM f UNION ALL SELECT 'total', 'good', count(*), '' FROM g UNION ALL SELECT 'total', 'bad', count(*), '' FROM f WHERE len(errors) > 0""",
+)
 def a2(spark: SparkSession, sf: str) -> DataFrame:
-    long = events(spark, sf).select("event_id", "event_type", "props").unpivot("event_id", ["event_type", "props"], "field", "value")
-    return long.groupBy("field", "value").agg(F.count("*").alias("n"))
+    """Good files by field, errors by their first 50 characters with the first 100 files of each, and totals."""
+    return R.counters(file_rows(spark, sf), {"lang": F.col("lang"), "size": F.col("size")}, F.col("errors"), F.col("doc_id"))
 
 
 @register("a3_row_counts", "SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'labels', count(*) FROM labels")
@@ -204,10 +229,21 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("p_type", "p_brand", F.array_join("c", ",").alias("chapters"), (F.size("c") > 1).alias("flagged"))
 
 
-@register("a7_confidence_distribution", "WITH l AS (SELECT l_returnflag, l_discount * 10 AS c, l_orderkey * 10 + l_linenumber AS k FROM lineitem) SELECT l_returnflag, count(*) AS n, round(avg(c), 6) AS mean, round(min(c), 6) AS low, round(max(c), 6) AS high, count(*) FILTER (round(c, 6) < 0.5) AS n_low FROM l GROUP BY 1")
+@register(
+    "a7_confidence_distribution",
+    """WITH l AS (SELECT l_returnflag, l_discount * 10 AS c, l_orderkey AS o, l_linenumber AS k, l_partkey AS p FROM lineitem),
+s AS (SELECT l_returnflag, o || '/' || k || '/' || p || '=' || printf('%.2f', c) AS shown, row_number() OVER (PARTITION BY l_returnflag ORDER BY o, k, p, c) AS n FROM l WHERE round(c, 6) < 0.5),
+e AS (SELECT l_returnflag, string_agg(shown, '|' ORDER BY n) AS first_low FROM s WHERE n <= 10 GROUP BY 1)
+SELECT l.l_returnflag, count(*) AS n, round(avg(c), 6) AS mean, round(min(c), 6) AS low, round(max(c), 6) AS high, count(*) FILTER (round(c, 6) < 0.5) AS n_low, coalesce(any_value(first_low), '') AS first_low FROM l LEFT JOIN e ON e.l_returnflag = l.l_returnflag GROUP BY 1""",
+)
 def a7(spark: SparkSession, sf: str) -> DataFrame:
-    l = lineitem(spark, sf).select("l_returnflag", (F.col("l_discount") * 10).alias("c"))
-    return l.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.min("c"), 6).alias("low"), F.round(F.max("c"), 6).alias("high"), F.count_if(F.round("c", 6) < 0.5).alias("n_low"))
+    """Confidence by subject, with the first ten low mappings of each."""
+    l = lineitem(spark, sf).select("l_returnflag", (F.col("l_discount") * 10).alias("c"), "l_orderkey", "l_linenumber", "l_partkey")
+    low = F.round("c", 6) < 0.5
+    shown = F.concat_ws("/", "l_orderkey", "l_linenumber", F.concat(F.col("l_partkey").cast("string"), F.lit("="), F.format_string("%.2f", "c")))
+    first = R.evidence(l.where(low), ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "c"], shown, 10, "first_low")
+    each = l.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), F.round(F.min("c"), 6).alias("low"), F.round(F.max("c"), 6).alias("high"), F.count_if(low).alias("n_low"))
+    return each.join(first, "l_returnflag", "left").na.fill("", ["first_low"])
 
 
 @register("a8_coverage", "SELECT d.lang, round(avg(CASE WHEN l.doc_id IS NULL THEN 0 ELSE 1 END) * 100, 6) AS coverage, round(100.0 * count(DISTINCT CASE WHEN l.doc_id IS NOT NULL THEN d.source END) / count(DISTINCT d.source), 6) AS reverse_coverage FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang")
@@ -221,6 +257,17 @@ def a9(spark: SparkSession, sf: str) -> DataFrame:
     return R.latency_profile(events(spark, sf), "value", ["event_type"], F.col("value") < 50)
 
 
+@register("a9_mergeable_profile", "SELECT event_type, count(*) AS n, true AS within FROM events WHERE value IS NOT NULL GROUP BY 1")
+def a9_merged(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles from sketches kept by day and merged by type, and whether each one's rank is within 2 % of what was asked."""
+    points = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    e = events(spark, sf).withColumn("day", F.to_date("ts"))
+    kept = cut(R.quantile_sketches(e, "value", ["event_type", "day"]), "sketches")
+    found = R.merged_profile(kept, ["event_type"], points)
+    ranks = e.join(F.broadcast(found), "event_type").groupBy("event_type", "n").agg(*[(F.abs(F.count_if(F.col("value") <= F.col(c)) / F.count("value") - q) <= 0.02).alias(c) for c, q in points.items()])  # a row a type
+    return ranks.select("event_type", "n", (F.col("p50") & F.col("p95") & F.col("p99")).alias("within"))
+
+
 DAILY = "count(*) AS n, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type <> 'error') AS successes, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total, CAST(floor(sum(CAST(floor(value) AS BIGINT)) / count(*)) AS BIGINT) AS mean"
 
 
@@ -241,10 +288,26 @@ def a11(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("status", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1))) * 100, 6).alias("percent"))  # a row a status
 
 
-@register("a12_conversion_report", "SELECT lang, count(*) AS scanned, count(*) FILTER (n_chars > 500) AS converted, count(*) FILTER (n_chars <= 500 AND n_chars > 100) AS skipped, count(*) FILTER (n_chars <= 100) AS errors FROM documents GROUP BY lang")
+@register(
+    "a12_conversion_report",
+    """WITH d AS (SELECT doc_id, coalesce(nullif(lang, ''), '(unknown)') AS subject, CASE WHEN n_chars % 4 = 0 THEN '(unknown)' ELSE source END AS question_type, CASE WHEN n_chars > 2000 THEN 'hard' WHEN n_chars > 800 THEN 'middle' ELSE '(unknown)' END AS difficulty,
+CASE WHEN n_chars > 500 THEN 'converted' WHEN n_chars > 100 THEN 'skipped' ELSE 'error' END AS outcome, 'only ' || n_chars || ' characters' AS why FROM documents),
+c AS (SELECT * FROM d WHERE outcome = 'converted')
+SELECT 'summary' AS section, outcome AS name, count(*) AS n FROM d GROUP BY 2 UNION ALL SELECT 'summary', 'scanned', count(*) FROM d UNION ALL SELECT 'by_subject', subject, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'by_question_type', question_type, count(*) FROM c GROUP BY 2
+UNION ALL SELECT 'by_difficulty', difficulty, count(*) FROM c GROUP BY 2 UNION ALL SELECT 'errors', doc_id || ': ' || why, 1 FROM (SELECT * FROM d WHERE outcome = 'error' ORDER BY doc_id LIMIT 100)""",
+)
 def a12(spark: SparkSession, sf: str) -> DataFrame:
-    n = F.col("n_chars")
-    return docs(spark, sf).groupBy("lang").agg(F.count("*").alias("scanned"), F.count_if(n > 500).alias("converted"), F.count_if((n <= 500) & (n > 100)).alias("skipped"), F.count_if(n <= 100).alias("errors"))
+    """Outcomes, converted items by three fields with an unknown bucket, and the first 100 errors."""
+    n, unknown = F.col("n_chars"), F.lit("(unknown)")
+    d = docs(spark, sf).select(
+        "doc_id", F.coalesce(F.nullif("lang", F.lit("")), unknown).alias("by_subject"), F.when(n % 4 == 0, unknown).otherwise(F.col("source")).alias("by_question_type"),
+        F.when(n > 2000, "hard").when(n > 800, "middle").otherwise(unknown).alias("by_difficulty"), F.when(n > 500, "converted").when(n > 100, "skipped").otherwise("error").alias("outcome"),
+        F.concat(F.lit("only "), n.cast("string"), F.lit(" characters")).alias("why"),
+    )
+    outcome = d.rollup("outcome").agg(F.count("*").alias("n")).select(F.lit("summary").alias("section"), F.coalesce("outcome", F.lit("scanned")).alias("name"), "n")
+    by = R.value_counts(d.where("outcome = 'converted'"), ["by_subject", "by_question_type", "by_difficulty"]).select(F.col("field").alias("section"), F.col("value").alias("name"), "n")
+    errors = d.where("outcome = 'error'").orderBy("doc_id").limit(100)
+    return outcome.unionByName(by).unionByName(errors.select(F.lit("errors").alias("section"), F.concat(F.col("doc_id").cast("string"), F.lit(": "), F.col("why")).alias("name"), F.lit(1).cast("long").alias("n")))
 
 
 @register("a13_counts_by_id_part", "SELECT split_part(p_brand || '_' || p_type || '_' || p_partkey, '_', 2) AS subject, count(*) AS n FROM part GROUP BY 1")
@@ -285,11 +348,28 @@ def a18(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy("conv_id").pivot("role", ["system", "user", "assistant"]).count().na.fill(0)
 
 
-@register("a20_validation_summary", "WITH e AS (SELECT doc_id, unnest(string_split(CASE doc_id % 4 WHEN 0 THEN 'a:1;b' WHEN 1 THEN 'a:2;a:3' WHEN 2 THEN 'c' ELSE '' END, ';')) AS e FROM documents) SELECT split_part(e, ':', 1) AS kind, count(*) AS n, count(DISTINCT doc_id) AS items FROM e WHERE e <> '' GROUP BY 1")
+@register(
+    "a20_validation_summary",
+    """WITH d AS (SELECT doc_id, substr(text, 1, 100) AS preview, concat_ws(';', CASE WHEN n_chars < 200 THEN 'question_too_short:' || n_chars END, CASE WHEN contains(text, '<') THEN 'markup_in_text' END, CASE WHEN contains(text, chr(10)) AND n_chars > 3000 THEN 'too_long:' || n_chars END, CASE WHEN text IS NULL THEN 'no_text' END) AS errors FROM documents),
+b AS (SELECT * FROM d WHERE errors <> ''), k AS (SELECT doc_id, split_part(unnest(string_split(errors, ';')), ':', 1) AS kind FROM b),
+s AS (SELECT doc_id || ' ' || errors || ' ' || md5(preview) AS name, row_number() OVER (ORDER BY doc_id) AS n FROM b)
+SELECT 'items' AS section, 'valid' AS name, count(*) FILTER (errors = '') AS n, round(count(*) FILTER (errors = '') / count(*) * 100, 6) AS rate FROM d UNION ALL SELECT 'items', 'invalid', count(*) FILTER (errors <> ''), round(count(*) FILTER (errors <> '') / count(*) * 100, 6) FROM d
+UNION ALL SELECT 'errors', kind, count(*), NULL FROM k GROUP BY 2 UNION ALL SELECT 'samples', name, n, NULL FROM s WHERE n <= 10""",
+)
 def a20(spark: SparkSession, sf: str) -> DataFrame:
-    listed = F.element_at(F.array(*[F.lit(x) for x in ("a:1;b", "a:2;a:3", "c", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
-    e = docs(spark, sf).select("doc_id", F.explode(F.split(listed, ";")).alias("e")).where("e <> ''")
-    return e.groupBy(F.split_part("e", F.lit(":"), F.lit(1)).alias("kind")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("items"))
+    """Valid and invalid items, errors by type (the part before the colon), and the first ten samples with what their text begins with."""
+    n = F.col("n_chars").cast("string")
+    errors = F.concat_ws(";", F.when(F.col("n_chars") < 200, F.concat(F.lit("question_too_short:"), n)), F.when(F.contains("text", F.lit("<")), "markup_in_text"), F.when(F.contains("text", F.lit("\n")) & (F.col("n_chars") > 3000), F.concat(F.lit("too_long:"), n)), F.when(F.col("text").isNull(), "no_text"))
+    d = docs(spark, sf).select("doc_id", F.substring("text", 1, 100).alias("preview"), errors.alias("errors"))
+    bad = d.where("errors <> ''")
+    rate = lambda c: F.round(F.count_if(c) / F.count("*") * 100, 6)
+    ok = F.col("errors") == ""
+    items_ = d.agg(F.count_if(ok).alias("a"), F.count_if(~ok).alias("b"), rate(ok).alias("c"), rate(~ok).alias("d")).select(F.inline(F.array(*[F.struct(F.lit("items").alias("section"), F.lit(x).alias("name"), F.col(y).alias("n"), F.col(z).alias("rate")) for x, y, z in (("valid", "a", "c"), ("invalid", "b", "d"))])))
+    none = F.lit(None).cast("double").alias("rate")
+    kinds = bad.select(F.explode(F.split("errors", ";")).alias("e")).groupBy(F.split_part("e", F.lit(":"), F.lit(1)).alias("name")).agg(F.count("*").alias("n")).select(F.lit("errors").alias("section"), "name", "n", none)
+    first = bad.orderBy("doc_id").limit(10).withColumn("n", F.row_number().over(Window.orderBy("doc_id")).cast("long"))  # ten rows
+    samples = first.select(F.lit("samples").alias("section"), F.concat_ws(" ", F.col("doc_id").cast("string"), "errors", F.md5(F.col("preview").cast("binary"))).alias("name"), "n", none)
+    return items_.unionByName(kinds).unionByName(samples)
 
 
 @register("a21_judging_cost", "SELECT event_type, CAST(sum(user_id * 10) AS BIGINT) AS tokens_in, CAST(sum(user_id) AS BIGINT) AS tokens_out, round(sum(user_id * 10) * 0.15 / 1000000 + sum(user_id) * 0.6 / 1000000, 6) AS cost FROM events GROUP BY 1")

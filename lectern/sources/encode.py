@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators.relational import pending
 from lectern.session import ship
@@ -26,6 +26,33 @@ def hashed_trigrams(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
+def encoded(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What is committed below ``path``, one row a key; no rows if there is nothing yet."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    there = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(root)
+    rows = spark.read.schema(schema).option("pathGlobFilter", "part-*").parquet(path) if there else spark.createDataFrame([], schema)
+    return rows.dropDuplicates([rows.columns[0]])
+
+
+def vectorise_to(path: str, items: DataFrame, key: str = "id", text: str = "text", encoder: Callable[[list[str]], list[list[float]]] = hashed_trigrams, batch: int = 64, commit: int = 500) -> DataFrame:
+    """Encode what ``path`` doesn't hold yet, committing about ``commit`` rows at a time, and return all that is there: (key, embedding, error).
+
+    A task encodes ``commit`` rows and its file is put in place when it ends, not when the job ends (the second version of the
+    committer), so a job that is killed keeps what its finished tasks made and the next call goes on with the rest. A task that was
+    lost between writing and reporting may leave its rows twice; they are read once.
+    """
+    spark = items.sparkSession
+    schema = f"{key} {dict(items.dtypes)[key]}, embedding array<float>, error string"
+    todo = pending(items.select(key, text), encoded(spark, path, schema), key)
+    left = todo.count()
+    if left:
+        dealt = todo.repartition(-(-left // commit), key)
+        dealt = vectorise(dealt, None, key, text, encoder, batch)
+        dealt.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(path)
+    return encoded(spark, path, schema)
+
+
 def vectorise(items: DataFrame, done: DataFrame | None, key: str = "id", text: str = "text", encoder: Callable[[list[str]], list[list[float]]] = hashed_trigrams, batch: int = 64) -> DataFrame:
     """(key, embedding, error) of the items not in ``done``. A failing batch is encoded again one by one."""
     ship(items.sparkSession)

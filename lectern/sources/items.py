@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import io
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.items import metadata
+from lectern.operators.relational import running
 from lectern.session import ship
 
 # Element and attribute names of item files.
@@ -179,6 +184,95 @@ def write_reports(report: DataFrame, path: str) -> None:
     report.write.parquet(f"{path}/parquet")
 
 
-def export_partitioned(rows: DataFrame, path: str, by: list[str]) -> None:
-    """One folder for each combination of ``by``; the rows of a folder are brought together first."""
-    rows.repartition(*by).write.partitionBy(*by).parquet(path)
+def write_star(textbooks: DataFrame, standards: DataFrame, mappings: DataFrame, path: str) -> None:
+    """The mapping result below ``path``: ``star``, three tables with keys that join, a mapping once a pair and only of known ends;
+    ``csv``, the mappings with what their ends say, all values quoted; ``unmapped``, JSON of the standards without a mapping; ``meta``, JSON of the counts.
+
+    textbooks: (textbook_id, subject, full_path, is_leaf); standards: (standard_code, description, domain);
+    mappings: (textbook_id, standard_code, confidence, reasoning), of a repeated pair the most confident.
+    """
+    best = Window.partitionBy("textbook_id", "standard_code").orderBy(F.desc("confidence"), "reasoning")
+    known = mappings.join(textbooks.select("textbook_id"), "textbook_id", "left_semi").join(standards.select("standard_code"), "standard_code", "left_semi")
+    once = known.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("textbook_id", "standard_code", "confidence", "reasoning")
+    for name, rows in (("textbooks", textbooks.dropDuplicates(["textbook_id"])), ("standards", standards.dropDuplicates(["standard_code"])), ("mappings", once)):
+        rows.write.parquet(f"{path}/star/{name}")
+    t, s, m = (textbooks.sparkSession.read.parquet(f"{path}/star/{x}") for x in ("textbooks", "standards", "mappings"))
+    full = m.join(t, "textbook_id").join(s, "standard_code")
+    full.select("textbook_id", "subject", "full_path", "is_leaf", "standard_code", "description", "domain", "confidence", "reasoning").write.csv(f"{path}/csv", header=True, quoteAll=True)
+    unmapped = s.join(m, "standard_code", "left_anti")
+    unmapped.write.json(f"{path}/unmapped")
+    count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+    meta = count(t, "textbooks").unionByName(count(s, "standards")).unionByName(count(m, "mappings")).unionByName(count(unmapped, "unmapped_standards"))
+    meta.coalesce(1).write.json(f"{path}/meta")  # four rows
+
+
+def export_partitioned(rows: DataFrame, path: str, by: list[str], rows_per_file: int = 1_000_000) -> None:
+    """One folder for each combination of ``by``. A folder's rows are brought together in files of about ``rows_per_file`` rows, each
+    by a task of its own, so a large folder is many tasks and a small one a single file."""
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")).alias("s")
+    same = reduce(Column.__and__, [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in by])
+    dealt = rows.alias("r").join(sizes, same).select("r.*", F.pmod(F.xxhash64(*[F.col(f"r.{c}") for c in rows.columns]), F.col("_files")).alias("_file"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number, or small partitions would be brought together
+    dealt.repartition(parts, *by, "_file").drop("_file").write.partitionBy(*by).parquet(path)
+
+
+IDS, VECTORS = ("ids", "id", "item_ids"), ("embeddings", "embedding")
+
+
+def _named(columns: dict[str, bool]) -> tuple[str | None, str]:
+    """The names of the ids and of the vectors among columns (name, whether it holds lists)."""
+    lists = [c for c, is_list in columns.items() if is_list]
+    vector = next((c for c in VECTORS if c in lists), lists[0] if lists else None)
+    if vector is None:
+        raise ValueError(f"no vectors among {list(columns)}")
+    return next((c for c in IDS if c in columns), None), vector
+
+
+def vectors_of(rows: DataFrame, order: str | None = None) -> DataFrame:
+    """(id, embedding) of rows whose columns are named in one of several ways; without ids a row's place by ``order`` is its id."""
+    key, vector = _named({f.name: f.dataType.typeName() == "array" for f in rows.schema})
+    if key is not None:
+        return rows.select(F.col(key).alias("id"), F.col(vector).alias("embedding"))
+    if order is None:
+        raise ValueError("without ids, the order of the rows has to be named")
+    placed = running(rows.select(order, vector), [], [order], F.lit(1))
+    return placed.select((F.col("_upto") - 1).cast("long").alias("id"), F.col(vector).alias("embedding"))
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(file, id, embedding) of NumPy archives (.npz) below ``path``, a file a task's row: arrays are found by their names, ids as text;
+    without ids a row's place in its file is its id. A file that can't be read, or whose arrays don't fit, gives one row with ``error``."""
+    ship(spark)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                try:
+                    with np.load(io.BytesIO(content.as_py()), allow_pickle=False) as data:
+                        key, vector = _named({k: data[k].ndim == 2 for k in data.files})
+                        m = data[vector].astype(np.float32)
+                        ids = [str(x) for x in (data[key].tolist() if key else range(len(m)))]
+                    if len(ids) != len(m):
+                        raise ValueError(f"{len(ids)} ids for {len(m)} vectors")
+                    error = None
+                except Exception as e:  # noqa: BLE001  the file's row says what is wrong
+                    m, ids, error = np.zeros((0, 0), np.float32), [], f"{type(e).__name__}: {e}"[:200]
+                n = max(len(ids), 1)
+                for i in range(0, n, 4096):
+                    part = m[i : i + 4096]
+                    lists = pa.ListArray.from_arrays((np.arange(len(part) + 1) * part.shape[1]).astype(np.int32), pa.array(part.ravel())) if error is None else pa.array([None], pa.list_(pa.float32()))
+                    rows = len(lists)
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * rows), pa.array(ids[i : i + 4096] if error is None else [None], pa.string()), lists, pa.array([error] * rows, pa.string())], names=["file", "id", "embedding", "error"])
+
+    return raw.mapInArrow(run, "file string, id string, embedding array<float>, error string")
+
+
+def load_vectors(vectors: DataFrame, path: str, routes: dict[int, str], fallback: str) -> None:
+    """Write (id, embedding) rows into the table of their length below ``path`` (``model=`` folders), the last of rows that share an id
+    being any one of them. A table that is loaded is replaced; tables without rows in this load stay as they are."""
+    model = F.lit(fallback)
+    for size, name in routes.items():
+        model = F.when(F.size("embedding") == size, name).otherwise(model)
+    rows = vectors.where(F.col("embedding").isNotNull()).withColumn("model", model).dropDuplicates(["model", "id"])
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model").parquet(path)

@@ -80,7 +80,7 @@ def test_keywords_equal_ilike(spark):
     rows = [(i, t) for i, t in enumerate(["One two", "twofold ONE", "a_b 100%", None, "", "ab", "one"])]
     items = spark.createDataFrame(rows, "item_id long, text string")
     words = ["one", "TWO", "a_b", "0%", "zz", ""]
-    got = {(r.word, r.item_id) for r in search.keywords(items, spark.createDataFrame([(w,) for w in words], "word string"), 2, block=2).collect()}
+    got = {(r.word, r.item_id) for r in search.keywords(items, spark.createDataFrame([(w,) for w in words], "word string"), 2).collect()}
     want = {(w, r.item_id) for w in words for r in items.where(F.col("text").ilike(f"%{w}%")).orderBy("item_id").limit(2).collect()}
     assert got == want
 
