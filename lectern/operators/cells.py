@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lectern.operators.ranking import best
 from lectern.session import cut, forget, ship
 
-PIVOTS, ROWS, BLOCK = 64, 16_384, 2_048
+PIVOTS, PER_CELL, ROWS, BLOCK = 64, 1_024, 16_384, 2_048
 EDGE = 1e-6  # what rounding can move an angle or a score
 ZERO, ALONE = -2, -1  # cells of zero vectors, and of vectors of a length without pivots
 PAIRS_DDL = "query_id long, item_id long, score double"
@@ -203,16 +203,18 @@ def pairs(asked: DataFrame, queries: DataFrame, cells: Cells, k: int | None, thr
     return left.cogroup(right).applyInArrow(scored(k, threshold), PAIRS_DDL)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None = None, pivots: int = PIVOTS, block: int = BLOCK, group: int = ROWS) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, threshold: float | None = None, pivots: int | None = None, block: int = BLOCK, group: int = ROWS) -> DataFrame:
     """(query_id, item_id, score): the k best of each query, itself excluded; all pairs without ``k``.
 
-    Vectors of another length than the query's have no score; a zero vector scores 0 with all.
+    Vectors of another length than the query's have no score; a zero vector scores 0 with all. There is a pivot for
+    every ``PER_CELL`` rows, PIVOTS at most, unless their number is given.
     """
+    pivots = min(PIVOTS, max(1, corpus.count() // PER_CELL)) if pivots is None else pivots
     cells = deal(corpus, sampled(corpus, pivots), group)
     asked = queries.select("query_id", "embedding")
     first = cut(visits(asked, cells, k), "visits")
     found = pairs(first, asked, cells, k, threshold, block, group)
-    if k is None:
+    if k is None or len(cells.known) <= 1:  # every cell is visited
         return found
     found = cut(best(found, k).drop("rank"), "first-pass")
     forget(first)

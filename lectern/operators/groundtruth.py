@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import search
+from lectern.operators import metrics, search
 from lectern.session import cut
 
 
@@ -68,16 +70,43 @@ def resolve_prefixes(short: DataFrame, full: DataFrame) -> DataFrame:
     return met.select(F.col("v").alias("short"), F.when(F.startswith("found", "v"), F.col("found")).otherwise(F.col("v")).alias("resolved")).distinct()
 
 
+UNITS = {"unit_small": 0.4, "unit_medium": 0.3, "unit_large": 0.2, "difficulty": 0.1}
+
+
 def metadata_similarity(a: str, b: str) -> Column:
     """Similarity of two aliased rows: equal non-empty units and difficulty, weighted."""
-    weights = {"unit_small": 0.4, "unit_medium": 0.3, "unit_large": 0.2, "difficulty": 0.1}
     total = F.lit(0.0)
-    for c, w in weights.items():
+    for c, w in UNITS.items():
         x, y = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
         total = total + F.when((x == y) & (x != ""), w).otherwise(0.0)
     return total
 
 
+def metadata_nearest(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """(query_id, item_id, score, rank): the k items most similar by metadata, of those with anything in common; ties go to the smaller id.
+
+    Items and queries that agree in all units are one tuple. Tuples meet where they share a unit, never all with all; of the tuples that a query's
+    tuple meets, only the best that hold k items are opened, and of each only its first k + 1 items.
+    """
+    units = list(UNITS)
+    tuple_of = lambda df: df.withColumn("t", F.struct(*[F.coalesce(c, F.lit("")).alias(c) for c in units]))
+    q, c = tuple_of(queries).select("query_id", "t"), tuple_of(items).select("item_id", "t")
+    first = Window.partitionBy("t").orderBy("item_id")
+    few = cut(c.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n"), "firsts")
+    sizes = c.groupBy("t").agg(F.count("*").alias("n"))
+    said = lambda t: F.explode(F.array(*[F.struct(F.lit(u).alias("unit"), F.col(t)[u].alias("value"), F.lit(w).alias("w")) for u, w in UNITS.items()]))
+    asked = q.select(F.col("t").alias("qt")).distinct().select("qt", said("qt").alias("s")).select("qt", "s.unit", "s.value", "s.w").where("value <> ''")
+    held = sizes.select("t", "n", said("t").alias("s")).select("t", "n", "s.unit", "s.value").where("value <> ''")
+    met = asked.join(held, ["unit", "value"]).groupBy("qt", "t").agg(F.round(F.sum("w"), 6).alias("score"), F.first("n").alias("n"))
+    better = Window.partitionBy("qt").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = Window.partitionBy("qt", "score")
+    opened = met.withColumn("before", F.sum("n").over(better) - F.sum("n").over(peers)).where(F.col("before") <= k)
+    order = Window.partitionBy("qt").orderBy(F.desc("score"), "item_id")
+    best_ = opened.join(few, "t").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    pairs = q.join(best_.select(F.col("qt").alias("t"), "item_id", "score"), "t").where("query_id <> item_id")
+    return search.best(pairs.select("query_id", "item_id", "score"), k)
+
+
 def auto_truth(pairs: DataFrame, least: float = 0.05, k: int = 5) -> DataFrame:
     """0.7 x text score + 0.3 x ``meta``, from ``least`` up, the best k of each query, graded by rank."""
     both = pairs.select("query_id", "item_id", F.round(0.7 * F.col("score") + 0.3 * F.col("meta"), 4).alias("score")).where(F.col("score") >= least)
@@ -126,6 +155,23 @@ def restrict(items: DataFrame, truth: DataFrame) -> DataFrame:
     return items.join(ids, "item_id", "left_semi")
 
 
+def compared_models(models: dict[str, tuple[DataFrame, DataFrame]], truths: dict[str, DataFrame], k: int = 20) -> DataFrame:
+    """(truth, model, n_items, n_queries, metrics in percent): each model, a pair of queries and corpus, against each ground truth.
+
+    For a fair comparison a model only searches the items that the truth names, as query or as relevant item.
+    """
+    out = []
+    for truth_name, rows in truths.items():
+        rows = cut(rows.select("query_id", "item_id", "relevance"), "truth")
+        ids = cut(rows.select(F.col("query_id").alias("item_id")).union(rows.select("item_id")).distinct(), "ids")
+        ranked = [search.knn(q.join(ids.withColumnRenamed("item_id", "query_id"), "query_id", "left_semi"), c.join(ids, "item_id", "left_semi"), k).withColumn("model", F.lit(name)) for name, (q, c) in models.items()]
+        each = metrics.per_query(reduce(DataFrame.unionByName, ranked), rows, ("model",))
+        names = [c for c, t in each.dtypes if t == "double"]
+        means = each.groupBy("model").agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c) * 100, 1).alias(c) for c in names])
+        out.append(means.select(F.lit(truth_name).alias("truth"), "model", F.lit(ids.count()).cast("long").alias("n_items"), "n_queries", *names))
+    return reduce(DataFrame.unionByName, out)
+
+
 def best_of(scored: DataFrame, key: str, metric: str) -> DataFrame:
     """The row with the highest metric; ties go to the smaller key."""
     return scored.orderBy(F.desc(metric), key).limit(1)

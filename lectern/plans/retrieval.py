@@ -190,20 +190,35 @@ def r13(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.by_category(m, "category")
 
 
-@register(
-    "r14_model_comparison",
-    f"""WITH {KNN}, {TRUTH}, h AS (SELECT vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 32) AS e FROM embeddings),
-sh AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM h a JOIN h b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
-bothm AS (SELECT 'full' AS model, query_id, item_id, rank FROM r WHERE rank <= 20 UNION ALL
-  SELECT 'half', query_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sh) WHERE rank <= 20),
+def same_source(spark: SparkSession, sf: str) -> DataFrame:
+    """A second ground truth: vectors of documents of the query's source and language, graded by whether the lengths are alike."""
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang", F.col("n_chars").alias("n")).join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
+    a, b = d.where("doc_id % 20 = 0").alias("a"), d.alias("b")
+    both = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.doc_id") != F.col("b.doc_id")))
+    alike = F.abs(F.col("a.n") - F.col("b.n")) * 2 <= F.col("a.n")
+    return both.select(F.col("a.doc_id").alias("query_id"), F.col("b.doc_id").alias("item_id"), F.when(alike, 3).otherwise(1).alias("relevance"))
+
+
+TRUTH_2 = """d AS (SELECT doc_id, source, lang, n_chars AS n FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+t AS (SELECT a.doc_id AS query_id, b.doc_id AS item_id, CASE WHEN abs(a.n - b.n) * 2 <= a.n THEN 3 ELSE 1 END AS relevance FROM d a JOIN d b ON a.doc_id % 20 = 0 AND a.source = b.source AND a.lang = b.lang AND a.doc_id <> b.doc_id)"""
+
+
+def compared(name: str, truth_sql: str) -> str:
+    """Both models against one ground truth, over the items that it names, as SQL."""
+    return f"""SELECT * FROM (WITH q AS (SELECT vec_id AS query_id, label AS query_label FROM embeddings WHERE vec_id % 20 = 0), {truth_sql}, ids AS (SELECT query_id AS id FROM t UNION SELECT item_id FROM t),
+v AS (SELECT 'full' AS model, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IN (SELECT id FROM ids) UNION ALL SELECT 'half', vec_id, list_slice(CAST(embedding AS DOUBLE[]), 1, 32) FROM embeddings WHERE vec_id IN (SELECT id FROM ids)),
+sv AS (SELECT a.model, a.vec_id AS query_id, b.vec_id AS item_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON a.model = b.model AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
+bothm AS (SELECT model, query_id, item_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY score DESC, item_id) AS rank FROM sv) WHERE rank <= 20),
 {metric_sql("bothm", "model, query_id")}
-SELECT model, count(*) AS n_queries, {MEANS} FROM m GROUP BY model""",
-)
+SELECT '{name}' AS truth, model, (SELECT count(*) FROM ids) AS n_items, count(*) AS n_queries, {", ".join(f"round(avg({c}) * 100, 1)::DOUBLE AS {c}" for k in metrics.CUTS for c in (f"recall_{k}", f"hit_{k}", f"ndcg_{k}"))}, round(avg(rr) * 100, 1)::DOUBLE AS rr, round(avg(ap) * 100, 1)::DOUBLE AS ap FROM m GROUP BY model)"""
+
+
+@register("r14_model_comparison", compared("label", TRUTH) + "\nUNION ALL " + compared("source", TRUTH_2))
 def r14(spark: SparkSession, sf: str) -> DataFrame:
+    """Two models against two ground truths, each over the items that the truth names, in percent."""
     q, c = vectors(spark, sf)
     half = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 32))
-    both = search.knn(q, c, 20).withColumn("model", F.lit("full")).unionByName(search.knn(half(q), half(c), 20).withColumn("model", F.lit("half")))
-    return metrics.averages(metrics.per_query(both, truth(spark, sf), ("model",)), ("model",))
+    return gt.compared_models({"full": (q, c), "half": (half(q), half(c))}, {"label": truth(spark, sf), "source": same_source(spark, sf)})
 
 
 @register(
@@ -296,14 +311,12 @@ def r1(spark: SparkSession, sf: str) -> DataFrame:
     return search.two_stage(search.knn(q, c, 100, threshold=0.1), q, c, 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-@register("r5_metadata_similarity", "SELECT a.doc_id AS x, b.doc_id AS y, round((CASE WHEN a.source = b.source THEN 0.4 ELSE 0 END + CASE WHEN a.lang = b.lang THEN 0.3 ELSE 0 END + CASE WHEN a.n_chars % 2 = b.n_chars % 2 THEN 0.2 ELSE 0 END + CASE WHEN a.n_chars % 3 = b.n_chars % 3 THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS score FROM documents a JOIN documents b ON a.doc_id <> b.doc_id WHERE a.doc_id % 20 = 0")
+@register("r5_metadata_similarity", "WITH p AS (SELECT a.doc_id AS query_id, b.doc_id AS item_id, round((CASE WHEN a.source = b.source THEN 0.4 ELSE 0 END + CASE WHEN a.lang = b.lang THEN 0.3 ELSE 0 END + CASE WHEN a.n_chars % 2 = b.n_chars % 2 THEN 0.2 ELSE 0 END + CASE WHEN a.n_chars % 3 = b.n_chars % 3 THEN 0.1 ELSE 0 END)::DOUBLE, 6) AS score FROM documents a JOIN documents b ON a.doc_id <> b.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM p WHERE score > 0) SELECT query_id, item_id, score, rank FROM r WHERE rank <= 20")
 def r5(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("unit_small"), F.col("lang").alias("unit_medium"), (F.col("n_chars") % 2).cast("string").alias("unit_large"), (F.col("n_chars") % 3).cast("string").alias("difficulty"))
-    # Queries of one metadata tuple are scored at once, in blocks of at most 1,000 ids (each 20th of 20,000).
-    units = [c for c in d.columns if c != "doc_id"]
-    a = d.where("doc_id % 20 = 0").groupBy(*units, F.expr("doc_id div 20000").alias("block")).agg(F.collect_list("doc_id").alias("ids")).alias("a")
-    pairs = a.crossJoin(d.alias("b")).select("a.ids", F.col("b.doc_id").alias("y"), F.round(gt.metadata_similarity("a", "b"), 6).alias("score"))
-    return pairs.select(F.explode("ids").alias("x"), "y", "score").where("x <> y")
+    """Every document's 20 nearest by metadata."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), F.col("source").alias("unit_small"), F.col("lang").alias("unit_medium"), (F.col("n_chars") % 2).cast("string").alias("unit_large"), (F.col("n_chars") % 3).cast("string").alias("difficulty"))
+    found = gt.metadata_nearest(d.withColumnRenamed("item_id", "query_id"), d, 20)
+    return found.select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @register(
