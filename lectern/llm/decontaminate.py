@@ -9,8 +9,8 @@ hash collision never counts.
 Both sides are DataFrames. Two narrow passes turn texts into fingerprints and windows. What a document's pass knows of
 the benchmark is a bitmap of its fingerprints and windows, of at most 2**``most_bits`` bits (64 MB) whatever the benchmark's size; it is the only
 thing that is broadcast, and it only leaves out what can't match. Documents without a window that may match, nearly
-all of them, are never shuffled; the others' windows are joined with the benchmark's (a text that many documents hold
-is one row of that join), and the hits come back to their documents by a row number.
+all of them, are never shuffled; the others' windows, a row each, are joined with the benchmark's (a window that very many documents
+hold is a hot key there, which Spark's adaptive join may split), and the hits come back to their documents by a row number.
 
 Items of fewer than 10 words are one window of their own length and are looked up at every position.
 
