@@ -119,6 +119,8 @@ SAFETY_RULES = [
     ("sensitive", "suicide", "high", [r"(?:자살|자해|극단적\s*선택)", r"(?:삶을\s*끝|죽고\s*싶)"]),
     ("sensitive", "historical_controversy", "medium", [r"(?:친일|반일|위안부|독도|일본해)", r"(?:5\.18|광주|민주화)"]),
 ]
+#: What every hit of these rules begins with: a Korean character, or the 5 of a date.
+SAFETY_STARTS = r"(?:[\x{1100}-\x{11FF}\x{3130}-\x{318F}\x{AC00}-\x{D7A3}]|5.18)"
 MAX_RULES = 1000
 
 
@@ -141,17 +143,17 @@ def screen(texts: DataFrame, rules: list[tuple[str, str, str, list[str]]] | None
     """
 
     def hit(group: str, family: str, level: str, patterns: list[str]) -> Column:
-        found = F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce("text", F.lit("")), f"(?i){p}", 0), F.lit("")) for p in patterns])
+        found = F.coalesce(*[F.nullif(F.regexp_extract("text", f"(?i){p}", 0), F.lit("")) for p in patterns])
         code = "BIAS_DETECTED" if group == "bias" else "SAFETY_VIOLATION"
         fails = group == "inappropriate" or level == "high" or (group == "bias" and strict)
         if group == "bias" and not fails:
             found = F.lit(None).cast("string")
         return F.when(found.isNotNull(), F.struct(F.lit(group).alias("group"), F.lit(family).alias("family"), F.lit(level).alias("level"), F.substring(found, 1, 50).alias("matched"), F.lit(code if fails else "").alias("code"), F.lit("FAIL" if fails else "REVIEW").alias("status")))
 
-    rules = SAFETY_RULES if rules is None else rules
-    # most texts break no rule: one pass of all patterns at once leaves those out, and the families are asked of the others only
-    some = F.coalesce("text", F.lit("")).rlike("(?i)" + "|".join(f"(?:{p})" for *_, patterns in rules for p in patterns)) if rules else F.lit(False)
-    return texts.where(some).select("id", F.inline(F.array_compact(F.array(*[hit(*r) for r in rules]))))
+    whole = F.coalesce("text", F.lit(""))
+    # every hit of the fixed rules begins with one of these, so what comes before the first of them is read once and not by each rule
+    seen = texts.select("id", (F.regexp_extract(whole, f"(?s){SAFETY_STARTS}.*", 0) if rules is None else whole).alias("text")).where("text <> ''")
+    return seen.select("id", F.inline(F.array_compact(F.array(*[hit(*r) for r in (SAFETY_RULES if rules is None else rules)]))))
 
 
 def gender_balance(choices: Column, male: str, female: str) -> Column:
