@@ -14,7 +14,7 @@ A text is a sparse vector: the hash of each distinct term, and the term's impact
 1. The levels of a query's terms are put in order, terms with most to give a posting first. What is unread after each is bounded by the
    sum of the largest impacts left.
 2. A first few levels are read. The best documents of that partial sum are scored exactly; the kth score is a bound from below.
-3. Only levels before the point where the unread rest can't reach that bound are read. Documents whose partial sum plus the rest can't
+3. Only levels before the point where the unread rest is a fraction of that bound are read. Documents whose partial sum plus the rest can't
    reach it are dropped; the others are scored exactly from ``forward``.
 
 No document that can be among the k best is left out, so results equal a full scan. :func:`work` reports what was read.
@@ -37,6 +37,7 @@ U = np.uint64
 LEVELS, SPREAD = 64, 8
 TOP = 4.0  # level 0 begins here
 SLACK = 2e-4  # what rounding, to four digits at least, can move a score
+REST = 0.3  # of a query's bound that may stay unread
 FIRST = 1000  # postings a query reads at first, about
 
 
@@ -206,9 +207,14 @@ def exact(pairs: DataFrame, asked: DataFrame, forward: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "query_id long, item_id long, score double").withColumn("score", F.round("score", 6))
 
 
+def still(unread: Column, least: Column) -> Column:
+    """Whether a level is read: until what is unread after it can't reach the query's bound, and then on down to ``REST`` of it, so that few documents have to be scored exactly."""
+    return unread > REST * least
+
+
 def needed(plan: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Planned levels that come before the unread rest falls below the query's bound."""
-    return plan.join(bounds, "query_id").where("unread > least")
+    """Planned levels that come before the unread rest is small enough."""
+    return plan.join(bounds, "query_id").where(still(F.col("unread"), F.col("least")))
 
 
 def bounds_of(index: Postings, asked: DataFrame, scored_by: DataFrame, plan: DataFrame, k: int, bonus: Column | None, first: int) -> DataFrame:
@@ -241,6 +247,6 @@ def work(index: Postings, asked: DataFrame, k: int, first: int = FIRST) -> DataF
     """(query_id, blocks, blocks_read, postings, postings_read): what a query's terms have, and what :func:`top_k` reads for its final pass."""
     plan = cut(plan_of(asked, index.levels), "plan")
     bounds = bounds_of(index, asked, asked, plan, k, None, first)
-    read = F.col("unread") > F.col("least")
+    read = still(F.col("unread"), F.col("least"))
     each = plan.join(bounds, "query_id").groupBy("query_id")
     return each.agg(*[f for c in ("blocks", "n") for f in (F.sum(c).alias("postings" if c == "n" else c), F.sum(F.when(read, F.col(c)).otherwise(0)).alias("postings_read" if c == "n" else f"{c}_read"))])
