@@ -250,7 +250,7 @@ def head_pairs(heads: DataFrame, fit: Column, block: int = BLOCK) -> DataFrame:
     many = heads.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = heads.join(many, "key").withColumn("mine", F.pmod(F.xxhash64("comp", F.lit(11)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "comp", "low", "high", "rest", "docs", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    dealt = dealt.select(*heads.columns, "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("key", "i", "j")]
     once = (F.col("a.i") == F.col("a.j")) | (F.col("a.mine") != F.col("b.mine"))  # two of one block meet where both blocks are theirs
     met = dealt.alias("a").join(dealt.alias("b"), same[0] & same[1] & same[2] & once & (F.col("a.comp") < F.col("b.comp")) & fit)
@@ -267,12 +267,15 @@ def across(post: DataFrame, alive: DataFrame, percent: int, marks: DataFrame | N
     facts = alive.select(F.col("doc_id").alias("doc"), F.when(F.array_max("parts") < 128, F.col("parts").cast("array<tinyint>")).alias("pieces"))
     facts = facts.withColumn("marks", F.lit(None).cast("array<long>")) if marks is None else facts.join(marks, "doc")
     post = post.join(facts, "doc")
-    heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("docs"))
+    heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("docs"), *([] if marks is None else [F.first("marks").alias("marks")]))
     # what the filters of some pair of documents need, so that components without such a pair don't meet
     length = F.expr(f"100 * a.high >= {percent} * b.low AND 100 * b.high >= {percent} * a.low")
     position = F.expr(f"{100 + percent} * least(a.rest, b.rest) >= {percent} * (a.low + b.low)")
+    fit = length & position
+    if marks is not None:  # two components of one document each here meet in one list only
+        fit = fit & F.expr("a.docs > 1 OR b.docs > 1 OR a.key = array_min(array_intersect(a.marks, b.marks))")
     # the component with fewer documents in the list comes first, so that nothing is expanded before the filters can act
-    pairs = head_pairs(heads, length & position).select("key", *[F.when(F.col("few"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("ca", "cb"), ("cb", "ca"))])
+    pairs = head_pairs(heads, fit).select("key", *[F.when(F.col("few"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("ca", "cb"), ("cb", "ca"))])
     side = lambda s: post.select("key", F.col("comp").alias(f"c{s}"), F.col("doc").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("pieces").alias(f"s{s}"), F.col("marks").alias(f"m{s}"))
     suffix = F.coalesce((100 + percent) * shared_at_most(F.col("sa"), F.col("sb")) >= percent * (F.col("na") + F.col("nb")), F.lit(True))
     ok = fits(percent, F.col("na"), F.col("pa"), F.col("nb"), F.col("pb")) & suffix
