@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,15 +12,43 @@ from lectern.operators.relational import pending
 from lectern.session import ship
 
 
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, (t >> 1) ^ np.uint32(0xEDB88320), t >> 1)
+    return t
+
+
+CRC = _crc_table()
+
+
+def trigram_crcs(text: str) -> np.ndarray:
+    """zlib.crc32 of the UTF-8 bytes of each run of three characters (of the whole text, if it is shorter), all runs at once."""
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
+    # bytes of each character, from the first on: the lead byte, then six bits each
+    lead = np.array([0, 0, 0xC0, 0xE0, 0xF0], np.uint32)[size] | (code >> (6 * (size - 1)).astype(np.uint32))
+    n = max(1, len(code) - 2)
+    state = np.full(n, 0xFFFFFFFF, np.uint32)
+    for i in range(min(3, len(code))):
+        state = CRC[(state ^ lead[i : i + n]) & 0xFF] ^ (state >> 8)
+        wide = np.flatnonzero(size[i : i + n] > 1)
+        for j in (2, 3, 4):
+            if not len(wide):
+                break
+            byte = 0x80 | ((code[i + wide] >> (6 * (size[i + wide] - j)).astype(np.uint32)) & 0x3F)
+            state[wide] = CRC[(state[wide] ^ byte) & 0xFF] ^ (state[wide] >> 8)
+            wide = wide[size[i + wide] > j]
+    return state ^ np.uint32(0xFFFFFFFF)
+
+
 def hashed_trigrams(texts: list[str], dim: int = 64) -> list[list[float]]:
     """The default encoder: counts of hashed character trigrams at unit length. Empty text is an error."""
     out = []
     for t in texts:
         if not t:
             raise ValueError("empty text")
-        v = np.zeros(dim)
-        for i in range(max(1, len(t) - 2)):
-            v[zlib.crc32(t[i : i + 3].encode()) % dim] += 1
+        v = np.bincount(trigram_crcs(t) % dim, minlength=dim).astype(np.float64)
         out.append((v / np.linalg.norm(v)).tolist())
     return out
 

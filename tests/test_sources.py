@@ -78,3 +78,16 @@ def test_encoding_resumes_and_keeps_errors(spark):
     assert set(found) == {1, 2, 3}
     assert found[2].error and found[2].embedding is None
     assert found[1].error is None and len(found[1].embedding) == 64
+
+
+def test_trigrams_of_all_characters_at_once():
+    import random
+    import zlib
+
+    from lectern.sources.encode import hashed_trigrams, trigram_crcs
+
+    rng = random.Random(5)
+    for n in range(1, 60):
+        t = "".join(rng.choice("ab \x7f\x80é߿ࠀ漢￿\U00010000\U0010ffff") for _ in range(n))
+        assert trigram_crcs(t).tolist() == [zlib.crc32(t[i : i + 3].encode()) for i in range(max(1, n - 2))]
+    assert hashed_trigrams(["aaaa"])[0][zlib.crc32(b"aaa") % 64] == 1.0
