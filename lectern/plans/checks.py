@@ -96,10 +96,21 @@ def _status(group: str, level: str) -> tuple[str, str]:
     return ("BIAS_DETECTED" if group == "bias" else "SAFETY_VIOLATION"), "FAIL"
 
 
-FOUND = ", ".join(str((k, *h, *_status(h[0], h[2]))) for k, (_, hits) in enumerate(PLANTED) for h in hits)
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
-@register("q7_safety_screen", f"""SELECT doc_id AS id, "group", family, level, matched, code, status FROM documents JOIN (VALUES {FOUND}) v(k, "group", family, level, matched, code, status) ON doc_id % {len(PLANTED)} = k""")
+# The fixed rules as SQL: each family's first pattern that is found in a document with its sentence behind it. \s of RE2 has no vertical tab, that of Spark has one.
+SAFETY_SQL = "rules AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({_quoted(group)}, {_quoted(family)}, {_quoted(level)}, {rank}, {_quoted('(?i)' + pattern.replace(chr(92) + 's', '[' + chr(92) + 's' + chr(92) + 'x0B]'))}, {_quoted(_status(group, level)[0])}, {_quoted(_status(group, level)[1])})"
+    for group, family, level, patterns in Q.SAFETY_RULES for rank, pattern in enumerate(patterns)
+) + ') v("group", family, level, rank, pattern, code, status))'
+SENTENCES = ", ".join(f"({k}, {_quoted(t)})" for k, (t, _) in enumerate(PLANTED))
+
+
+@register("q7_safety_screen", f"""WITH {SAFETY_SQL}, d AS (SELECT doc_id AS id, coalesce(text, '') || ' . ' || sentence AS text FROM documents JOIN (VALUES {SENTENCES}) s(k, sentence) ON doc_id % {len(PLANTED)} = k),
+h AS (SELECT id, "group", family, level, substr(regexp_extract(text, pattern, 0), 1, 50) AS matched, code, status, row_number() OVER (PARTITION BY id, "group", family ORDER BY rank) AS n FROM d JOIN rules ON regexp_matches(text, pattern))
+SELECT id, "group", family, level, matched, code, status FROM h WHERE n = 1""")
 def q7(spark: SparkSession, sf: str) -> DataFrame:
     """Every document with one of the sentences behind its text."""
     sentence = F.element_at(F.array(*[F.lit(t) for t, _ in PLANTED]), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
