@@ -39,6 +39,7 @@ TOP = 4.0  # level 0 begins here
 SLACK = 2e-4  # what rounding, to four digits at least, can move a score
 REST = 0.3  # of a query's bound that may stay unread
 FIRST = 1000  # postings a query reads at first, about
+PIECE = 250_000  # list elements a Python worker handles at once, unless one row has more
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -52,6 +53,16 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mixed(a.view(U) * U(3) + mixed(b.view(U))).view(np.int64)
 
 
+def pieces(*lists: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of rows whose lists hold ``most`` elements at most together, or of one row that holds more."""
+    ends = np.cumsum(sum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for x in lists))
+    i, done = 0, 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield i, j - i
+        i, done = j, int(ends[j - 1])
+
+
 def counted(lists: pa.Array, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, occurrences) of each distinct term of each row, by row and term, and the rows' numbers of tokens."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -103,7 +114,7 @@ def vectors(rows: DataFrame, weigh: Bm25 | TfIdf, key: str) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(*piece) for whole in batches for piece in pieces(whole.column(1))):
             row, term, impact = weigh.of(*counted(batch.column(1), weigh.pairs))
             at = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (term, impact)]
@@ -119,7 +130,7 @@ BLOCKS_DDL = "term long, level int, spread int, top double, n long, items array<
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of a batch of documents, by term and level."""
     part = TaskContext.get().partitionId()
-    for batch in batches:
+    for batch in (whole.slice(*piece) for whole in batches for piece in pieces(whole.column(1), most=4 * PIECE)):
         sizes = batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         item = np.repeat(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)
         term, impact = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
@@ -189,7 +200,7 @@ def exact(pairs: DataFrame, asked: DataFrame, forward: DataFrame) -> DataFrame:
     both = pairs.select("query_id", "item_id").join(forward, "item_id").join(lists, "query_id").select("query_id", "item_id", "q_terms", "q_weights", "terms", "impacts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(*piece) for whole in batches for piece in pieces(whole.column(2), whole.column(4))):
             of = lambda i: batch.column(i).flatten().to_numpy(zero_copy_only=False)
             rows = lambda i: np.repeat(np.arange(batch.num_rows), batch.column(i).value_lengths().to_numpy(zero_copy_only=False))
             q_row, q_term, q_weight, d_row, d_term, d_impact = rows(2), of(2), of(3), rows(4), of(4), of(5)

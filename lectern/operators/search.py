@@ -67,8 +67,8 @@ def term_counts(rows: DataFrame, pairs: bool = False) -> DataFrame:
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms, row = terms_of(batch.column(0), pairs)
+        for lists in (batch.column(0).slice(*piece) for batch in batches for piece in postings.pieces(batch.column(0), most=2 * postings.PIECE)):
+            terms, row = terms_of(lists, pairs)
             words = terms.dictionary_encode()
             at, n = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(words.dictionary), 1)
             held = np.unique(row * n + at) % n
