@@ -267,13 +267,14 @@ def across(post: DataFrame, alive: DataFrame, percent: int, marks: DataFrame | N
     facts = alive.select(F.col("doc_id").alias("doc"), F.when(F.array_max("parts") < 128, F.col("parts").cast("array<tinyint>")).alias("pieces"))
     facts = facts.withColumn("marks", F.lit(None).cast("array<long>")) if marks is None else facts.join(marks, "doc")
     post = post.join(facts, "doc")
-    heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("docs"), *([] if marks is None else [F.first("marks").alias("marks")]))
+    heads = post.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count("*").alias("docs"), *([] if marks is None else [F.first("marks").alias("marks"), F.first("pieces").alias("pieces")]))
     # what the filters of some pair of documents need, so that components without such a pair don't meet
     length = F.expr(f"100 * a.high >= {percent} * b.low AND 100 * b.high >= {percent} * a.low")
     position = F.expr(f"{100 + percent} * least(a.rest, b.rest) >= {percent} * (a.low + b.low)")
     fit = length & position
-    if marks is not None:  # two components of one document each here meet in one list only
-        fit = fit & F.expr("a.docs > 1 OR b.docs > 1 OR a.key = array_min(array_intersect(a.marks, b.marks))")
+    if marks is not None:  # two components of one document each here meet in one list only, and under all filters of their documents
+        suffix_of = F.coalesce((100 + percent) * shared_at_most(F.col("a.pieces"), F.col("b.pieces")) >= F.lit(percent) * (F.col("a.low") + F.col("b.low")), F.lit(True))
+        fit = fit & F.expr("a.docs > 1 OR b.docs > 1 OR a.key = array_min(array_intersect(a.marks, b.marks))") & (F.expr("a.docs > 1 OR b.docs > 1") | suffix_of)
     # the component with fewer documents in the list comes first, so that nothing is expanded before the filters can act
     pairs = head_pairs(heads, fit).select("key", *[F.when(F.col("few"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("ca", "cb"), ("cb", "ca"))])
     side = lambda s: post.select("key", F.col("comp").alias(f"c{s}"), F.col("doc").alias(f"d{s}"), F.col("n").alias(f"n{s}"), F.col("pos").alias(f"p{s}"), F.col("pieces").alias(f"s{s}"), F.col("marks").alias(f"m{s}"))
