@@ -168,6 +168,15 @@ def met(asked: DataFrame, queries: DataFrame, cells: Cells, rows: DataFrame, blo
     return left.select(*keys, "query_id", "embedding").groupBy(*keys), right.select(*keys, *[c for c in rows.columns if c not in (*keys, "angle")]).groupBy(*keys)
 
 
+def leading(score: np.ndarray, k: int) -> np.ndarray:
+    """Which are the k largest of each row; of equal ones the earlier columns."""
+    if k >= score.shape[1]:
+        return np.ones(score.shape, bool)
+    edge = np.partition(score, score.shape[1] - k, axis=1)[:, [score.shape[1] - k]]
+    above, tie = score > edge, score == edge
+    return above | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k - above.sum(1, keepdims=True)))
+
+
 def scored(k: int | None, threshold: float | None):
     """Cosines of a group's queries with its items, rounded to six digits; the k best of each query, ties to the smaller item."""
 
@@ -259,7 +268,7 @@ class Quantiser:
         return np.stack(out, 1).astype(np.uint8)
 
 
-def fit(corpus: DataFrame, cells: int = 64, pieces: int = 16, sample: int = 20_000, steps: int = 8, seed: int = 42) -> Quantiser:
+def fit(corpus: DataFrame, cells: int = 64, pieces: int = 32, sample: int = 20_000, steps: int = 8, seed: int = 42) -> Quantiser:
     """Fit on a sample of at most ``sample`` vectors, in the driver; every row is indexed later."""
     centres, books = {}, {}
     for dim, x in sampled(corpus, sample).items():
@@ -300,9 +309,10 @@ def invert(corpus: DataFrame, quantiser: Quantiser, group: int = ROWS) -> Invert
 
 
 def estimated(quantiser, keep: int):
-    """The ``keep`` items of a group with the largest estimated cosine for each query, from the codes alone."""
+    """The ``keep`` items of a group with the largest estimated cosine for each query, from the codes alone; of copies the smaller ids."""
 
     def run(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("item_id")
         parts = []
         if asked.num_rows and rows.num_rows:
             dim, cell = asked.column("dim")[0].as_py(), asked.column("cell")[0].as_py()
@@ -312,16 +322,12 @@ def estimated(quantiser, keep: int):
             if cell >= 0:
                 books = quantiser.value.books[dim]
                 code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(-1, len(books))
-                score += (q @ quantiser.value.centres[dim][cell])[:, None]
-                at = 0
-                for i, book in enumerate(books):
-                    score += (q[:, at : at + book.shape[1]] @ book.T)[:, code[:, i]]
-                    at += book.shape[1]
+                near = np.concatenate([book[code[:, i]] for i, book in enumerate(books)], axis=1)
+                near += quantiser.value.centres[dim][cell]
+                score = q @ near.T
             score[qid[:, None] == item[None, :]] = -np.inf
-            top = np.argsort(-score, axis=1, kind="stable")[:, :keep]
-            s = np.take_along_axis(score, top, 1)
-            a, b = np.nonzero(np.isfinite(s))
-            parts.append(pa.Table.from_arrays([pa.array(qid[a]), pa.array(item[top[a, b]]), pa.array(s[a, b])], schema=PAIRS))
+            a, b = np.nonzero(leading(score, keep) & np.isfinite(score))
+            parts.append(pa.Table.from_arrays([pa.array(qid[a]), pa.array(item[b]), pa.array(score[a, b])], schema=PAIRS))
         return pa.concat_tables(parts) if parts else PAIRS.empty_table()
 
     return run
