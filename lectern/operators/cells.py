@@ -25,6 +25,7 @@ from lectern.operators.ranking import best
 from lectern.session import cut, forget, ship
 
 PIVOTS, PER_CELL, ROWS, BLOCK = 64, 1_024, 16_384, 2_048
+SCORES = 250_000  # cosines a Python worker works out at once
 EDGE = 1e-6  # what rounding can move an angle or a score
 ZERO, ALONE = -2, -1  # cells of zero vectors, and of vectors of a length without pivots
 PAIRS_DDL = "query_id long, item_id long, score double"
@@ -188,7 +189,7 @@ def scored(k: int | None, threshold: float | None):
             flat = lambda t: t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             qid, item, m, c = asked.column("query_id").to_numpy(), rows.column("item_id").to_numpy(), flat(asked), flat(rows)
             norms, lengths = np.linalg.norm(m, axis=1), np.linalg.norm(c, axis=1)
-            step = max(1, 2_000_000 // len(item))
+            step = max(1, SCORES // len(item))
             for i in range(0, len(qid), step):
                 scale = norms[i : i + step, None] * lengths[None, :]
                 score = np.round(np.divide(m[i : i + step] @ c.T, scale, out=np.zeros_like(scale), where=scale > 0), 6)
@@ -196,10 +197,8 @@ def scored(k: int | None, threshold: float | None):
                 if threshold is not None:
                     score[score < threshold] = -np.inf
                 keep = np.isfinite(score)
-                if k is not None and k < len(item):
-                    edge = -np.partition(-score, k - 1, axis=1)[:, [k - 1]]
-                    tie = score == edge
-                    keep &= (score > edge) | (tie & (np.cumsum(tie, axis=1) <= k - (score > edge).sum(1, keepdims=True)))
+                if k is not None:
+                    keep &= leading(score, k)
                 q, d = np.nonzero(keep)
                 parts.append(pa.Table.from_arrays([pa.array(qid[i + q]), pa.array(item[d]), pa.array(score[q, d])], schema=PAIRS))
         return pa.concat_tables(parts) if parts else PAIRS.empty_table()
