@@ -11,6 +11,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ from lectern.session import ship
 ITEM, QUESTION, STEM, OPTION, ANSWER, EXPLANATION = "문항", "문제", "물음", "답항", "정답", "해설"
 TEXT, MATH, PICTURE = "문자열", "수식", "그림"
 ENCODINGS = ("euc-kr", "cp949", "utf-8")
+FILES, BYTES = 256, 1 << 20  # files, and bytes of them, that a Python worker parses at once
 
 BLOCK = "array<struct<type: string, content: string>>"
 PARSED = f"source_file string, id string, attributes map<string,string>, question {BLOCK}, choices array<{BLOCK}>, answer_raw string, explanation {BLOCK}, images array<string>, parse_errors array<string>"
@@ -91,6 +93,16 @@ def parse_item(path: str, raw: bytes) -> dict:
     return row | {"parse_errors": missing}
 
 
+def pieces(contents: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of runs of at most FILES files that hold BYTES bytes together, or of one file that holds more."""
+    ends = np.cumsum(pc.binary_length(contents).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i, done = 0, 0
+    while i < len(ends):
+        j = min(i + FILES, max(i + 1, int(np.searchsorted(ends, done + BYTES, side="right"))))
+        yield i, j - i
+        i, done = j, int(ends[j - 1])
+
+
 def raw_files(spark: SparkSession, path: str, glob: str = "*.[iI][mM][lL]", wanted: str | None = None) -> DataFrame:
     """(path, content) of all files. ``wanted``: a pattern that the first 4,000 bytes must hold; other files are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
@@ -102,7 +114,7 @@ def parsed(raw: DataFrame) -> DataFrame:
     ship(raw.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+        for frame in (whole.iloc[i : i + FILES] for whole in frames for i in range(0, len(whole), FILES)):
             yield pd.DataFrame([parse_item(p, bytes(c)) for p, c in zip(frame["path"], frame["content"], strict=True)], columns=[x.split(" ")[0] for x in PARSED.split(", ") if not x.startswith("content")])
 
     return raw.select("path", "content").mapInPandas(run, PARSED).withColumn("metadata", metadata(F.col("attributes")))
@@ -137,11 +149,14 @@ def edges(raw: DataFrame, per_file: int = 10, longest: int = 100) -> DataFrame:
             todo.extend((child, node.tag) for child in reversed(node))
         return [(t, p, None, None) for t, p in pairs] + [(t, None, a, v) for (t, a), some in values.items() for v in some]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame([x for c in frame["content"] for x in of(bytes(c))], columns=["tag", "parent", "attribute", "value"], dtype="object")
+    schema = pa.schema([(c, pa.string()) for c in ("tag", "parent", "attribute", "value")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for contents in (batch.column(0).slice(*piece) for batch in batches for piece in pieces(batch.column(0))):
+            found = [x for c in contents for x in of(c.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in range(4)], schema=schema)
 
-    return raw.select("content").mapInPandas(run, "tag string, parent string, attribute string, value string")
+    return raw.select("content").where("content IS NOT NULL").mapInArrow(run, "tag string, parent string, attribute string, value string")
 
 
 def tag_schema(found: DataFrame) -> DataFrame:
