@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
-from lectern.operators import cells
+from lectern.operators import cells, search
 
 
 def sides(n_queries, n_items, dim=16):
@@ -28,3 +28,10 @@ def test_scores_are_worked_out_in_pieces():
     score[np.arange(len(q)), np.arange(len(q))] = -np.inf
     best = np.argsort(-score, axis=1, kind="stable")[:, :10]
     assert sorted(zip(got["query_id"].to_pylist(), got["item_id"].to_pylist())) == sorted((i, int(j)) for i in range(len(q)) for j in best[i])
+
+
+def test_all_pairs_come_in_small_groups(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(cells, "nearest", lambda *a, **sizes: asked.update(sizes))
+    search.cosine_pairs(None, None)
+    assert asked.get("group", cells.ROWS) * asked.get("block", cells.BLOCK) <= 5_000_000
