@@ -9,8 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.query import StreamingQuery
@@ -110,34 +109,40 @@ def late_rows(spark: SparkSession, closed: str, arrivals: str) -> DataFrame:
 
 
 class LastValue(StatefulProcessor):
-    """Keyed state of one row: the last (ts, event_id, value). A null value is kept as a mark, so that an older event doesn't bring a cleared one back.
+    """Keyed state of one row: the last (ts, event_id, value), times in microseconds. A null value is kept as a mark, so that an older event doesn't bring a cleared one back.
 
-    The state falls ``lifetime`` seconds after its event, in event time; events older than the watermark never reach it.
+    The state falls ``lifetime`` seconds after its event, in event time; events older than the watermark never reach it. A key has one timer, set with its
+    first event; when it fires too early for a later event it is set again. So an event costs a reading and a writing of the state.
     """
 
-    OUT = "session_id long, response_id string, ts timestamp, event_id long, value double"
+    OUT = "session_id long, response_id string, at long, event_id long, value double"
 
     def __init__(self, lifetime: int):
         self.lifetime = lifetime
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts timestamp, event_id long, value double")
+        self.last = handle.getValueState("last", "at long, event_id long, value double")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = pd.concat(list(rows)).sort_values(["ts", "event_id"]).iloc[-1]
-        old = self.last.get() if self.last.exists() else None
-        if old is not None and (pd.Timestamp(old[0]), old[1]) >= (pd.Timestamp(new.ts), new.event_id):
+    def due(self, at: int) -> int:
+        return at // 1000 + 1000 * self.lifetime
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = max(rows, key=lambda r: (r.at, r.event_id))
+        old = self.last.get()
+        if old is not None and (old[0], old[1]) >= (new.at, new.event_id):
             return
-        value = None if pd.isna(new.value) else float(new.value)
-        self.last.update((pd.Timestamp(new.ts).to_pydatetime(), int(new.event_id), value))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(int(pd.Timestamp(new.ts).tz_localize("UTC").timestamp() * 1000) + 1000 * self.lifetime)
-        yield pd.DataFrame({"session_id": [key[0]], "response_id": [key[1]], "ts": [new.ts], "event_id": [new.event_id], "value": [value]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
+        self.last.update((new.at, new.event_id, new.value))
+        if old is None:
+            self.handle.registerTimer(self.due(new.at))
+        yield Row(session_id=key[0], response_id=key[1], at=new.at, event_id=new.event_id, value=new.value)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        last = self.last.get()
+        if last is not None and self.due(last[0]) > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(self.due(last[0]))
+        else:
+            self.last.clear()
         yield from ()
 
     def close(self) -> None:
@@ -155,8 +160,9 @@ def response_changes(events: DataFrame, lifetime: int = 30 * 86_400, lateness: s
     spark = events.sparkSession
     ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    keyed = events.withWatermark("ts", lateness).groupBy("session_id", "response_id")
-    return keyed.transformWithStateInPandas(statefulProcessor=LastValue(lifetime), outputStructType=LastValue.OUT, outputMode="Update", timeMode="EventTime")
+    keyed = events.withWatermark("ts", lateness).withColumn("at", F.unix_micros("ts")).groupBy("session_id", "response_id")
+    changes = keyed.transformWithState(statefulProcessor=LastValue(lifetime), outputStructType=LastValue.OUT, outputMode="Update", timeMode="EventTime")
+    return changes.select("session_id", "response_id", F.timestamp_micros("at").alias("ts"), "event_id", "value")
 
 
 def response_state(events: DataFrame, path: str, checkpoint: str, lifetime: int = 30 * 86_400, lateness: str = "1 day") -> StreamingQuery:
@@ -172,7 +178,7 @@ def responses_table(spark: SparkSession, path: str) -> UpsertedTable:
 def responses(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, response_id, value) of the values that aren't cleared."""
     rows = responses_table(spark, path).read()
-    rows = spark.createDataFrame([], LastValue.OUT) if rows is None else rows
+    rows = spark.createDataFrame([], "session_id long, response_id string, value double") if rows is None else rows
     return rows.where("value IS NOT NULL").select("session_id", "response_id", "value")
 
 
