@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators import cells, postings, substrings
+from lectern.operators import cells, postings, substrings, textpairs
 from lectern.operators.ranking import best
 from lectern.session import cut, forget, ship
 
@@ -94,7 +94,10 @@ def bm25_index(corpus: DataFrame, k1: float = 1.5, b: float = 0.75, tokens: Call
 
 def bm25_asked(queries: DataFrame, index: postings.Postings, n_docs: int, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """(query_id, term, weight): idf times occurrences, of the queries' terms that the corpus has. Repeated tokens count each time."""
-    df = index.levels.groupBy("term").agg(F.sum("n").alias("df"))
+    return _weighted(queries, index.levels.groupBy("term").agg(F.sum("n").alias("df")), n_docs, tokens)
+
+
+def _weighted(queries: DataFrame, df: DataFrame, n_docs: int, tokens: Callable[[Column], Column]) -> DataFrame:
     each = _hashed(queries, "query_id", tokens).select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     return cut(each.join(df, "term").select("query_id", "term", (F.col("times") * bm25_idf(F.lit(n_docs), F.col("df"))).alias("weight")), "asked")
 
@@ -109,15 +112,18 @@ def _ranked(index: postings.Postings, asked: DataFrame, k: int | None, bonus: Co
 def bm25(queries: DataFrame, corpus: DataFrame, k: int | None = None, wanted: DataFrame | None = None, k1: float = 1.5, b: float = 0.75, tokens: Callable[[Column], Column] = word_tokens) -> DataFrame:
     """(query_id, item_id, score) of the pairs that share a token, an item with itself excluded.
 
-    With ``k`` only what can be among the k best of a query; with ``wanted`` (query_id, item_id) only those pairs and each
-    query's best. See :mod:`lectern.operators.postings` for how postings are stored and read.
+    With ``k`` only what can be among the k best of a query. See :mod:`lectern.operators.postings` for how postings are stored and read.
+    With ``wanted`` (query_id, item_id) only those pairs and each query's best, by :mod:`lectern.operators.textpairs`.
     """
+    if wanted is not None:
+        docs = cut(_hashed(corpus, "item_id", tokens), "tokens")
+        n_docs, mean = docs.agg(F.count("*"), F.avg(F.size("terms"))).head()
+        groups = cut(textpairs.item_groups(docs, postings.Bm25(mean or 1.0, k1, b)), "items")
+        forget(docs)
+        asked = _weighted(queries, textpairs.frequencies(groups), n_docs, tokens)
+        return textpairs.wanted_and_best(groups, cut(textpairs.query_groups(asked, wanted), "queries"))
     index, n_docs = bm25_index(corpus, k1, b, tokens)
-    asked = bm25_asked(queries, index, n_docs, tokens)
-    if wanted is None:
-        return _ranked(index, asked, k)
-    pairs = postings.exact(wanted.select("query_id", "item_id").where("query_id <> item_id").distinct(), asked, index.forward)
-    return pairs.unionByName(postings.top_k(index, asked, 1)).distinct()
+    return _ranked(index, bm25_asked(queries, index, n_docs, tokens), k)
 
 
 def tfidf_weights(docs: DataFrame, n_docs: int, max_features: int) -> postings.TfIdf:

@@ -72,8 +72,9 @@ def passages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def hybrid_inputs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with a vector: (item_id, text, embedding), and every 20th of them as queries."""
+    """Documents with a vector: (item_id, text, embedding), and every 20th of them as queries. They are written once, as all texts are shuffled to find them."""
     both = table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"), "text").join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    both = cut(both, "both")
     return both.where("item_id % 20 = 0").withColumnRenamed("item_id", "query_id"), both
 
 
