@@ -27,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ TOP = 4.0  # level 0 begins here
 SLACK = 2e-4  # what rounding, to four digits at least, can move a score
 REST = 0.3  # of a query's bound that may stay unread
 FIRST = 1000  # postings a query reads at first, about
+SLOTS = 1 << 20  # of hashes of terms, for bounds on their counts
 PIECE = 250_000  # list elements a Python worker handles at once, unless one row has more
 
 
@@ -78,6 +80,49 @@ def counted(lists: pa.Array, pairs: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     return row[new], flat[new], np.diff(new, append=len(flat)), sizes
 
 
+def grams(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place of its first token) of all tokens of the rows, and of all pairs of neighbours after them."""
+    flat, sizes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    first = np.flatnonzero(row[1:] == row[:-1])
+    return np.concatenate((flat, pair_hash(flat[first], flat[first + 1]))), np.concatenate((row, row[first])), np.concatenate((np.arange(len(flat)), first))
+
+
+def slot_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(U) >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, total): the 1- and 2-grams of a task's (hashes array) rows, by slots of their hashes."""
+    sums = np.zeros(SLOTS, np.int64)
+    for lists in (batch.column(0).slice(*piece) for batch in batches for piece in pieces(batch.column(0), most=2 * PIECE)):
+        sums += np.bincount(slot_of(grams(lists)[0]), minlength=SLOTS)
+    held = np.flatnonzero(sums)
+    for i in range(0, len(held), PIECE):
+        at = held[i : i + PIECE]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "total"])
+
+
+def counting(slots):
+    """(term, total, df) of the 1- and 2-grams of (terms array, hashes array) rows that lie in ``slots``, a broadcast of packed bits; some rows a term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = np.unpackbits(slots.value).astype(bool)
+        for batch in (whole.slice(*piece) for whole in batches for piece in pieces(whole.column(0), most=2 * PIECE)):
+            hashes, row, place = grams(batch.column(1))
+            some = asked[slot_of(hashes)]
+            single = np.arange(len(hashes)) < batch.column(0).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).sum()
+            hashes, row, place, single = hashes[some], row[some], place[some], single[some]
+            term, first, at, total = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            df = np.bincount(np.unique(row * max(len(term), 1) + at) % max(len(term), 1), minlength=len(term))
+            words, place, single = batch.column(0).flatten(), place[first], single[first]
+            one, two = words.take(pa.array(place[single])), pc.binary_join_element_wise(words.take(pa.array(place[~single])), words.take(pa.array(place[~single] + 1)), " ")
+            order = np.concatenate((np.flatnonzero(single), np.flatnonzero(~single)))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([one, two]), pa.array(total[order]), pa.array(df[order])], names=["term", "total", "df"])
+
+    return run
+
+
 @dataclass
 class Bm25:
     """Impacts of BM25: the saturation of a term's occurrences in a text of some length."""

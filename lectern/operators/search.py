@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,31 +49,27 @@ def bm25_saturation(tf: Column, length: Column, mean_length: Column, k1: float =
     return tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
 
 
-def terms_of(lists: pa.ListArray, pairs: bool) -> tuple[pa.Array, np.ndarray]:
-    """All tokens of the rows, and with ``pairs`` all pairs of neighbours, and the row of each."""
-    flat, sizes = lists.flatten(), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(lists)), sizes)
-    if not pairs or len(flat) < 2:
-        return flat, row
-    inside = row[1:] == row[:-1]
-    both = pc.binary_join_element_wise(flat[:-1], flat[1:], " ").filter(pa.array(inside))
-    return pa.concat_arrays([flat, both]), np.concatenate((row, row[1:][inside]))
+def most_frequent(rows: DataFrame, n: int) -> DataFrame:
+    """(term, total, df) of the ``n`` most frequent 1- and 2-grams of (terms array) rows, ties by term: occurrences, and rows with the term.
 
-
-def term_counts(rows: DataFrame, pairs: bool = False) -> DataFrame:
-    """(term, total, df) of (terms array) rows: occurrences and rows with the term. Batches are counted before anything is shuffled."""
+    As a row each, the 2-grams would be several times the texts to shuffle. So each task first adds up its terms by hash in SLOTS slots; a slot's sum is at least the total of
+    each of its terms. Then only the terms of slots that reach a bound are counted by themselves. If ``n`` of those have the bound as their total, no other term
+    can be among the ``n``; else the bound falls, at last to 1, which is all terms.
+    """
     ship(rows.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lists in (batch.column(0).slice(*piece) for batch in batches for piece in postings.pieces(batch.column(0), most=2 * postings.PIECE)):
-            terms, row = terms_of(lists, pairs)
-            words = terms.dictionary_encode()
-            at, n = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(len(words.dictionary), 1)
-            held = np.unique(row * n + at) % n
-            yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(np.bincount(at, minlength=n)[: len(words.dictionary)]), pa.array(np.bincount(held, minlength=n)[: len(words.dictionary)])], names=["term", "total", "df"])
-
-    parts = rows.toDF("terms").mapInArrow(run, "term string, total long, df long")
-    return parts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
+    each = rows.toDF("terms").select("terms", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"))
+    found = each.select("hashes").mapInArrow(postings.slot_sums, "slot int, total long").groupBy("slot").agg(F.sum("total").alias("total")).toArrow()  # SLOTS rows at most
+    slot, total = (found.column(c).to_numpy() for c in ("slot", "total"))
+    bound = max(1, int(np.partition(total, len(total) - n)[-n]) // 2) if len(total) >= n else 1
+    while True:
+        asked = np.zeros(postings.SLOTS, bool)
+        asked[slot[total >= bound]] = True
+        shared = rows.sparkSession.sparkContext.broadcast(np.packbits(asked))
+        counts = cut(each.mapInArrow(postings.counting(shared), "term string, total long, df long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df")), "counts")
+        if bound == 1 or counts.where(F.col("total") >= bound).count() >= n:
+            return counts.orderBy(F.desc("total"), "term").limit(n)
+        forget(counts)
+        bound = max(1, bound // 4)
 
 
 def _hashed(rows: DataFrame, key: str, tokens: Callable[[Column], Column]) -> DataFrame:
@@ -102,9 +96,9 @@ def _weighted(queries: DataFrame, df: DataFrame, n_docs: int, tokens: Callable[[
     return cut(each.join(df, "term").select("query_id", "term", (F.col("times") * bm25_idf(F.lit(n_docs), F.col("df"))).alias("weight")), "asked")
 
 
-def _ranked(index: postings.Postings, asked: DataFrame, k: int | None, bonus: Column | None = None, planned: DataFrame | None = None) -> DataFrame:
+def _ranked(index: postings.Postings, asked: DataFrame, k: int | None) -> DataFrame:
     if k is not None:
-        return postings.top_k(index, asked, k, bonus, planned)
+        return postings.top_k(index, asked, k)
     every = postings.partial(asked.join(index.levels, "term"), index.blocks)
     return every.select("query_id", "item_id", F.round("partial", 6).alias("score"))
 
@@ -131,7 +125,7 @@ def tfidf_weights(docs: DataFrame, n_docs: int, max_features: int) -> postings.T
 
     Its size is that bound, so it is collected and broadcast.
     """
-    top = term_counts(docs.select("terms"), pairs=True).orderBy(F.desc("total"), "term").limit(max_features)
+    top = most_frequent(docs.select("terms"), max_features)
     parts = F.split("term", " ")
     rows = top.select(F.size(parts).alias("size"), F.xxhash64(parts[0]).alias("a"), F.xxhash64(F.get(parts, F.lit(1))).alias("b"), (F.log((1 + F.lit(n_docs)) / (1 + F.col("df"))) + 1).alias("idf")).toPandas()
     a, b = (rows[c].to_numpy(np.int64) for c in "ab")
@@ -145,22 +139,29 @@ def tfidf(queries: DataFrame, corpus: DataFrame, max_features: int = 5000, k: in
 
     Only pairs that share a term appear; with ``k`` only those that can be among the k best of a query. ``units``: a column
     of the queries, one of the corpus, and what is added to a pair's score for ranking where both are equal; it isn't part of
-    the score that comes out.
+    the score that comes out. With ``k`` texts meet group by group (:mod:`lectern.operators.textpairs`): the vocabulary is of frequent terms, so a query
+    shares some with nearly every text, and postings would be a row to shuffle for nearly each pair and term.
     """
-    docs = cut(corpus.select(F.col("item_id").cast("long").alias("item_id"), word_tokens(F.col("text")).alias("terms")), "tokens")
+    docs = cut(corpus.select(F.col("item_id").cast("long").alias("item_id"), word_tokens(F.col("text")).alias("terms"), *_unit(units, 1)), "tokens")
     weigh = tfidf_weights(docs, docs.count(), max_features)
-    bonus = planned = more = None
-    hashed = docs.select("item_id", F.transform("terms", lambda t: F.xxhash64(t)).alias("terms"))
-    if units is not None:  # a unit is one more term, of impact 1
-        of = lambda c: F.xxhash64(F.lit("unit"), c.cast("string"))
-        more = corpus.select(F.col("item_id").cast("long").alias("item_id"), F.array(of(units[1])).alias("terms"), F.array(F.lit(1.0)).alias("impacts"))
-        planned = queries.select(F.col("query_id").cast("long").alias("query_id"), of(units[0]).alias("term"), F.lit(float(units[2])).alias("weight"))
-        bonus = F.when(units[0] == units[1], float(units[2])).otherwise(0.0)
-    index = postings.build(hashed, weigh, more)
-    forget(docs)
+    hashed = docs.withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
     vectors = postings.vectors(_hashed(queries, "query_id", word_tokens), weigh, "query_id")
-    asked = cut(vectors.select("query_id", F.explode(F.arrays_zip("terms", "impacts")).alias("t")).select("query_id", F.col("t.terms").alias("term"), F.col("t.impacts").alias("weight")), "asked")
-    return _ranked(index, asked, k, bonus, planned)
+    if k is None:
+        index = postings.build(hashed.select("item_id", "terms"), weigh)
+        forget(docs)
+        asked = cut(vectors.select("query_id", F.explode(F.arrays_zip("terms", "impacts")).alias("t")).select("query_id", F.col("t.terms").alias("term"), F.col("t.impacts").alias("weight")), "asked")
+        return _ranked(index, asked, None)
+    groups = cut(textpairs.item_groups(hashed, weigh), "items")
+    forget(docs)
+    if units is not None:
+        vectors = vectors.join(queries.select(F.col("query_id").cast("long").alias("query_id"), *_unit(units, 0)), "query_id")
+    asked = cut(vectors, "asked")
+    return textpairs.leading(groups, cut(textpairs.asked_groups(asked), "queries"), k, 0.0 if units is None else float(units[2]))
+
+
+def _unit(units: tuple[Column, Column, float] | None, side: int) -> list[Column]:
+    """The column ``unit`` of a side, if there are units: a hash, null where there is none."""
+    return [] if units is None else [F.when(units[side].isNotNull(), F.xxhash64(units[side].cast("string"))).alias("unit")]
 
 
 def minmax(scored: DataFrame, score: str = "score", out: str = "scaled") -> DataFrame:
