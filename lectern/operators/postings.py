@@ -40,7 +40,7 @@ TOP = 4.0  # level 0 begins here
 SLACK = 2e-4  # what rounding, to four digits at least, can move a score
 REST = 0.3  # of a query's bound that may stay unread
 FIRST = 1000  # postings a query reads at first, about
-SLOTS = 1 << 20  # of hashes of terms, for bounds on their counts
+SLOTS, SLOT_ROW = 1 << 18, 1 << 12  # of hashes of terms, for bounds on their counts
 PIECE = 250_000  # list elements a Python worker handles at once, unless one row has more
 
 
@@ -93,14 +93,19 @@ def slot_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(slot, total): the 1- and 2-grams of a task's (hashes array) rows, by slots of their hashes."""
+    """(part, sums): the 1- and 2-grams of a task's (hashes array) rows by slots of their hashes, SLOT_ROW slots a row."""
     sums = np.zeros(SLOTS, np.int64)
-    for lists in (batch.column(0).slice(*piece) for batch in batches for piece in pieces(batch.column(0), most=2 * PIECE)):
+    for lists in (batch.column(0).slice(*piece) for batch in batches for piece in pieces(batch.column(0))):
         sums += np.bincount(slot_of(grams(lists)[0]), minlength=SLOTS)
-    held = np.flatnonzero(sums)
-    for i in range(0, len(held), PIECE):
-        at = held[i : i + PIECE]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["slot", "total"])
+    n = SLOTS // SLOT_ROW
+    yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, SLOTS + 1, SLOT_ROW), pa.int32()), pa.array(sums))], names=["part", "sums"])
+
+
+def summed(rows: pa.Table) -> pa.Table:
+    """(slot, total) of the slots in use of one part, from all tasks."""
+    total = rows.column("sums").combine_chunks().flatten().to_numpy().reshape(-1, SLOT_ROW).sum(0)
+    held = np.flatnonzero(total)
+    return pa.table({"slot": pa.array((held + rows.column("part")[0].as_py() * SLOT_ROW).astype(np.int32)), "total": pa.array(total[held])})
 
 
 def counting(slots):
@@ -108,7 +113,7 @@ def counting(slots):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = np.unpackbits(slots.value).astype(bool)
-        for batch in (whole.slice(*piece) for whole in batches for piece in pieces(whole.column(0), most=2 * PIECE)):
+        for batch in (whole.slice(*piece) for whole in batches for piece in pieces(whole.column(0))):
             hashes, row, place = grams(batch.column(1))
             some = asked[slot_of(hashes)]
             single = np.arange(len(hashes)) < batch.column(0).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).sum()

@@ -58,7 +58,7 @@ def most_frequent(rows: DataFrame, n: int) -> DataFrame:
     """
     ship(rows.sparkSession)
     each = rows.toDF("terms").select("terms", F.transform("terms", lambda t: F.xxhash64(t)).alias("hashes"))
-    found = each.select("hashes").mapInArrow(postings.slot_sums, "slot int, total long").groupBy("slot").agg(F.sum("total").alias("total")).toArrow()  # SLOTS rows at most
+    found = each.select("hashes").mapInArrow(postings.slot_sums, "part int, sums array<long>").groupBy("part").applyInArrow(postings.summed, "slot int, total long").toArrow()  # SLOTS rows at most
     slot, total = (found.column(c).to_numpy() for c in ("slot", "total"))
     bound = max(1, int(np.partition(total, len(total) - n)[-n]) // 2) if len(total) >= n else 1
     while True:
@@ -142,17 +142,18 @@ def tfidf(queries: DataFrame, corpus: DataFrame, max_features: int = 5000, k: in
     the score that comes out. With ``k`` texts meet group by group (:mod:`lectern.operators.textpairs`): the vocabulary is of frequent terms, so a query
     shares some with nearly every text, and postings would be a row to shuffle for nearly each pair and term.
     """
-    docs = cut(corpus.select(F.col("item_id").cast("long").alias("item_id"), word_tokens(F.col("text")).alias("terms"), *_unit(units, 1)), "tokens")
+    stored = cut(corpus.select(F.col("item_id").cast("long").alias("item_id"), F.array_join(word_tokens(F.col("text")), " ").alias("words"), *_unit(units, 1)), "tokens")  # a string a text: readers hold thousands of rows of lists
+    docs = stored.withColumn("terms", F.filter(F.split("words", " "), lambda t: t != "")).drop("words")
     weigh = tfidf_weights(docs, docs.count(), max_features)
     hashed = docs.withColumn("terms", F.transform("terms", lambda t: F.xxhash64(t)))
     vectors = postings.vectors(_hashed(queries, "query_id", word_tokens), weigh, "query_id")
     if k is None:
         index = postings.build(hashed.select("item_id", "terms"), weigh)
-        forget(docs)
+        forget(stored)
         asked = cut(vectors.select("query_id", F.explode(F.arrays_zip("terms", "impacts")).alias("t")).select("query_id", F.col("t.terms").alias("term"), F.col("t.impacts").alias("weight")), "asked")
         return _ranked(index, asked, None)
     groups = cut(textpairs.item_groups(hashed, weigh), "items")
-    forget(docs)
+    forget(stored)
     if units is not None:
         vectors = vectors.join(queries.select(F.col("query_id").cast("long").alias("query_id"), *_unit(units, 0)), "query_id")
     asked = cut(vectors, "asked")
